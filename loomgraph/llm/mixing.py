@@ -13,6 +13,8 @@ SHARE = 1.5
 MOST = 2.0
 #: Blocks into which a source's documents are permuted, at most.
 BLOCKS = 1024
+#: Documents after the cut among which those that fill the last gap are looked for.
+FILLERS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -76,15 +78,16 @@ def mix(
     Sources sorted by code point (null last) take the weights in turn. The
     documents of a source are permuted by hash into blocks. A source takes its
     blocks in that order, starting over at the end, until its target is
-    reached; in the last block documents are taken in hash order while the
-    next brings the total nearer. ``shards`` lists the output shard of each
+    reached; in the last block documents are taken in hash order while they
+    fit, then of the next FILLERS documents those that fill the gap, largest
+    first. ``shards`` lists the output shard of each
     copy; an untaken document has none. Every document is drawn at most
     ceil(``most``) times. Rows with the same id and text are told apart by
     nothing: they share their block and are taken alike.
 
     Null or blank texts have size 0 and are never taken; a source of size 0
     has target 0; an empty table gives no rows. Only per-source and per-block
-    sums reach the driver: at most BLOCKS rows a source.
+    sums reach the driver: at most BLOCKS + FILLERS rows a source.
     """
     spark = docs.sparkSession
     own = ["size", "source_size", "target", "taken", "shards"]
@@ -92,12 +95,14 @@ def mix(
     sized = docs.select("*", word_count(F.col(text_col)).alias("size"), F.coalesce(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(0)).alias("_order"))
     sized = sized.withColumn("_fine", F.pmod("_order", F.lit(BLOCKS)).cast("int"))
     keys = sized.select(source_col, "size", "_fine", "_order", *([id_col] if id_col != source_col else []))
-    per_block = keys.groupBy(F.col(source_col).alias("_source"), "_fine").agg(F.sum("size").alias("w")).collect()
+    per_block = keys.groupBy(F.col(source_col).alias("_source"), "_fine").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect()
     names = sorted({r["_source"] for r in per_block if r["_source"] is not None}) + [None] * any(r["_source"] is None for r in per_block)
     index = {s: i for i, s in enumerate(names)}
     fine = np.zeros((max(len(names), 1), BLOCKS), np.int64)
+    rows = np.zeros_like(fine)
     for r in per_block:
         fine[index[r["_source"]], r["_fine"]] = r["w"]
+        rows[index[r["_source"]], r["_fine"]] = r["n"]
     sizes = fine.sum(1)[: len(names)]
     wts = np.array([weights[i % len(weights)] for i in range(len(names))], float)
     targets = water_fill(sizes.astype(float), wts, share, most) if len(names) else np.zeros(0)
@@ -112,16 +117,32 @@ def mix(
         inside = rest - (int(ends[cut_at - 1]) if cut_at else 0)
         if passes >= most:  # a full second pass leaves nothing to cut
             cut_at, inside = 0, 0.0
-        plan.append((s, int(sizes[i]), float(targets[i]), passes, cut_at, float(inside), i))
-        quotas.append(passes * BLOCKS + min(cut_at + 1, BLOCKS) if sizes[i] else 0)
-    schema = f"_s {docs.schema[source_col].dataType.simpleString()}, source_size long, target double, _passes int, _cut int, _inside double, _i int"
+        # the cut block, with so many blocks after it that FILLERS documents follow
+        stop = min(BLOCKS, cut_at + 1 + int(np.searchsorted(np.cumsum(rows[i][cut_at + 1 :]), FILLERS))) if inside > 0 else cut_at
+        plan.append((s, int(sizes[i]), float(targets[i]), passes, cut_at, min(stop + 1, BLOCKS), float(inside), i))
+        quotas.append(passes * BLOCKS + min(stop + 1, BLOCKS) if sizes[i] else 0)
+    schema = f"_s {docs.schema[source_col].dataType.simpleString()}, source_size long, target double, _passes int, _cut int, _stop int, _inside double, _i int"
     plan_df = F.broadcast(spark.createDataFrame(plan, schema))  # a row per source
-    # the cut block of each source: documents in hash order, the nearest total stays
     joined = sized.join(plan_df, F.col(source_col).eqNullSafe(F.col("_s"))).drop("_s")
-    edge = cut(joined.where("_fine = _cut and _inside > 0").select("_i", "_order", "size", "_inside"), "mix")
-    edge = edge.groupBy("_i", "_order").agg(F.sum("size").alias("size"), F.first("_inside").alias("_inside"))
-    edge_sum = edge.withColumn("_to", F.expr("sum(size) over (partition by _i order by _order rows unbounded preceding)"))
-    edge_in = edge_sum.where("_to - size / 2.0D <= _inside").select(F.col("_i").alias("_ei"), F.col("_order").alias("_eo"))
+    # in permuted order, documents of the cut block are taken while they fit; then those of the next FILLERS that fill the gap best
+    edge = cut(
+        joined.where("_fine >= _cut and _fine < _stop and _inside > 0 and size > 0")
+        .groupBy("_i", "_fine", "_order").agg(F.sum("size").alias("size"), F.first("_inside").alias("_inside")),
+        "mix",
+    )
+    edge = edge.withColumn("_to", F.expr("sum(size) over (partition by _i order by _fine, _order rows unbounded preceding)"))
+    first_in = edge.where("_to <= _inside").select(F.col("_i").alias("_ei"), F.col("_order").alias("_eo"))
+    after = edge.where("_to > _inside").withColumn("_n", F.expr("row_number() over (partition by _i order by _fine, _order)")).where(F.col("_n") <= FILLERS).collect()
+    fill = []
+    for i in sorted({r["_i"] for r in after}):
+        mine = sorted((r for r in after if r["_i"] == i), key=lambda r: r["_n"])
+        gap = mine[0]["_inside"] - (mine[0]["_to"] - mine[0]["size"])
+        left = sorted(mine, key=lambda r: (-r["size"], r["_n"]))
+        for r in left:
+            if r["size"] <= gap or (r is left[-1] and r["size"] - gap < gap):
+                fill.append((i, r["_order"]))
+                gap -= r["size"]
+    edge_in = first_in.unionByName(spark.createDataFrame(fill, "_ei int, _eo long"))
     # blocks of a source in its permuted order, dealt to the leaves of the tree
     leaves = split_tree(np.array(quotas or [0], np.int64), shards, np.random.default_rng(seed))
     deal = []
@@ -132,7 +153,7 @@ def mix(
             deal.append((i, k, [int(x) for x in at[k::BLOCKS]]))
     deal_df = spark.createDataFrame(deal, "_di int, _df int, _shards array<int>")
     dealt = joined.join(F.broadcast(deal_df), (F.col("_i") == F.col("_di")) & (F.col("_fine") == F.col("_df")), "left")
-    out = dealt.join(edge_in, (F.col("_i") == F.col("_ei")) & (F.col("_order") == F.col("_eo")) & (F.col("_fine") == F.col("_cut")), "left")
+    out = dealt.join(edge_in, (F.col("_i") == F.col("_ei")) & (F.col("_order") == F.col("_eo")) & (F.col("_fine") >= F.col("_cut")), "left")
     copies = F.when(F.col("size") == 0, 0).otherwise(
         F.col("_passes") + F.when(F.col("_fine") < F.col("_cut"), 1).when(F.col("_eo").isNotNull(), 1).otherwise(0)
     )

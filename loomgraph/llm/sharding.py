@@ -36,9 +36,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text_col: str = "text", id_
     one global order (text hash, id), in which equal texts are neighbours.
     Each range partition counts its rows and bytes, the prefix sums of those
     totals give every row its global offset, and the order is cut where the
-    offset passes a multiple of total/shards: contiguous shards of near equal
+    middle of a row passes a multiple of total/shards: contiguous shards of near equal
     bytes. A run of equal texts that a cut would split goes whole to the shard
-    of its first row if it has at most SNAP_SHARE of the target; a larger one
+    of its middle if it has at most SNAP_SHARE of the target; a larger one
     is split, so a hot group of copies cannot unbalance the shards. The slot
     counts the rows of a shard from 0 without gaps.
 
@@ -73,9 +73,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text_col: str = "text", id_
     cuts = spark.createDataFrame([(float(i * target),) for i in range(1, shards)] or [(-1.0,)], "_c double")
     over = at.join(F.broadcast(cuts), (F.col("_at") <= F.col("_c")) & (F.col("_c") < F.col("_at") + F.col("size"))).select("_h").distinct()
     runs = at.join(F.broadcast(over), "_h").groupBy("_h").agg(F.min("_at").alias("_run"), F.sum("size").alias("_run_bytes")).where(F.col("_run_bytes") <= SNAP_SHARE * target)
-    middle = F.coalesce(F.col("_run").cast("double"), F.col("_at").cast("double"))
+    middle = F.coalesce(F.col("_run") + F.col("_run_bytes") / 2, F.col("_at") + F.col("size") / 2)
     shard = F.least(F.floor(middle / F.lit(target)), F.lit(shards - 1)).cast("int")
-    at = at.join(F.broadcast(runs.select("_h", "_run")), "_h", "left").withColumn("shard", shard)
+    at = at.join(F.broadcast(runs), "_h", "left").withColumn("shard", shard)
     firsts = at.groupBy("shard").agg(F.min("_row").alias("_first"))
     out = at.join(F.broadcast(firsts), "shard")
     return out.select(
