@@ -15,6 +15,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.tokens import token_counts
+
+    return token_counts(_docs(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.exact_dedup import exact_dedup
 
@@ -27,6 +33,12 @@ def op8_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_docs(spark, sf_dir), carry=["doc_id"])
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.secrets import scan_secrets
+
+    return scan_secrets(_docs(spark, sf_dir)).drop("found")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
