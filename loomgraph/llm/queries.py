@@ -27,6 +27,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.minhash import near_components
+
+    return near_components(_docs(spark, sf_dir))
+
+
 def op8_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.sharding import shard_by_bytes
 
