@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import slices
+from loomgraph.store import cut
 
 #: The base rules, in the order in which ties are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -35,8 +36,8 @@ HINT = re.compile(r"pass|pwd|pin|secret|token|key|credential|auth", re.ASCII | r
 
 #: log10 of the guesses from which a value counts as a secret.
 LEAST_COST = 10.0
-#: Most frequent corpus words that a guesser tries first.
-DICTIONARY = 20_000
+#: Share of the corpus's words from which a guesser has a word in the dictionary.
+LEAST_SHARE = 1e-5
 
 #: Rows of a keyboard.
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -120,16 +121,19 @@ def _listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
 
-def corpus_ranks(docs: DataFrame, text_col: str = "text", top: int = DICTIONARY) -> dict[str, int]:
-    """Rank of the ``top`` most frequent lower-case words of 3 to 24 letters over all documents.
+def corpus_ranks(docs: DataFrame, text_col: str = "text", least_share: float = LEAST_SHARE) -> dict[str, int]:
+    """Rank of each lower-case word of 3 to 24 letters that makes up ``least_share`` of all of them.
 
-    Words are counted on each task before the shuffle; only the top list (at
-    most about 1 MB) reaches the driver.
+    At most 1 / least_share words can do so, whatever the size of the corpus;
+    only those reach the driver (under 3 MB). Words are counted over all
+    documents, on each task before the shuffle; a word said once is no guess.
     """
     word = F.explode(F.split(F.lower(text_col), r"[^\p{L}]+")).alias("w")
-    counts = docs.select(word).where(F.length("w").between(3, 24)).groupBy("w").count()
-    rows = counts.orderBy(F.desc("count"), "w").limit(top).collect()
-    return {r["w"]: i + 1 for i, r in enumerate(rows)}
+    counts = docs.select(word).where(F.length("w").between(3, 24)).groupBy("w").count().where("count > 1")
+    counts = cut(counts, "words")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    rows = counts.where(F.col("count") >= max(2.0, least_share * total)).collect()
+    return {r["w"]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (-r["count"], r["w"])))}
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: dict[str, int] | None = None, least: float = LEAST_COST) -> DataFrame:
