@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a key list that may be broadcast (at most about 32 MB); beyond it the join shuffles.
@@ -18,3 +21,15 @@ def semi_small(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys``: by broadcast if its size allows, else by a shuffle."""
     keys = keys.select(on).distinct()
     return df.join(F.broadcast(keys) if is_small(keys) else keys, on, "left_semi")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of fewer rows for the plans that run inside: whole texts and sets are wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

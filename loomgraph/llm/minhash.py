@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import semi_small
+from loomgraph.llm.common import is_small, semi_small, small_batches
 from loomgraph.llm.words import Words, mix, shingle_sets, slices
 from loomgraph.operators.components import connected_components
 from loomgraph.store import cut
@@ -30,6 +30,8 @@ MISS = 1e-6
 LIST = 32
 #: Rounds of pivots for long lists, while more than OPEN_PAIRS pairs between components are left in them.
 ROUNDS, OPEN_PAIRS = 6, 200_000
+#: A round must leave at most this share of the pairs that were open, for another to follow.
+PROGRESS = 0.7
 BLOCK = 256
 
 _A = mix(np.arange(COORDINATES, dtype=np.uint64), 21) | np.uint64(1)
@@ -128,7 +130,8 @@ class _Links:
         agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
         met = cut(pairs.join(a, "a").join(b, "b").where(size & (agree >= self.least)).select("a", "b"), "pairs")
-        sa, sb = (self.sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
+        # only the sets of documents that met are shuffled
+        sa, sb = (semi_small(self.sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}")), met, x) for x in "ab")
         full = met.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
         self.links.append(cut(full.mapInArrow(_confirm(self.percent), "a long, b long"), "links"))
 
@@ -160,8 +163,12 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     still lies between components after the rounds is compared block by block
     on signatures. No list is capped.
     """
+    with small_batches(docs.sparkSession):
+        return _near_components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), percent)
+
+
+def _near_components(docs: DataFrame, percent: int) -> DataFrame:
     least = match_threshold(percent)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(docs.mapInArrow(_sign, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"), "signed")
     classes = cut(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles")
@@ -189,6 +196,7 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     long_ = cut(listed.where(F.col("len") > LIST).select("id", "weight", "c", "v", "pivot"), "long")
     if not long_.isEmpty():
         turn = long_.withColumn("comp", F.col("id"))
+        before = float("inf")
         for _ in range(ROUNDS):
             star = turn.where("pivot is not null and pivot <> id").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
             links.check(star)
@@ -206,8 +214,10 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             turn = now.join(lists.select("c", "v", "pivot"), ["c", "v"])
             home = now.select(F.col("id").alias("pivot"), "c", "v", F.col("comp").alias("home"))
             turn = cut(turn.join(home, ["c", "v", "pivot"]).where("comp <> home or id = pivot"), "turn")
-            if left <= OPEN_PAIRS:
+            # members that agree with no pivot are not thinned out by further ones
+            if left <= OPEN_PAIRS or left > PROGRESS * before:
                 break
+            before = left
         rest = now.join(lists.select("c", "v"), ["c", "v"]) if left else None
         if rest is not None:
             full = rest.join(reps.select("id", "sig"), "id")
@@ -230,6 +240,4 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 def drop_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their near-copy component; columns as they are."""
     gone = cut(near_components(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    from loomgraph.llm.common import is_small
-
     return docs.join(F.broadcast(gone) if is_small(gone) else gone, F.col(id_col) == F.col("_gone"), "left_anti")
