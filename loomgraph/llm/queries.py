@@ -21,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir))
 
 
+def op3_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.decontaminate import contaminated
+
+    return contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.exact_dedup import exact_dedup
 
@@ -39,6 +45,12 @@ def op8_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_docs(spark, sf_dir), carry=["doc_id"])
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(_docs(spark, sf_dir), with_text=False).drop("kept_text", "removed")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.secrets import scan_secrets
 
