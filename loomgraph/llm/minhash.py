@@ -26,13 +26,12 @@ from loomgraph.store import cut
 COORDINATES = 32
 #: Chance at most that a pair right at the threshold shows too few agreeing coordinates.
 MISS = 1e-6
-#: Posting lists up to this length are joined with themselves; longer ones by way of pivots.
-LIST = 32
-#: Rounds of pivots for long lists, while more than OPEN_PAIRS pairs between components are left in them.
-ROUNDS, OPEN_PAIRS = 6, 200_000
-#: A round must leave at most this share of the pairs that were open, for another to follow.
-PROGRESS = 0.7
+#: Documents of a posting list that are compared in one task.
 BLOCK = 256
+#: Lists of more blocks than this are first compared with PIVOTS of their members.
+LONG, PIVOTS = 4, 16
+#: Candidate pairs of a task from which shared shingles are counted by a matrix product.
+DENSE = 3000
 
 _A = mix(np.arange(COORDINATES, dtype=np.uint64), 21) | np.uint64(1)
 _B = mix(np.arange(COORDINATES, dtype=np.uint64), 22)
@@ -84,66 +83,106 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["id", "set"])
 
 
-def _confirm(percent: int):
+def _meet(least: int, percent: int):
+    """Of two blocks of a list: pairs that agree in ``least`` coordinates, have sizes that allow the
+    similarity, lie in different components and share no earlier prefix coordinate."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1).to_pydict()
+                c, same_block = row["c"][0], row["xk"][0] == row["yk"][0]
+                x, y = ({f: np.array([e[f] for e in row[s][0]]) for f in ("id", "n", "mask", "comp")} | {"sig": np.array([e["sig"] for e in row[s][0]], np.int32)} for s in "xy")
+                both = x["mask"][:, None] & y["mask"][None, :]
+                agree = np.zeros(both.shape, np.uint8)
+                earlier = np.zeros(both.shape, bool)
+                for k in range(COORDINATES):
+                    eq = x["sig"][:, k][:, None] == y["sig"][:, k][None, :]
+                    agree += eq
+                    if k < c:
+                        earlier |= eq & ((both >> k) & 1).astype(bool)
+                low, high = np.minimum(x["n"][:, None], y["n"][None, :]), np.maximum(x["n"][:, None], y["n"][None, :])
+                good = (agree >= least) & ~earlier & (low * 100 >= high * percent) & (x["comp"][:, None] != y["comp"][None, :])
+                if same_block:
+                    good = np.triu(good, 1)
+                i, j = np.nonzero(good)
+                if not len(i):
+                    continue
+                ids, at = np.unique(np.concatenate([x["id"][i], y["id"][j]]), return_inverse=True)
+                pairs = at.reshape(2, -1).T.astype(np.uint16)
+                arrays = [*(pa.array([row[f][0]]) for f in ("c", "v", "xk", "yk")), pa.array([ids.tolist()]), pa.array([pairs.tobytes()])]
+                yield pa.RecordBatch.from_arrays(arrays, schema=_TASK_SCHEMA)
 
     return run
 
 
-def _block_pairs(least: int):
-    """Pairs from two blocks of a long list that agree in ``least`` coordinates and lie in different components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = [np.array(r[f"{s}ids"]) for s in "xy"]
-                comps = [np.array(r[f"{s}comps"]) for s in "xy"]
-                sigs = [np.array(r[f"{s}sigs"], np.int32) for s in "xy"]
-                same = np.zeros((len(ids[0]), len(ids[1])), np.uint8)
-                for k in range(COORDINATES):
-                    same += sigs[0][:, k][:, None] == sigs[1][:, k][None, :]
-                i, j = np.nonzero((same >= least) & (comps[0][:, None] != comps[1][None, :]))
-                p, q = ids[0][i], ids[1][j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+_TASK = "c int, v int, xk int, yk int, ids array<long>, pairs binary"
+_TASK_SCHEMA = pa.schema([("c", pa.int32()), ("v", pa.int32()), ("xk", pa.int32()), ("yk", pa.int32()), ("ids", pa.list_(pa.int64())), ("pairs", pa.binary())])
 
-    return run
 
+def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and j."""
+    if len(i) < DENSE:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    used = (n > 1)[col]
+    doc, col = doc[used], place[col[used]]
+    order = np.argsort(col, kind="stable")
+    doc, col = doc[order], col[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    step = 4096
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+        a, b = np.searchsorted(col, [at, at + step])
+        m = np.zeros((len(sets), step), np.float32)
+        m[doc[a:b], col[a:b] - at] = 1
+        total += m @ m.T
+    return total[i, j].astype(np.int64)
 
-class _Links:
-    """Confirms candidate pairs of class representatives and keeps what they link."""
 
-    def __init__(self, reps: DataFrame, sets: DataFrame, percent: int, least: int):
-        self.reps, self.sets, self.percent, self.least = reps, sets, percent, least
-        self.links: list[DataFrame] = []
+def _confirm(percent: int):
+    """Confirms a task's pairs on full sets; of the links a spanning forest is enough for components."""
+
+    def run(sets: pa.Table, task: pa.Table) -> pa.Table:
+        out: tuple[list, list] = ([], [])
+        place = {d: k for k, d in enumerate(sets.column("id").to_pylist())}
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("set")]
+        for r in range(task.num_rows):
+            ids = task.column("ids")[r].as_py()
+            at = np.array([place[d] for d in ids])
+            pairs = at[np.frombuffer(task.column("pairs")[r].as_buffer(), np.uint16).reshape(-1, 2)]
+            both = _common(full, pairs[:, 0], pairs[:, 1])
+            n = np.array([len(x) for x in full])
+            linked = pairs[100 * both >= percent * (n[pairs[:, 0]] + n[pairs[:, 1]] - both)]
+            root = list(range(len(full)))
+
+            def find(x: int, root=root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            names = sets.column("id").to_pylist()
+            for p, q in linked.tolist():
+                p0, q0 = find(p), find(q)
+                if p0 != q0:
+                    root[q0] = p0
+                    out[0].append(names[p])
+                    out[1].append(names[q])
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
-    def check(self, pairs: DataFrame) -> None:
-        """``pairs`` (a < b, distinct): count agreeing coordinates, then compare full sets."""
-        a = self.reps.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
-        b = self.reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
-        agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
-        met = cut(pairs.join(a, "a").join(b, "b").where(size & (agree >= self.least)).select("a", "b"), "pairs")
-        # only the sets of documents that met are shuffled
-        sa, sb = (semi_small(self.sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}")), met, x) for x in "ab")
-        full = met.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
-        self.links.append(cut(full.mapInArrow(_confirm(self.percent), "a long, b long"), "links"))
+    return run
 
-    def all(self) -> DataFrame:
-        out = self.links[0]
-        for x in self.links[1:]:
-            out = out.unionAll(x)
-        return out
 
-    def components(self) -> DataFrame:
-        cc = connected_components(self.all(), "a", "b")
-        return cut(cc.select(F.col("id"), F.col("component")), "components")
+def _linked(rows: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
+    """Links (a, b) that span the components inside each pair of blocks ``rows`` (c, v, xk, yk, x, y)."""
+    keys = ["c", "v", "xk", "yk"]
+    tasks = cut(rows.select(*keys, "x", "y").mapInArrow(_meet(least, percent), _TASK), "tasks")
+    need = tasks.select(*keys, F.explode("ids").alias("id")).join(semi_small(sets, tasks.select(F.explode("ids").alias("id")), "id"), "id").select(*keys, "id", "set")
+    mine = need.toDF(*(f"n_{k}" for k in keys), "id", "set").groupBy(*(f"n_{k}" for k in keys))
+    both = mine.cogroup(tasks.groupBy(*keys))
+    return cut(both.applyInArrow(_confirm(percent), "a long, b long"), "links")
 
 
 def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,11 +196,12 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     repeat an id are one document for the links; a null id is never linked and
     its component is null. An empty table gives no rows.
 
-    Equal word sequences are one class, so copies never form pairs. Long
-    posting lists are not expanded: a pivot of each list is compared with all
-    its members, members that land in one component need no pair, and what
-    still lies between components after the rounds is compared block by block
-    on signatures. No list is capped.
+    Equal word sequences are one class, so copies never form pairs. Lists are
+    compared block by block inside tasks: a pair belongs to the first prefix
+    coordinate it shares, and only links that join components leave the task,
+    so no pair is a row. Long lists are first compared with a few pivots;
+    members that land in one component need no further comparison. No list is
+    capped.
     """
     with small_batches(docs.sparkSession):
         return _near_components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), percent)
@@ -181,56 +221,45 @@ def _near_components(docs: DataFrame, percent: int) -> DataFrame:
     mine = mine.where(F.size("p") >= least).withColumn("weight", F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["f"]))
     mine = cut(mine.select("id", "weight", F.slice("p", F.lit(1), F.size("p") - least + 1).alias("p")), "prefixes")
     prefix = mine.select("id", "weight", F.explode("p").alias("x")).select("id", "weight", "x.c", "x.v")
-    reps = cut(semi_small(classes.select("id", "n_shingles", "sig"), mine, "id"), "reps")
+    bits = mine.select("id", F.expr("aggregate(p, 0L, (s, x) -> s | shiftleft(1L, x.c))").alias("mask"))
+    reps = cut(classes.select("id", "n_shingles", "sig").join(bits, "id"), "reps")
     texts = docs.withColumnRenamed("doc_id", "id")
     sets = cut(semi_small(texts, reps, "id").dropDuplicates(["id"]).mapInArrow(_sets, "id long, set binary"), "sets")
-    links = _Links(reps, sets, percent, least)
-
-    length = prefix.groupBy("c", "v").agg(F.count(F.lit(1)).alias("len"), F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("top")).where("len > 1")
-    length = cut(length.select("c", "v", "len", (-F.col("top.neg")).alias("pivot")), "lists")
-    listed = prefix.join(length, ["c", "v"])
-    short = listed.where(F.col("len") <= LIST).groupBy("c", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    pairs = short.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
-    links.check(pairs.distinct())
-
-    long_ = cut(listed.where(F.col("len") > LIST).select("id", "weight", "c", "v", "pivot"), "long")
-    if not long_.isEmpty():
-        turn = long_.withColumn("comp", F.col("id"))
-        before = float("inf")
-        for _ in range(ROUNDS):
-            star = turn.where("pivot is not null and pivot <> id").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-            links.check(star)
-            comp = links.components().withColumnRenamed("component", "comp")
-            now = long_.drop("pivot").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            # of each list one member per component is enough to pick the next pivots, outside the largest component
-            sizes = now.groupBy("c", "v", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("top"))
-            open_ = sizes.groupBy("c", "v").agg(
-                F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("inner"), F.max(F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps"),
-            ).where("comps > 1")
-            second = sizes.join(open_.select("c", "v", F.col("largest.comp").alias("largest")), ["c", "v"]).where("comp <> largest")
-            second = second.groupBy("c", "v").agg((-F.max("top")["neg"]).alias("pivot"))
-            lists = cut(open_.join(second, ["c", "v"]), "open")
-            left = lists.agg(F.sum((F.col("all") * F.col("all") - F.col("inner")) / 2).alias("left")).first()["left"] or 0
-            turn = now.join(lists.select("c", "v", "pivot"), ["c", "v"])
-            home = now.select(F.col("id").alias("pivot"), "c", "v", F.col("comp").alias("home"))
-            turn = cut(turn.join(home, ["c", "v", "pivot"]).where("comp <> home or id = pivot"), "turn")
-            # members that agree with no pivot are not thinned out by further ones
-            if left <= OPEN_PAIRS or left > PROGRESS * before:
-                break
-            before = left
-        rest = now.join(lists.select("c", "v"), ["c", "v"]) if left else None
-        if rest is not None:
-            full = rest.join(reps.select("id", "sig"), "id")
-            place = F.expr("row_number() over (partition by c, v order by comp, id) - 1")
-            blocks = full.withColumn("k", F.floor(place / BLOCK)).groupBy("c", "v", "k").agg(
-                F.collect_list("id").alias("ids"), F.collect_list("comp").alias("comps"), F.collect_list("sig").alias("sigs"),
-            )
-            blocks = cut(blocks.withColumn("one", F.when(F.array_min("comps") == F.array_max("comps"), F.array_min("comps"))), "blocks")
-            x, y = (blocks.select("c", "v", *(F.col(n).alias(f"{s}{n}") for n in ("k", "ids", "comps", "sigs", "one"))) for s in "xy")
-            both = x.join(y, ["c", "v"]).where("xk <= yk and not coalesce(xone = yone, false)")
-            found = both.select("xids", "xcomps", "xsigs", "yids", "ycomps", "ysigs").mapInArrow(_block_pairs(least), "a long, b long")
-            links.check(found.distinct())
-    comp = links.components().withColumnRenamed("id", "rid")
+    lists = prefix.groupBy("c", "v").agg(F.count(F.lit(1)).alias("len"), F.max(F.struct("weight", "id")).alias("top")).where("len > 1")
+    listed = prefix.join(lists.select("c", "v", F.ceil(F.col("len") / BLOCK).cast("int").alias("nb")), ["c", "v"])
+    listed = cut(listed.join(reps.select("id", "n_shingles", "sig", "mask"), "id"), "listed")
+
+    def blocks(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+        rows = rows.join(comp, "id", "left") if comp is not None else rows.withColumn("comp", F.lit(None).cast("long"))
+        member = F.struct("id", F.col("n_shingles").alias("n"), "mask", F.coalesce("comp", "id").alias("comp"), "sig")
+        made = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).groupBy("c", "v", "k")
+        return made.agg(F.first("nb").alias("nb"), F.collect_list(member).alias("m"), F.min(F.coalesce("comp", "id")).alias("low"), F.max(F.coalesce("comp", "id")).alias("high"))
+
+    found = []
+    single = blocks(listed.where(F.col("nb") <= 1), None)
+    found.append(_linked(single.select("c", "v", F.col("k").alias("xk"), F.col("k").alias("yk"), F.col("m").alias("x"), F.col("m").alias("y")), sets, percent, least))
+    large = listed.where("nb > 1")
+    if not large.isEmpty():
+        comp = None
+        if not listed.where(F.col("nb") > LONG).isEmpty():
+            made = blocks(listed.where(F.col("nb") > LONG), None)
+            # the members that share most with others, picked per block and then per list
+            rank = "row_number() over (partition by c, v order by weight desc, id)"
+            pivot = listed.where(F.col("nb") > LONG).withColumn("r", F.expr(rank)).where(F.col("r") <= PIVOTS)
+            member = F.struct("id", F.col("n_shingles").alias("n"), "mask", F.col("id").alias("comp"), "sig")
+            pivot = pivot.groupBy("c", "v").agg(F.collect_list(member).alias("y"))
+            star = made.join(pivot, ["c", "v"]).select("c", "v", F.col("k").alias("xk"), F.lit(-1).alias("yk"), F.col("m").alias("x"), "y")
+            found.append(_linked(star, sets, percent, least))
+        union = found[0].unionAll(found[1]) if len(found) > 1 else found[0]
+        comp = cut(connected_components(union, "a", "b").select("id", F.col("component").alias("comp")), "components")
+        made = cut(blocks(large, comp), "blocks")
+        x, y = (made.select("c", "v", *(F.col(f).alias(f"{s}{f}") for f in ("k", "low", "high")), F.col("m").alias(s)) for s in "xy")
+        apart = "not (xlow = xhigh and ylow = yhigh and xlow = ylow)"
+        found.append(_linked(x.join(y, ["c", "v"]).where(f"xk <= yk and {apart}"), sets, percent, least))
+    union = found[0]
+    for more in found[1:]:
+        union = union.unionAll(more)
+    comp = connected_components(union, "a", "b").select(F.col("id").alias("rid"), "component")
     home = classes.join(comp, classes["id"] == comp["rid"], "left").select("k1", "k2", "n_shingles", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(home, ["k1", "k2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
