@@ -39,6 +39,12 @@ def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_docs(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.toxicity import score_toxicity
+
+    return score_toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.sharding import shard_by_bytes
 
