@@ -27,7 +27,7 @@ COORDINATES = 32
 #: Chance at most that a pair right at the threshold shows too few agreeing coordinates.
 MISS = 1e-6
 #: Documents of a posting list that are compared in one task.
-BLOCK = 256
+BLOCK = 512
 #: Lists of more blocks than this are first compared with PIVOTS of their members.
 LONG, PIVOTS = 4, 16
 #: Candidate pairs of a task from which shared shingles are counted by a matrix product.
@@ -83,6 +83,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["id", "set"])
 
 
+def _members(block: pa.StructArray) -> dict[str, np.ndarray]:
+    """The documents of a block as arrays."""
+    out = {f: block.field(f).to_numpy(zero_copy_only=False) for f in ("id", "n", "mask", "comp")}
+    return out | {"sig": block.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)}
+
+
 def _meet(least: int, percent: int):
     """Of two blocks of a list: pairs that agree in ``least`` coordinates, have sizes that allow the
     similarity, lie in different components and share no earlier prefix coordinate."""
@@ -90,9 +96,8 @@ def _meet(least: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                row = batch.slice(r, 1).to_pydict()
-                c, same_block = row["c"][0], row["xk"][0] == row["yk"][0]
-                x, y = ({f: np.array([e[f] for e in row[s][0]]) for f in ("id", "n", "mask", "comp")} | {"sig": np.array([e["sig"] for e in row[s][0]], np.int32)} for s in "xy")
+                c, same_block = batch.column(0)[r].as_py(), batch.column(2)[r] == batch.column(3)[r]
+                x, y = _members(batch.column(4)[r].values), _members(batch.column(5)[r].values)
                 both = x["mask"][:, None] & y["mask"][None, :]
                 agree = np.zeros(both.shape, np.uint8)
                 earlier = np.zeros(both.shape, bool)
@@ -110,7 +115,7 @@ def _meet(least: int, percent: int):
                     continue
                 ids, at = np.unique(np.concatenate([x["id"][i], y["id"][j]]), return_inverse=True)
                 pairs = at.reshape(2, -1).T.astype(np.uint16)
-                arrays = [*(pa.array([row[f][0]]) for f in ("c", "v", "xk", "yk")), pa.array([ids.tolist()]), pa.array([pairs.tobytes()])]
+                arrays = [*(batch.column(f).slice(r, 1) for f in range(4)), pa.array([ids.tolist()]), pa.array([pairs.tobytes()])]
                 yield pa.RecordBatch.from_arrays(arrays, schema=_TASK_SCHEMA)
 
     return run
