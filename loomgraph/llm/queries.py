@@ -33,6 +33,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.lm_scoring import score_texts
+
+    return score_texts(_docs(spark, sf_dir))
+
+
 def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.minhash import near_components
 
