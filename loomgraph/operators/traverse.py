@@ -38,11 +38,13 @@ def bfs_distances(edges: DataFrame, start: int, nodes: DataFrame | None = None,
         both = induced(both, nodes)
     both = cut(both, "bfs-arcs")
     seen = front = cut(spark.createDataFrame([(start, 0)], "id long, dist int"), "bfs")
-    total, depth = 1, 0
+    # direction is ignored, so a layer's neighbours lie in it or in the layers next to it
+    last, total, depth = front, 1, 0
     while at_least is None or total < at_least:
         depth += 1
         reached = both.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        front = cut(reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).cast("int").alias("dist")), "bfs")
+        near = front.select("id").unionAll(last.select("id"))
+        last, front = front, cut(reached.join(near, "id", "left_anti").select("id", F.lit(depth).cast("int").alias("dist")), "bfs")
         n = front.count()
         if not n:
             break
