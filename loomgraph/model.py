@@ -19,7 +19,8 @@ METRICS_DDL = (
     "seed long, converged boolean, status string, error_message string, level_times_json string, partition_summary string, "
     "communities_json string, vm_peaks_json string, peak_cluster_rss_mb double, workers_requested int, workers_actual int"
 )
-METRICS_SCHEMA = T.StructType.fromDDL(METRICS_DDL)
+_KINDS = {"string": T.StringType, "double": T.DoubleType, "int": T.IntegerType, "long": T.LongType, "boolean": T.BooleanType}
+METRICS_SCHEMA = T.StructType([T.StructField(n, _KINDS[k]()) for n, k in (c.split() for c in METRICS_DDL.split(", "))])
 
 
 @dataclass
