@@ -27,6 +27,8 @@ from loomgraph.llm.words import slices
 FIT_ROWS = 6000
 #: Documents in which a feature must occur to count.
 LEAST_DOCS = 4
+#: Standard errors by which a log odds ratio is lowered: few documents prove little.
+DOUBT = 1.0
 #: Score from which a document is rejected.
 REJECT = 0.3
 
@@ -36,7 +38,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 #: log probabilities of the channel: a sign for a letter, a sign put in, a letter repeated
-_SIGN, _INSERTED, _REPEATED, _KEPT = -1.0, -6.0, -3.0, 0.0
+_SIGN, _INSERTED, _REPEATED, _KEPT = -1.0, -6.0, -1.5, 0.0
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _SIZE = 28  # the edge of a word, 26 letters, any other letter
@@ -242,7 +244,8 @@ def fit(rows: DataFrame, decoder: Decoder, prior: dict[int, int], fit_rows: int
         sizes[r["fold"], r["toxic"]] = r["count"]
 
     def weights(n0: float, n1: float, d0: float, d1: float) -> float:
-        return math.log((n1 + 0.5) / (d1 + 1.0)) - math.log((n0 + 0.5) / (d0 + 1.0))
+        odds = math.log((n1 + 0.5) / (d1 + 1.0)) - math.log((n0 + 0.5) / (d0 + 1.0))
+        return odds - DOUBT * math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
 
     seen = per.where(F.col("n01") + F.col("n11") >= 2).where(
         f"n00 + n01 + n10 + n11 >= {LEAST_DOCS}"
