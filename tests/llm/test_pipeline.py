@@ -9,7 +9,6 @@ SF = "/root/testdata/sf0.001"
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     before = {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash near-dedup", "benchmark decontamination", "mixing to target weights", "sharding"]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -18,12 +17,21 @@ def test_stages(spark):
         assert ids <= before, name
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
-        if k == 0:  # most documents are clean and stay
-            assert len(ids) >= 0.8 * len(before) and sum(labels.get(d, 0) for d in before - ids) >= 0.5 * len([d for d in before - ids if d in labels])
         before = ids
     assert {"shard", "slot", "doc_id"} <= set(docs.columns)
 
 
+def test_toxicity_stage_keeps_clean_documents(spark):
+    """On sf0.01: the nine toxic training rows of sf0.001 are too few for this (see the README)."""
+    at = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    before = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    gone = before - {r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, at).select("doc_id").collect()}
+    known = [labels[d] for d in gone if d in labels]
+    assert 0 < len(gone) <= 0.2 * len(before) and sum(known) >= 0.9 * len(known)
+
+
 def test_queries_are_registered():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
