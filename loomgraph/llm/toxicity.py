@@ -2,9 +2,10 @@
 
 Words are taken for the output of a channel that replaces letters by signs
 (leetspeak), puts signs between letters, spaces them out and repeats them. A
-Viterbi decoder finds the likeliest letters behind a word under a character
-language model of the corpus; the restored words are scored by a model of the
-labels.
+Viterbi decoder finds the likeliest letters behind each word that has a sign
+or a repeated letter, and letters and word breaks behind each run of single
+characters, under a character language model of the corpus; the restored words
+are scored by a model of the labels.
 """
 
 from __future__ import annotations
@@ -39,12 +40,15 @@ LEET = {
 }
 #: log probabilities of the channel: a sign for a letter, a sign put in, a letter repeated
 _SIGN, _INSERTED, _REPEATED, _KEPT = -1.0, -6.0, -1.5, 0.0
+#: a sign that stands for nothing, or is punctuation where it stands; a blank between words in a run of single characters
+_DROPPED, _BREAK = -0.5, 0.0
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _SIZE = 28  # the edge of a word, 26 letters, any other letter
-_ODD = re.compile(r"[^\W\d_]*(?:[\d@$!|+(€£._*\-#~]+[^\W\d_]+)+[\d@$!|+(€£]*|[\d@$!|+(€£]+[^\W\d_]+\S*|\S*?([^\W\d_])\1\1\S*")
-_RUN = re.compile(r"([^\w\s])\1+")
-_TRIM = re.compile(r"^[^\w@$|]+|[^\w@$!|+]+$")
+_SIGNS = "".join(re.escape(x) for x in LEET)
+_NOTHING = re.compile(rf"(?:[^\w\s{_SIGNS}]|_)+")  # what stands for no letter wherever it is
+_COVERED = re.compile(rf"[{_SIGNS}]|(.)\1")  # a sign for a letter, or a repeated character
+_OPENING, _CLOSING = "(", "!"  # signs that are punctuation before and after a word
 
 
 def _codes() -> np.ndarray:
@@ -87,77 +91,109 @@ def letter_trigrams(docs: DataFrame) -> np.ndarray:
     return table.reshape(_SIZE, _SIZE, _SIZE)
 
 
+def _arcs(ch: str) -> tuple[tuple[str, int, float], ...]:
+    """The letters that a character may stand for, with their codes and costs."""
+    if ch.isalpha():
+        return ((ch, _code(ch), _KEPT),)
+    return tuple((x, _code(x), _SIGN) for x in LEET.get(ch, ""))
+
+
 class Decoder:
     """Viterbi decoding of character lattices under the letter trigrams."""
 
     def __init__(self, counts: np.ndarray):
         smooth = counts + 0.05 + 20.0 * (counts.sum(0) + 0.5) / max(counts.sum() + 1, 1) * 1.0
         self.lm = np.log(smooth / smooth.sum(2, keepdims=True)).tolist()
+        self.arcs: dict[str, tuple[tuple[str, int, float], ...]] = {}  # of characters met
+        self.merged = False  # whether the last word read could have left a letter out
 
-    def decode(self, word: str) -> str:
+    def decode(self, word: str, repeats: bool = True) -> str:
         """The likeliest lower-case letters behind ``word``; other signs that stay are dropped.
 
         States are the last two letters. At each character the lattice
         offers the letter itself, the letters a sign stands for, nothing for a
-        sign put in, and nothing for a letter that repeats the last one.
+        sign put in, and (with ``repeats``) nothing for a letter that repeats
+        the last one; at a blank, nothing or a word break. What is read so far
+        is a chain of (chain before, letter), so the time is linear.
         """
-        states = {(0, 0): (0.0, "")}
-        for ch in word.lower():
-            arcs: list[tuple[str, float]] = []
-            if ch.isalpha():
-                arcs.append((ch, _KEPT))
-            else:
-                arcs += [(x, _SIGN) for x in LEET.get(ch, "")]
-                arcs.append(("", _INSERTED if ch in LEET else -0.5))
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        word = word.lower()
+        head, tail = len(word) - len(word.lstrip(_OPENING)), len(word.rstrip(_CLOSING))
+        lm, self.merged = self.lm, False
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        for at, ch in enumerate(word):
+            nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
+            if ch == " ":
+                nxt = dict(states)
+                for (p, q), (score, out) in states.items():
+                    value = score + _BREAK + lm[p][q][0]
+                    if q and ((0, 0) not in nxt or value > nxt[0, 0][0]):
+                        nxt[0, 0] = (value, (out, " "))
+                states = nxt
+                continue
+            arcs = self.arcs.get(ch) or self.arcs.setdefault(ch, _arcs(ch))
+            nothing = None if ch.isalpha() else _INSERTED if ch in LEET and head <= at < tail else _DROPPED
             for (p, q), (score, out) in states.items():
-                for letter, cost in arcs:
-                    if letter:
-                        c = _code(letter)
-                        key, value = (q, c), score + cost + self.lm[p][q][c]
-                        text = out + letter
-                        if value > nxt.get(key, (-math.inf, ""))[0]:
-                            nxt[key] = (value, text)
-                        if out.endswith(letter):  # the same letter again, once more
-                            again = score + (_REPEATED if cost == _KEPT else _REPEATED + cost)
-                            if again > nxt.get((p, q), (-math.inf, ""))[0]:
-                                nxt[p, q] = (again, out)
-                    elif score + cost > nxt.get((p, q), (-math.inf, ""))[0]:
-                        nxt[p, q] = (score + cost, out)
+                row, last = lm[p][q], out[1] if out else ""
+                for letter, c, cost in arcs:
+                    key, value = (q, c), score + cost + row[c]
+                    if key not in nxt or value > nxt[key][0]:
+                        nxt[key] = (value, (out, letter))
+                    if last == letter:  # the same letter again, once more
+                        self.merged = True
+                        again = score + _REPEATED + cost
+                        if repeats and ((p, q) not in nxt or again > nxt[p, q][0]):
+                            nxt[p, q] = (again, out)
+                if nothing is not None and ((p, q) not in nxt or score + nothing > nxt[p, q][0]):
+                    nxt[p, q] = (score + nothing, out)
             states = nxt
-        best = max(states.items(), key=lambda s: (s[1][0] + self.lm[s[0][0]][s[0][1]][0], s[1][1]))
-        return best[1][1]
+        out = max(states.items(), key=lambda s: s[1][0] + lm[s[0][0]][s[0][1]][0])[1][1]
+        letters = []
+        while out:
+            out, letter = out
+            letters.append(letter)
+        return "".join(reversed(letters))
 
 
 class _Restored(dict):
-    """Restored forms of words, each decoded once; emptied when many have passed."""
+    """Restored forms of words and of runs of single characters, each decoded once; emptied when many have passed.
+
+    A word's forms, with repeated letters kept and with them left out where that is
+    likelier, are one string with a blank between: they are evidence of one word.
+    """
 
     def __init__(self, decoder: Decoder):
         super().__init__()
         self.decoder = decoder
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) > 300_000:
             self.clear()
-        plain = _TRIM.sub("", word)
-        if not plain.isalpha() or _ODD.fullmatch(plain):
-            bare = _TRIM.sub("", _RUN.sub("", word))
-            if bare.isalpha() and not _ODD.fullmatch(bare):
-                plain = bare
-            elif _ODD.fullmatch(bare):  # long ones in pieces, so that the time is linear
-                plain = "".join(self.decoder.decode(bare[i : i + 64]) for i in range(0, len(bare), 64))
-            else:
-                plain = re.sub(r"\W+", "", bare)
-        self[word] = plain = plain.lower()
-        return plain
-
-
-def restored_words(text: str | None, cache: _Restored) -> Counter:
-    """Counts of the restored words; runs of three or more single letters or signs are one word."""
+        bare = _NOTHING.sub("", word.lower())
+        if " " in word:  # a run: its words by the lattice, and all of it as one word
+            found = {self.forms(bare.replace(" ", ""))}
+            for repeats in (False, True):
+                found.update(self.forms(w) for w in self.decoder.decode(bare, repeats).split())
+            self[word] = got = tuple(sorted(found))
+        else:
+            self[word] = got = (self.forms(bare),)
+        return got
+
+    def forms(self, bare: str) -> str:
+        if not _COVERED.search(bare):
+            return bare
+        best = self.decoder.decode(bare)
+        if not self.decoder.merged:
+            return best
+        kept = bare if bare.isalpha() else self.decoder.decode(bare, False)
+        return best if best == kept else f"{kept} {best}"
+
+
+def restored_words(text: str | None, cache: _Restored) -> set[str]:
+    """The distinct restored words; runs of three or more single letters or signs are decoded together as well."""
     words = (text or "").split()
-    out: Counter = Counter()
-    for w, n in Counter(words).items():
-        out[cache[w]] += n
+    out: set[str] = set()
+    for w in set(words):
+        out.update(cache[w])
     singles: list[str] = []
     if sum(len(w) == 1 for w in words) >= 3:
         for w in [*words, ""]:
@@ -165,15 +201,14 @@ def restored_words(text: str | None, cache: _Restored) -> Counter:
                 singles.append(w)
                 continue
             if len(singles) >= 3:
-                joined = "".join(singles)
-                out[cache[joined]] += 1
+                out.update(cache[" ".join(singles)])
             singles = []
     return out
 
 
 def features(word: str) -> list[str]:
-    """A word and its beginning and end, by which unseen forms are known."""
-    return ["=" + word, "^" + word[:4], "^" + word[:5], word[-5:] + "$"] if len(word) >= 5 else ["=" + word]
+    """The forms of a word and their beginnings and ends, by which unseen forms are known."""
+    return [f for x in word.split() for f in (["=" + x, "^" + x[:4], "^" + x[:5], x[-5:] + "$"] if len(x) >= 5 else ["=" + x])]
 
 
 class Model:
@@ -182,7 +217,7 @@ class Model:
     def __init__(self, weights: dict[str, float], curve: tuple[float, ...]):
         self.weights, self.curve = weights, curve
 
-    def evidence(self, words: Counter, cache: dict[str, float]) -> tuple[float, float, float]:
+    def evidence(self, words: set[str], cache: dict[str, float]) -> tuple[float, float, float]:
         """The strongest and second strongest word for label 1, and the log of their number."""
         first = second = 0.0
         n = 0

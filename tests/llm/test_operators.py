@@ -298,3 +298,17 @@ def test_empty_and_odd_tables(make, spark, name):
     }[name]
     assert run(make([])).count() == 0
     assert run(make(EDGE)).count() == (0 if name == "items" else len(EDGE))
+
+
+def test_toxicity_lattice_sees_every_disguise():
+    text = " ".join(["you are an idiot", "a killer", "hate", "moron", "asshole", "the class"] * 50)
+    points = [toxicity._code(ch) for ch in f" {text} "]
+    counts = np.zeros((28, 28, 28))
+    for p, q, r in zip(points, points[1:], points[2:]):  # noqa: B905
+        counts[p, q, r] += 1
+    cache = toxicity._Restored(toxicity.Decoder(counts))
+    want = {"hat3": "hate", "idio+": "idiot", "!diot": "idiot", "a$$hole": "asshole", "ki11er": "killer", "iidioot": "idiot", "idiot!": "idiot", "(idiot!!": "idiot", "i.d.i.0.t": "idiot"}
+    for word, plain in want.items():
+        assert plain in {f for w in toxicity.restored_words(word, cache) for f in w.split()}, word
+    assert {"you", "are", "an", "idiot"} <= toxicity.restored_words("y o u a r e a n i d 1 o t", cache)
+    assert "=class" in toxicity.features(*toxicity.restored_words("class", cache))
