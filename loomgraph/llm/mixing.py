@@ -13,8 +13,6 @@ SHARE = 1.5
 MOST = 2.0
 #: Blocks into which a source's documents are permuted, at most.
 BLOCKS = 1024
-#: Documents after the cut among which those that fill the last gap are looked for.
-FILLERS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -62,6 +60,82 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.vstack([split_tree(part, left, rng), split_tree(quotas - part, shards - left, rng)])
 
 
+def fill(edge: DataFrame, gaps: dict[int, float]) -> DataFrame:
+    """The rows of ``edge`` (_i, _fine, _order, size) that fill the gap of each source _i.
+
+    In order of (_fine, _order) rows are taken while they fit; then, again and
+    again, those among the rest that fit the gap left, up to the first that no
+    longer does, or that one alone if it is larger than those before it. Either
+    way the gap at least halves, and it ends smaller than any row left. At the
+    end the smallest row left, or the first that did not fit in place of all
+    after it, is taken where that misses by less. A step reads block sums, then
+    one block of each source.
+    """
+    spark = edge.sparkSession
+    lowest = (-1, 0)
+    left = {i: (g, float("inf"), *lowest) for i, g in gaps.items()}  # gap, largest size that may be taken, place after which to look
+    spans: dict[int, list[tuple]] = {i: [] for i in gaps}  # _i, place before, place after, limit, whether the first place alone
+    first: dict[int, tuple] = {}
+    gap = dict(gaps)
+    place = "(_fine > _f0 or _fine = _f0 and _order > _o0)"
+    while left:
+        now = F.broadcast(spark.createDataFrame([(i, m, f, o) for i, (_, m, f, o) in left.items()], "_k int, _limit double, _f0 int, _o0 long"))
+        fits = edge.join(now, F.col("_i") == F.col("_k")).where(f"size <= _limit and {place}")
+        sums: dict[int, list] = {}
+        for r in fits.groupBy("_i", "_fine").agg(F.sum("size").alias("w")).collect():
+            sums.setdefault(r["_i"], []).append((r["_fine"], r["w"]))
+        at, nxt = [], {}
+        for i, (g, limit, f, o) in left.items():
+            before = 0
+            for block, w in sorted(sums.get(i, [])):
+                if before + w > g:
+                    at.append((i, block, g - before))
+                    break
+                before += w
+            else:  # all that fit are taken
+                spans[i].append((i, f, o, BLOCKS, 0, limit, False))
+                gap[i] = g - before
+        if not at:
+            break
+        blocks = F.broadcast(spark.createDataFrame(at, "_b int, _block int, _rest double"))
+        one = fits.join(blocks, (F.col("_i") == F.col("_b")) & (F.col("_fine") == F.col("_block")))
+        one = one.withColumn("_to", F.expr("sum(size) over (partition by _i order by _order rows unbounded preceding)"))
+        ends = one.groupBy("_i", "_block", "_rest").agg(F.max(F.expr("if(_to <= _rest, _to, 0)")).alias("w"), F.min(F.expr("if(_to > _rest, struct(_order, size), null)")).alias("d"))
+        for r in ends.collect():
+            i, block, stop, size = r["_i"], r["_block"], r["d"]["_order"], r["d"]["size"]
+            g, limit, f, o = left[i]
+            taken = g - r["_rest"] + r["w"]
+            if i in first and size > taken:
+                spans[i].append((i, block, stop, block, stop, limit, True))
+                gap[i] = g - size
+                nxt[i] = (gap[i], gap[i], f, o)
+                continue
+            spans[i].append((i, f, o, block, stop, limit, False))
+            gap[i] = g - taken
+            if i not in first:
+                first[i] = (size - gap[i], (i, block, stop, block, stop, float("inf"), True))
+            nxt[i] = (gap[i], gap[i], block, stop)
+        left = nxt
+
+    def inside(how: str) -> DataFrame:
+        rows = [x for some in spans.values() for x in some]
+        these = F.broadcast(spark.createDataFrame(rows, "_k int, _f0 int, _o0 long, _f1 int, _o1 long, _limit double, _one boolean"))
+        open_ = f"{place} and (_fine < _f1 or _fine = _f1 and _order < _o1)"
+        return edge.join(these, (F.col("_i") == F.col("_k")) & F.expr(f"size <= _limit and if(_one, _fine = _f0 and _order = _o0, {open_})"), how)
+
+    now = F.broadcast(spark.createDataFrame(list(gap.items()), "_g int, _gap double"))
+    over = inside("left_anti").join(now, F.col("_i") == F.col("_g")).where("size - _gap < _gap")
+    least = {r["_i"]: r["d"] for r in over.groupBy("_i").agg(F.min(F.struct("size", "_fine", "_order")).alias("d")).collect()}
+    for i, g in gap.items():
+        d = least.get(i)
+        miss = min(g, d["size"] - g) if d else g
+        if i in first and first[i][0] < miss:
+            spans[i] = [spans[i][0], first[i][1]]
+        elif d:
+            spans[i].append((i, d["_fine"], d["_order"], d["_fine"], d["_order"], float("inf"), True))
+    return inside("left_semi")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -79,30 +153,28 @@ def mix(
     documents of a source are permuted by hash into blocks. A source takes its
     blocks in that order, starting over at the end, until its target is
     reached; in the last block documents are taken in hash order while they
-    fit, then of the next FILLERS documents those that fill the gap, largest
-    first. ``shards`` lists the output shard of each
+    fit, then those of all later blocks that fit the gap (see ``fill``).
+    ``shards`` lists the output shard of each
     copy; an untaken document has none. Every document is drawn at most
     ceil(``most``) times. Rows with the same id and text are told apart by
     nothing: they share their block and are taken alike.
 
     Null or blank texts have size 0 and are never taken; a source of size 0
     has target 0; an empty table gives no rows. Only per-source and per-block
-    sums reach the driver: at most BLOCKS + FILLERS rows a source.
+    sums and a document a step reach the driver: at most BLOCKS rows a source at once.
     """
     spark = docs.sparkSession
     own = ["size", "source_size", "target", "taken", "shards"]
     docs = docs.drop(*[c for c in docs.columns if c in own or c.startswith("_")])
     sized = docs.select("*", word_count(F.col(text_col)).alias("size"), F.coalesce(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(0)).alias("_order"))
     sized = sized.withColumn("_fine", F.pmod("_order", F.lit(BLOCKS)).cast("int"))
-    keys = sized.select(source_col, "size", "_fine", "_order", *([id_col] if id_col != source_col else []))
-    per_block = keys.groupBy(F.col(source_col).alias("_source"), "_fine").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+    keys = cut(sized.select(F.col(source_col).alias("_source"), "size", "_fine", "_order"), "mix")
+    per_block = keys.groupBy("_source", "_fine").agg(F.sum("size").alias("w")).collect()
     names = sorted({r["_source"] for r in per_block if r["_source"] is not None}) + [None] * any(r["_source"] is None for r in per_block)
     index = {s: i for i, s in enumerate(names)}
     fine = np.zeros((max(len(names), 1), BLOCKS), np.int64)
-    rows = np.zeros_like(fine)
     for r in per_block:
         fine[index[r["_source"]], r["_fine"]] = r["w"]
-        rows[index[r["_source"]], r["_fine"]] = r["n"]
     sizes = fine.sum(1)[: len(names)]
     wts = np.array([weights[i % len(weights)] for i in range(len(names))], float)
     targets = water_fill(sizes.astype(float), wts, share, most) if len(names) else np.zeros(0)
@@ -117,40 +189,29 @@ def mix(
         inside = rest - (int(ends[cut_at - 1]) if cut_at else 0)
         if passes >= most:  # a full second pass leaves nothing to cut
             cut_at, inside = 0, 0.0
-        # the cut block, with so many blocks after it that FILLERS documents follow
-        stop = min(BLOCKS, cut_at + 1 + int(np.searchsorted(np.cumsum(rows[i][cut_at + 1 :]), FILLERS))) if inside > 0 else cut_at
-        plan.append((s, int(sizes[i]), float(targets[i]), passes, cut_at, min(stop + 1, BLOCKS), float(inside), i))
-        quotas.append(passes * BLOCKS + min(stop + 1, BLOCKS) if sizes[i] else 0)
-    schema = f"_s {docs.schema[source_col].dataType.simpleString()}, source_size long, target double, _passes int, _cut int, _stop int, _inside double, _i int"
+        plan.append((s, int(sizes[i]), float(targets[i]), passes, cut_at, float(inside), i))
+        quotas.append(passes * BLOCKS + min(cut_at + (inside > 0), BLOCKS) if sizes[i] else 0)
+    schema = f"_s {docs.schema[source_col].dataType.simpleString()}, source_size long, target double, _passes int, _cut int, _inside double, _i int"
     plan_df = F.broadcast(spark.createDataFrame(plan, schema))  # a row per source
     joined = sized.join(plan_df, F.col(source_col).eqNullSafe(F.col("_s"))).drop("_s")
-    # in permuted order, documents of the cut block are taken while they fit; then those of the next FILLERS that fill the gap best
+    # numbers only: what the cut block and those after it hold
     edge = cut(
-        joined.where("_fine >= _cut and _fine < _stop and _inside > 0 and size > 0")
-        .groupBy("_i", "_fine", "_order").agg(F.sum("size").alias("size"), F.first("_inside").alias("_inside")),
+        keys.join(plan_df, F.col("_source").eqNullSafe(F.col("_s"))).where("_fine >= _cut and _inside > 0 and size > 0")
+        .groupBy("_i", "_fine", "_order").agg(F.sum("size").alias("size")),
         "mix",
     )
-    edge = edge.withColumn("_to", F.expr("sum(size) over (partition by _i order by _fine, _order rows unbounded preceding)"))
-    first_in = edge.where("_to <= _inside").select(F.col("_i").alias("_ei"), F.col("_order").alias("_eo"))
-    after = edge.where("_to > _inside").withColumn("_n", F.expr("row_number() over (partition by _i order by _fine, _order)")).where(F.col("_n") <= FILLERS).collect()
-    fill = []
-    for i in sorted({r["_i"] for r in after}):
-        mine = sorted((r for r in after if r["_i"] == i), key=lambda r: r["_n"])
-        gap = mine[0]["_inside"] - (mine[0]["_to"] - mine[0]["size"])
-        left = sorted(mine, key=lambda r: (-r["size"], r["_n"]))
-        for r in left:
-            if r["size"] <= gap or (r is left[-1] and r["size"] - gap < gap):
-                fill.append((i, r["_order"]))
-                gap -= r["size"]
-    edge_in = first_in.unionByName(spark.createDataFrame(fill, "_ei int, _eo long"))
+    edge_in = fill(edge, {i: inside for *_, inside, i in plan if inside > 0}).select(F.col("_i").alias("_ei"), F.col("_order").alias("_eo"))
     # blocks of a source in its permuted order, dealt to the leaves of the tree
     leaves = split_tree(np.array(quotas or [0], np.int64), shards, np.random.default_rng(seed))
     deal = []
     for i in range(len(names)):
         at = np.repeat(np.arange(shards), leaves[:, i])
-        np.random.default_rng([seed, i]).shuffle(at)
-        for k in range(min(BLOCKS, len(at))):
-            deal.append((i, k, [int(x) for x in at[k::BLOCKS]]))
+        rng = np.random.default_rng([seed, i])
+        rng.shuffle(at)
+        spare = rng.integers(0, shards, BLOCKS)  # for blocks of which only what fills the gap is taken
+        for k in range(BLOCKS if len(at) else 0):
+            got = at[k::BLOCKS].tolist()
+            deal.append((i, k, got + [int(spare[k])] * (plan[i][5] > 0 and len(got) == plan[i][3])))
     deal_df = spark.createDataFrame(deal, "_di int, _df int, _shards array<int>")
     dealt = joined.join(F.broadcast(deal_df), (F.col("_i") == F.col("_di")) & (F.col("_fine") == F.col("_df")), "left")
     out = dealt.join(edge_in, (F.col("_i") == F.col("_ei")) & (F.col("_order") == F.col("_eo")) & (F.col("_fine") >= F.col("_cut")), "left")

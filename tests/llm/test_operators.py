@@ -312,3 +312,19 @@ def test_toxicity_lattice_sees_every_disguise():
         assert plain in {f for w in toxicity.restored_words(word, cache) for f in w.split()}, word
     assert {"you", "are", "an", "idiot"} <= toxicity.restored_words("y o u a r e a n i d 1 o t", cache)
     assert "=class" in toxicity.features(*toxicity.restored_words("class", cache))
+
+
+def test_mixing_fills_past_a_long_document(make, spark):
+    edge = spark.createDataFrame([(0, k // 1000, k % 1000, 100_000 if k == 300 else 10) for k in range(1001)], "_i int, _fine int, _order long, size long")
+    assert sum(r["size"] for r in mixing.fill(edge, {0: 8000.0}).collect()) == 8000
+    assert sum(r["size"] for r in mixing.fill(edge, {0: 99_000.0}).collect()) == 103_000  # nearer with the long one than without
+    rng = random.Random(6)
+    rows_ = [(i, rng.randrange(40), rng.randrange(2**40), rng.choice([3, 7, 50, 900])) for i in (0, 1) for _ in range(300)]
+    edge = spark.createDataFrame(rows_, "_i int, _fine int, _order long, size long")
+    for gap in (1.0, 2.4, 333.0, 20_001.5):
+        got = mixing.fill(edge, {0: gap, 1: gap}).collect()
+        assert len(got) == len(set(got)) and all(abs(sum(r["size"] for r in got if r["_i"] == i) - gap) <= 2 for i in (0, 1))
+    docs = [(k, "w " * (10_000 if k == 7 else 5), "a") for k in range(3001)]
+    got = mixing.mix(make(docs)).collect()
+    assert all(r["taken"] == r["size"] * len(r["shards"]) for r in got)
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 5
