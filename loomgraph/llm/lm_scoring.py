@@ -9,15 +9,14 @@ ids of context (from the text's second window on); windows are scored in
 masked batches.
 
 What is learned covers every training document: word counts, subword counts,
-class bigrams, and one training window of each document for the attention
-weights (data-parallel local steps, averaged each round).
+class bigrams, and windows that tile whole texts for the attention weights
+(data-parallel local steps, averaged each round; each text in one round).
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -256,21 +255,30 @@ class AttentionModel:
             out[name] = np.bincount(cells, grad.ravel(), (CLASSES + 1) * WIDTH).reshape(CLASSES + 1, WIDTH)
         return loss, out
 
-    def train(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, rate: float, batch: int = BATCH) -> float:
-        """Adam steps in place over all windows, again until LEAST_STEPS are done; the mean loss."""
+    def train(self, parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float, batch: int = BATCH) -> int:
+        """Adam steps in place over all windows (x, y, w) as they come, again until LEAST_STEPS are done; the number of windows."""
         m = {n: np.zeros_like(v) for n, v in self.p.items()}
         s = {n: np.zeros_like(v) for n, v in self.p.items()}
-        losses = []
-        passes = -(-LEAST_STEPS * batch // max(len(x), 1)) if len(x) else 0
-        steps = [at for _ in range(max(1, passes)) for at in range(0, len(x), batch)]
-        for t, at in enumerate(steps, 1):
-            loss, grads = self.gradient(x[at : at + batch], y[at : at + batch], w[at : at + batch])
-            losses.append(loss)
-            for n, g in grads.items():
-                m[n] = 0.9 * m[n] + 0.1 * g
-                s[n] = 0.99 * s[n] + 0.01 * g * g
-                self.p[n] -= (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-        return float(np.mean(losses)) if losses else 0.0
+        t = total = 0
+        held = []  # parts, while they are few enough to be needed again
+
+        def steps(part: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+            nonlocal t
+            for at in range(0, len(part[0]), batch):
+                t += 1
+                for n, g in self.gradient(*(v[at : at + batch] for v in part))[1].items():
+                    m[n] = 0.9 * m[n] + 0.1 * g
+                    s[n] = 0.99 * s[n] + 0.01 * g * g
+                    self.p[n] -= (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+
+        for part in parts:
+            total += len(part[0])
+            steps(part)
+            held = [*held, part] if t < LEAST_STEPS else []
+        while total and t < LEAST_STEPS:
+            for part in held:
+                steps(part)
+        return total
 
     def log_prob(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural-log probability of each text; ``ids`` are the texts' ids one after the other.
@@ -300,12 +308,16 @@ class AttentionModel:
         return out
 
 
-def _training_window(ids: np.ndarray, key: int) -> np.ndarray:
-    """SPAN + 1 ids of a text from a place that its key picks; -1 pads at both ends."""
-    n = len(ids)
-    at = key % (n + HALF) - HALF  # may begin before the text, as the scored windows do
-    place = np.arange(at, at + SPAN + 1)
-    return np.where((place >= 0) & (place < n), ids[np.clip(place, 0, n - 1)], -1).astype(np.int32)
+def tiles(begins: np.ndarray, lengths: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the first id and bounds of the text of windows of SPAN + 1 ids that tile whole texts.
+
+    A text's windows begin ``shift`` + 1 before it and every SPAN ids from
+    there, so each of its ids follows a context in exactly one of them.
+    """
+    n = -(-(lengths + shift) // SPAN)
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    first = np.repeat(begins, n)
+    return first - np.repeat(shift, n) - 1 + k * SPAN, first, first + np.repeat(lengths, n)
 
 
 def train_model(docs: DataFrame, counts: DataFrame, ranks: bytes, rounds: int = ROUNDS) -> AttentionModel | None:
@@ -332,9 +344,8 @@ def train_model(docs: DataFrame, counts: DataFrame, ranks: bytes, rounds: int =
     table = spark.sparkContext.broadcast(cls)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Class and next id in whole texts, summed over the task, and a training window of each text."""
+        """Class and next id in whole texts, summed over the task."""
         cache, total = _Ids(held.value), np.zeros((CLASSES + 1) * VOCABULARY, np.int32)
-        names = ["cell", "n", "window"]
         for batch in batches:
             for part in slices(batch, "text"):
                 t = Subwords(part.column(1), cache)
@@ -343,20 +354,13 @@ def train_model(docs: DataFrame, counts: DataFrame, ranks: bytes, rounds: int =
                 before[t.begins] = CLASSES
                 at, n = np.unique(before * VOCABULARY + t.ids, return_counts=True)
                 total[at] += n.astype(np.int32)
-                windows = [
-                    _training_window(t.ids[f : f + n], zlib.crc32(str(key).encode())).tobytes()
-                    for key, f, n in zip(part.column(0).to_pylist(), t.begins.tolist(), t.lengths.tolist(), strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(windows), pa.int64()), pa.nulls(len(windows), pa.int64()), pa.array(windows, pa.binary())], names=names)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 100_000):
             some = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64)), pa.nulls(len(some), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["cell", "n"])
 
-    got = cut(docs.mapInArrow(gather, "cell long, n long, window binary"), "lm")
-    windows = got.where("window is not null").select("window")
     # at most (CLASSES + 1) * VOCABULARY cells, as columns of numbers
-    sums = got.where("cell is not null").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
+    sums = docs.mapInArrow(gather, "cell long, n long").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
     nexts = np.zeros((CLASSES + 1) * VOCABULARY, np.float32)
     nexts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
     del sums
@@ -380,21 +384,31 @@ def train_model(docs: DataFrame, counts: DataFrame, ranks: bytes, rounds: int =
         def learn(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             model, r = now.value
             mine = AttentionModel(model.cls, model.out, model.share, model.bigram, {n: v.copy() for n, v in model.p.items()})
-            # windows are small (132 bytes each): a task's are held together
-            ids = np.frombuffer(b"".join(x for batch in batches for x in batch.column(0).to_pylist()), np.int32).reshape(-1, SPAN + 1)
-            total = len(ids)
-            c = np.where(ids >= 0, mine.cls[np.maximum(ids, 0)], CLASSES)
-            x, y = c[:, :-1], mine.out[np.maximum(ids[:, 1:], 0)]
-            mine.train(x, y, (ids[:, 1:] >= 0).astype(np.float32), RATE / (1 + r))
+
+            def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                cache, rng = _Ids(held.value), np.random.default_rng(r)
+                for batch in batches:
+                    for part in slices(batch, "text"):
+                        t = Subwords(part.column(0), cache)
+                        at, low, high = tiles(t.begins, t.lengths, rng.integers(0, SPAN, len(t.lengths)))
+                        order = rng.permutation(len(at))
+                        for some in np.array_split(order, -(-len(order) // 4096)):
+                            place = at[some, None] + np.arange(SPAN + 1)
+                            there = (place >= low[some, None]) & (place < high[some, None])
+                            ids = t.ids.take(place, mode="clip")
+                            yield np.where(there, mine.cls[ids], CLASSES)[:, :-1].astype(np.int64), mine.out[ids[:, 1:]], there[:, 1:].astype(np.float32)
+
+            total = mine.train(parts(), RATE / (1 + r))
             if total:
                 flat = np.concatenate([mine.p[n].ravel() for n, *_ in shapes]).astype(np.float64) * total
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(np.append(flat, total))], names=["i", "w"])
 
         flat = np.zeros(size + 1)
-        for row in windows.mapInArrow(learn, "i int, w double").groupBy("i").agg(F.sum("w").alias("w")).collect():  # one row per parameter
+        texts = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(rounds)) == r).select("text")
+        for row in texts.mapInArrow(learn, "i int, w double").groupBy("i").agg(F.sum("w").alias("w")).collect():  # one row per parameter
             flat[row["i"]] = row["w"]
-        if not flat[-1]:
-            break
+        if not flat[-1]:  # no text in this round
+            continue
         flat = flat[:-1] / flat[-1]
         at = 0
         for n, s, x in shapes:

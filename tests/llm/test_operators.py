@@ -328,3 +328,13 @@ def test_mixing_fills_past_a_long_document(make, spark):
     got = mixing.mix(make(docs)).collect()
     assert all(r["taken"] == r["size"] * len(r["shards"]) for r in got)
     assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 5
+
+
+def test_training_windows_tile_whole_texts():
+    lengths = np.array([1, 5, 32, 33, 700, 20_000])
+    begins = np.cumsum(lengths) - lengths
+    for shift in (0, 7, 31):
+        at, low, high = lm_scoring.tiles(begins, lengths, np.full(len(lengths), shift))
+        goals = at[:, None] + 1 + np.arange(lm_scoring.SPAN)
+        inside = (goals >= low[:, None]) & (goals < high[:, None])
+        assert inside.any(1).all() and sorted(goals[inside].tolist()) == list(range(int(lengths.sum())))
