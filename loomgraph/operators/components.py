@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import join_keyed
 from loomgraph.store import cut, drop
 
 
@@ -16,16 +17,22 @@ def _fingerprint(df: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _with_low(rows: DataFrame, total: int) -> DataFrame:
+    """Each row (u, v) with the least neighbour m of u; a hot centre meets it by a broadcast."""
+    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_keyed(rows, low, ["u"], "n", total)
+
+
+def _large_star(e: DataFrame, total: int) -> DataFrame:
     both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = _with_low(both, 2 * total).withColumn("m", F.least("m", "u"))
+    return near.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
-    kept = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return kept.unionAll(low.select("u", F.col("m").alias("v")))
+def _small_star(e: DataFrame, total: int) -> DataFrame:
+    near = _with_low(e, total)
+    # (v, m) for the other neighbours, and (u, m) itself
+    return near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -33,8 +40,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Edge direction, repeated edges and self-loops do not matter; nulls are
     ignored. Work per round is linear in the edges, the rounds logarithmic in
-    practice. A hot centre is only pre-aggregated and joined, so adaptive
-    skew joins can split it.
+    practice. A hot centre is pre-aggregated, and its neighbours stay where
+    they are: its least neighbour is broadcast to them.
     """
     e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).dropna()
     ids = cut(e.select("a").unionAll(e.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("id")), "cc-ids")
@@ -43,7 +50,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        nxt = cut(_small_star(_large_star(e)).distinct(), "cc")
+        star = cut(_large_star(e, seen[0]).distinct(), "cc")
+        nxt = cut(_small_star(star, seen[0]).distinct(), "cc")
+        drop(star)
         drop(e)
         e, before = nxt, seen
         seen = _fingerprint(e)

@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; in local mode a temporary one where none is set."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
         path = sc.getCheckpointDir()
     return path
