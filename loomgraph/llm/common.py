@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a key list that may be broadcast (at most about 32 MB); beyond it the join shuffles.
@@ -23,6 +23,16 @@ def semi_small(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if is_small(keys) else keys, on, "left_semi")
 
 
+def column(name: str) -> Column:
+    """The column of this name, whatever signs the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(names: list[str]) -> Column:
+    """The columns as one struct, whose names then clash with nothing."""
+    return F.struct(*(column(c).alias(c) for c in names)) if names else F.struct(F.lit(None).cast("boolean").alias("none"))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of fewer rows for the plans that run inside: whole texts and sets are wide rows."""

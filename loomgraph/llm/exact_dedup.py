@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import semi_small
+from loomgraph.llm.common import column, semi_small
+from loomgraph.operators.skew import join_keyed
 from loomgraph.store import cut
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -30,13 +31,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     blank texts are one group (the empty text). Rows that repeat id and text
     are members of the group; each is kept if its id is. A null id sorts after
     every other and is kept only if its group has no other id (keep_id null).
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. Ids are
+    whole numbers. A long text is compared as a whole, in one row.
 
+    A hot group's digests meet its keeper by a broadcast (see ``join_keyed``).
     Only digests are shuffled: a text moves once if another text has its
     hash, to be compared byte by byte (min = max, combined before the
     shuffle, so a hot group costs one row per task).
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     norm = rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("points"), normalised(F.col("text")).alias("norm"))
     digest = cut(
         norm.select("doc_id", "points", F.unhex(F.md5("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256")),
@@ -56,7 +59,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
         groups = _groups(digest)
     alone = F.col("group_size").isNull()
-    out = digest.join(groups.where("group_size > 1"), "h", "left")
+    copied = groups.where("group_size > 1").withColumn("n", F.col("group_size"))
+    out = join_keyed(digest, copied, ["h"], "n", digest.count())
     return out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

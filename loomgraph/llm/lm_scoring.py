@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches
+from loomgraph.llm.common import column, small_batches
 from loomgraph.llm.tokens import END, TOKENIZER, encoder, read_ranks
 from loomgraph.llm.words import Words, slices
 from loomgraph.store import cut
@@ -431,7 +431,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     ranks = read_ranks(tokenizer)
     crc = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     held = F.coalesce(F.pmod(crc, F.lit(7)) == 2, F.lit(False))
     with small_batches(spark):
         learn = docs.where(~held)

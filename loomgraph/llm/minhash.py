@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import is_small, semi_small, small_batches
+from loomgraph.llm.common import column, is_small, packed, semi_small, small_batches
 from loomgraph.llm.words import Words, mix, shingle_sets, slices
 from loomgraph.operators.components import connected_components
-from loomgraph.store import cut
+from loomgraph.operators.skew import join_keyed
+from loomgraph.store import cut, drop
 
 COORDINATES = 32
 #: Chance at most that a pair right at the threshold shows too few agreeing coordinates.
@@ -70,8 +71,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for seed in (31, 32):
                 c = np.concatenate([[0], np.cumsum(mix(w.hash, seed) * mix(np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.first[:-1], w.count).astype(np.uint64), seed + 2))]).astype(np.uint64)
                 keys.append(mix((c[w.first[1:]] - c[w.first[:-1]]) ^ w.count.astype(np.uint64), seed).view(np.int64))
-            arrays = [part.column(0), pa.array(n), *map(pa.array, keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "k1", "k2", "sig"])
+            arrays = [part.column(0), part.column(2), pa.array(n), *map(pa.array, keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "t", "n_shingles", "k1", "k2", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,9 @@ def _linked(rows: DataFrame, sets: DataFrame, percent: int, least: int) -> DataF
     need = tasks.select(*keys, F.explode("ids").alias("id")).join(semi_small(sets, tasks.select(F.explode("ids").alias("id")), "id"), "id").select(*keys, "id", "set")
     mine = need.toDF(*(f"n_{k}" for k in keys), "id", "set").groupBy(*(f"n_{k}" for k in keys))
     both = mine.cogroup(tasks.groupBy(*keys))
-    return cut(both.applyInArrow(_confirm(percent), "a long, b long"), "links")
+    links = cut(both.applyInArrow(_confirm(percent), "a long, b long"), "links")
+    drop(tasks)
+    return links
 
 
 def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,26 +202,44 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     are linked; component_id is the smallest id reachable. A text without
     words (or null) has an empty set and is linked with nothing. Rows that
     repeat an id are one document for the links; a null id is never linked and
-    its component is null. An empty table gives no rows.
+    its component is null. An empty table gives no rows; other columns are
+    ignored. Ids are whole numbers.
 
     Equal word sequences are one class, so copies never form pairs. Lists are
     compared block by block inside tasks: a pair belongs to the first prefix
     coordinate it shares, and only links that join components leave the task,
     so no pair is a row. Long lists are first compared with a few pivots;
-    members that land in one component need no further comparison. No list is
-    capped.
+    members that land in one component need no further comparison. Pairs of
+    blocks are listed by number and then dealt out, each pair to a task of its
+    own. No list is capped.
     """
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     with small_batches(docs.sparkSession):
-        return _near_components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), percent)
+        signed, home, total = _classes_joined(rows, percent, True)
+    least = home.groupBy("root").agg(F.min("low").alias("component"))
+    home = home.join(least, "root").select("k1", "k2", "n_shingles", "rows", "component")
+    out = join_keyed(signed.select("doc_id", "n_shingles", "k1", "k2"), home, ["k1", "k2", "n_shingles"], "rows", total)
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
 
+def _classes_joined(docs: DataFrame, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Signed rows (doc_id, t, n_shingles, k1, k2, sig); classes (k1, k2, n_shingles, rows, low, root); rows with words.
 
-def _near_components(docs: DataFrame, percent: int) -> DataFrame:
+    A class is a word sequence: its rows, its smallest id, and the root that
+    all classes linked with it have. With ``by_id``, classes that share an id
+    are linked, and rows without an id belong to none.
+    """
     least = match_threshold(percent)
-    signed = cut(docs.mapInArrow(_sign, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"), "signed")
-    classes = cut(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles")
-        .agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes",
+    key = ["k1", "k2", "n_shingles"]
+    signed = cut(
+        docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(_sign, "doc_id long, t long, n_shingles long, k1 long, k2 long, sig array<int>"), "signed"
     )
+    full = signed.where("n_shingles > 0" + (" and doc_id is not null" if by_id else ""))
+    # numbered once and for all, as the rows are written
+    grouped = full.groupBy(key).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig"))
+    classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    total = classes.agg(F.sum("rows")).first()[0] or 0
     posts = classes.select("id", F.posexplode("sig").alias("c", "v"))
     shared = posts.groupBy("c", "v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     # rarest first; a coordinate nobody shares is rarest of all and posts nothing
@@ -227,9 +248,15 @@ def _near_components(docs: DataFrame, percent: int) -> DataFrame:
     mine = cut(mine.select("id", "weight", F.slice("p", F.lit(1), F.size("p") - least + 1).alias("p")), "prefixes")
     prefix = mine.select("id", "weight", F.explode("p").alias("x")).select("id", "weight", "x.c", "x.v")
     bits = mine.select("id", F.expr("aggregate(p, 0L, (s, x) -> s | shiftleft(1L, x.c))").alias("mask"))
-    reps = cut(classes.select("id", "n_shingles", "sig").join(bits, "id"), "reps")
-    texts = docs.withColumnRenamed("doc_id", "id")
-    sets = cut(semi_small(texts, reps, "id").dropDuplicates(["id"]).mapInArrow(_sets, "id long, set binary"), "sets")
+    reps = cut(classes.select("id", *key, "low", "sig").join(bits, "id"), "reps")
+    # one text of each class that has a prefix: of equal rows any
+    wanted = reps.select("id", *key, "low")
+    of = full.join(F.broadcast(wanted) if is_small(wanted) else wanted, key).where("low <=> doc_id").groupBy("id", F.col("low").alias("doc_id")).agg(F.min("t").alias("t"))
+    texts = docs.withColumn("t", F.xxhash64("text"))
+    of = cut(of, "texts")
+    small = is_small(of)
+    found = texts.join(F.broadcast(of) if small else of, texts["t"].eqNullSafe(of["t"]) & texts["doc_id"].eqNullSafe(of["doc_id"])).select("id", "text")
+    sets = cut(found.dropDuplicates(["id"]).mapInArrow(_sets, "id long, set binary"), "sets")
     lists = prefix.groupBy("c", "v").agg(F.count(F.lit(1)).alias("len"), F.max(F.struct("weight", "id")).alias("top")).where("len > 1")
     listed = prefix.join(lists.select("c", "v", F.ceil(F.col("len") / BLOCK).cast("int").alias("nb")), ["c", "v"])
     listed = cut(listed.join(reps.select("id", "n_shingles", "sig", "mask"), "id"), "listed")
@@ -245,12 +272,12 @@ def _near_components(docs: DataFrame, percent: int) -> DataFrame:
     found.append(_linked(single.select("c", "v", F.col("k").alias("xk"), F.col("k").alias("yk"), F.col("m").alias("x"), F.col("m").alias("y")), sets, percent, least))
     large = listed.where("nb > 1")
     if not large.isEmpty():
-        comp = None
         if not listed.where(F.col("nb") > LONG).isEmpty():
             made = blocks(listed.where(F.col("nb") > LONG), None)
-            # the members that share most with others, picked per block and then per list
-            rank = "row_number() over (partition by c, v order by weight desc, id)"
-            pivot = listed.where(F.col("nb") > LONG).withColumn("r", F.expr(rank)).where(F.col("r") <= PIVOTS)
+            # the members that share most with others: PIVOTS of each block, then of the list
+            rank = "row_number() over (partition by c, v{} order by weight desc, id)"
+            pivot = listed.where(F.col("nb") > LONG).withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("r", F.expr(rank.format(", k"))).where(F.col("r") <= PIVOTS)
+            pivot = pivot.withColumn("r", F.expr(rank.format(""))).where(F.col("r") <= PIVOTS)
             member = F.struct("id", F.col("n_shingles").alias("n"), "mask", F.col("id").alias("comp"), "sig")
             pivot = pivot.groupBy("c", "v").agg(F.collect_list(member).alias("y"))
             star = made.join(pivot, ["c", "v"]).select("c", "v", F.col("k").alias("xk"), F.lit(-1).alias("yk"), F.col("m").alias("x"), "y")
@@ -258,20 +285,76 @@ def _near_components(docs: DataFrame, percent: int) -> DataFrame:
         union = found[0].unionAll(found[1]) if len(found) > 1 else found[0]
         comp = cut(connected_components(union, "a", "b").select("id", F.col("component").alias("comp")), "components")
         made = cut(blocks(large, comp), "blocks")
-        x, y = (made.select("c", "v", *(F.col(f).alias(f"{s}{f}") for f in ("k", "low", "high")), F.col("m").alias(s)) for s in "xy")
+        # pairs of blocks by number, then each block to its pairs: a hot list spreads over its pairs
+        x, y = (made.select("c", "v", *(F.col(f).alias(f"{s}{f}") for f in ("k", "low", "high"))) for s in "xy")
         apart = "not (xlow = xhigh and ylow = yhigh and xlow = ylow)"
-        found.append(_linked(x.join(y, ["c", "v"]).where(f"xk <= yk and {apart}"), sets, percent, least))
+        pairs = x.join(y, ["c", "v"]).where(f"xk <= yk and {apart}").select("c", "v", "xk", "yk")
+        for s in "xy":
+            pairs = pairs.join(made.select("c", "v", F.col("k").alias(f"{s}k"), F.col("m").alias(s)), ["c", "v", f"{s}k"])
+        found.append(_linked(pairs, sets, percent, least))
+        drop(made)
     union = found[0]
     for more in found[1:]:
         union = union.unionAll(more)
-    comp = connected_components(union, "a", "b").select(F.col("id").alias("rid"), "component")
-    home = classes.join(comp, classes["id"] == comp["rid"], "left").select("k1", "k2", "n_shingles", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(home, ["k1", "k2", "n_shingles"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    return out.select("doc_id", "n_shingles", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    if by_id:  # an id with several texts is one document
+        own = full.select("doc_id", *key).distinct()
+        many = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("doc_id")
+        own = own.join(many, "doc_id").join(classes.select(*key, "id"), key).select("doc_id", "id")
+        first = own.groupBy("doc_id").agg(F.min("id").alias("a"))
+        union = union.unionAll(own.join(first, "doc_id").where("a <> id").select("a", F.col("id").alias("b")))
+    roots = cut(connected_components(union, "a", "b").select("id", F.col("component").alias("root")), "roots")
+    for done in (mine, reps, of, sets, listed, *found):
+        drop(done)
+    home = classes.join(roots, "id", "left").select(*key, "rows", "low", F.coalesce("root", "id").alias("root"))
+    return signed, home, total
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their near-copy component; columns as they are."""
-    gone = cut(near_components(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if is_small(gone) else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of ``docs`` of each group of near copies, columns as they are.
+
+    Rows are judged by their own text, also where ids repeat or are null: of a
+    group the row with the smallest id stays (null last; then the smallest
+    text hash), and of rows that agree in id and text one. Rows without words
+    all stay, but for repeats in id and text. An empty table gives none.
+    """
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        signed, home, total = _classes_joined(rows, percent, False)
+    one = join_keyed(signed.select("doc_id", "t", "k1", "k2", "n_shingles"), home.select("k1", "k2", "n_shingles", "rows", "root"), ["k1", "k2", "n_shingles"], "rows", total)
+    one = cut(one.groupBy("doc_id", "t", "root").agg(F.count(F.lit(1)).alias("times")), "judged")
+    first = one.where("root is not null").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("t").alias("text"))).alias("stays"), F.count(F.lit(1)).alias("size")
+    )
+    members = join_keyed(one, first, ["root"], "size", total)
+    stays = F.col("root").isNull() | (F.col("doc_id").eqNullSafe(F.col("stays.id")) & F.col("t").eqNullSafe(F.col("stays.text")))
+    marked = cut(members.select(F.col("doc_id").alias("id"), "t", stays.alias("stays"), "times").where("not stays or times > 1"), "marked")
+
+    whole = docs.select(packed(docs.columns).alias("row"), column(id_col).cast("long").alias("doc_id"), F.xxhash64(column(text_col)).alias("hash"))
+
+    def beside(keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if is_small(keys) else keys
+        return whole.join(keys, whole["doc_id"].eqNullSafe(keys["id"]) & whole["hash"].eqNullSafe(keys["t"]), how)
+
+    left = beside(marked.select("id", "t"), "left_anti").select("row")
+    twice = marked.where("stays").select("id", "t")
+    if not twice.isEmpty():
+        left = left.unionByName(beside(twice, "left_semi").groupBy("doc_id", "hash").agg(F.first("row").alias("row")).select("row"))
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+meets AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM meets JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT doc_id, doc_id AS low FROM documents UNION SELECT y, low FROM reach JOIN link ON x = doc_id WHERE low < y),
+least AS (SELECT doc_id, min(low) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN size USING (doc_id)
+"""

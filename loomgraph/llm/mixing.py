@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import column, packed
 from loomgraph.store import cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -136,39 +137,37 @@ def fill(edge: DataFrame, gaps: dict[int, float]) -> DataFrame:
     return inside("left_semi")
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[float, ...] = WEIGHTS,
-    share: float = SHARE,
-    most: float = MOST,
-    shards: int = 16,
-    seed: int = 7,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """The draws of the mix: every input column, size, source_size, target, taken, shards (array).
-
-    Sources sorted by code point (null last) take the weights in turn. The
-    documents of a source are permuted by hash into blocks. A source takes its
-    blocks in that order, starting over at the end, until its target is
-    reached; in the last block documents are taken in hash order while they
-    fit, then those of all later blocks that fit the gap (see ``fill``).
-    ``shards`` lists the output shard of each
-    copy; an untaken document has none. Every document is drawn at most
-    ceil(``most``) times. Rows with the same id and text are told apart by
-    nothing: they share their block and are taken alike.
+def deal(counts: np.ndarray, blocks: int, rng: np.random.Generator) -> np.ndarray:
+    """The leaf of each of a source's block draws: draw k is of block k % ``blocks``.
 
-    Null or blank texts have size 0 and are never taken; a source of size 0
-    has target 0; an empty table gives no rows. Only per-source and per-block
-    sums and a document a step reach the driver: at most BLOCKS rows a source at once.
+    Draws are permuted; then draws of one block that met in one leaf change
+    places with others until no block has two draws in a leaf, if there are
+    leaves enough.
     """
+    at = np.repeat(np.arange(len(counts)), counts)
+    rng.shuffle(at)
+
+    def clashes(k: int) -> bool:
+        return any(0 <= x < len(at) and at[x] == at[k] for x in (k - blocks, k + blocks))
+
+    for a in range(blocks, len(at)):
+        for b in rng.integers(0, len(at), 200).tolist() if clashes(a) else ():
+            at[a], at[b] = at[b], at[a]
+            if not clashes(a) and not clashes(b):
+                break
+            at[a], at[b] = at[b], at[a]
+    return at
+
+
+def _drawn(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, shards: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """row (all columns of ``docs`` as a struct), size, source_size, target, taken, shards, hash."""
     spark = docs.sparkSession
-    own = ["size", "source_size", "target", "taken", "shards"]
-    docs = docs.drop(*[c for c in docs.columns if c in own or c.startswith("_")])
-    sized = docs.select("*", word_count(F.col(text_col)).alias("size"), F.coalesce(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(0)).alias("_order"))
+    sized = docs.select(
+        packed(docs.columns).alias("row"), column(source_col).alias("source_"), word_count(column(text_col)).alias("size"),
+        F.coalesce(F.xxhash64(F.lit(seed), column(id_col)), F.lit(0)).alias("_order"),
+    )
     sized = sized.withColumn("_fine", F.pmod("_order", F.lit(BLOCKS)).cast("int"))
-    keys = cut(sized.select(F.col(source_col).alias("_source"), "size", "_fine", "_order"), "mix")
+    keys = cut(sized.select(F.col("source_").alias("_source"), "size", "_fine", "_order"), "mix")
     per_block = keys.groupBy("_source", "_fine").agg(F.sum("size").alias("w")).collect()
     names = sorted({r["_source"] for r in per_block if r["_source"] is not None}) + [None] * any(r["_source"] is None for r in per_block)
     index = {s: i for i, s in enumerate(names)}
@@ -193,7 +192,7 @@ def mix(
         quotas.append(passes * BLOCKS + min(cut_at + (inside > 0), BLOCKS) if sizes[i] else 0)
     schema = f"_s {docs.schema[source_col].dataType.simpleString()}, source_size long, target double, _passes int, _cut int, _inside double, _i int"
     plan_df = F.broadcast(spark.createDataFrame(plan, schema))  # a row per source
-    joined = sized.join(plan_df, F.col(source_col).eqNullSafe(F.col("_s"))).drop("_s")
+    joined = sized.join(plan_df, F.col("source_").eqNullSafe(F.col("_s"))).drop("_s")
     # numbers only: what the cut block and those after it hold
     edge = cut(
         keys.join(plan_df, F.col("_source").eqNullSafe(F.col("_s"))).where("_fine >= _cut and _inside > 0 and size > 0")
@@ -203,35 +202,90 @@ def mix(
     edge_in = fill(edge, {i: inside for *_, inside, i in plan if inside > 0}).select(F.col("_i").alias("_ei"), F.col("_order").alias("_eo"))
     # blocks of a source in its permuted order, dealt to the leaves of the tree
     leaves = split_tree(np.array(quotas or [0], np.int64), shards, np.random.default_rng(seed))
-    deal = []
+    dealt = []
     for i in range(len(names)):
-        at = np.repeat(np.arange(shards), leaves[:, i])
         rng = np.random.default_rng([seed, i])
-        rng.shuffle(at)
+        at = deal(leaves[:, i], BLOCKS, rng)
         spare = rng.integers(0, shards, BLOCKS)  # for blocks of which only what fills the gap is taken
         for k in range(BLOCKS if len(at) else 0):
             got = at[k::BLOCKS].tolist()
-            deal.append((i, k, got + [int(spare[k])] * (plan[i][5] > 0 and len(got) == plan[i][3])))
-    deal_df = spark.createDataFrame(deal, "_di int, _df int, _shards array<int>")
-    dealt = joined.join(F.broadcast(deal_df), (F.col("_i") == F.col("_di")) & (F.col("_fine") == F.col("_df")), "left")
-    out = dealt.join(edge_in, (F.col("_i") == F.col("_ei")) & (F.col("_order") == F.col("_eo")) & (F.col("_fine") >= F.col("_cut")), "left")
+            if plan[i][5] > 0 and len(got) == plan[i][3]:
+                free = [x for x in range(shards) if x not in got] or [*range(shards)]
+                got.append(free[int(spare[k]) % len(free)])
+            dealt.append((i, k, got))
+    deal_df = spark.createDataFrame(dealt, "_di int, _df int, _shards array<int>")
+    found = joined.join(F.broadcast(deal_df), (F.col("_i") == F.col("_di")) & (F.col("_fine") == F.col("_df")), "left")
+    out = found.join(edge_in, (F.col("_i") == F.col("_ei")) & (F.col("_order") == F.col("_eo")) & (F.col("_fine") >= F.col("_cut")), "left")
     copies = F.when(F.col("size") == 0, 0).otherwise(
         F.col("_passes") + F.when(F.col("_fine") < F.col("_cut"), 1).when(F.col("_eo").isNotNull(), 1).otherwise(0)
     )
     return out.select(
-        *docs.columns, "size", F.col("source_size"), F.col("target"), (F.col("size") * copies).cast("long").alias("taken"),
-        F.slice(F.coalesce("_shards", F.array().cast("array<int>")), F.lit(1), copies).alias("shards"),
+        "row", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"),
+        F.slice(F.coalesce("_shards", F.array().cast("array<int>")), F.lit(1), copies).alias("shards"), F.col("_order").alias("hash"),
     )
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows themselves: each copy a row, in shards, shuffled inside each shard.
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    shards: int = 16,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The draws of the mix: every input column, size, source_size, target, taken, shards (array).
+
+    Sources sorted by code point (null last) take the weights in turn. The
+    documents of a source are permuted by hash into blocks. A source takes its
+    blocks in that order, starting over at the end, until its target is
+    reached; in the last block documents are taken in hash order while they
+    fit, then those of all later blocks that fit the gap (see ``fill``).
+    ``shards`` lists the output shard of each copy, by the splitting tree, two
+    copies in different shards; an untaken document has none. Every document
+    is drawn at most ceil(``most``) times. Rows with the same id are told
+    apart by nothing: they share their block and are taken alike; null ids
+    count as one id.
+
+    Null or blank texts have size 0 and are never taken; a source of size 0
+    has target 0; an empty table gives no rows; input columns named like those
+    added are replaced, all others stay. A very long document is taken where
+    that comes nearest to the target. Only per-source and per-block sums and a
+    document a step reach the driver: at most BLOCKS rows a source at once;
+    sources are taken for few (thousands).
+    """
+    own = ["size", "source_size", "target", "taken", "shards"]
+    drawn = _drawn(docs, weights, share, most, shards, seed, id_col, text_col, source_col)
+    return drawn.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in own), *own)
+
+
+def mixture(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    shards: int = 16,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    partitions: int | None = None,
+    with_shard: bool = True,
+) -> DataFrame:
+    """The mixed rows themselves: the columns of ``docs`` and (``with_shard``) mix_shard, each copy a row.
 
-    Columns of ``docs`` plus mix_shard. A document taken twice is two rows.
+    Rows are dealt in ranges of (mix_shard, hash of seed, id and copy): a
+    partition holds a stretch of one or more shards, sorted, so files written
+    from it are shards shuffled inside. The copies of a document lie in
+    different shards. Columns, nulls, repeats and empty tables as in ``mix``;
+    an input column named mix_shard is replaced by the one added.
     """
-    seed = options.get("seed", 7)
-    drawn = mix(docs, **options)
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "shards") and not c.startswith("_")]
-    rows = drawn.where("taken > 0").select(*keep, F.posexplode("shards").alias("_copy", "mix_shard"))
-    local = F.xxhash64(F.lit(seed + 1), F.col(options.get("id_col", "doc_id")), F.col("_copy"))
-    return rows.withColumn("_at", local).sortWithinPartitions("mix_shard", "_at").drop("_at", "_copy")
+    drawn = _drawn(docs, weights, share, most, shards, seed, id_col, text_col, source_col)
+    rows = drawn.where("taken > 0").select("row", "hash", F.posexplode("shards").alias("copy", "mix_shard"))
+    rows = rows.withColumn("place", F.xxhash64(F.lit(seed + 1), "hash", "copy")).drop("hash", "copy")
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, "mix_shard", "place").sortWithinPartitions("mix_shard", "place")
+    own = ["mix_shard"] if with_shard else []
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in own), *own)

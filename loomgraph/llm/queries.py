@@ -74,6 +74,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from loomgraph.llm import exact_dedup
+    from loomgraph.llm import exact_dedup, minhash, sharding, substring_dedup
 
-    return {"op4_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op4_exact_dedup": exact_dedup.ORACLE, "op6_minhash_components": minhash.ORACLE, "op8_shard_by_bytes": sharding.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE,
+    }

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import column
 from loomgraph.llm.words import slices
 from loomgraph.store import cut
 
@@ -128,7 +129,7 @@ def corpus_ranks(docs: DataFrame, text_col: str = "text", least_share: float = L
     only those reach the driver (under 3 MB). Words are counted over all
     documents, on each task before the shuffle; a word said once is no guess.
     """
-    word = F.explode(F.split(F.lower(text_col), r"[^\p{L}]+")).alias("w")
+    word = F.explode(F.split(F.lower(column(text_col)), r"[^\p{L}]+")).alias("w")
     counts = docs.select(word).where(F.length("w").between(3, 24)).groupBy("w").count().where("count > 1")
     counts = cut(counts, "words")
     total = counts.agg(F.sum("count")).first()[0] or 0
@@ -144,7 +145,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty text has no spans (base_sha256 is that of the empty string); repeated
     rows and null ids are rows of their own; an empty table gives none.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     ranks = corpus_ranks(docs) if ranks is None else ranks
     held = docs.sparkSession.sparkContext.broadcast(ranks)
     schema = (

@@ -8,7 +8,8 @@ compared as a whole, and runs of repeated windows are the maximal repeats.
 
 Hashes travel packed, one row for each packet of documents and bucket of the
 hash space; a hash that repeats inside a packet is sent once. So a passage
-that a third of all documents share costs a few bytes for each packet.
+that a third of all documents share costs a few bytes for each packet. A row
+holds a window at least, so there are never more rows than windows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import is_small, small_batches
+from loomgraph.llm.common import column, is_small, small_batches
 from loomgraph.llm.words import Words, slices
 from loomgraph.store import cut
 
@@ -32,9 +33,9 @@ ANCHOR = 18
 BUCKET_BYTES = 16 << 20
 PACKET_BYTES = 4 << 20
 
-_PACKED = "bucket int, packet long, kind int, data binary, rids array<long>, counts array<int>"
+_PACKED = "bucket int, packet long, kind int, data binary, rids array<binary>, counts array<int>"
 _NAMES = ["bucket", "packet", "kind", "data", "rids", "counts"]
-_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
 _FLAG = np.uint32(1 << 31)
 #: kinds of packed rows: windows to compare, a packet's documents, known hits
 _ASK, _DOCS, _HITS = 0, 1, 2
@@ -44,12 +45,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
-def _pack(packet: int, buckets: int, h: np.ndarray, at: np.ndarray, block: np.ndarray, wide: bool, rids: list, counts: np.ndarray) -> pa.RecordBatch:
-    """The rows of one packet: windows ``at`` (word indexes) with hash ``h``."""
-    order = np.argsort(h, kind="stable")
+def _pack(packet: int, buckets: int, h: np.ndarray, more: np.ndarray | None, at: np.ndarray, block: np.ndarray, rids: list, counts: np.ndarray) -> pa.RecordBatch:
+    """The rows of one packet: windows ``at`` (word indexes) with hash ``h`` (and 64 bits ``more``)."""
+    order = np.argsort(h, kind="stable") if more is None else np.lexsort((more, h))
     h, at, block = h[order], at[order].astype(np.uint32), block[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
+    if more is not None:
+        more = more[order]
+        new[1:] |= more[1:] != more[:-1]
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(h)))
     many = n > 1
@@ -58,9 +62,10 @@ def _pack(packet: int, buckets: int, h: np.ndarray, at: np.ndarray, block: np.nd
     # buckets by the high bits, so that each is a run of the sorted hashes
     bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     ends = np.searchsorted(bucket, np.arange(buckets + 1))
-    short = key if wide else (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    parts = [(key & np.uint64(0xFFFFFFFF)).astype(np.uint32)] if more is None else [key, more[first]]
+    parts.append(loc)
     rows = [
-        (b, packet, _ASK, short[ends[b] : ends[b + 1]].tobytes() + loc[ends[b] : ends[b + 1]].tobytes(), None, None)
+        (b, packet, _ASK, b"".join(x[ends[b] : ends[b + 1]].tobytes() for x in parts), None, None)
         for b in range(buckets)
         if ends[b + 1] > ends[b]
     ]
@@ -71,27 +76,38 @@ def _pack(packet: int, buckets: int, h: np.ndarray, at: np.ndarray, block: np.nd
 
 
 def _compare(wide: bool):
-    """Of one bucket: the locations of hashes that two or more rows have, one of them flagged."""
-    size = 8 if wide else 4
+    """Of one bucket: the locations of hashes that two or more rows have, one of them flagged.
+
+    ``wide`` keys are 128 bits, so windows that are told equal are equal but
+    for a chance of 1e-12 on 1e13 windows; the anchors' 32 bits (of a bucket)
+    only pick candidates.
+    """
+    size = 16 if wide else 4
 
     def run(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
         ask = table.filter(pa.array(kinds == _ASK))
         out = [table.filter(pa.array(kinds != _ASK)).combine_chunks()]
         packets = ask.column("packet").to_numpy()
-        keys, locs, src = [], [], []
+        keys, more, locs, src = [], [], [], []
         for k, data in enumerate(ask.column("data")):
             buf = data.as_buffer()
             n = buf.size // (size + 4)
             keys.append(np.frombuffer(buf, np.uint64 if wide else np.uint32, n))
+            if wide:
+                more.append(np.frombuffer(buf, np.uint64, n, 8 * n))
             locs.append(np.frombuffer(buf, np.uint32, n, size * n))
             src.append(np.full(n, k, np.int32))
         if keys:
             key, loc, src = np.concatenate(keys), np.concatenate(locs), np.concatenate(src)
-            order = np.argsort(key, kind="stable")
+            second = np.concatenate(more) if wide else None
+            order = np.lexsort((second, key)) if wide else np.argsort(key, kind="stable")
             key = key[order]
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
+            if wide:
+                second = second[order]
+                new[1:] |= second[1:] != second[:-1]
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(key)))
             flagged = np.logical_or.reduceat((loc[order] & _FLAG) > 0, first)
@@ -124,13 +140,13 @@ def _home(table: pa.Table) -> pa.Table:
         for d in np.unique(doc):
             rid.append(names[0]["rids"][d])
             data.append((at[doc == d] - first[d]).astype(np.uint32).tobytes())
-    return pa.table({"rid": pa.array(rid, pa.int64()), "hits": pa.array(data, pa.binary())})
+    return pa.table({"rid": pa.array(rid, pa.binary()), "hits": pa.array(data, pa.binary())})
 
 
 def _repeats(packed: DataFrame, wide: bool) -> DataFrame:
     """(rid, hits) of the documents with hashes that occur more than once."""
     found = cut(packed.groupBy("bucket").applyInArrow(_compare(wide), _PACKED), "hits")
-    mine = found.groupBy("packet").applyInArrow(_home, "rid long, hits binary")
+    mine = found.groupBy("packet").applyInArrow(_home, "rid binary, hits binary")
     return cut(mine.dropDuplicates(["rid"]), "repeats")  # equal rows have equal hits
 
 
@@ -146,7 +162,7 @@ def _anchors(anchor: int, buckets: int):
                 w = Words(part.column(1))
                 at, h = w.windows(anchor)
                 block = (at - w.first[w.doc[at]]) % anchor == 0
-                yield _pack(_packet(seq), buckets, h, at, block, False, part.column(0).to_pylist(), w.count)
+                yield _pack(_packet(seq), buckets, h, None, at, block, part.column(0).to_pylist(), w.count)
                 seq += 1
 
     return run
@@ -166,7 +182,8 @@ def _candidates(window: int, anchor: int, buckets: int):
                 hit = np.cumsum(hit)
                 at, h = w.windows(window, 3)
                 near = hit[at + window - anchor + 1] > hit[at]
-                yield _pack(_packet(seq), buckets, h[near], at[near], np.ones(int(near.sum()), bool), True, part.column(0).to_pylist(), w.count)
+                more = w.windows(window, 5, True)[1]
+                yield _pack(_packet(seq), buckets, h[near], more[near], at[near], np.ones(int(near.sum()), bool), part.column(0).to_pylist(), w.count)
                 seq += 1
 
     return run
@@ -211,13 +228,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     window of ``window`` words that also starts anywhere else, in the same
     document too, are removed, in all copies, judged on the input. Null,
     blank and short texts lose nothing. Rows that repeat id and text are
-    copies of each other like any two documents. Null ids are fine; an empty
-    table gives no rows. Memory follows the packet, or the longest text.
+    copies of each other like any two documents. Null ids are fine; other
+    columns are ignored; an empty table gives no rows. Memory follows the
+    packet, or the longest text: a text of more than a packet is one alone.
     """
     with small_batches(docs.sparkSession):
         anchor = (window + 1) // 2
-        docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        keyed = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text", "doc_id")
+        docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+        own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\n"), F.coalesce("text", F.lit("")))
+        keyed = docs.select(F.unhex(F.md5(F.encode(own, "UTF-8"))).alias("rid"), "text", "doc_id")
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(8, -(-total // BUCKET_BYTES))
         anchors = keyed.select("rid", "text").mapInArrow(_anchors(anchor, buckets), _PACKED)
@@ -234,3 +253,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         clean = side(repeated, "left_anti").select("doc_id", "text")
         out = clean.mapInArrow(_finish(window, with_text), schema).unionByName(touched.mapInArrow(_finish(window, with_text), schema))
         return out
+
+
+ORACLE = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM words, range(1, len(w) - 33) t(i)),
+twice AS (SELECT doc_id, i FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM twice, range(35) t(k)),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import column
 from loomgraph.store import fresh_path
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -55,7 +56,7 @@ def write_token_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(read_ranks(tokenizer))
     path = path or fresh_path(spark, "tokens")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     names = ["kind", "stream", "block", "ids", "doc_ids"]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 

@@ -18,18 +18,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches
+from loomgraph.llm.common import column, small_batches
 from loomgraph.llm.words import slices
+from loomgraph.store import cut
 
 #: Labelled rows of each label on which the classifier is fitted, at most; the lowest hashes of the ids.
 FIT_ROWS = 6000
-#: Documents in which a feature must occur to count.
-LEAST_DOCS = 4
-#: Standard errors by which a log odds ratio is lowered: few documents prove little.
-DOUBT = 1.0
+#: Documents of the sample in which a feature must occur to count.
+LEAST_DOCS = 2
+#: Standard errors by which a log odds ratio may be lowered, as few documents prove little; out-of-fold loss decides.
+DOUBTS = (0.0, 0.5, 1.0, 2.0)
 #: Score from which a document is rejected.
 REJECT = 0.3
 
@@ -240,24 +242,53 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, b + sum(x * y for x, y in zip(w, evidence, strict=True))))))
 
 
-def fit(rows: DataFrame, decoder: Decoder, prior: dict[int, int], fit_rows: int = FIT_ROWS) -> Model:
-    """Fits the model on at most ``fit_rows`` rows (text, toxic, order) of each label.
+def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """(text, toxic, fold) of at most ``fit_rows`` ids of each label, and the number of usable rows of each label.
 
-    Word features are counted on the executors over the documents of the
-    sample, those of LEAST_DOCS documents and up get a smoothed log odds
-    ratio, and the driver fits three coefficients and an intercept by Newton
-    steps on out-of-fold evidence (two folds by hash), then moves the
-    intercept to the share of label 1 among all rows (``prior``).
+    Ids are chosen by their hashes alone, numbers of a fixed size, and their
+    texts are joined afterwards, one of each id.
     """
-    spark = rows.sparkSession
-    # the lowest hashes of each label: top lists of bounded length
-    sample = None
+    crc = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = known.where(F.pmod(crc, F.lit(4)) != 2).select("doc_id", "toxic", F.xxhash64(F.lit(5), "doc_id").alias("order"))
+    usable = usable.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    usable = cut(usable, "labels")
+    ids = None
     for label in (0, 1):
-        part = rows.where(F.col("toxic") == label).select("order", "text", "toxic").orderBy("order", "text").limit(fit_rows)
-        sample = part if sample is None else sample.unionByName(part)
-    from loomgraph.store import cut
+        part = usable.where(F.col("toxic") == label).orderBy("order", "doc_id").limit(fit_rows)
+        ids = part if ids is None else ids.unionByName(part)
+    prior = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "order").agg(F.min("text").alias("text"))
+    fold = F.col("order").bitwiseAND(F.lit(1)).cast("int").alias("fold")
+    return cut(rows.select("text", "toxic", fold), "fit").repartition(docs.sparkSession.sparkContext.defaultParallelism), prior
+
+
+def _newton(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients of a logistic regression of ``y`` on ``x``, and its mean log loss."""
+    w = np.zeros(x.shape[1])
+    ridge = 1e-3 * np.array([0] + [1] * (x.shape[1] - 1))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) / len(y) + ridge * w
+        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x / len(y) + np.diag(ridge + 1e-6)
+        w -= np.linalg.solve(hess, grad)
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
+    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
 
-    sample = cut(sample, "fit").repartition(spark.sparkContext.defaultParallelism)
+def fit(sample: DataFrame, decoder: Decoder, prior: dict[int, int]) -> Model:
+    """Fits the model on the rows (text, toxic, fold) of ``sample``.
+
+    Word features are counted on the executors over the documents of the
+    sample, those of LEAST_DOCS documents and up get a smoothed log odds
+    ratio lowered by some standard errors, and the driver fits three
+    coefficients and an intercept by Newton steps on out-of-fold evidence (two
+    folds by hash). The number of standard errors is that of DOUBTS with the
+    least out-of-fold log loss, so nothing is chosen by rows that are held
+    out. The intercept moves to the share of label 1 among all rows
+    (``prior``).
+    """
+    spark = sample.sparkSession
     held = spark.sparkContext.broadcast(decoder)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +296,8 @@ def fit(rows: DataFrame, decoder: Decoder, prior: dict[int, int], fit_rows: int
         for batch in batches:
             for part in slices(batch, "text"):
                 counts: Counter = Counter()
-                for order, text, toxic in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    counts.update((f, order & 1, toxic) for f in {f for w in restored_words(text, cache) for f in features(w)})
+                for text, toxic, fold in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    counts.update((f, fold, toxic) for f in {f for w in restored_words(text, cache) for f in features(w)})
                 if counts:
                     f, fold, toxic = zip(*counts, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(fold, pa.int32()), pa.array(toxic, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["f", "fold", "toxic", "n"])
@@ -275,52 +306,56 @@ def fit(rows: DataFrame, decoder: Decoder, prior: dict[int, int], fit_rows: int
         *(F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{k}{t}") for k in (0, 1) for t in (0, 1))
     )
     sizes = Counter()
-    for r in sample.groupBy((F.col("order").bitwiseAND(F.lit(1))).alias("fold"), "toxic").count().collect():
+    for r in sample.groupBy("fold", "toxic").count().collect():
         sizes[r["fold"], r["toxic"]] = r["count"]
 
-    def weights(n0: float, n1: float, d0: float, d1: float) -> float:
+    def weight(n0: float, n1: float, d0: float, d1: float, doubt: float) -> float:
         odds = math.log((n1 + 0.5) / (d1 + 1.0)) - math.log((n0 + 0.5) / (d0 + 1.0))
-        return odds - DOUBT * math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+        return odds - doubt * math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
 
-    seen = per.where(F.col("n01") + F.col("n11") >= 2).where(
-        f"n00 + n01 + n10 + n11 >= {LEAST_DOCS}"
-    )
-    fold: list[dict[str, float]] = [{}, {}]
-    whole: dict[str, float] = {}
+    fold: list[list[dict[str, float]]] = [[{} for _ in DOUBTS] for _ in (0, 1)]
+    whole: list[dict[str, float]] = [{} for _ in DOUBTS]
     d = [[sizes[k, t] for t in (0, 1)] for k in (0, 1)]
-    for r in seen.collect():  # features of the bounded sample that label 1 has
-        for k in (0, 1):
-            if r[f"n{k}0"] + r[f"n{k}1"] >= LEAST_DOCS // 2:
-                fold[k][r["f"]] = weights(r[f"n{k}0"], r[f"n{k}1"], *d[k])
-        x = weights(r["n00"] + r["n10"], r["n01"] + r["n11"], d[0][0] + d[1][0], d[0][1] + d[1][1])
-        if x > 0:
-            whole[r["f"]] = x
+    # features of the bounded sample that label 1 has
+    for r in per.where(F.col("n01") + F.col("n11") >= 1).where(f"n00 + n01 + n10 + n11 >= {LEAST_DOCS}").toLocalIterator():
+        for i, doubt in enumerate(DOUBTS):
+            for k in (0, 1):
+                if r[f"n{k}1"] and (x := weight(r[f"n{k}0"], r[f"n{k}1"], *d[k], doubt)) > 0:
+                    fold[k][i][r["f"]] = x
+            if (x := weight(r["n00"] + r["n10"], r["n01"] + r["n11"], d[0][0] + d[1][0], d[0][1] + d[1][1], doubt)) > 0:
+                whole[i][r["f"]] = x
     flat = (0.0, 0.0, 0.0, 0.0)
-    other = spark.sparkContext.broadcast([Model(fold[1], flat), Model(fold[0], flat)])
+    other = spark.sparkContext.broadcast([[Model(w, flat) for w in fold[1 - k]] for k in (0, 1)])
 
     def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, known = _Restored(held.value), ({}, {})
+        cache, known = _Restored(held.value), [[{} for _ in DOUBTS] for _ in (0, 1)]
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [other.value[o & 1].evidence(restored_words(t, cache), known[o & 1]) for o, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                arrays = [pa.array([r[i] for r in rows], pa.float64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column(2).cast(pa.int32()), *arrays], names=["toxic", "a", "b", "c"])
+                rows = []
+                for text, k in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    words = restored_words(text, cache)
+                    rows.append([x for m, seen in zip(other.value[k], known[k], strict=True) for x in m.evidence(words, seen)])
+                yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    got = sample.mapInArrow(held_out, "toxic int, a double, b double, c double").toPandas()
-    x = np.column_stack([np.ones(len(got)), got[["a", "b", "c"]].to_numpy(float)]) if len(got) else np.zeros((0, 4))
+    got = sample.mapInArrow(held_out, "toxic int, x array<double>").toPandas()
     y = got["toxic"].to_numpy(float) if len(got) else np.zeros(0)
-    w = np.zeros(4)
     share = (prior.get(1, 0) + 0.5) / (prior.get(0, 0) + prior.get(1, 0) + 1.0)
     if not len(y) or y.min() == y.max():
         return Model({}, (math.log(share / (1 - share)) if prior else -3.0, 0.0, 0.0, 0.0))
-    own = y.mean()
+    x = np.stack(got["x"].to_numpy())
+    tried = [_newton(np.column_stack([np.ones(len(y)), x[:, 3 * i : 3 * i + 3]]), y) for i in range(len(DOUBTS))]
+    best = min(range(len(DOUBTS)), key=lambda i: (tried[i][1], -DOUBTS[i]))
+    own, w = y.mean(), tried[best][0]
     offset = math.log(own / (1 - own)) - math.log(share / (1 - share))  # the sample holds more of label 1
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) / len(y) + 1e-3 * w * [0, 1, 1, 1]
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x / len(y) + np.diag([1e-6, 1e-3, 1e-3, 1e-3])
-        w -= np.linalg.solve(hess, grad)
-    return Model(whole, (float(w[0] - offset), *map(float, w[1:])))
+    return Model(whole[best], (float(w[0] - offset), *map(float, w[1:])))
+
+
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Broadcast:
+    """The decoder and the model of all texts (doc_id, text) and of the labels that may be used."""
+    with small_batches(docs.sparkSession):
+        decoder = Decoder(letter_trigrams(docs))
+        sample, prior = _sample(docs, labels, fit_rows)
+        return docs.sparkSession.sparkContext.broadcast((decoder, fit(sample, decoder, prior)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -332,24 +367,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     evidence; a null id is not held out and has no label; labels that are null
     or neither 0 nor 1 are ignored, so are further labels of an id (the
     largest counts); without labels every score is low. Repeated rows score
-    alike; an empty table gives no rows.
+    alike (of an id with several texts the fit takes the least); other columns
+    are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    with small_batches(spark):
-        docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        crc = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
-        decoder = Decoder(letter_trigrams(docs))
-        known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        order = F.xxhash64(F.lit(5), "doc_id").alias("order")
-        # the rows of the sample by id first, so that texts of others are not shuffled
-        ids = None
-        usable = known.where(F.pmod(crc, F.lit(4)) != 2).select("doc_id", "toxic", order)
-        for label in (0, 1):
-            part = usable.where(F.col("toxic") == label).orderBy("order", "doc_id").limit(2 * fit_rows)
-            ids = part if ids is None else ids.unionByName(part)
-        prior = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-        rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("text", "toxic", "order")
-        model = spark.sparkContext.broadcast((decoder, fit(rows, decoder, prior, fit_rows)))
+    docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    crc = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    model = learn(docs, labels, fit_rows)
     base = docs.select("doc_id", F.coalesce(F.pmod(crc, F.lit(4)) == 2, F.lit(False)).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -368,11 +391,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic; columns as they are.
 
-    Rows that repeat an id are rejected together if one of them is toxic;
-    rows without an id stay unless one of them is.
+    Each row is judged by its own text. Nulls and empty tables as in
+    ``score_toxicity``; a null or empty text is never rejected while labels of
+    0 are the more frequent.
     """
-    from loomgraph.llm.common import is_small
-    from loomgraph.store import cut
+    place = docs.columns.index(text_col)
+    model = learn(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder, judge = model.value
+        cache, known_words = _Restored(decoder), {}
+        for batch in batches:
+            scores = [judge.score(judge.evidence(restored_words(t.as_py(), cache), known_words)) for t in batch.column(place)]
+            yield batch.filter(pa.array([s < REJECT for s in scores], pa.bool_()))
 
-    gone = cut(score_toxicity(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if is_small(gone) else gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    with small_batches(docs.sparkSession):
+        return docs.mapInArrow(keep, docs.schema)

@@ -27,6 +27,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(256, dtype=np.uint64), 7)
+_BYTE2 = mix(np.arange(256, dtype=np.uint64), 17)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -43,7 +44,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a column of texts: their spans in ``data``, document and hash."""
 
-    __slots__ = ("data", "offs", "starts", "ends", "doc", "first", "count", "_hash")
+    __slots__ = ("data", "offs", "starts", "ends", "doc", "first", "count", "_hash", "_second")
 
     def __init__(self, texts: pa.Array, lower: bool = False):
         texts = pc.fill_null(texts, "") if texts.null_count else texts
@@ -69,20 +70,30 @@ class Words:
         self.doc = np.searchsorted(offs, self.starts, "right") - 1
         self.count = np.bincount(self.doc, minlength=n).astype(np.int64)[:n] if n else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.count)]).astype(np.int64)
-        self._hash = None
+        self._hash = self._second = None
+
+    def _hashed(self, table: np.ndarray, seed: int) -> np.ndarray:
+        p, q = powers(len(self.data) + 1)
+        c = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(table[self.data] * p[:-1], out=c[1:])
+        return mix((c[self.ends] - c[self.starts]) * q[self.starts], seed)
 
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            p, q = powers(len(self.data) + 1)
-            c = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * p[:-1], out=c[1:])
-            self._hash = mix((c[self.ends] - c[self.starts]) * q[self.starts], 1)
+            self._hash = self._hashed(_BYTE, 1)
         return self._hash
 
-    def windows(self, k: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def second(self) -> np.ndarray:
+        """Hashes from another table of bytes, which collide apart from the first."""
+        if self._second is None:
+            self._second = self._hashed(_BYTE2, 4)
+        return self._second
+
+    def windows(self, k: int, seed: int = 2, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Start (word index) and hash of each window of k words inside one document."""
-        w = self.hash
+        w = self.second if second else self.hash
         n = len(w)
         if n < k:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
