@@ -1,26 +1,31 @@
 """LM scoring: a causal self-attention model over subword ids, trained in numpy.
 
-The probability of a subword id is that of its class given the context times
-its share of the class in the training corpus, after the class before it. Class logits are the corpus's
-class bigrams plus the output of one causal self-attention layer over the
-ids before it. Texts are cut into overlapping context windows of SPAN ids, in
-which the last HALF are scored, so each id is scored once with HALF or more
-ids of context (from the text's second window on); windows are scored in
+The probability of a subword id is that of its outcome class given the context
+times its share of the class in the training corpus, after the class before
+it. Outcome classes come in groups: a group is predicted, then its member, by
+the corpus's class bigrams and the output of one causal self-attention layer
+over the ids before it. Texts are cut into overlapping context windows of SPAN
+ids, in which the last HALF are scored, so each id is scored once with HALF or
+more ids of context (from the text's second window on); windows are scored in
 masked batches.
 
 What is learned covers every training document: word counts, subword counts,
-class bigrams, and windows that tile whole texts for the attention weights
-(data-parallel local steps, averaged each round; each text in one round).
+class bigrams, and windows that tile whole texts for the attention weights.
+Texts are tokenised once; training and scoring read their ids. Training takes
+STEPS steps, each on the summed gradient of a part of all texts, dealt by
+hash, so scores do not depend on how the rows lie in partitions.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +36,19 @@ from loomgraph.store import cut
 
 #: Ids of a vocabulary file and the end mark.
 VOCABULARY = 50257
-#: Classes of ids as context and as outcome, width of the layer, ids of a window and of its scored half.
-CLASSES, OUTCOMES, WIDTH, SPAN, HALF = 256, 96, 16, 32, 16
-#: Windows that are scored together.
-STEP = 128
-#: Rounds of local training, the first step size, windows of a step, steps of a task in a round at least.
-ROUNDS, RATE, BATCH, LEAST_STEPS = 4, 0.02, 32, 100
+#: Classes of ids as context; groups of outcome classes and members of each; width of the layer (its last place adds up the weights); ids of a window and of its scored half.
+CLASSES, GROUPS, MEMBERS, WIDTH, SPAN, HALF = 256, 16, 16, 16, 32, 16
+OUTCOMES = GROUPS * MEMBERS
+#: Windows that go through the layer together.
+BATCH = 128
+#: Training steps, the first step size, and how long means of gradients and of their squares last.
+STEPS, RATE, MEAN, SQUARE = 24, 0.3, 0.8, 0.9
+#: Bound of logits before exp, which then stays finite in float32.
+PEAK = 30.0
 #: Weight of the plain share of an id where the class before it says little.
 SMOOTH = 2.0
 #: Words from this share of the corpus on are looked up in the broadcast table (at most 1 / share of them).
-FREQUENT_SHARE = 2e-6
+FREQUENT_SHARE = 1e-6
 LN10 = math.log(10)
 
 
@@ -121,12 +129,13 @@ def classes_of(counts: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray,
     return cls, (np.log(smooth) - np.log(total[cls])).astype(np.float32)
 
 
-def outcomes_of(nexts: np.ndarray, outcomes: int = OUTCOMES, axes: int = 12, active: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def outcomes_of(nexts: np.ndarray, axes: int = 12, active: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Outcome class of each id, by what it follows, and the log of its share of the class.
 
     ``nexts`` counts ids (columns) after classes (rows). Ids are clustered by
     k-means on the main axes of the square roots of their distributions over
-    the classes before them, beginning from the most frequent ids.
+    the classes before them, beginning from the most frequent ids. Classes are
+    numbered so that those of a group, number // MEMBERS, lie near each other.
     """
     freq = nexts.sum(0)
     order = np.argsort(-freq, kind="stable")
@@ -137,148 +146,140 @@ def outcomes_of(nexts: np.ndarray, outcomes: int = OUTCOMES, axes: int = 12, act
     basis = np.linalg.svd((x[top] - mean) * weight, full_matrices=False)[2][:axes]
     x = (x - mean) @ basis.T
     x[freq == 0] = 0
-    centre = x[order[:outcomes]].copy()
+    centre = x[order[:OUTCOMES]].copy()
     for _ in range(12):
         cls = (-2 * x @ centre.T + (centre**2).sum(1)).argmin(1)
-        mass = np.bincount(cls, freq + 1e-3, outcomes)
+        mass = np.bincount(cls, freq + 1e-3, OUTCOMES)
         for a in range(axes):
-            centre[:, a] = np.where(mass > 0, np.bincount(cls, x[:, a] * (freq + 1e-3), outcomes) / np.maximum(mass, 1e-9), centre[:, a])
+            centre[:, a] = np.where(mass > 0, np.bincount(cls, x[:, a] * (freq + 1e-3), OUTCOMES) / np.maximum(mass, 1e-9), centre[:, a])
+    # bands along the first axis, each cut along the second
+    bands = math.isqrt(GROUPS)
+    number = np.empty(OUTCOMES, np.int64)
+    for i, band in enumerate(np.array_split(np.argsort(centre[:, 0], kind="stable"), bands)):
+        number[band[np.argsort(centre[band, 1], kind="stable")]] = np.arange(len(band)) + i * (OUTCOMES // bands)
+    cls = number[cls]
     smooth = freq + 0.1
-    total = np.bincount(cls, smooth, outcomes)
-    return cls.astype(np.int32), (np.log(smooth) - np.log(total[cls])).astype(np.float32)
+    total = np.bincount(cls, smooth, OUTCOMES)
+    return cls, (np.log(smooth) - np.log(total[cls])).astype(np.float32)
 
 
 class AttentionModel:
-    """One causal self-attention layer over class embeddings, added to class bigram logits."""
+    """One causal self-attention layer over class embeddings, added to class bigram logits of groups and of their members.
 
-    SHAPES = (("q", (CLASSES + 1, WIDTH)), ("k", (CLASSES + 1, WIDTH)), ("v", (CLASSES + 1, WIDTH)), ("d", (SPAN,)), ("o", (WIDTH, OUTCOMES)), ("b", (OUTCOMES,)))
+    Tables of the parameters are made once: attention weights before
+    normalising are ``meet[query, key]`` times ``near[gap]``. Class CLASSES
+    pads before a text: no class but the pad's meets the pad.
+    """
 
-    def __init__(self, cls: np.ndarray, out: np.ndarray, share: np.ndarray | None, bigram: np.ndarray, params: dict[str, np.ndarray] | None = None, seed: int = 3):
-        self.cls, self.out, self.share, self.bigram = cls, out, share, bigram
-        rng = np.random.default_rng(seed)
-        self.p = params or {
-            n: (rng.normal(0, 0.3, s) if n in "qkv" else np.zeros(s)).astype(np.float32) for n, s in self.SHAPES
-        }
-        self.tables = self.work = None
+    SHAPES = (
+        ("q", (CLASSES + 1, WIDTH)), ("k", (CLASSES + 1, WIDTH)), ("v", (CLASSES + 1, WIDTH - 1)), ("d", (SPAN,)),
+        ("o", (WIDTH - 1, GROUPS)), ("b", (GROUPS,)), ("s", (GROUPS, WIDTH - 1, MEMBERS)), ("t", (GROUPS, MEMBERS)),
+    )
+    SIZE = sum(math.prod(s) for _, s in SHAPES)
+
+    def __init__(self, cls: np.ndarray, out: np.ndarray, share: np.ndarray | None, groups: np.ndarray, members: np.ndarray, flat: np.ndarray | None = None, seed: int = 3):
+        """``groups`` (contexts x GROUPS) and ``members`` (contexts x GROUPS x MEMBERS) are log probabilities; ``flat`` all parameters."""
+        self.cls, self.out, self.share, self.groups, self.members = cls, out, share, groups, members
+        if flat is None:
+            flat = np.zeros(self.SIZE)
+            random = (CLASSES + 1) * (3 * WIDTH - 1)
+            flat[:random] = np.random.default_rng(seed).normal(0, 0.3, random)
+        self.flat, at, p = flat, 0, {}
+        for n, s in self.SHAPES:
+            p[n] = flat[at : at + math.prod(s)].reshape(s)
+            at += math.prod(s)
         gap = np.arange(SPAN)[:, None] - np.arange(SPAN)[None, :]
-        self.biased = bigram + self.p["b"]
-        self.gap, self.causal = np.maximum(gap, 0), gap >= 0
+        self.gap = np.maximum(gap, 0)
 
-    def forward(self, x: np.ndarray, rows: slice) -> tuple:
-        """Class log probabilities after each context class ``x`` (windows x SPAN) at the positions ``rows``.
+        def table(x: np.ndarray) -> np.ndarray:
+            return np.ascontiguousarray(x, np.float32)
 
-        Class CLASSES pads before a text and is masked: no position attends
-        to it, except to itself.
-        """
-        p = self.p
-        q, k, v = p["q"][x[:, rows]], p["k"][x], p["v"][x]
-        a = q @ k.transpose(0, 2, 1)
-        a += p["d"][self.gap[rows]]
-        seen = self.causal[rows][None] & ((x < CLASSES)[:, None, :] | (self.gap[rows] == 0)[None])
-        a[~np.broadcast_to(seen, a.shape)] = -1e9
-        a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        z = a @ v
-        logits = z @ p["o"]
-        logits += p["b"]
-        logits += self.bigram[x[:, rows]]
-        logits -= logits.max(2, keepdims=True)
-        return q, k, v, a, z, logits
-
-    def ready(self) -> None:
-        """Tables of the final parameters that scoring looks up.
-
-        Attention weights before normalising are ``meet[query, key]`` times ``near[gap]``. No class
-        but the pad's meets the pad, and a pad, which only pads come before, ends on its own value.
-        """
-        p, peak = self.p, 40.0
-        o = p["o"] * min(1.0, peak / max(float(np.abs(p["v"] @ p["o"]).max()), 1e-9))  # exp stays finite and normal, as do the products below
-        dots = p["q"] @ p["k"].T
-        dots[:, CLASSES] = dots.min()
-        meet = np.exp(np.maximum(dots - dots.max(1, keepdims=True), -peak))
-        meet[:CLASSES, CLASSES] = 0
+        meet = np.exp(np.clip(p["q"] @ p["k"].T, -PEAK, PEAK))
+        meet[:CLASSES, CLASSES] = meet[CLASSES, :CLASSES] = 0
         meet[CLASSES, CLASSES] = 1
-        near = np.exp(np.maximum(p["d"] - p["d"].max(), -peak))[self.gap] * self.causal
-        values = np.hstack([p["v"], np.ones((CLASSES + 1, 1))])  # the last column adds up the weights
-        bias = np.maximum(self.biased - self.biased.max(1, keepdims=True), -peak)
-        self.tables = [t.astype(np.float32) for t in (meet.ravel(), near, values, o, np.exp(bias), bias)]
+        self.meet = table(meet.ravel())
+        self.near = table(np.exp(np.clip(p["d"], -PEAK, PEAK))[self.gap] * (gap >= 0))
+        self.q, self.k = table(p["q"]), table(p["k"])
+        self.values = table(np.hstack([p["v"], np.ones((CLASSES + 1, 1))]))
+        self.to_group = table(np.vstack([p["o"], np.zeros((1, GROUPS))]))
+        self.to_member = table(np.concatenate([p["s"], np.zeros((GROUPS, 1, MEMBERS))], 1))
+        self.group_bias = table(groups + p["b"])
+        self.member_bias = table((members + p["t"]).reshape(-1, MEMBERS))
+        self.group_odds, self.member_odds = np.exp(self.group_bias), np.exp(self.member_bias)
+        self.ones = np.ones(MEMBERS, np.float32)
+        self.cells = np.arange(CLASSES + 1)[:, None] * WIDTH + np.arange(WIDTH)
+
+    def _attend(self, x: np.ndarray, rows: slice) -> tuple:
+        """Of windows ``x`` (windows x SPAN): contexts at the positions ``rows``, weights, values, means, and what normalises them."""
+        last = x[:, rows]
+        a = self.meet.take((last * (CLASSES + 1))[:, :, None] + x[:, None, :])
+        a *= self.near[rows]
+        v = self.values.take(x, 0)
+        z = (a @ v).reshape(-1, WIDTH)
+        scale = 1 / z[:, -1]
+        z *= scale[:, None]
+        return last.ravel(), a, v, z, scale
+
+    def _levels(self, context: np.ndarray, z: np.ndarray, y: np.ndarray) -> tuple:
+        """Odds of groups and of the members of the right group, with rows sorted by group, and the log probability of ``y``."""
+        order = np.argsort((y // MEMBERS).astype(np.uint8), kind="stable")
+        y, context, z = y.take(order), context.take(order), z.take(order, 0)
+        g, j = np.divmod(y, MEMBERS)
+        ends = np.searchsorted(g, np.arange(GROUPS + 1))
+        one, two = z @ self.to_group, np.empty((len(z), MEMBERS), np.float32)
+        for i in range(GROUPS):
+            np.matmul(z[ends[i] : ends[i + 1]], self.to_member[i], out=two[ends[i] : ends[i + 1]])
+        np.clip(one, -PEAK, PEAK, out=one)
+        np.clip(two, -PEAK, PEAK, out=two)
+        m, cell = np.arange(len(y)), context * GROUPS + g
+        right = one[m, g] + two[m, j] + self.group_bias[context, g] + self.member_bias[cell, j]
+        np.exp(one, out=one)
+        one *= self.group_odds.take(context, 0)
+        np.exp(two, out=two)
+        two *= self.member_odds.take(cell, 0)
+        sum_one, sum_two = one @ self.ones, two @ self.ones
+        return order, g, j, z, ends, one, two, sum_one, sum_two, right - np.log(sum_one) - np.log(sum_two)
 
     def score(self, x: np.ndarray, y: np.ndarray, rows: slice) -> np.ndarray:
-        """Log probability of the classes ``y`` (windows x scored positions) at the positions ``rows`` of the context classes ``x``."""
-        if self.tables is None:
-            self.ready()
-        meet, near, values, o, odds, bias = self.tables
-        n, last = len(x), x[:, rows]
-        m = last.size
-        pairs, a, seen, z, logits, scale = (w[:k] for w, k in zip(self.room(n, m // n), (n, n, n, n, m, m), strict=True))
-        np.add((last * (CLASSES + 1))[:, :, None], x[:, None, :], out=pairs)
-        meet.take(pairs, out=a, mode="clip")  # any mode but the default writes to ``out`` itself
-        a *= near[rows]
-        values.take(x, 0, out=seen, mode="clip")
-        flat = np.matmul(a, seen, out=z).reshape(m, WIDTH + 1)
-        last, y = last.ravel(), y.ravel()
-        np.matmul(flat[:, :WIDTH] / flat[:, WIDTH:], o, out=logits)
-        right = logits[np.arange(m), y] + bias[last, y]
-        np.exp(logits, out=logits)
-        odds.take(last, 0, out=scale, mode="clip")
-        return (right - np.log(np.einsum("ij,ij->i", logits, scale))).reshape(n, m // n)
-
-    def room(self, windows: int, rows: int) -> tuple[np.ndarray, ...]:
-        """Arrays that all calls of ``score`` write to: fresh ones cost more in page faults than the arithmetic."""
-        if self.work is None or self.work[0].shape[1] != rows or len(self.work[0]) < windows:
-            n = max(windows, STEP)
-            shapes = (n, rows, SPAN), (n, SPAN, WIDTH + 1), (n, rows, WIDTH + 1), (n * rows, OUTCOMES), (n * rows, OUTCOMES)
-            self.work = (np.empty(shapes[0], np.int64), np.empty(shapes[0], np.float32), *(np.empty(x, np.float32) for x in shapes[1:]))
-        return self.work
-
-    def gradient(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over positions of weight ``w`` and its gradient."""
-        rows, p = slice(0, SPAN), self.p
-        q, k, v, a, z, logits = self.forward(x, rows)
-        prob = np.exp(logits)
-        prob /= prob.sum(2, keepdims=True)
-        n = max(float(w.sum()), 1.0)
-        hit = np.take_along_axis(prob, y[:, :, None].astype(np.int64), 2)[:, :, 0]
-        loss = float(-(np.log(hit + 1e-30) * w).sum() / n)
-        np.put_along_axis(prob, y[:, :, None].astype(np.int64), hit[:, :, None] - 1, 2)
-        g = prob * (w / n)[:, :, None]
-        out = {"b": g.sum((0, 1)), "o": z.reshape(-1, WIDTH).T @ g.reshape(-1, OUTCOMES)}
-        gz = g @ p["o"].T
-        ga = gz @ v.transpose(0, 2, 1)
+        """Log probability of the outcomes ``y`` (windows x scored positions) at the positions ``rows`` of the context classes ``x``."""
+        context, _, _, z, _ = self._attend(x, rows)
+        order, *_, lp = self._levels(context, z, y.ravel())
+        out = np.empty(len(lp), np.float32)
+        out[order] = lp
+        return out.reshape(y.shape)
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """Loss and its gradient by all parameters, summed over positions of weight ``w``."""
+        context, a, v, z, scale = self._attend(x, slice(0, SPAN))
+        order, g, j, zs, ends, one, two, sum_one, sum_two, lp = self._levels(context, z, y.ravel())
+        w = w.ravel().take(order)
+        m = np.arange(len(g))
+        one *= (w / sum_one)[:, None]
+        one[m, g] -= w
+        two *= (w / sum_two)[:, None]
+        two[m, j] -= w
+        back = one @ self.to_group.T
+        s, t = np.empty(self.to_member.shape, np.float32), np.empty((GROUPS, MEMBERS), np.float32)
+        for i in range(GROUPS):
+            part = slice(ends[i], ends[i + 1])
+            s[i], t[i] = zs[part].T @ two[part], two[part].sum(0)
+            back[part] += two[part] @ self.to_member[i].T
+        gz = np.empty_like(back)
+        gz[order] = back
+        # the last place takes off the mean, as weights are normalised
+        gz[:, -1] = -np.einsum("ij,ij->i", gz[:, :-1], z[:, :-1])
+        gz *= scale[:, None]
+        gz = gz.reshape(len(x), SPAN, WIDTH)
         gv = a.transpose(0, 2, 1) @ gz
-        gs = a * (ga - (ga * a).sum(2, keepdims=True))
-        out["d"] = np.bincount(self.gap.ravel(), gs.sum(0).ravel(), SPAN) * 1.0
-        gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
-        cells = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-        for name, grad in (("q", gq), ("k", gk), ("v", gv)):
-            out[name] = np.bincount(cells, grad.ravel(), (CLASSES + 1) * WIDTH).reshape(CLASSES + 1, WIDTH)
-        return loss, out
-
-    def train(self, parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float, batch: int = BATCH) -> int:
-        """Adam steps in place over all windows (x, y, w) as they come, again until LEAST_STEPS are done; the number of windows."""
-        m = {n: np.zeros_like(v) for n, v in self.p.items()}
-        s = {n: np.zeros_like(v) for n, v in self.p.items()}
-        t = total = 0
-        held = []  # parts, while they are few enough to be needed again
-
-        def steps(part: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-            nonlocal t
-            for at in range(0, len(part[0]), batch):
-                t += 1
-                for n, g in self.gradient(*(v[at : at + batch] for v in part))[1].items():
-                    m[n] = 0.9 * m[n] + 0.1 * g
-                    s[n] = 0.99 * s[n] + 0.01 * g * g
-                    self.p[n] -= (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-
-        for part in parts:
-            total += len(part[0])
-            steps(part)
-            held = [*held, part] if t < LEAST_STEPS else []
-        while total and t < LEAST_STEPS:
-            for part in held:
-                steps(part)
-        return total
+        gs = gz @ v.transpose(0, 2, 1)
+        gs *= a
+        gq, gk = gs @ self.k.take(x, 0), gs.transpose(0, 2, 1) @ self.q.take(x, 0)
+        cells = self.cells.take(x, 0).ravel()
+        q, k, v = (np.bincount(cells, y.ravel(), (CLASSES + 1) * WIDTH).reshape(-1, WIDTH) for y in (gq, gk, gv))
+        d = np.bincount(self.gap.ravel(), gs.sum(0).ravel(), SPAN)
+        q[CLASSES] = k[CLASSES] = 0  # the pad meets itself alone
+        parts = q, k, v[:, :-1], d, (zs.T @ one)[:-1], one.sum(0), s[:, :-1], t
+        return -float(lp @ w), np.concatenate([np.asarray(x, np.float64).ravel() for x in parts])
 
     def log_prob(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural-log probability of each text; ``ids`` are the texts' ids one after the other.
@@ -291,20 +292,20 @@ class AttentionModel:
         first = np.repeat(ends - lengths, blocks)
         size = np.repeat(lengths, blocks)
         k = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        cls = self.cls[ids].astype(np.int64)
+        cls, goals = self.cls.take(ids).astype(np.int64), self.out.take(ids)
         out = np.zeros(len(lengths))
         doc = np.repeat(np.arange(len(lengths)), blocks)
-        for at in range(0, len(k), STEP):
-            f, n, b = first[at : at + STEP], size[at : at + STEP], k[at : at + STEP]
+        for at in range(0, len(k), BATCH):
+            f, n, b = first[at : at + BATCH], size[at : at + BATCH], k[at : at + BATCH]
             place = (f + b * HALF)[:, None] + np.arange(-HALF - 1, HALF - 1)  # the ids before the scored ones
             x = cls.take(place, mode="clip")
             x[b == 0, : HALF + 1] = CLASSES
             x[b == 1, 0] = CLASSES
             place = place[:, HALF:] + 1
-            goal = ids.take(place, mode="clip")
-            there = place < (f + n)[:, None]
-            lp = self.score(x, self.out.take(goal), slice(SPAN - HALF, SPAN)) + self.share[x[:, SPAN - HALF :], goal].astype(np.float32)
-            out += np.bincount(doc[at : at + STEP], np.where(there, lp, 0.0).sum(1, dtype=np.float64), len(lengths))
+            lp = self.score(x, goals.take(place, mode="clip"), slice(SPAN - HALF, SPAN))
+            lp += self.share.take(x[:, SPAN - HALF :] * VOCABULARY + ids.take(place, mode="clip"))
+            lp *= place < (f + n)[:, None]
+            out += np.bincount(doc[at : at + BATCH], lp.sum(1, dtype=np.float64), len(lengths))
         return out
 
 
@@ -320,9 +321,21 @@ def tiles(begins: np.ndarray, lengths: np.ndarray, shift: np.ndarray) -> tuple[n
     return first - np.repeat(shift, n) - 1 + k * SPAN, first, first + np.repeat(lengths, n)
 
 
-def train_model(docs: DataFrame, counts: DataFrame, ranks: bytes, rounds: int = ROUNDS) -> AttentionModel | None:
-    """Learns the model from all rows of ``docs`` (doc_id, text) and their word counts (w, c); None without any."""
-    spark = docs.sparkSession
+def _flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a column of uint16 bytes one after the other, and each row's number of them."""
+    lengths = np.asarray(pc.binary_length(ids)).astype(np.int64) // 2
+    return np.frombuffer(b"".join(x.as_buffer() for x in ids), np.uint16).astype(np.int64), lengths
+
+
+def train_model(texts: DataFrame, counts: DataFrame, ends: int, ranks: bytes, steps: int = STEPS) -> AttentionModel | None:
+    """Learns the model from all rows of ``texts`` (step, shift, ids) and their word counts (w, c); None without any.
+
+    ``ends`` is the number of texts; ``step`` and ``shift`` are numbers below
+    STEPS and SPAN that depend on nothing but the text's id.
+    """
+    if not ends:
+        return None
+    spark = texts.sparkSession
     held = spark.sparkContext.broadcast(ranks)
 
     def id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,30 +350,30 @@ def train_model(docs: DataFrame, counts: DataFrame, ranks: bytes, rounds: int =
     seen = np.zeros(VOCABULARY)
     for r in counts.mapInArrow(id_counts, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most VOCABULARY rows
         seen[r["id"]] = r["n"]
-    seen[END] = docs.count()
-    if not seen[END]:
-        return None
+    seen[END] = ends
     cls, _ = classes_of(seen)
     table = spark.sparkContext.broadcast(cls)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Class and next id in whole texts, summed over the task."""
-        cache, total = _Ids(held.value), np.zeros((CLASSES + 1) * VOCABULARY, np.int32)
+        total = np.zeros((CLASSES + 1) * VOCABULARY, np.int32)
+        one = np.int32(1)
         for batch in batches:
-            for part in slices(batch, "text"):
-                t = Subwords(part.column(1), cache)
-                before = np.empty(len(t.ids), np.int64)
-                before[1:] = table.value[t.ids[:-1]]
-                before[t.begins] = CLASSES
-                at, n = np.unique(before * VOCABULARY + t.ids, return_counts=True)
-                total[at] += n.astype(np.int32)
+            for part in slices(batch, "ids"):
+                ids, lengths = _flat(part.column(0))
+                before = np.empty(len(ids), np.int64)
+                before[1:] = table.value.take(ids[:-1])
+                before[np.cumsum(lengths) - lengths] = CLASSES
+                before *= VOCABULARY
+                before += ids
+                np.add.at(total, before, one)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 100_000):
             some = at[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["cell", "n"])
 
     # at most (CLASSES + 1) * VOCABULARY cells, as columns of numbers
-    sums = docs.mapInArrow(gather, "cell long, n long").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
+    sums = texts.select("ids").mapInArrow(gather, "cell long, n long").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
     nexts = np.zeros((CLASSES + 1) * VOCABULARY, np.float32)
     nexts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
     del sums
@@ -374,47 +387,49 @@ def train_model(docs: DataFrame, counts: DataFrame, ranks: bytes, rounds: int =
     share = nexts.astype(np.float16)  # of an id in its outcome, after each class
     del nexts
     start = (cells.sum(0) + 0.5) / (cells.sum() + 0.5 * OUTCOMES)
-    bigram = np.log((cells + 10 * start) / (cells.sum(1, keepdims=True) + 10)).astype(np.float32)
-    model = AttentionModel(cls, out, share, bigram)
-    shapes = [(n, s, int(np.prod(s))) for n, s in model.SHAPES]
-    size = sum(x for *_, x in shapes)
-    for r in range(rounds):
-        now = spark.sparkContext.broadcast((AttentionModel(cls, out, None, bigram, model.p), r))
-
-        def learn(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            model, r = now.value
-            mine = AttentionModel(model.cls, model.out, model.share, model.bigram, {n: v.copy() for n, v in model.p.items()})
-
-            def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-                cache, rng = _Ids(held.value), np.random.default_rng(r)
-                for batch in batches:
-                    for part in slices(batch, "text"):
-                        t = Subwords(part.column(0), cache)
-                        at, low, high = tiles(t.begins, t.lengths, rng.integers(0, SPAN, len(t.lengths)))
-                        order = rng.permutation(len(at))
-                        for some in np.array_split(order, -(-len(order) // 4096)):
-                            place = at[some, None] + np.arange(SPAN + 1)
-                            there = (place >= low[some, None]) & (place < high[some, None])
-                            ids = t.ids.take(place, mode="clip")
-                            yield np.where(there, mine.cls[ids], CLASSES)[:, :-1].astype(np.int64), mine.out[ids[:, 1:]], there[:, 1:].astype(np.float32)
-
-            total = mine.train(parts(), RATE / (1 + r))
-            if total:
-                flat = np.concatenate([mine.p[n].ravel() for n, *_ in shapes]).astype(np.float64) * total
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(np.append(flat, total))], names=["i", "w"])
-
-        flat = np.zeros(size + 1)
-        texts = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(rounds)) == r).select("text")
-        for row in texts.mapInArrow(learn, "i int, w double").groupBy("i").agg(F.sum("w").alias("w")).collect():  # one row per parameter
-            flat[row["i"]] = row["w"]
-        if not flat[-1]:  # no text in this round
+    joint = ((cells + 10 * start) / (cells.sum(1, keepdims=True) + 10)).reshape(-1, GROUPS, MEMBERS)
+    whole = joint.sum(2)
+    groups, members = np.log(whole), np.log(joint / whole[:, :, None])
+    flat = AttentionModel(cls, out, None, groups, members).flat
+    mean, square, done = np.zeros_like(flat), np.zeros_like(flat), 0
+    fixed = spark.sparkContext.broadcast((cls, out, groups, members))
+    for r in range(steps):
+        now = spark.sparkContext.broadcast(flat)
+
+        def slope(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            """The task's summed gradient and weight."""
+            cls, out, groups, members = fixed.value
+            model = AttentionModel(cls, out, None, groups, members, now.value)
+            total, weight = np.zeros(AttentionModel.SIZE), 0.0
+            for batch in batches:
+                for part in slices(batch, "ids", 1 << 20):
+                    ids, lengths = _flat(part.column(0))
+                    classes, goals = cls.take(ids).astype(np.int64), out.take(ids)
+                    at, low, high = tiles(np.cumsum(lengths) - lengths, lengths, part.column(1).to_numpy().astype(np.int64))
+                    for k in range(0, len(at), BATCH):
+                        some = slice(k, k + BATCH)
+                        place = at[some, None] + np.arange(SPAN + 1)
+                        there = (place >= low[some, None]) & (place < high[some, None])
+                        x = np.where(there, classes.take(place, mode="clip"), CLASSES)[:, :-1]
+                        w = there[:, 1:].astype(np.float32)
+                        total += model.gradient(x, goals.take(place[:, 1:], mode="clip"), w)[1]
+                        weight += float(w.sum())
+            if weight:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) + 1, dtype=np.int32)), pa.array(np.append(total, weight))], names=["i", "w"])
+
+        sums = np.zeros(len(flat) + 1)
+        part = texts.where(F.col("step") == r) if steps > 1 else texts
+        for row in part.select("ids", "shift").mapInArrow(slope, "i int, w double").groupBy("i").agg(F.sum("w").alias("w")).collect():  # one row per parameter
+            sums[row["i"]] = row["w"]
+        now.unpersist()
+        if not sums[-1]:  # no text in this step
             continue
-        flat = flat[:-1] / flat[-1]
-        at = 0
-        for n, s, x in shapes:
-            model.p[n] = flat[at : at + x].reshape(s).astype(np.float32)
-            at += x
-    return model
+        done += 1
+        g = sums[:-1] / sums[-1]
+        mean, square = MEAN * mean + (1 - MEAN) * g, SQUARE * square + (1 - SQUARE) * g * g
+        rate = RATE * (1 - r / steps)
+        flat = flat - rate * (mean / (1 - MEAN**done)) / (np.sqrt(square / (1 - SQUARE**done)) + 1e-8)
+    return AttentionModel(cls, out, share, groups, members, flat)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -426,69 +441,81 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model's log10 probability of the same words and end as subword ids. A null
     text is empty: one token, the end. A null id is not held out. Without
     training texts base_score and score are 0. Repeated rows score alike (and
-    count twice in training); an empty table gives no rows.
+    count twice in training); other columns are ignored; an empty table gives
+    no rows. A long text is one row of ids, scored batch by batch.
     """
     spark = docs.sparkSession
     ranks = read_ranks(tokenizer)
-    crc = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
     docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    crc = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
     held = F.coalesce(F.pmod(crc, F.lit(7)) == 2, F.lit(False))
-    with small_batches(spark):
-        learn = docs.where(~held)
+    docs = docs.select(
+        "doc_id", held.alias("held_out"), F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(STEPS)).cast("int").alias("step"),
+        F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(SPAN)).cast("int").alias("shift"), "text",
+    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text", 4 << 20):
-                    t = Subwords(part.column(0), None)
-                    n = np.bincount(t.which, minlength=len(t.distinct))
-                    yield pa.RecordBatch.from_arrays([pa.array(t.distinct, pa.binary()), pa.array(n.astype(np.int64))], names=["w", "c"])
-
-        counts = cut(learn.select("text").mapInArrow(words, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")), "counts")
-        ends = learn.count()
-        sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-        total, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-        often = {bytes(r["w"]): r["c"] for r in counts.where(F.col("c") >= max(1.0, FREQUENT_SHARE * total)).toLocalIterator()}
-        model = train_model(learn, counts, ranks)
-    if model:  # with its final parameters
-        model = AttentionModel(model.cls, model.out, model.share, model.bigram, model.p)
-    known = spark.sparkContext.broadcast((often, model, ranks))
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                t = Subwords(part.column(0), None)
+                n = np.bincount(t.which, minlength=len(t.distinct))
+                yield pa.RecordBatch.from_arrays([pa.array(t.distinct, pa.binary()), pa.array(n.astype(np.int64))], names=["w", "c"])
+
+    with small_batches(spark):
+        counts = cut(docs.where(~F.col("held_out")).select("text").mapInArrow(words, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")), "counts")
+    ends = docs.where(~F.col("held_out")).count()
+    sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
+    often = {bytes(r["w"]): math.log10(r["c"] + 1) for r in counts.where(F.col("c") >= max(1.0, FREQUENT_SHARE * total)).toLocalIterator()}
+    known = spark.sparkContext.broadcast((often, ranks))
     floor = math.log10(total + distinct + 1) if total else 0.0
     end_score = math.log10(ends + 1) - floor if total else 0.0
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, model, ranks = known.value
-        cache = _Ids(ranks)
-        logs = {w: math.log10(c + 1) for w, c in often.items()}
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of each text, the base score of its frequent words, and its other words with their counts."""
+        logs, ranks = known.value
+        cache, row = _Ids(ranks), TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "text"):
-                t = Subwords(part.column(2), cache)
+                t = Subwords(part.column(4), cache)
                 docs_, doc = len(t.words.count), t.words.doc
                 lg = np.array([logs.get(x, -1.0) for x in t.distinct])
                 seen = lg[t.which] >= 0 if len(lg) else np.zeros(0, bool)
                 tokens = t.words.count + 1
                 hits = np.bincount(doc[seen], minlength=docs_) + int(ends > 0)
                 base = np.bincount(doc[seen], lg[t.which[seen]], docs_) + (end_score + floor) * (total > 0) - floor * tokens
-                # words below the share: their counts in each text
                 width = max(len(t.distinct), 1)
                 pair, n = np.unique(doc[~seen] * width + t.which[~seen], return_counts=True)
                 cuts = pa.array(np.searchsorted(pair, np.arange(docs_ + 1) * width).astype(np.int32))
                 rare = pa.ListArray.from_arrays(cuts, pa.array([t.distinct[i] for i in (pair % width).tolist()], pa.binary()))
                 times = pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int64)))
-                lp = model.log_prob(t.ids, t.lengths) / LN10 if model else np.zeros(docs_)
+                flat = t.ids.astype(np.uint16)
+                ids = pa.Array.from_buffers(pa.binary(), docs_, [None, pa.py_buffer(np.append(0, 2 * np.cumsum(t.lengths)).astype(np.int32)), pa.py_buffer(flat)])
                 arrays = [
-                    part.column(0), part.column(1), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(lp, pa.float64()),
-                    rare, times,
+                    pa.array(np.arange(row, row + docs_)), *part.columns[:4], pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), ids, rare, times,
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "hits", "base", "score", "rare", "times"])
+                row += docs_
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "held_out", "step", "shift", "n_tokens", "hits", "base", "ids", "rare", "times"])
 
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, hits long, base double, score double, rare array<binary>, times array<long>"
+    schema = f"key long, doc_id {kind}, held_out boolean, step int, shift int, n_tokens long, hits long, base double, ids binary, rare array<binary>, times array<long>"
     with small_batches(spark):
-        scored = cut(docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(score, schema), "scored")
-    # words below the share are looked up by a join; equal rows are one group, so key on all they have
-    key = F.xxhash64("doc_id", "n_tokens", "score", "rare", "times")
-    scored = scored.withColumn("key", key)
-    pieces = scored.dropDuplicates(["key"]).select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("w"), F.col("x.times").alias("t"))
+        encoded = cut(docs.mapInArrow(encode, schema), "encoded")
+    model = train_model(encoded.where(~F.col("held_out")).select("step", "shift", "ids"), counts, ends, ranks)
+    judge = spark.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = judge.value
+        for batch in batches:
+            for part in slices(batch, "ids"):
+                ids, lengths = _flat(part.column(6))
+                lp = model.log_prob(ids, lengths) / LN10 if model else np.zeros(len(lengths))
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(lp, pa.float64())], names=["key", "doc_id", "held_out", "n_tokens", "hits", "base", "score"])
+
+    scored = encoded.select("key", "doc_id", "held_out", "n_tokens", "hits", "base", "ids")
+    scored = scored.mapInArrow(score, f"key long, doc_id {kind}, held_out boolean, n_tokens long, hits long, base double, score double")
+    # words below the share are looked up by a join
+    pieces = encoded.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("w"), F.col("x.times").alias("t"))
     found = pieces.join(counts, "w").groupBy("key").agg(F.sum("t").alias("more"), F.sum(F.col("t") * F.log10(F.col("c") + 1)).alias("plus"))
     out = scored.join(found, "key", "left")
     return out.select(

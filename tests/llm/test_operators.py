@@ -256,31 +256,82 @@ def test_lm_scores(make, corpus):
         assert r["base_score"] == pytest.approx(base) and r["score"] < 0
 
 
+def random_model(seed=2):
+    rng = np.random.default_rng(seed)
+    cls, _ = lm_scoring.classes_of(rng.random(lm_scoring.VOCABULARY))
+    out = rng.integers(0, lm_scoring.OUTCOMES, lm_scoring.VOCABULARY)
+    share = rng.normal(size=(lm_scoring.CLASSES + 1, lm_scoring.VOCABULARY)).astype(np.float16)
+    joint = rng.random((lm_scoring.CLASSES + 1, lm_scoring.GROUPS, lm_scoring.MEMBERS))
+    joint /= joint.sum((1, 2), keepdims=True)
+    whole = joint.sum(2)
+    flat = rng.normal(0, 0.3, lm_scoring.AttentionModel.SIZE)
+    return lm_scoring.AttentionModel(cls, out, share, np.log(whole), np.log(joint / whole[:, :, None]), flat)
+
+
+def plain_log_prob(m, ids):
+    """The score of one text, id by id and in plain loops: positions of a block of HALF see what of SPAN ids lies before them."""
+    p, at = {}, 0
+    for name, shape in m.SHAPES:
+        n = int(np.prod(shape))
+        p[name] = m.flat[at : at + n].reshape(shape)
+        at += n
+    total, cls = 0.0, [lm_scoring.CLASSES] + [int(m.cls[i]) for i in ids]
+    for t, y in enumerate(ids):  # cls[t] is the context before id t
+        first = t // lm_scoring.HALF * lm_scoring.HALF + lm_scoring.HALF - lm_scoring.SPAN
+        places = [k for k in range(max(first, 0), t + 1) if (cls[k] == lm_scoring.CLASSES) == (cls[t] == lm_scoring.CLASSES)]
+        w = np.array([np.exp(p["q"][cls[t]] @ p["k"][cls[k]] if cls[t] != lm_scoring.CLASSES else 0.0) * np.exp(p["d"][t - k]) for k in places])
+        z = (w[:, None] * np.array([p["v"][cls[k]] for k in places])).sum(0) / w.sum()
+        g, j = divmod(int(m.out[y]), lm_scoring.MEMBERS)
+        one = z @ p["o"] + m.groups[cls[t]] + p["b"]
+        two = z @ p["s"][g] + m.members[cls[t], g] + p["t"][g]
+        total += one[g] - np.log(np.exp(one).sum()) + two[j] - np.log(np.exp(two).sum()) + float(m.share[cls[t], y])
+    return total
+
+
+def test_log_prob_against_plain_loops():
+    m, rng = random_model(), np.random.default_rng(4)
+    texts = [rng.integers(0, lm_scoring.VOCABULARY, n) for n in (1, 2, 15, 16, 17, 31, 33, 100)]
+    got = m.log_prob(np.concatenate(texts), np.array([len(x) for x in texts]))
+    assert got.tolist() == pytest.approx([plain_log_prob(m, x.tolist()) for x in texts], rel=1e-4)
+
+
 def test_attention_is_causal_and_normalised():
-    rng = np.random.default_rng(2)
-    cls, share = lm_scoring.classes_of(rng.random(lm_scoring.VOCABULARY))
-    nexts = rng.random((lm_scoring.CLASSES + 1, lm_scoring.VOCABULARY)).astype(np.float32)
-    out, _ = lm_scoring.outcomes_of(nexts)
-    big = rng.normal(size=(lm_scoring.CLASSES + 1, lm_scoring.OUTCOMES)).astype(np.float32)
-    m = lm_scoring.AttentionModel(cls, out, None, big)
-    m.p["o"] = rng.normal(size=m.p["o"].shape).astype(np.float32)
+    m, rng = random_model(), np.random.default_rng(3)
     x = rng.integers(0, lm_scoring.CLASSES, (2, lm_scoring.SPAN))
+    x[0, :7] = lm_scoring.CLASSES
     every = np.stack([m.score(x, np.full(x.shape, k), slice(0, lm_scoring.SPAN)) for k in range(lm_scoring.OUTCOMES)])
     assert np.allclose(np.exp(every).sum(0), 1, atol=1e-4)
     y = x.copy()
     y[:, 20:] = 0
     goal = np.zeros((2, 20), int)
     assert np.allclose(m.score(x, goal, slice(0, 20)), m.score(y, goal, slice(0, 20)), atol=1e-5)
-    loss, grad = m.gradient(x, x % lm_scoring.OUTCOMES, np.ones(x.shape, np.float32))
-    for name in ("o", "v", "q", "d"):
-        at = np.unravel_index(np.argmax(np.abs(grad[name])), grad[name].shape)
-        keep = m.p[name][at]
-        m.p[name][at] = keep + 1e-2
-        up = m.gradient(x, x % lm_scoring.OUTCOMES, np.ones(x.shape, np.float32))[0]
-        m.p[name][at] = keep - 1e-2
-        down = m.gradient(x, x % lm_scoring.OUTCOMES, np.ones(x.shape, np.float32))[0]
-        m.p[name][at] = keep
-        assert (up - down) / 2e-2 == pytest.approx(grad[name][at], rel=0.1)
+    goal = rng.integers(0, lm_scoring.OUTCOMES, x.shape)
+    weight = rng.random(x.shape).astype(np.float32)
+    weight[0, :3] = 0
+
+    def loss(flat):
+        return lm_scoring.AttentionModel(m.cls, m.out, None, m.groups, m.members, flat).gradient(x, goal, weight)
+
+    grad, at = loss(m.flat)[1], 0
+    for name, shape in m.SHAPES:
+        i = at + int(np.argmax(np.abs(grad[at : at + int(np.prod(shape))])))
+        at += int(np.prod(shape))
+        up, down = m.flat.copy(), m.flat.copy()
+        up[i] += 1e-2
+        down[i] -= 1e-2
+        assert (loss(up)[0] - loss(down)[0]) / 2e-2 == pytest.approx(grad[i], rel=0.05), name
+
+
+def test_scores_learn_and_do_not_depend_on_partitions(make):
+    rng = random.Random(1)
+    docs = [(i, " ".join(rng.choice(["the cat sat on", "a dog ran to", "the mat and", "then home"]) for _ in range(40))) for i in range(60)]
+    docs += [(100 + i, " ".join(rng.sample(docs[i][1].split(), 100))) for i in range(20)]
+    one = {r["doc_id"]: r for r in lm_scoring.score_texts(make(docs).repartition(1)).collect()}
+    many = {r["doc_id"]: r for r in lm_scoring.score_texts(make(docs).repartition(7, "text")).collect()}
+    for d, r in one.items():
+        assert many[d]["score"] == pytest.approx(r["score"], rel=1e-3) and many[d]["base_score"] == pytest.approx(r["base_score"])
+    per = {d: r["score"] / r["n_tokens"] for d, r in one.items()}
+    assert min(per[d] for d in range(60) if one[d]["held_out"]) > max(per[d] for d in range(100, 120))  # word order counts
 
 
 def brute_components(docs, percent):
