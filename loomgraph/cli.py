@@ -6,8 +6,10 @@ import argparse
 import json
 import os
 import sys
+from pathlib import Path
 
 from loomgraph.config import load_config, worker_count
+from loomgraph.functions import names
 
 
 def _session(workers: int):
@@ -16,10 +18,15 @@ def _session(workers: int):
     return SparkSession.builder.master(os.environ.get("SPARK_MASTER", f"local[{workers}]")).config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def numbers(text: str, kind: type = float) -> list:
+    """'1, 10,,100' -> numbers; blanks are skipped."""
+    return [kind(x) for x in text.split(",") if x.strip()]
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loomgraph")
     sub = p.add_subparsers(dest="command", required=True)
-    run = sub.add_parser("lpa", help="one run of label propagation")
+    run = sub.add_parser("lpa", help="one run of label propagation on an edge list or a graph artifact")
     bench = sub.add_parser("benchmark", help="repeated runs over a grid")
     for q in (run, bench):
         q.add_argument("input")
@@ -28,50 +35,75 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--seed", type=int)
         q.add_argument("--directed", action="store_true")
     run.add_argument("--fraction", type=float)
-    run.add_argument("--output")
+    run.add_argument("--approach", default="frame", help="frame or mode")
+    run.add_argument("--workers", type=int, help="cores of the local session")
+    run.add_argument("--output-partition", help="folder and stem of the communities and summary files")
     bench.add_argument("--fractions", default="100")
     bench.add_argument("--workers", default="")
+    bench.add_argument("--approaches", default="", help="comma-separated; default: all")
     bench.add_argument("--runs", type=int)
-    bench.add_argument("--append", action="store_true")
-    bench.add_argument("--output", default="results/metrics_raw.csv")
+    bench.add_argument("--append", action="store_true", help="go on with the latest campaign's files")
+    bench.add_argument("--run-stamp")
+    bench.add_argument("--output-csv")
+    bench.add_argument("--samples", help="folder of cached samples")
     rep = sub.add_parser("report", help="a Markdown report of a metrics file")
-    rep.add_argument("input")
-    rep.add_argument("--output", default="report.md")
+    rep.add_argument("--config")
+    rep.add_argument("--input-csv")
+    rep.add_argument("--output-md")
     return p
 
 
+def emit(result, load_s: float, arcs: int, stem: str | None) -> None:
+    """The result as one JSON line and, with ``stem``, as files."""
+    print(json.dumps(result.summary() | {"graph_load_time_s": load_s, "edge_count": arcs}))
+    if stem:
+        from loomgraph.sources.results import write_partition
+
+        write_partition(Path(stem).parent, Path(stem).name, result.labels, {"approach": "frame"} | result.summary())
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    cfg = load_config(a.config)
+    if a.command == "report":
+        from loomgraph.operators.report import write_report
+        from loomgraph.sources.edges import read_metrics
+
+        source, target = names.report_paths(cfg.output_dir, a.input_csv, a.output_md)
+        write_report(read_metrics(_session(worker_count(cfg)), str(source)), target)
+        print(f"Wrote {target}")
+        return 0
     if not os.path.exists(a.input):
         print(f"no such input: {a.input}", file=sys.stderr)
         return 1
-    cfg = load_config(getattr(a, "config", None))
     for name in ("max_iter", "seed"):
-        if getattr(a, name, None) is not None:  # 0 is a value
+        if getattr(a, name) is not None:  # 0 is a value
             setattr(cfg, name, getattr(a, name))
-    cfg.directed = cfg.directed or getattr(a, "directed", False)
-    spark = _session(worker_count(cfg))
-    if a.command == "report":
-        from loomgraph.operators.report import write_report
-        from loomgraph.sources.edges import read_metrics
-
-        write_report(read_metrics(spark, a.input), a.output)
-    elif a.command == "benchmark":
+    cfg.directed = cfg.directed or a.directed
+    if a.command == "benchmark":
         from loomgraph.plans.campaign import run_campaign
 
-        workers = [int(x) for x in a.workers.split(",") if x.strip()] or [worker_count(cfg)]
-        run_campaign(spark, a.input, a.output, cfg, [float(x) for x in a.fractions.split(",") if x.strip()], workers, cfg.runs if a.runs is None else a.runs, a.append)
-    else:
-        from loomgraph.operators.communities import payload
-        from loomgraph.plans.lpa import label_propagation
-        from loomgraph.sources.edges import load_graph
-
-        loaded = load_graph(spark, a.input, cfg.fraction_pct if a.fraction is None else a.fraction, cfg.seed, cfg.directed, cfg.restrict_to_lcc)
-        r = label_propagation(loaded.graph, cfg.max_iter, log=print)
-        print(json.dumps(r.summary() | {"graph_load_time_s": loaded.load_time_s, "edge_count": loaded.edge_count}))
-        if a.output:
-            with open(a.output, "w") as f:
-                json.dump(payload(r.labels, "spark"), f)
+        kept = names.read_stamp(cfg.output_dir) if a.append else None
+        stamp = a.run_stamp or kept or names.stamp_now()
+        out = Path(a.output_csv) if a.output_csv else names.metrics_csv(cfg.output_dir, stamp)
+        if not a.output_csv and not a.append:
+            names.write_stamp(cfg.output_dir, stamp)
+        workers = numbers(a.workers, int) or [worker_count(cfg)]
+        approaches = [x.strip() for x in a.approaches.split(",") if x.strip()] or None
+        log = names.run_log(cfg.output_dir, stamp)
+        run_campaign(
+            _session(worker_count(cfg)), a.input, out, cfg, numbers(a.fractions), workers, cfg.runs if a.runs is None else a.runs, a.append, approaches, log, stamp, a.samples
+        )
+        print(f"Wrote {out}\nWrote {log}\nPartitions: {names.partitions_dir(out.parent, stamp)}\nRun stamp: {stamp}")
+        return 0
+    from loomgraph.functions import estimates
+    from loomgraph.plans.lpa import label_propagation
+    from loomgraph.sources.edges import load_graph
+
+    spark = _session(worker_count(cfg, a.workers))
+    loaded = load_graph(spark, a.input, cfg.fraction_pct if a.fraction is None else a.fraction, cfg.seed, cfg.directed, cfg.restrict_to_lcc)
+    print(estimates.report(estimates.estimate(spark, loaded.fraction_pct, loaded.node_count, loaded.edge_count)), file=sys.stderr)
+    emit(label_propagation(loaded.graph, cfg.max_iter, log=lambda x: print(x, file=sys.stderr), approach=a.approach), loaded.load_time_s, loaded.edge_count, a.output_partition)
     return 0
 
 

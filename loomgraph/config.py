@@ -59,5 +59,6 @@ def run_seeds(cfg: Config, runs: int) -> list[int]:
     return [cfg.seed + i for i in range(runs)]
 
 
-def worker_count(cfg: Config) -> int:
-    return cfg.workers or os.cpu_count() or 1
+def worker_count(cfg: Config, given: int | None = None) -> int:
+    """Cores of a local session: as given, else as configured, else those of the machine."""
+    return given or cfg.workers or os.cpu_count() or 1

@@ -31,9 +31,15 @@ def throughput(nodes: Column, seconds: Column) -> Column:
 
 def number_list(s: Column, kind: str = "double") -> Column:
     """'1, 10,,100' -> array of numbers; blanks are skipped."""
-    return F.transform(F.filter(F.transform(F.split(s, ","), F.trim), lambda x: x != ""), lambda x: x.cast(kind))
+    return F.transform(F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: x.cast(kind))
 
 
 def first_given(*cols: Column) -> Column:
     """The first value that is neither null nor an empty string ('0' counts)."""
     return F.coalesce(*(F.nullif(c.cast("string"), F.lit("")) for c in cols))
+
+
+def figure_label(f: Column) -> Column:
+    """As figures are named: '100pct' from 100 on, else up to four decimals without closing zeros, '0.1' -> '0p1pct'."""
+    plain = F.regexp_replace(F.format_string("%.4f", f), r"\.?0+$", "")
+    return F.when(f >= 100, F.lit("100pct")).otherwise(F.concat(F.replace(plain, F.lit("."), F.lit("p")), F.lit("pct")))

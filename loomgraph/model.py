@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,34 @@ class Graph:
         ids = nodes.select(F.col(nodes.columns[0]).cast("long").alias("id")).distinct()
         return cls(ids, ids.select(F.col("id").alias("src"), F.col("id").alias("dst")).where("false"))
 
+    @classmethod
+    def from_csr(cls, spark: SparkSession, node_ids: list[int], indptr: list[int], neighbors: list[int], directed: bool = True) -> Graph:
+        """Adopts row pointers and neighbour positions (not ids) that are in memory."""
+        if len(indptr) != len(node_ids) + 1 or (len(indptr) and indptr[-1] != len(neighbors)):
+            raise ValueError("row pointers do not fit the nodes and neighbours")
+        ids = [int(x) for x in node_ids]
+        arcs = [(ids[i], ids[int(k)]) for i in range(len(ids)) for k in neighbors[indptr[i] : indptr[i + 1]]]
+        return cls(spark.createDataFrame([(x,) for x in ids], "id long"), spark.createDataFrame(arcs, "src long, dst long"), directed)
+
+    def contains(self, ids: DataFrame) -> DataFrame:
+        """(id, there): whether each of ``ids`` is a node."""
+        mine = self.nodes.select("id", F.lit(True).alias("there"))
+        return ids.select("id").join(mine, "id", "left").select("id", F.coalesce("there", F.lit(False)).alias("there"))
+
+    def index_of(self, ids: DataFrame) -> DataFrame:
+        """(id, idx): the rank of each of ``ids`` among the nodes, null where it is none."""
+        from loomgraph.operators.graph import dense_index
+
+        return ids.select("id").join(dense_index(self.nodes), "id", "left")
+
+    def neighbors(self, node: int) -> DataFrame:
+        """(id): the out-neighbours of a node in ascending order; none of an unknown one."""
+        return self.arcs.where(F.col("src") == node).select(F.col("dst").alias("id")).orderBy("id")
+
+    def degree(self, node: int) -> float:
+        """Out-degree of a node; 0 of an unknown one."""
+        return float(self.arcs.where(F.col("src") == node).count())
+
     def node_count(self) -> int:
         return self.nodes.count()
 
@@ -74,11 +102,20 @@ class LpaResult:
     """Labels, one row per iteration, and what a run is reported by."""
 
     labels: DataFrame
-    iterations: list[tuple[int, int, int, float]] = field(default_factory=list)
+    iterations: list[tuple[int, int, int, float | None]] = field(default_factory=list)
     converged: bool = True
     node_count: int = 0
     init_time_s: float = 0.0
     num_communities: int = 0
+    workers: int = 0
+    #: labels of the round before the last
+    previous: DataFrame | None = None
+    #: peak MB by host, where it was tracked
+    host_peaks: dict[str, float] = field(default_factory=dict)
+
+    def add_peaks(self, peaks: dict[str, float]) -> None:
+        for host, mb in peaks.items():
+            self.host_peaks[host] = max(mb, self.host_peaks.get(host, 0.0))
 
     @property
     def num_levels(self) -> int:
@@ -86,7 +123,11 @@ class LpaResult:
 
     @property
     def algorithm_time_s(self) -> float:
-        return sum(x[3] for x in self.iterations)
+        return sum(self.level_times())
+
+    def level_times(self) -> list[float]:
+        """Seconds of the rounds that ran."""
+        return [x[3] for x in self.iterations if x[3] is not None]
 
     @property
     def total_time_s(self) -> float:
@@ -102,5 +143,5 @@ class LpaResult:
         return {
             "node_count": self.node_count, "num_communities": self.num_communities, "num_levels": self.num_levels,
             "converged": self.converged, "init_time_s": self.init_time_s, "algorithm_time_s": self.algorithm_time_s,
-            "total_time_s": self.total_time_s, "level_times_s": [x[3] for x in self.iterations],
+            "total_time_s": self.total_time_s, "level_times_s": self.level_times(),
         }

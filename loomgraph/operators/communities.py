@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.model import LISTED_NODES
+from loomgraph.operators.graph import dense_index
+from loomgraph.store import cut
 
 
 def sizes(labels: DataFrame) -> DataFrame:
@@ -13,13 +15,19 @@ def sizes(labels: DataFrame) -> DataFrame:
 
 
 def communities(labels: DataFrame, include_node_ids: bool = True) -> DataFrame:
-    """(cluster_index, community_id, size[, node_ids]): largest first, then smallest id; members ascending."""
+    """(cluster_index, community_id, size[, node_ids]): largest first, then smallest id; members ascending.
+
+    Ranks are prefix sums over ranges of (size, id), so no task sees all
+    communities. A member list is one row: leave them out of large graphs.
+    """
     aggs = [F.count(F.lit(1)).alias("size")]
     if include_node_ids:
         aggs.append(F.sort_array(F.collect_list("id")).alias("node_ids"))
     got = labels.groupBy(F.col("label").alias("community_id")).agg(*aggs)
-    rank = F.row_number().over(Window.orderBy(F.desc("size"), "community_id"))
-    return got.withColumn("cluster_index", rank).select("cluster_index", "community_id", "size", *(["node_ids"] if include_node_ids else []))
+    got = cut(got, "communities")
+    rank = dense_index(got.select(F.struct((-F.col("size")).alias("neg"), "community_id").alias("id")))
+    rank = rank.select(F.col("id.community_id").alias("community_id"), (F.col("idx") + 1).cast("int").alias("cluster_index"))
+    return got.join(rank, "community_id").select("cluster_index", "community_id", "size", *(["node_ids"] if include_node_ids else []))
 
 
 def payload(labels: DataFrame, approach: str | None = None) -> dict:
@@ -30,6 +38,11 @@ def payload(labels: DataFrame, approach: str | None = None) -> dict:
     return out | ({"approach": approach} if approach else {})
 
 
+def payload_of(spark: SparkSession, mapping: dict[int, int], approach: str | None = None) -> dict:
+    """The nested result of a label map; an empty map has no clusters."""
+    return payload(spark.createDataFrame(list(mapping.items()), "id long, label long"), approach)
+
+
 def size_stats(labels: DataFrame) -> DataFrame:
     """(communities, min, p50, p95, max): p50 and p95 by index into the ascending sizes.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def iteration_series(metrics: DataFrame) -> DataFrame:
     return metrics.select("run_index", F.posexplode(F.from_json("level_times_json", "array<double>")).alias("iter", "seconds"))
 
 
-#: What a run logs of an iteration.
-LOG_LINE = r"\[([\w-]+)\] iter=(\d+) changed=(\d+)/(\d+) \([\d.]+%\) elapsed=([\d.]+)s"
+#: Fixed format: what a run logs of an iteration.
+LOG_LINE = r"\[([\w-]+)\]\[iter=(\d+)\] changed=(\d+)/(\d+) \([\d.]+%\) workers=\d+ elapsed=([\d.]+)s"
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -53,6 +55,16 @@ def parse_log(lines: DataFrame) -> DataFrame:
     )
 
 
+def convergence_series(lines: DataFrame) -> DataFrame:
+    """(backend, iter, changed): the mean number of nodes that changed in an iteration over the logged runs."""
+    return parse_log(lines).groupBy("backend", "iter").agg(F.avg("changed").alias("changed"))
+
+
+def by_fraction(metrics: DataFrame, fraction_pct: float) -> DataFrame:
+    """The rows of one fraction, compared as numbers."""
+    return metrics.where(F.col("fraction_pct").cast("double") == F.lit(float(fraction_pct)))
+
+
 def timing_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("approach").agg(F.min("seconds").alias("min_s"), F.median("seconds").alias("median_s"), F.max("seconds").alias("max_s"), F.sum("seconds").alias("sum_s"))
 
@@ -87,16 +99,29 @@ def markdown_table(rows: list[dict], columns: list[str]) -> str:
     return "\n".join([*lines, *("| " + " | ".join(show(r.get(c)) for c in columns) + " |" for r in rows)])
 
 
-def write_report(metrics: DataFrame, path: str) -> None:
-    """A Markdown report of a campaign: statistics per group, throughput by workers, failures."""
+def _titled(title: str, rows: list[dict], columns: list[str]) -> list[str]:
+    return ["", f"## {title}", "", markdown_table(rows, columns)] if rows else []
+
+
+def write_report(metrics: DataFrame, path: str | Path) -> None:
+    """A Markdown report of a campaign: statistics per group, memory per host, partitions, throughput and memory by workers, failures.
+
+    Groups are in the order of their fractions as numbers.
+    """
+    ok = metrics.where("status = 'success'")
     stats = [r.asDict() for r in group_stats(metrics).orderBy("approach", "fraction_pct").collect()]
-    parts = ["# Benchmark report", "", "## Runs", "", markdown_table(stats, ["approach", "fraction_pct", "runs", "total_mean", "total_sd", "algo_mean", "algo_sd", "tree_mean", "throughput_mean", "communities_mean"])]
+    names = ["total_mean", "total_sd", "algo_mean", "algo_sd", "tree_mean", "tree_sd", "driver_mean", "driver_sd", "throughput_mean", "throughput_sd", "communities_mean"]
+    parts = ["# Benchmark report", *_titled("Runs", stats, ["approach", "fraction_pct", "runs", *names])]
+
+    def runs(column: str) -> list[dict]:
+        return [r.asDict() for r in ok.where(F.col(column).isNotNull() & (F.col(column).cast("string") != "")).orderBy("approach", "fraction_pct", "run_index").collect()]
+
+    parts += _titled("Memory per host (peak MB)", runs("peak_cluster_rss_mb"), ["approach", "fraction_pct", "run_index", "peak_cluster_rss_mb", "vm_peaks_json"])
+    parts += _titled("Partitions", runs("communities_json"), ["approach", "fraction_pct", "run_index", "num_communities", "communities_json"])
     if "workers_requested" in metrics.columns:
-        for a in sorted({s["approach"] for s in stats}):
-            pivot = scalability_pivot(metrics, a, "throughput_nodes_per_s")
-            parts += ["", f"## Throughput by workers: {a}", "", markdown_table([r.asDict() for r in pivot.orderBy("fraction_pct").collect()], pivot.columns)]
-    bad = [r.asDict() for r in failures(metrics).collect()]
-    if bad:
-        parts += ["", "## Failed runs", "", markdown_table(bad, ["approach", "fraction_pct", "run_index", "error_message"])]
-    with open(path, "w") as f:
-        f.write("\n".join(parts) + "\n")
+        for title, value, scale in (("Throughput by workers (nodes a second)", "throughput_nodes_per_s", 1.0), ("Memory by workers (GB)", "peak_process_tree_rss_mb", 1 / 1024)):
+            for a in sorted({s["approach"] for s in stats}):
+                pivot = scalability_pivot(metrics, a, value, scale)
+                parts += _titled(f"{title}: {a}", [r.asDict() for r in pivot.orderBy("fraction_pct").collect()], pivot.columns)
+    parts += _titled("Failed runs", [r.asDict() for r in failures(metrics).collect()], ["approach", "fraction_pct", "run_index", "error_message"])
+    Path(path).write_text("\n".join([*parts, "", "Seeds change the order of work, never the labels: runs differ in time and memory alone.", ""]))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
-from loomgraph.operators.graph import induced, symmetrize
+from loomgraph.operators.graph import dense_index, induced, symmetrize
 from loomgraph.store import cut
 
 
@@ -26,6 +24,10 @@ def restrict_to_lcc(edges: DataFrame) -> tuple[DataFrame, int]:
     return induced(edges, ids), every.join(ids, "id", "left_anti").count()
 
 
+#: Layers of a search that are one frame each before they are written together.
+LAYERS = 16
+
+
 def bfs_distances(edges: DataFrame, start: int, nodes: DataFrame | None = None, at_least: int | None = None) -> DataFrame:
     """(id, dist) of the nodes reachable from ``start``, direction ignored.
 
@@ -49,6 +51,8 @@ def bfs_distances(edges: DataFrame, start: int, nodes: DataFrame | None = None,
         if not n:
             break
         seen, total = seen.unionAll(front), total + n
+        if depth % LAYERS == 0:  # else the plan grows with the depth
+            seen = cut(seen, "bfs")
     return seen
 
 
@@ -77,9 +81,6 @@ def connected_sample(edges: DataFrame, nodes: DataFrame, fraction_pct: float, se
     last = dist.agg(F.max("dist")).first()[0]
     inner = dist.where(F.col("dist") < last)
     need = k - inner.count()
-    # only the last layer is cut; ids below the k-th key stay
-    return inner.select("id").unionAll(dist.where(F.col("dist") == last).orderBy(order, "id").limit(max(0, need)).select("id"))
-
-
-def percent_of(part: int, whole: int) -> float:
-    return 100.0 * part / whole if whole else math.nan
+    # only the last layer is cut, by ranks in ranges of its keys: no task sees all of it
+    edge = dense_index(dist.where(F.col("dist") == last).select(F.struct(order.alias("key"), "id").alias("id")))
+    return inner.select("id").unionAll(edge.where(F.col("idx") < max(0, need)).select(F.col("id.id").alias("id")))

@@ -10,10 +10,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.model import Graph, LpaResult
+from loomgraph.plans.memory import worker_peaks
 from loomgraph.store import cut, drop
 
 #: Below this share of changed nodes only the nodes that see a change vote again.
@@ -44,69 +45,128 @@ def step_subset(arcs: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFra
     return labels.join(mine, "id", "left_semi").join(votes(part, labels), "id", "left").select("id", F.coalesce("best", "label").alias("label"))
 
 
+def step_by_mode(arcs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label) after one round, each node's votes counted in one aggregate; the least of the most frequent wins."""
+    seen = arcs.join(labels.select(F.col("id").alias("dst"), "label"), "dst")
+    return seen.groupBy(F.col("src").alias("id")).agg(F.mode("label", True).alias("label"))
+
+
+#: Ways to run a round: counts per node and label, combined before the shuffle, or one aggregate per node.
+APPROACHES: dict[str, Callable[[DataFrame, DataFrame], DataFrame] | None] = {"frame": None, "mode": step_by_mode}
+
+
 def label_propagation(
     graph: Graph,
     max_iter: int = 100,
     log: Callable[[str], None] | None = None,
     run_step: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    approach: str = "frame",
+    track_memory: bool = False,
 ) -> LpaResult:
     """Runs up to ``max_iter`` rounds; the last, unchanged round counts as one.
 
     Exact shortcuts: a node votes again only if an out-neighbour has changed,
     once few have; and if a round restores the labels of two rounds before,
-    the rest alternates, so it is read off by parity. ``run_step`` replaces
-    the round, for other strategies. Each round's labels are written to the
-    shared folder, which survives lost executors; one row comes to the driver.
+    the rest alternates, so it is read off by parity; rounds that did not run
+    have no time. ``run_step`` replaces the round, for other strategies; it
+    returns (id, label) of the nodes that vote. Arcs are kept sorted in
+    partitions by their target, so a round moves labels and not arcs. Each
+    round's labels are written to the shared folder, which survives lost
+    executors, and counted from there; one row comes to the driver.
     """
     began = time.time()
-    arcs = cut(graph.arcs, "arcs").persist()
-    state = cut(graph.initial_labels().withColumn("prev", F.lit(None).cast("long")), "labels")
-    total = state.count()
-    result = LpaResult(state.select("id", "label"), node_count=total, init_time_s=time.time() - began)
-    if not total:
-        return result
-    result.converged, changed = False, total
-    for it in range(1, max_iter + 1):
-        t = time.time()
-        labels = state.select("id", "label")
-        if run_step:
-            new = run_step(arcs, labels).withColumnRenamed("label", "new")
-        elif it > 1 and changed < DELTA_SHARE * total:
-            moved = state.where("label <> prev").select(F.col("id").alias("dst"))
-            near = arcs.join(moved, "dst", "left_semi").select("src").distinct()
-            new = votes(arcs.join(near, "src", "left_semi"), labels).withColumnRenamed("best", "new")
-        else:
-            new = votes(arcs, labels).withColumnRenamed("best", "new")
-        nxt = cut(
-            state.join(new, "id", "left").select("id", F.coalesce("new", "label").alias("label"), F.col("label").alias("prev"), F.col("prev").alias("prev2")),
-            "labels",
-        )
-        row = nxt.agg(F.count_if(F.col("label") != F.col("prev")).alias("changed"), F.count_if(~F.col("label").eqNullSafe(F.col("prev2"))).alias("off")).first()
-        drop(state)
-        state, changed = nxt, row["changed"]
-        result.iterations.append((it, changed, total, time.time() - t))
+    spark = graph.nodes.sparkSession
+    run_step = run_step or APPROACHES[approach]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    arcs = cut(graph.arcs, "arcs").repartition(n, "dst").sortWithinPartitions("dst").persist()
+    try:
+        state = cut(graph.initial_labels().withColumn("prev", F.col("label")), "labels")
+        total = state.count()
+        result = LpaResult(state.select("id", "label"), node_count=total, init_time_s=time.time() - began, workers=n)
+        result.previous = result.labels
+        if not total:
+            return result
         if log:
-            log(iteration_line(it, changed, total, result.iterations[-1][3]))
-        if not changed:
-            result.converged = True
-            break
-        if not row["off"] and not run_step:
-            # labels(it) == labels(it - 2): what follows alternates between the two
-            left = max_iter - it
-            result.iterations += [(it + k, changed, total, 0.0) for k in range(1, left + 1)]
-            if left % 2:
-                state = state.select("id", F.col("prev").alias("label"))
-            break
-    arcs.unpersist()
+            log(run_start(approach, total, n, max_iter, result.init_time_s))
+        result.converged, changed = False, total
+        for it in range(1, max_iter + 1):
+            t = time.time()
+            labels = state.select("id", "label")
+            if run_step:
+                new = run_step(arcs, labels).withColumnRenamed("label", "new")
+            elif it > 1 and changed < DELTA_SHARE * total:
+                moved = state.where("label <> prev").select(F.col("id").alias("dst"))
+                near = arcs.join(moved, "dst", "left_semi").select("src").distinct()
+                new = votes(arcs.join(near, "src", "left_semi"), labels).withColumnRenamed("best", "new")
+            else:
+                new = votes(arcs, labels).withColumnRenamed("best", "new")
+            nxt = cut(
+                state.join(new, "id", "left").select("id", F.coalesce("new", "label").alias("label"), F.col("label").alias("prev"), (F.lit(it == 1) | (F.coalesce("new", "label") != F.col("prev"))).alias("off")),
+                "labels",
+            )
+            row = nxt.agg(F.count_if(F.col("label") != F.col("prev")).alias("changed"), F.count_if("off").alias("off")).first()
+            drop(state)
+            state, changed = nxt.drop("off"), row["changed"]
+            result.iterations.append((it, changed, total, time.time() - t))
+            if log:
+                log(iteration_line(it, changed, total, n, result.iterations[-1][3], approach))
+            if track_memory:
+                result.add_peaks(worker_peaks(spark))
+            if not changed:
+                result.converged = True
+                break
+            if not row["off"] and not run_step:
+                # labels(it) == labels(it - 2): what follows alternates between the two
+                left = max_iter - it
+                result.iterations += [(it + k, changed, total, None) for k in range(1, left + 1)]
+                if left % 2:
+                    state = state.select("id", F.col("prev").alias("label"), F.col("label").alias("prev"))
+                break
+    finally:
+        arcs.unpersist()
     result.labels = state.select("id", "label")
+    result.previous = state.select("id", F.col("prev").alias("label"))
     result.num_communities = result.labels.agg(F.count_distinct("label")).first()[0]
     return result
 
 
-def iteration_line(it: int, changed: int, total: int, elapsed: float) -> str:
+def iterations_frame(spark: SparkSession, result: LpaResult) -> DataFrame:
+    """(iter, changed, total, elapsed_s); a round that was read off has no time."""
+    return spark.createDataFrame(result.iterations, "iter int, changed long, total long, elapsed_s double")
+
+
+# ---------------------------------------------------------------- fixed formats: what a run logs
+
+
+def runtime_line(backend: str, event: str, **fields: object) -> str:
+    return " ".join([f"[{backend}][{event}]", *(f"{k}={v}" for k, v in fields.items())])
+
+
+def run_start(backend: str, nodes: int, chunks: int, max_iter: int, init_s: float, seed: int | None = None) -> str:
+    given = {} if seed is None else {"seed": seed}
+    return runtime_line(backend, "start", nodes=nodes, chunks=chunks, max_iter=max_iter, init_s=f"{init_s:.2f}s", **given)
+
+
+def iteration_line(it: int, changed: int, total: int, workers: int, elapsed: float, backend: str = "lpa") -> str:
     pct = 100.0 * changed / total if total else 0.0
-    return f"iter={it} changed={changed}/{total} ({pct:.2f}%) elapsed={elapsed:.3f}s"
+    return f"[{backend}][iter={it}] changed={changed}/{total} ({pct:.1f}%) workers={workers} elapsed={elapsed:.2f}s"
 
 
-def iterations_frame(spark, result: LpaResult) -> DataFrame:
-    return spark.createDataFrame(result.iterations, "iter int, changed long, total long, elapsed_s double")
+def peaks_line(backend: str, peaks: dict[str, float]) -> str:
+    return runtime_line(backend, "vm-peaks", **{host: f"{mb:.0f}MB" for host, mb in sorted(peaks.items())})
+
+
+def summary_lines(result: LpaResult, backend: str = "lpa") -> list[str]:
+    """The end of a run: rounds and communities, sizes, times, and a warning where it did not converge."""
+    from loomgraph.operators.communities import size_stats
+
+    s = size_stats(result.labels).first()
+    times = sorted(x[3] for x in result.iterations if x[3] is not None) or [0.0]
+    half = len(times) // 2
+    middle = times[half] if len(times) % 2 else (times[half - 1] + times[half]) / 2
+    lines = [
+        runtime_line(backend, "done", iters=result.num_levels, converged=str(result.converged).lower(), communities=s["communities"]),
+        runtime_line(backend, "sizes", min=s["min_size"], p50=s["p50"], p95=s["p95"], max=s["max_size"]),
+        runtime_line(backend, "timing", iter_min=f"{times[0]:.2f}s", iter_median=f"{middle:.2f}s", iter_max=f"{times[-1]:.2f}s", total=f"{sum(times):.2f}s"),
+    ]
+    return lines if result.converged else [*lines, f"[{backend}][warn] max_iter reached, not converged"]

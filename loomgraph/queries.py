@@ -1,6 +1,8 @@
 """Named queries over the driver's tables, and the same results as DuckDB SQL.
 
-Graphs: g_part (parts bought together), g_bip (customers and parts), g_day
+Graphs, each of all rows of its tables: g_part (parts on consecutive lines of
+an order), g_bip (customers and the parts they ordered), g_nation (customers
+and suppliers with their nations: many components, each with a hub), g_day
 (consecutive customers of a day) and g_hour (consecutive users of an hour).
 """
 
@@ -45,17 +47,22 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def g_part(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity >= 40").select("l_orderkey", "l_partkey")
-    other = rows.withColumnRenamed("l_partkey", "dst")
-    return rows.join(other, "l_orderkey").where("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst").distinct()
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    return _t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("src <> dst").distinct()
 
 
 def g_bip(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey")
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     return rows.join(orders, "l_orderkey").select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
 
 
+def g_nation(spark: SparkSession, d: str) -> DataFrame:
+    customers = _t(spark, d, "customer").select((F.col("c_custkey") * 3).alias("src"), (F.col("c_nationkey").cast("long") * 3 + 2).alias("dst"))
+    suppliers = _t(spark, d, "supplier").select((F.col("s_suppkey") * 3 + 1).alias("src"), (F.col("s_nationkey").cast("long") * 3 + 2).alias("dst"))
+    return customers.unionAll(suppliers)
+
+
 def g_day(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy(F.date_trunc("day", "o_orderdate")).orderBy("o_orderkey")
     return _t(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.lead("o_custkey").over(w).alias("dst")).where("dst is not null")
@@ -66,9 +73,9 @@ def g_hour(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst")).where("dst is not null")
 
 
-_PART = """SELECT DISTINCT a.l_partkey AS u, b.l_partkey AS v FROM lineitem a JOIN lineitem b USING (l_orderkey)
-  WHERE a.l_returnflag = 'R' AND a.l_quantity >= 40 AND b.l_returnflag = 'R' AND b.l_quantity >= 40 AND a.l_partkey < b.l_partkey"""
-_BIP = "SELECT DISTINCT o_custkey * 2 AS u, l_partkey * 2 + 1 AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 49"
+_PART = """SELECT DISTINCT u, v FROM (SELECT l_partkey AS u, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS v FROM lineitem) WHERE u <> v"""
+_BIP = "SELECT DISTINCT o_custkey * 2 AS u, l_partkey * 2 + 1 AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
+_NATION = "SELECT c_custkey * 3 AS u, c_nationkey * 3 + 2 AS v FROM customer UNION ALL SELECT s_suppkey * 3 + 1, s_nationkey * 3 + 2 FROM supplier"
 _DAY = """SELECT * FROM (SELECT o_custkey AS u, lead(o_custkey) OVER (PARTITION BY date_trunc('day', o_orderdate) ORDER BY o_orderkey) AS v FROM orders)
   WHERE v IS NOT NULL"""
 _HOUR = """SELECT * FROM (SELECT user_id AS u, lead(user_id) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS v FROM events)
@@ -90,11 +97,13 @@ def _lpa(edges: str, k: int, directed: bool = False) -> str:
    (SELECT it, src, label, count(*) AS n FROM lpa JOIN va ON dst = id WHERE it < {k} GROUP BY it, src, label) GROUP BY it, src)"""
 
 
-def _cc(edges: str) -> str:
+def _cc(edges: str, rounds: int = 25) -> str:
+    """CTE comp(id, component): the least id within ``rounds`` steps, more than the graphs are wide."""
     return f"""WITH RECURSIVE {_with(edges)},
- cc AS (SELECT id, id AS comp FROM nodes UNION
-  SELECT dst, comp FROM cc JOIN a0 ON src = id WHERE comp < dst),
- comp AS (SELECT id, min(comp) AS component FROM cc GROUP BY id)"""
+ near AS (SELECT src, dst FROM a0 UNION ALL SELECT id, id FROM nodes),
+ cc AS (SELECT 0 AS it, id, id AS comp FROM nodes UNION ALL
+  SELECT it + 1, src, min(comp) FROM cc JOIN near ON dst = id WHERE it < {rounds} GROUP BY it, src),
+ comp AS (SELECT id, comp AS component FROM cc WHERE it = {rounds})"""
 
 
 _LCC = """ top AS (SELECT component AS c FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
@@ -105,6 +114,10 @@ def _part_labels(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     return lpa.label_propagation(Graph.from_edges(g_part(spark, d)), k).labels
 
 
+def _nation_labels(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+    return lpa.label_propagation(Graph.from_edges(g_nation(spark, d)), k).labels
+
+
 def _part_graph(spark: SparkSession, d: str) -> Graph:
     return Graph.from_edges(g_part(spark, d))
 
@@ -112,9 +125,9 @@ def _part_graph(spark: SparkSession, d: str) -> Graph:
 # ---------------------------------------------------------------- label propagation
 
 
-@_query(_lpa(_PART, 10) + " SELECT row_number() OVER (ORDER BY size DESC, community_id) AS cluster_index, community_id, size FROM (SELECT label AS community_id, count(*) AS size FROM lpa WHERE it = 10 GROUP BY label)")
+@_query(_lpa(_NATION, 10) + " SELECT row_number() OVER (ORDER BY size DESC, community_id) AS cluster_index, community_id, size FROM (SELECT label AS community_id, count(*) AS size FROM lpa WHERE it = 10 GROUP BY label)")
 def lpa_communities(spark, d):
-    return com.communities(_part_labels(spark, d), include_node_ids=False)
+    return com.communities(_nation_labels(spark, d), include_node_ids=False)
 
 
 @_query(_lpa(_PART, 9) + " SELECT id, label FROM lpa WHERE it = 9")
@@ -129,8 +142,9 @@ def lpa_labels_day(spark, d):
 
 @_query(
     _lpa(_PART, 6)
-    + """ SELECT b.it AS iter, sum((b.label <> a.label)::INT)::BIGINT AS changed, count(*) AS total
-  FROM lpa b JOIN lpa a ON b.id = a.id AND b.it = a.it + 1 GROUP BY b.it"""
+    + """, c AS (SELECT b.it AS iter, sum((b.label <> a.label)::INT)::BIGINT AS changed, count(*) AS total
+  FROM lpa b JOIN lpa a ON b.id = a.id AND b.it = a.it + 1 GROUP BY b.it)
+ SELECT * FROM c WHERE iter <= coalesce((SELECT min(iter) FROM c WHERE changed = 0), 6)"""
 )
 def lpa_iterations(spark, d):
     return lpa.iterations_frame(spark, lpa.label_propagation(_part_graph(spark, d), 6)).select("iter", "changed", "total")
@@ -138,20 +152,35 @@ def lpa_iterations(spark, d):
 
 @_query(_lpa(_BIP, 14) + " SELECT it, id, label FROM lpa WHERE it IN (13, 14)")
 def lpa_bipartite_parity(spark, d):
-    graph = Graph.from_edges(g_bip(spark, d))
-    odd, even = (lpa.label_propagation(graph, k).labels.select(F.lit(k).alias("it"), "id", "label") for k in (13, 14))
+    result = lpa.label_propagation(Graph.from_edges(g_bip(spark, d)), 14)
+    odd, even = (labels.select(F.lit(k).alias("it"), "id", "label") for k, labels in ((13, result.previous), (14, result.labels)))
     return odd.unionAll(even)
 
 
+@_query(_lpa(_HOUR, 6) + " SELECT id, label FROM lpa WHERE it = 6")
+def lpa_by_mode(spark, d):
+    return lpa.label_propagation(Graph.from_edges(g_hour(spark, d)), 6, approach="mode").labels
+
+
 @_query(_lpa(_DAY, 5, True) + " SELECT id, label FROM lpa WHERE it = 5")
 def lpa_directed(spark, d):
     return lpa.label_propagation(Graph.from_edges(g_day(spark, d), directed=True), 5).labels
 
 
-@_query(_lpa(_HOUR, 1) + " SELECT id, label FROM lpa WHERE it = 1 AND id % 2 = 0")
+#: Users whose events are worth more than the average event.
+_WORTHY = "SELECT user_id AS id FROM events GROUP BY user_id HAVING avg(value) > (SELECT avg(value) FROM events)"
+
+
+def _worthy(spark: SparkSession, d: str) -> DataFrame:
+    events = _t(spark, d, "events")
+    mean = events.agg(F.avg("value").alias("all"))
+    return events.groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("own")).join(F.broadcast(mean)).where("own > all").select("id")
+
+
+@_query(_lpa(_HOUR, 1) + f" SELECT id, label FROM lpa WHERE it = 1 AND id IN ({_WORTHY})")
 def lpa_single_step_subset(spark, d):
     graph = Graph.from_edges(g_hour(spark, d))
-    return lpa.step_subset(graph.arcs, graph.initial_labels(), graph.nodes.where("id % 2 = 0"))
+    return lpa.step_subset(graph.arcs, graph.initial_labels(), _worthy(spark, d))
 
 
 # ---------------------------------------------------------------- construction
@@ -204,11 +233,33 @@ def graph_dense_index(spark, d):
     return g.dense_index(_part_graph(spark, d).nodes)
 
 
-@_query(f"WITH {_with(_HOUR)} SELECT id, CASE WHEN id % 3 = 0 THEN id // 3 ELSE id END AS label FROM nodes")
+@_query(f"WITH {_with(_HOUR)}, given AS (SELECT user_id AS id, max(event_id) AS label FROM events WHERE user_id IN ({_WORTHY}) GROUP BY user_id) SELECT nodes.id, coalesce(label, nodes.id) AS label FROM nodes LEFT JOIN given USING (id)")
 def label_override(spark, d):
     graph = Graph.from_edges(g_hour(spark, d))
-    given = _t(spark, d, "events").select(F.col("user_id").alias("id")).distinct().where("id % 3 = 0")
-    return graph.labels_from(given.select("id", F.expr("id div 3").alias("label")).unionAll(spark.range(1).select((F.lit(-5)).cast("long"), "id")))
+    given = _t(spark, d, "events").select(F.col("user_id").alias("id"), "event_id").join(_worthy(spark, d), "id", "left_semi").groupBy("id").agg(F.max("event_id").alias("label"))
+    return graph.labels_from(given.unionAll(spark.range(1).select((F.lit(-5)).cast("long"), "id")))
+
+
+@_query(f"WITH {_with(_HOUR)} SELECT c_custkey AS id, c_custkey IN (SELECT id FROM nodes) AS there FROM customer")
+def graph_membership(spark, d):
+    return Graph.from_edges(g_hour(spark, d)).contains(_t(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+
+
+@_query(f"WITH {_with(_HOUR)}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM nodes) SELECT c_custkey AS id, idx FROM customer LEFT JOIN r ON id = c_custkey")
+def graph_node_index(spark, d):
+    return Graph.from_edges(g_hour(spark, d)).index_of(_t(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+
+
+@_query(f"WITH {_with(_HOUR)} SELECT dst AS id FROM a0 WHERE src = (SELECT min(id) FROM nodes)")
+def graph_neighbors(spark, d):
+    graph = Graph.from_edges(g_hour(spark, d))
+    return graph.neighbors(graph.nodes.agg(F.min("id")).first()[0])
+
+
+@_query(f"WITH {_with(_HOUR)} SELECT (SELECT count(*) FROM nodes) AS nodes, count(*) AS arcs FROM a0")
+def graph_counts(spark, d):
+    graph = Graph.from_edges(g_hour(spark, d))
+    return spark.createDataFrame([(graph.node_count(), graph.arc_count())], "nodes long, arcs long")
 
 
 def _chunks(order: str, parts: int) -> str:
@@ -234,24 +285,24 @@ def components(spark, d):
     return connected_components(g_part(spark, d))
 
 
-@_query(_cc(_PART) + " SELECT component, count(*) AS size FROM comp GROUP BY component")
+@_query(_cc(_NATION) + " SELECT component, count(*) AS size FROM comp GROUP BY component")
 def component_sizes(spark, d):
-    return connected_components(g_part(spark, d)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return connected_components(g_nation(spark, d)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-@_query(_cc(_BIP) + "," + _LCC + " SELECT id FROM lcc")
+@_query(_cc(_NATION) + "," + _LCC + " SELECT id FROM lcc")
 def lcc_nodes(spark, d):
-    return tr.largest_component(g_bip(spark, d))
+    return tr.largest_component(g_nation(spark, d))
 
 
-@_query(_cc(_PART) + "," + _LCC + " SELECT u AS src, v AS dst FROM e WHERE u IN (SELECT id FROM lcc) AND v IN (SELECT id FROM lcc)")
+@_query(_cc(_NATION) + "," + _LCC + " SELECT u AS src, v AS dst FROM e WHERE u IN (SELECT id FROM lcc) AND v IN (SELECT id FROM lcc)")
 def lcc_edges(spark, d):
-    return tr.restrict_to_lcc(g_part(spark, d))[0]
+    return tr.restrict_to_lcc(g_nation(spark, d))[0]
 
 
-@_query(_cc(_PART) + "," + _LCC + " SELECT (SELECT count(*) FROM nodes) - (SELECT count(*) FROM lcc) AS dropped")
+@_query(_cc(_NATION) + "," + _LCC + " SELECT (SELECT count(*) FROM nodes) - (SELECT count(*) FROM lcc) AS dropped")
 def lcc_dropped(spark, d):
-    return spark.createDataFrame([(tr.restrict_to_lcc(g_part(spark, d))[1],)], "dropped long")
+    return spark.createDataFrame([(tr.restrict_to_lcc(g_nation(spark, d))[1],)], "dropped long")
 
 
 _BFS = (
@@ -259,7 +310,7 @@ _BFS = (
     + ","
     + _LCC
     + """, first AS (SELECT id FROM lcc ORDER BY md5('42:' || id), id LIMIT 1),
- bfs AS (SELECT id, 0 AS dist FROM first UNION SELECT a0.dst, bfs.dist + 1 FROM bfs JOIN a0 ON a0.src = bfs.id WHERE bfs.dist < 40),
+ bfs AS (SELECT id, 0 AS dist FROM first UNION SELECT a0.dst, bfs.dist + 1 FROM bfs JOIN a0 ON a0.src = bfs.id WHERE bfs.dist < 12),
  dist AS (SELECT id, min(dist) AS dist FROM bfs GROUP BY id)"""
 )
 
@@ -270,7 +321,7 @@ def _start(nodes: DataFrame) -> int:
 
 @_query(_BFS + " SELECT id, dist FROM dist")
 def bfs_distances(spark, d):
-    edges = g_bip(spark, d)
+    edges = cut(g_bip(spark, d))
     return tr.bfs_distances(edges, _start(cut(tr.largest_component(edges))))
 
 
@@ -291,34 +342,34 @@ def induced_edges(spark, d):
 
 # ---------------------------------------------------------------- communities
 
-_SIZES = _lpa(_PART, 10) + ", s AS (SELECT label AS community_id, count(*) AS size FROM lpa WHERE it = 10 GROUP BY label)"
+_SIZES = _lpa(_NATION, 10) + ", s AS (SELECT label AS community_id, count(*) AS size FROM lpa WHERE it = 10 GROUP BY label)"
 
 
 @_query(_SIZES + " SELECT * FROM s")
 def community_sizes(spark, d):
-    return com.sizes(_part_labels(spark, d))
+    return com.sizes(_nation_labels(spark, d))
 
 
 @_query(_SIZES + ", l AS (SELECT list(size ORDER BY size) AS x, count(*) AS n FROM s) SELECT n AS communities, x[1] AS min_size, x[n // 2 + 1] AS p50, x[least(n - 1, floor(n * 0.95)::BIGINT) + 1] AS p95, x[n] AS max_size FROM l")
 def community_size_stats(spark, d):
-    return com.size_stats(_part_labels(spark, d))
+    return com.size_stats(_nation_labels(spark, d))
 
 
 @_query(_SIZES + " SELECT 10 AS k, round((SELECT sum(size) FROM (SELECT size FROM s ORDER BY size DESC, community_id LIMIT 10)) * 100.0 / sum(size), 9) AS share_pct FROM s")
 def topk_share(spark, d):
-    return com.top_share(_part_labels(spark, d)).select("k", F.round("share_pct", 9).alias("share_pct"))
+    return com.top_share(_nation_labels(spark, d)).select("k", F.round("share_pct", 9).alias("share_pct"))
 
 
 @_query(_SIZES + " SELECT size, count(*) AS communities FROM s GROUP BY size")
 def fingerprint(spark, d):
-    return com.fingerprint(_part_labels(spark, d))
+    return com.fingerprint(_nation_labels(spark, d))
 
 
-@_query(_lpa(_PART, 10) + """, l AS (SELECT id, label FROM lpa WHERE it = 10),
+@_query(_lpa(_NATION, 10) + """, l AS (SELECT id, label FROM lpa WHERE it = 10),
  p AS (SELECT a.label AS c, count(*) AS deg, sum((a.label = b.label)::INT) AS inner_ FROM a0 JOIN l a ON a.id = src JOIN l b ON b.id = dst GROUP BY a.label)
  SELECT round(sum(inner_ / m2 - (deg / m2) ** 2), 9) AS modularity FROM p, (SELECT sum(deg)::DOUBLE AS m2 FROM p)""")
 def modularity(spark, d):
-    graph = _part_graph(spark, d)
+    graph = Graph.from_edges(g_nation(spark, d))
     return com.modularity(graph.arcs, lpa.label_propagation(graph, 10).labels).select(F.round("modularity", 9).alias("modularity"))
 
 
@@ -377,10 +428,29 @@ def iteration_series(spark, d):
     return rep.iteration_series(rows)
 
 
+def _log_lines(spark: SparkSession, d: str) -> DataFrame:
+    line = F.format_string("2026-01-01T00:00:00Z [x] [%s][iter=%d] changed=%d/%d (1.0%%) workers=4 elapsed=%.2fs", "event_type", 1 + F.col("event_id") % 9, "user_id", F.col("user_id") + F.col("event_id"), (F.col("event_id") % 60) / 4.0)
+    return _t(spark, d, "events").select(line.alias("value"))
+
+
 @_query("SELECT event_type AS backend, (1 + event_id % 9)::INT AS iter, user_id AS changed, user_id + event_id AS total, (event_id % 60) / 4.0::DOUBLE AS elapsed_s FROM events")
 def log_parse(spark, d):
-    line = F.format_string("2026-01-01T00:00:00Z [%s] iter=%d changed=%d/%d (1.00%%) elapsed=%.3fs", "event_type", 1 + F.col("event_id") % 9, "user_id", F.col("user_id") + F.col("event_id"), (F.col("event_id") % 60) / 4.0)
-    return rep.parse_log(_t(spark, d, "events").select(line.alias("value")))
+    return rep.parse_log(_log_lines(spark, d))
+
+
+@_query("SELECT event_type AS backend, (1 + event_id % 9)::INT AS iter, round(avg(user_id), 6) AS changed FROM events GROUP BY ALL")
+def convergence_series(spark, d):
+    return rep.convergence_series(_log_lines(spark, d)).withColumn("changed", F.round("changed", 6))
+
+
+@_query(f"WITH {_METRICS} SELECT approach, run_index, total_time_s FROM m WHERE fraction_pct = 2")
+def metrics_by_fraction(spark, d):
+    return rep.by_fraction(metric_rows(spark, d), 2).select("approach", "run_index", "total_time_s")
+
+
+@_query("SELECT event_id, CASE WHEN props IS NULL OR props = '' THEN event_type ELSE props END AS given FROM events")
+def first_given(spark, d):
+    return _t(spark, d, "events").select("event_id", lab.first_given(F.col("props"), F.col("event_type")).alias("given"))
 
 
 @_query("SELECT event_type AS approach, round(min(value), 6) AS min_s, round(median(value), 6) AS median_s, round(max(value), 6) AS max_s, round(sum(value), 4) AS sum_s FROM events GROUP BY event_type")
@@ -420,10 +490,44 @@ def estimate_time(spark, d):
     return out.select("arcs", F.round("load_low_s", 9).alias("load_low_s"), F.round("load_high_s", 9).alias("load_high_s"))
 
 
-@_query(f"""WITH {_SIZES_OF} SELECT nodes, round(84.57 * pow(greatest(nodes / 163280.0, 1e-12), ln(84.57 / 2.26) / ln(163280.0 / 1632)), 6) AS low_s, round(84.57 * (nodes / 163280.0), 6) AS high_s FROM n""")
+#: The calibration figures of functions.estimates, spelled out.
+@_query(f"""WITH {_SIZES_OF} SELECT arcs, round(84.57 * pow(arcs / 1880997.0, ln(84.57 / 2.26) / ln(1880997.0 / 3910)), 6) AS low_s, round(84.57 * (arcs / 1880997.0), 6) AS high_s FROM n""")
 def estimate_extrapolated(spark, d):
     out = est.extrapolate(_size_rows(spark, d), "ray")
-    return out.select("nodes", F.round("low_s", 6).alias("low_s"), F.round("high_s", 6).alias("high_s"))
+    return out.select("arcs", F.round("low_s", 6).alias("low_s"), F.round("high_s", 6).alias("high_s"))
+
+
+@_query(f"""WITH {_SIZES_OF}, f AS (SELECT *, CASE WHEN nodes % 3 = 0 THEN 100.0 ELSE 10.0 END::DOUBLE AS fraction_pct FROM n)
+ SELECT fraction_pct, arcs, round(CASE WHEN fraction_pct >= 100 THEN 110.36 * pow(234000000 / 1880997.0, ln(110.36 / 7.76) / ln(1880997.0 / 3910)) ELSE arcs / 1880997.0 * 110.36 * 0.6 END, 6) AS low_s,
+ round(CASE WHEN fraction_pct >= 100 THEN 110.36 * (234370166 / 1880997.0) ELSE arcs / 1880997.0 * 110.36 END, 6) AS high_s FROM f""")
+def estimate_for_fraction(spark, d):
+    rows = _size_rows(spark, d).withColumn("fraction_pct", F.expr("cast(if(nodes % 3 = 0, 100, 10) as double)"))
+    return est.for_fraction(rows, "dask").select("fraction_pct", "arcs", F.round("low_s", 6).alias("low_s"), F.round("high_s", 6).alias("high_s"))
+
+
+@_query(f"""WITH {_SIZES_OF}, g AS (SELECT *, (8 * nodes + 4 + 4 * arcs) / 1048576.0 AS mb, (8 * 163280 + 4 + 4 * 1880997) / 1048576.0 AS ref FROM n)
+ SELECT nodes, arcs, round((8 * nodes + 4 + 16 * arcs) / 1048576.0 * 0.9 + 300, 6) AS load_peak_mb, round(greatest(200.0, 567.0 - ref) + mb * 1.1, 6) AS driver_mb, round(greatest(1.0, mb / ref) * 1578.0, 6) AS tree_mb FROM g""")
+def estimate_host(spark, d):
+    out = est.host_memory(_size_rows(spark, d), "ray")
+    return out.select("nodes", "arcs", *(F.round(c, 6).alias(c) for c in ("load_peak_mb", "driver_mb", "tree_mb")))
+
+
+@_query(f"WITH {_SIZES_OF} SELECT arcs, round((8 * nodes + 4 + 4 * arcs) / 1048576.0, 9) AS mb, round(arcs / 60.0, 9) AS minutes FROM n")
+def unit_conversions(spark, d):
+    rows = _size_rows(spark, d)
+    size = est.steady_bytes(F.col("nodes"), F.col("arcs"))
+    return rows.select("arcs", F.round(est.to_mb(size), 9).alias("mb"), F.round(est.to_minutes(F.col("arcs")), 9).alias("minutes"))
+
+
+@_query("SELECT o_orderkey, [o_orderkey::DOUBLE, o_custkey / 2] AS numbers FROM orders")
+def number_lists(spark, d):
+    text = F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(", ,"), (F.col("o_custkey") / 2).cast("string"), F.lit(","))
+    return _t(spark, d, "orders").select("o_orderkey", lab.number_list(text).alias("numbers"))
+
+
+@_query("SELECT c_custkey AS k, CASE WHEN c_custkey >= 400 THEN '100pct' ELSE replace(rtrim(rtrim(printf('%.2f', c_custkey / 4), '0'), '.'), '.', 'p') || 'pct' END AS label FROM customer")
+def figure_labels(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), lab.figure_label(F.col("c_custkey") / F.lit(4.0)).alias("label"))
 
 
 @_query("SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN (c_custkey // 4)::VARCHAR ELSE replace((c_custkey / 4.0)::DOUBLE::VARCHAR, '.', 'p') END AS label, c_custkey / 4.0::DOUBLE AS fraction FROM customer")
@@ -456,8 +560,6 @@ def edge_list_parse(spark, d):
     return src.parse_lines(_t(spark, d, "events").select(line.alias("value")))
 
 
-@_query(f"WITH {_with(_HOUR)} SELECT src, dst FROM a0 WHERE src % 2 = 1 AND dst % 2 = 1")
+@_query(f"WITH {_with(_HOUR)} SELECT src, dst FROM a0 WHERE src IN ({_WORTHY}) AND dst IN ({_WORTHY})")
 def edge_list_subset(spark, d):
-    edges = g_hour(spark, d)
-    odd = g.endpoints(edges).where("id % 2 = 1")
-    return Graph.from_edges(g.induced(edges, odd)).arcs
+    return Graph.from_edges(g.induced(g_hour(spark, d), _worthy(spark, d))).arcs

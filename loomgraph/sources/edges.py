@@ -8,9 +8,11 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import names
 from loomgraph.model import METRICS_SCHEMA, Graph, LoadResult
 from loomgraph.operators import graph as g
 from loomgraph.operators.traverse import connected_sample, restrict_to_lcc
+from loomgraph.store import cut
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_edges(spark: SparkSession, path: str, directed: bool = False, nodes: DataFrame | None = None) -> DataFrame:
-    """Edges, restricted to ``nodes`` and symmetrised unless directed."""
+    """Edges, restricted to ``nodes`` if given (none of them: no edges) and symmetrised unless directed."""
     edges = read_edge_list(spark, path)
     if nodes is not None:
         edges = g.induced(edges, nodes)
@@ -37,13 +39,17 @@ def collect_node_set(spark: SparkSession, path: str) -> DataFrame:
     return g.endpoints(read_edge_list(spark, path))
 
 
-def load_graph(spark: SparkSession, path: str, fraction_pct: float = 100.0, seed: int = 42, directed: bool = False, restrict: bool = True, format: str = "text") -> LoadResult:
+def load_graph(spark: SparkSession, path: str, fraction_pct: float = 100.0, seed: int = 42, directed: bool = False, restrict: bool = True, format: str = "auto") -> LoadResult:
     """Loads a graph: largest component (if ``restrict``), connected sample below 100 percent, arcs.
 
-    ``format`` is text or artifact; artifacts carry their own fraction.
+    ``format`` is text, artifact, or auto: artifact where the path is one;
+    artifacts carry their own fraction. Nodes and arcs are written to the
+    shared folder once, so that runs read them and do not build them anew.
     """
+    if format not in ("auto", "text", "artifact"):
+        raise ValueError(f"no such format: {format}")
     began = time.time()
-    if format == "artifact":
+    if format == "artifact" or format == "auto" and is_artifact(spark, path):
         graph, meta = read_artifact(spark, path)
         fraction_pct = meta.get("fraction_pct", 100.0)
     else:
@@ -51,29 +57,50 @@ def load_graph(spark: SparkSession, path: str, fraction_pct: float = 100.0, seed
         if restrict:
             edges = restrict_to_lcc(edges)[0]
         if fraction_pct < 100:
+            edges = cut(edges, "edges")
             edges = g.induced(edges, connected_sample(edges, g.endpoints(edges), fraction_pct, seed))
             edges = restrict_to_lcc(edges)[0]
         graph = Graph.from_edges(edges, directed)
+        arcs = cut(graph.arcs, "arcs")
+        graph = Graph(cut(g.endpoints(arcs), "nodes"), arcs, directed)
     n, m = graph.node_count(), graph.arc_count()
     return LoadResult(graph, time.time() - began, n, m, fraction_pct)
 
 
+def load_for_benchmark(
+    spark: SparkSession, path: str, fraction_pct: float, seed: int, slug: str, directed: bool = False, samples_dir: str | None = None, restrict: bool = True
+) -> LoadResult:
+    """An artifact as it is, whole graphs from the text, parts from a cached sample that is built where it is missing."""
+    if is_artifact(spark, path):
+        return load_graph(spark, path, format="artifact")
+    if fraction_pct >= 100:
+        return load_graph(spark, path, 100.0, seed, directed, restrict, "text")
+    at = names.sample_path(slug, fraction_pct, samples_dir)
+    ensure_fraction(spark, path, at, slug, fraction_pct, seed, directed)
+    return load_graph(spark, at, format="artifact")
+
+
 def write_artifact(graph: Graph, path: str, meta: dict | None = None) -> None:
     """Parquet nodes and arcs, and the metadata as one JSON line."""
     spark = graph.nodes.sparkSession
-    graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    graph.arcs.write.mode("overwrite").parquet(f"{path}/arcs")
+    nodes, arcs, at = names.artifact_paths(path)
+    graph.nodes.write.mode("overwrite").parquet(nodes)
+    graph.arcs.write.mode("overwrite").parquet(arcs)
     info = {"graph_directed": graph.directed, **(meta or {})}
-    spark.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    spark.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.mode("overwrite").text(at)
 
 
 def read_artifact(spark: SparkSession, path: str) -> tuple[Graph, dict]:
-    meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-    return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/arcs"), bool(meta.get("graph_directed"))), meta
+    """The graph and the metadata of an artifact; FileNotFoundError where there is none."""
+    if not is_artifact(spark, path):
+        raise FileNotFoundError(f"no graph artifact at {path}")
+    nodes, arcs, at = names.artifact_paths(path)
+    meta = json.loads(spark.read.text(at).first()["value"])
+    return Graph(spark.read.parquet(nodes), spark.read.parquet(arcs), bool(meta.get("graph_directed"))), meta
 
 
 def is_artifact(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(names.artifact_paths(path)[2])
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 

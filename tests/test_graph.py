@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomgraph import queries
@@ -14,7 +15,9 @@ from loomgraph.operators import graph as g
 from loomgraph.operators import report as rep
 from loomgraph.operators import traverse as tr
 from loomgraph.operators.components import connected_components
+from loomgraph.operators.skew import join_keyed
 from loomgraph.sources import edges as src
+from loomgraph.sources.generate import preferential_attachment
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,21 +85,86 @@ def test_artifact_round_trip_and_reuse(spark, tmp_path):
         src.ensure_fraction(spark, "x", at, "path", 100.0, 7)
 
 
+def test_artifact_paths_and_errors(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        src.read_artifact(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        src.load_graph(spark, str(tmp_path), format="other")
+    (tmp_path / "e.txt").write_text("0 1\n1 2\n0 2\n5 6\n")
+    whole = src.load_for_benchmark(spark, str(tmp_path / "e.txt"), 100.0, 1, "e", samples_dir=str(tmp_path / "s"))
+    assert (whole.node_count, whole.edge_count) == (3, 6) and not (tmp_path / "s").exists()
+    loose = src.load_graph(spark, str(tmp_path / "e.txt"), restrict=False, directed=True)
+    assert (loose.node_count, loose.edge_count) == (5, 4)
+    src.write_artifact(whole.graph, str(tmp_path / "a"), {"fraction_pct": 100.0})
+    again = src.load_for_benchmark(spark, str(tmp_path / "a"), 10.0, 1, "e")  # an artifact carries its own fraction
+    assert again.fraction_pct == 100.0 and pairs(again.graph.arcs) == pairs(whole.graph.arcs)
+
+
+def test_edge_reads(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("1 2\n2 3\n2 3\n3 9\n")
+    some = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    assert pairs(src.read_edges(spark, str(tmp_path / "e.txt"), directed=True)) == [(1, 2), (2, 3), (2, 3), (3, 9)]
+    assert pairs(src.read_edges(spark, str(tmp_path / "e.txt"), nodes=some)) == [(1, 2), (2, 1), (2, 3), (2, 3), (3, 2), (3, 2)]
+    assert src.read_edges(spark, str(tmp_path / "e.txt"), nodes=some.where("false")).count() == 0
+    assert sorted(r["id"] for r in src.collect_node_set(spark, str(tmp_path / "e.txt")).collect()) == [1, 2, 3, 9]
+
+
+def test_graph_lookups(spark):
+    graph = Graph.from_csr(spark, [3, 5, 9], [0, 2, 2, 3], [1, 2, 0])
+    assert pairs(graph.arcs) == [(3, 5), (3, 9), (9, 3)] and graph.degree(3) == 2.0 and graph.degree(5) == graph.degree(77) == 0.0
+    assert [r["id"] for r in graph.neighbors(3).collect()] == [5, 9] and graph.neighbors(77).count() == 0
+    asked = spark.createDataFrame([(9,), (4,)], "id long")
+    assert dict(pairs(graph.contains(asked))) == {9: True, 4: False} and dict(pairs_or_none(graph.index_of(asked))) == {9: 2, 4: None}
+    with pytest.raises(ValueError):
+        Graph.from_csr(spark, [1], [0], [])
+
+
+def pairs_or_none(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_generated_graph(spark):
+    edges = preferential_attachment(spark, 200, 3, 7)
+    graph = Graph.from_edges(edges)
+    assert edges.count() == 3 * 197 and graph.node_count() == 200 and graph.arc_count() == 6 * 197
+    assert pairs(edges) == pairs(preferential_attachment(spark, 200, 3, 7))
+    assert connected_components(edges).select("component").distinct().count() == 1
+
+
+def test_components_with_a_hot_centre(spark):
+    star = [(0, k) for k in range(1, 3000)] + [(5000, 5001), (5002, 5001)]
+    got = dict(pairs(connected_components(frame(spark, star))))
+    assert set(got.values()) == {0, 5000} and got[2999] == 0 and got[5002] == 5000
+
+
+def test_join_to_a_hot_key(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(5000)] + [(None, -1), (99, -2)], "k long, v long")
+    keyed = rows.where("k < 7").groupBy("k").count().withColumn("name", F.concat(F.lit("n"), "k"))
+    got = {r["v"]: r["name"] for r in join_keyed(rows, keyed, ["k"], "count", 5000).collect()}
+    assert len(got) == 5002 and got[-1] is None and got[-2] is None and got[0] == "n0" and got[13] == "n6"
+
+
+def test_layers_of_a_long_path(spark):
+    path = frame(spark, [(i, i + 1) for i in range(40)])
+    assert dict(pairs(tr.bfs_distances(path, 0))) == {i: i for i in range(41)}
+
+
 def test_communities(spark):
     labels = spark.createDataFrame([(1, 100), (2, 100), (3, 200), (4, 200), (5, 200)], "id long, label long")
     first = com.payload(labels)["clusters"][0]
     assert first["size"] == 3 and first["node_ids"] == [3, 4, 5] and first["cluster_index"] == 1
     assert tuple(com.size_stats(labels).first()) == (2, 2, 3, 3, 3)
+    assert com.payload_of(spark, {1: 100, 2: 100, 3: 200}, "frame")["approach"] == "frame" and com.payload_of(spark, {})["clusters"] == []
+    tie = com.payload_of(spark, {0: 10, 1: 10, 2: 20, 3: 20})["clusters"]
+    assert [c["community_id"] for c in tie] == [10, 20]
     many = spark.createDataFrame([(i * 100 + j, i) for i in range(1, 41) for j in range(i)], "id long, label long")
     assert tuple(com.size_stats(many).first()) == (40, 1, 21, 39, 40)
     assert tuple(com.size_stats(labels.where("false")).first()) == (0, 0, 0, 0, 0)
 
 
 def test_memory_model(spark):
-    got = est.csr_bytes(spark.createDataFrame([(163280, 1880997), (1632, 9774)], "nodes long, arcs long")).collect()
-    assert [(r[2], r[3]) for r in got] == [(8830232, 31402196), (52156, 169444)]
-    x = est.extrapolate(spark.createDataFrame([(3072441, 0)], "nodes long, arcs long"), "ray").first()
-    assert abs(est.exponent("dask") - 0.5764) < 1 and x["low_s"] < x["high_s"]
+    got = est.csr_bytes(spark.createDataFrame([(163280, 1880997), (1632, 9774), (3072441, 234370166)], "nodes long, arcs long")).collect()
+    assert [(r[2], r[3]) for r in got] == [(8830232, 31402196), (52156, 169444), (962060196, 3774502188)]
 
 
 def test_peaks(spark):
@@ -107,10 +175,10 @@ def test_peaks(spark):
     assert rep.cluster_peak(one).first()[0] == 1400
 
 
-@pytest.mark.parametrize("name", ["lpa_labels", "graph_csr_offsets", "components", "induced_edges", "community_size_stats", "modularity", "report_group_stats", "log_parse", "edge_list_parse"])
+@pytest.mark.parametrize("name", ["lpa_labels", "graph_csr_offsets", "components", "induced_edges", "community_size_stats", "modularity", "report_group_stats", "log_parse", "edge_list_parse", "lpa_bipartite_parity", "lpa_iterations", "number_lists", "estimate_host", "estimate_for_fraction"])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "customer", "events"):
+    for t in ("lineitem", "orders", "customer", "supplier", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     want = con.execute(queries.ORACLES[name])

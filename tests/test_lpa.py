@@ -76,6 +76,29 @@ def test_random_graph(spark, directed):
     assert label_propagation(graph_of(spark, edges, directed), 9).labels_dict() == simulate(edges, directed, 9)
 
 
+@pytest.mark.parametrize("approach", ["frame", "mode"])
+def test_approaches_agree(spark, approach):
+    rng = random.Random(8)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(70)]
+    lines = []
+    r = label_propagation(graph_of(spark, edges), 5, log=lines.append, approach=approach, track_memory=True)
+    assert r.labels_dict() == simulate(edges, False, 5) and {x["id"]: x["label"] for x in r.previous.collect()} == simulate(edges, False, 4)
+    assert lines[0].startswith(f"[{approach}][start]") and len(lines) == 1 + sum(x[3] is not None for x in r.iterations)
+    assert r.host_peaks and min(r.host_peaks.values()) > 0
+
+
+def test_own_round(spark):
+    r = label_propagation(graph_of(spark, [(0, 1), (1, 2)]), 3, run_step=lambda arcs, labels: labels.selectExpr("id", "0L as label"))
+    assert r.labels_dict() == {0: 0, 1: 0, 2: 0} and r.converged and [x[1] for x in r.iterations] == [2, 0]
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_rounds_that_did_not_run_have_no_time(spark, k):
+    r = label_propagation(graph_of(spark, [(0, 1)]), k)
+    assert len(r.level_times()) < r.num_levels == k and r.algorithm_time_s == sum(r.level_times())
+    assert {x["id"]: x["label"] for x in r.previous.collect()} == ({0: 1, 1: 0} if k % 2 == 0 else {0: 0, 1: 1})
+
+
 def test_subset_step(spark):
     g = graph_of(spark, EDGES["chain10"][0])
     some = g.nodes.where("id < 4")
