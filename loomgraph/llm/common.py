@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,12 @@ def packed(names: list[str]) -> Column:
     return F.struct(*(column(c).alias(c) for c in names)) if names else F.struct(F.lit(None).cast("boolean").alias("none"))
 
 
+def filtered(docs: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The rows that ``keep`` leaves of each batch; it finds columns by their places, as names may hold any signs."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of fewer rows for the plans that run inside: whole texts and sets are wide rows."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import column, small_batches
+from loomgraph.llm.common import column, filtered, small_batches
 from loomgraph.llm.words import mix, slices
 from loomgraph.store import cut
 
@@ -275,5 +275,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMI
                     clean = [not index.matches(words_of(text.as_py()), hashes, least) for text in batch.column(place)]
                     yield batch.filter(pa.array(clean, pa.bool_()))
 
-            docs = docs.mapInArrow(keep, docs.schema)
+            docs = filtered(docs, keep)
         return docs

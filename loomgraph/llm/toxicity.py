@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import column, small_batches
+from loomgraph.llm.common import column, filtered, small_batches
 from loomgraph.llm.words import slices
 from loomgraph.store import cut
 
@@ -406,4 +406,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield batch.filter(pa.array([s < REJECT for s in scores], pa.bool_()))
 
     with small_batches(docs.sparkSession):
-        return docs.mapInArrow(keep, docs.schema)
+        return filtered(docs, keep)

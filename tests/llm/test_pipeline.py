@@ -1,9 +1,18 @@
-"""The pipeline's contract, on the small tables."""
+"""The pipeline's contract on the small tables, and run() against a plain version on a small corpus."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgraph.llm import queries
+from loomgraph.llm import queries, toxicity
+from test_operators import brute_components, cut_by_hand, every_window, prose, targets_by_hand
 
 SF = "/root/testdata/sf0.001"
+STAGES = [f for _, f in corpus_pipeline.STAGES]
 
 
 def test_stages(spark):
@@ -21,13 +30,101 @@ def test_stages(spark):
     assert {"shard", "slot", "doc_id"} <= set(docs.columns)
 
 
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A folder of tables with planted cases: toxic texts, copies, near copies, benchmark passages, odd rows."""
+    at, rng = tmp_path_factory.mktemp("sf"), random.Random(2)
+    docs, labels = [], []
+    for i in range(220):
+        w = prose(rng, rng.choice([8, 30, 60]), 3000).split()
+        if i % 6 == 0:
+            w[2] = rng.choice(["idiot", "moron", "scum"])
+        docs.append((i, " ".join(w), f"s{i % 3}"))
+        labels.append((i, 1, int(i % 6 == 0)))
+    items = [(k, prose(rng, 20, 900)) for k in range(4)]
+    docs += [(300 + k, f"{prose(rng, 9, 3000)} {items[k][1]} {prose(rng, 9, 3000)}", "s1") for k in range(4)]
+    clean = [d for d in docs[:220] if d[0] % 6]
+    docs += [(400 + k, clean[k][1], "s2") for k in range(10)] + [docs[1], docs[1]]  # copies, and rows that repeat
+    for k in range(10):
+        w = clean[40 + k][1].split()
+        w[len(w) // 2 :] = [*w[len(w) // 2 :], "tail"]
+        docs.append((420 + k, " ".join(w), None))
+    docs += [(500, None, "s0"), (501, "", "s0"), (502, " \n", None), (7, "another text of an id that repeats and has no copy at all", "s1"), (None, prose(rng, 30, 3000), "s1")]
+    rows = [(d, t, "en", s, len(t or ""), 5, 1, "x", "gone") for d, t, s in docs]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, taken long, mix_shard int, _x string, _gone string")
+    frame.repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return str(at), docs, items
+
+
+def test_run_against_a_plain_version(spark, small):
+    at, docs, items = small
+    read = spark.read.parquet(f"{at}/documents.parquet")
+    scored = toxicity.score_toxicity(read, spark.read.parquet(f"{at}/labels.parquet")).join(read.select("doc_id", "text"), "doc_id")
+    # 1: texts, not ids, are judged; the model has its own tests
+    toxic = {d for d, t, _ in docs if re.search(r"\b(idiot|moron|scum)\b", t or "")}
+    left = [d for d in docs if d[0] not in toxic]
+    assert {r["doc_id"] for r in scored.where("predicted = 1").collect()} == toxic
+    # 2: by row: number the rows, link them, keep the least id of each group
+    order = sorted(range(len(left)), key=lambda k: (left[k][0] is None, left[k][0] or 0))
+    home = brute_components([(n, left[k][1]) for n, k in enumerate(order)], 80)
+    kept = [left[k] for n, k in enumerate(order) if home[n][1] == n]
+    assert len(kept) < len(left) and {500, 501, 502} <= {d[0] for d in kept}
+    # 3
+    hit = {d for d, _ in every_window([(k, t) for k, (_, t, _) in enumerate(kept)], items)}
+    kept = [d for k, d in enumerate(kept) if k not in hit]
+    assert not {300, 301, 302, 303} & {d[0] for d in kept}
+    # 4 and 5
+    out = corpus_pipeline.run(spark, at)
+    assert out.columns == [*(c for c in read.columns), "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = out.collect()
+    times = Counter((r["doc_id"], r["text"]) for r in got)
+    assert set(times) <= {(d, t) for d, t, _ in kept if words(t)} and max(times.values()) <= 2
+    size = defaultdict(int)
+    for _, t, s in kept:
+        size[s] += len(words(t))
+    names = sorted(s for s in size if s is not None) + [None]
+    target = dict(zip(names, targets_by_hand([size[s] for s in names], [5, 2, 1, 5]), strict=True))
+    for s in names:
+        assert abs(sum(len(words(r["text"])) for r in got if r["source"] == s) - target[s]) <= 30
+    rows = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    want = cut_by_hand([(k, len(r["text"].encode()) + 1) for k, r in enumerate(rows)], 8)
+    assert [r["shard"] for r in rows] == [s for _, s in want]  # contiguous and cut at equal sums
+    for s in range(8):
+        assert [r["slot"] for r in rows if r["shard"] == s] == list(range(sum(r["shard"] == s for r in rows)))
+    place = defaultdict(set)
+    for k, r in enumerate(rows):
+        place[r["doc_id"], r["text"]].add(k)
+    twice = [max(v) - min(v) for v in place.values() if len(v) == 2]
+    assert twice and sum(x > len(rows) / 40 for x in twice) >= 0.8 * len(twice)  # copies lie apart
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_any_columns_and_empty_tables(spark, small, k):
+    at, docs, _ = small
+    names = ["size", "taken", "target", "shards", "mix_shard", "_x", "_gone", "row", "key", "id", "t", "stays", "hash", "place", "root", "a b", "c.d"]
+    if k == 4:
+        names = [n for n in names if n != "size"]
+    read = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    out = STAGES[k](spark, read, at)
+    assert out.columns[: len(read.columns)] == read.columns and out.count() > 0
+    assert {tuple(r[len(read.columns) - len(names) : len(read.columns)]) for r in out.collect()} == {tuple(range(len(names)))}
+    none = STAGES[k](spark, read.where("false"), at)
+    assert none.columns == out.columns and none.count() == 0
+
+
 def test_toxicity_stage_keeps_clean_documents(spark):
     """On sf0.01: the nine toxic training rows of sf0.001 are too few for this (see the README)."""
     at = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{at}/documents.parquet")
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
     before = {r["doc_id"] for r in docs.select("doc_id").collect()}
-    gone = before - {r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, at).select("doc_id").collect()}
+    gone = before - {r["doc_id"] for r in STAGES[0](spark, docs, at).select("doc_id").collect()}
     known = [labels[d] for d in gone if d in labels]
     assert 0 < len(gone) <= 0.2 * len(before) and sum(known) >= 0.9 * len(known)
 
