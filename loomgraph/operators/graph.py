@@ -33,7 +33,7 @@ def out_degrees(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def adjacency(arcs: DataFrame) -> DataFrame:
-    """(id, neighbors): out-neighbours in ascending order."""
+    """(id, neighbors): out-neighbours in ascending order. A node's list is one row; where hubs do not fit one, use the arcs."""
     return arcs.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
 
 

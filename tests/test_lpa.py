@@ -8,6 +8,7 @@ import pytest
 from loomgraph.model import Graph
 from loomgraph.plans.lpa import label_propagation, step_subset
 
+#: Small graphs with their known rounds and labels.
 EDGES = {
     "triangle": ([(0, 1), (1, 2), (0, 2)], False, [3, 1, 0], {0: 0, 1: 0, 2: 0}),
     "two_cliques": ([(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)], False, [6, 2, 0], {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}),
