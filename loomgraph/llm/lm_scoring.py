@@ -18,6 +18,8 @@ hash, so scores do not depend on how the rows lie in partitions.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -30,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import column, small_batches
-from loomgraph.llm.tokens import END, TOKENIZER, encoder, read_ranks
+from loomgraph.llm.tokens import END, encoder, read_ranks
 from loomgraph.llm.words import Words, slices
 from loomgraph.store import cut
 
-#: Ids of a vocabulary file and the end mark.
+#: A public vocabulary for texts in many languages; its ids and the end mark.
+VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 VOCABULARY = 50257
 #: Classes of ids as context; groups of outcome classes and members of each; width of the layer (its last place adds up the weights); ids of a window and of its scored half.
 CLASSES, GROUPS, MEMBERS, WIDTH, SPAN, HALF = 256, 16, 16, 16, 32, 16
@@ -43,6 +46,8 @@ OUTCOMES = GROUPS * MEMBERS
 BATCH = 128
 #: Training steps, the first step size, and how long means of gradients and of their squares last.
 STEPS, RATE, MEAN, SQUARE = 24, 0.3, 0.8, 0.9
+#: Groups in which the tasks' gradients are added before the driver adds those.
+SUMS = 64
 #: Bound of logits before exp, which then stays finite in float32.
 PEAK = 30.0
 #: Weight of the plain share of an id where the class before it says little.
@@ -52,6 +57,14 @@ FREQUENT_SHARE = 1e-6
 LN10 = math.log(10)
 
 
+def keep_freed() -> None:
+    """Has glibc keep freed arrays of a step for the next (at most 32 MB); else each step faults its pages in anew, a quarter of its time."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+
+
 class _Ids(dict):
     """Subword ids of lower-cased words with their blank, encoded once; emptied when many have passed."""
 
@@ -64,7 +77,7 @@ class _Ids(dict):
 
     def all(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as int32 bytes. New words are encoded together, one by one only if one holds a Unicode blank."""
-        if len(self) > 400_000:  # about 80 MB
+        if len(self) > 200_000:  # about 40 MB
             self.clear()
         new = [w for w in words if w not in self]
         if new:
@@ -163,6 +176,34 @@ def outcomes_of(nexts: np.ndarray, axes: int = 12, active: int = 4000) -> tuple[
     return cls, (np.log(smooth) - np.log(total[cls])).astype(np.float32)
 
 
+def laid_out(lengths: np.ndarray, lead: np.ndarray | int, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of texts' ids where each text begins ``lead`` after a multiple of ``unit``, and the units of each text."""
+    units = -(-(lengths + lead) // unit)
+    begin = (np.cumsum(units) - units) * unit + lead
+    return np.arange(int(lengths.sum())) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths), units
+
+
+def contexts(classes: np.ndarray, lengths: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """The class before each id at the id's place; the pad before a text's first id and wherever no id is."""
+    out = np.full(size, CLASSES, np.int64)
+    inner = np.ones(len(classes), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    out[place[inner] + 1] = classes[inner]
+    return out
+
+
+def tiles(classes: np.ndarray, goals: np.ndarray, lengths: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, goals and weights of windows of SPAN ids that tile whole texts, the first beginning ``shift`` before the text.
+
+    Each id of a text is a goal of weight 1 in exactly one of its windows.
+    """
+    place, units = laid_out(lengths, shift, SPAN)
+    size = int(units.sum()) * SPAN
+    y, w = np.zeros(size, np.int64), np.zeros(size, np.float32)
+    y[place], w[place] = goals, 1
+    return tuple(v.reshape(-1, SPAN) for v in (contexts(classes, lengths, place, size), y, w))
+
+
 class AttentionModel:
     """One causal self-attention layer over class embeddings, added to class bigram logits of groups and of their members.
 
@@ -287,46 +328,40 @@ class AttentionModel:
         Every id is scored once. Position t of a text sees ids before it: the
         contexts of HALF consecutive ids end a window of SPAN.
         """
-        ends = np.cumsum(lengths)
-        blocks = -(-lengths // HALF)
-        first = np.repeat(ends - lengths, blocks)
-        size = np.repeat(lengths, blocks)
-        k = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        cls, goals = self.cls.take(ids).astype(np.int64), self.out.take(ids)
+        place, units = laid_out(lengths, HALF, HALF)  # of pads first
+        size = int(units.sum()) * HALF
+        halves = contexts(self.cls.take(ids).astype(np.int64), lengths, place, size).reshape(-1, HALF)
+        goals, there = np.zeros(size, np.int64), np.zeros(size, bool)
+        goals[place], there[place] = ids, True
+        goals, there = goals.reshape(-1, HALF), there.reshape(-1, HALF)
+        scored = np.ones(len(halves), bool)
+        scored[np.cumsum(units) - units] = False
+        scored = np.flatnonzero(scored)
+        doc = np.repeat(np.arange(len(lengths)), units - 1)
         out = np.zeros(len(lengths))
-        doc = np.repeat(np.arange(len(lengths)), blocks)
-        for at in range(0, len(k), BATCH):
-            f, n, b = first[at : at + BATCH], size[at : at + BATCH], k[at : at + BATCH]
-            place = (f + b * HALF)[:, None] + np.arange(-HALF - 1, HALF - 1)  # the ids before the scored ones
-            x = cls.take(place, mode="clip")
-            x[b == 0, : HALF + 1] = CLASSES
-            x[b == 1, 0] = CLASSES
-            place = place[:, HALF:] + 1
-            lp = self.score(x, goals.take(place, mode="clip"), slice(SPAN - HALF, SPAN))
-            lp += self.share.take(x[:, SPAN - HALF :] * VOCABULARY + ids.take(place, mode="clip"))
-            lp *= place < (f + n)[:, None]
+        for at in range(0, len(scored), BATCH):
+            some = scored[at : at + BATCH]
+            last, goal = halves.take(some, 0), goals.take(some, 0)
+            x = np.concatenate([halves.take(some - 1, 0), last], 1)
+            lp = self.score(x, self.out.take(goal), slice(SPAN - HALF, SPAN))
+            lp += self.share.take(last * VOCABULARY + goal)
+            lp *= there.take(some, 0)
             out += np.bincount(doc[at : at + BATCH], lp.sum(1, dtype=np.float64), len(lengths))
         return out
 
 
-def tiles(begins: np.ndarray, lengths: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the first id and bounds of the text of windows of SPAN + 1 ids that tile whole texts.
-
-    A text's windows begin ``shift`` + 1 before it and every SPAN ids from
-    there, so each of its ids follows a context in exactly one of them.
-    """
-    n = -(-(lengths + shift) // SPAN)
-    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    first = np.repeat(begins, n)
-    return first - np.repeat(shift, n) - 1 + k * SPAN, first, first + np.repeat(lengths, n)
-
-
 def _flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a column of uint16 bytes one after the other, and each row's number of them."""
     lengths = np.asarray(pc.binary_length(ids)).astype(np.int64) // 2
     return np.frombuffer(b"".join(x.as_buffer() for x in ids), np.uint16).astype(np.int64), lengths
 
 
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of rows of numbers as bytes."""
+    total = sum(np.frombuffer(x.as_buffer()) for x in table.column("w"))
+    return pa.table({"g": table.column("g").slice(0, 1).combine_chunks(), "w": pa.array([total.tobytes()], pa.binary())})
+
+
 def train_model(texts: DataFrame, counts: DataFrame, ends: int, ranks: bytes, steps: int = STEPS) -> AttentionModel | None:
     """Learns the model from all rows of ``texts`` (step, shift, ids) and their word counts (w, c); None without any.
 
@@ -398,30 +433,25 @@ def train_model(texts: DataFrame, counts: DataFrame, ends: int, ranks: bytes, st
 
         def slope(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             """The task's summed gradient and weight."""
+            keep_freed()
             cls, out, groups, members = fixed.value
             model = AttentionModel(cls, out, None, groups, members, now.value)
-            total, weight = np.zeros(AttentionModel.SIZE), 0.0
+            total, weight = np.zeros(AttentionModel.SIZE + 1), 0.0
             for batch in batches:
                 for part in slices(batch, "ids", 1 << 20):
                     ids, lengths = _flat(part.column(0))
-                    classes, goals = cls.take(ids).astype(np.int64), out.take(ids)
-                    at, low, high = tiles(np.cumsum(lengths) - lengths, lengths, part.column(1).to_numpy().astype(np.int64))
-                    for k in range(0, len(at), BATCH):
-                        some = slice(k, k + BATCH)
-                        place = at[some, None] + np.arange(SPAN + 1)
-                        there = (place >= low[some, None]) & (place < high[some, None])
-                        x = np.where(there, classes.take(place, mode="clip"), CLASSES)[:, :-1]
-                        w = there[:, 1:].astype(np.float32)
-                        total += model.gradient(x, goals.take(place[:, 1:], mode="clip"), w)[1]
-                        weight += float(w.sum())
+                    windows = tiles(cls.take(ids), out.take(ids), lengths, part.column(1).to_numpy().astype(np.int64))
+                    weight += len(ids)
+                    for k in range(0, len(windows[0]), BATCH):
+                        total[:-1] += model.gradient(*(v[k : k + BATCH] for v in windows))[1]
             if weight:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) + 1, dtype=np.int32)), pa.array(np.append(total, weight))], names=["i", "w"])
+                total[-1] = weight
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "w"])
 
-        sums = np.zeros(len(flat) + 1)
         part = texts.where(F.col("step") == r) if steps > 1 else texts
-        for row in part.select("ids", "shift").mapInArrow(slope, "i int, w double").groupBy("i").agg(F.sum("w").alias("w")).collect():  # one row per parameter
-            sums[row["i"]] = row["w"]
-        now.unpersist()
+        sums = part.select("ids", "shift").mapInArrow(slope, "g int, w binary").groupBy("g").applyInArrow(_added, "g int, w binary")
+        sums = sum((np.frombuffer(x["w"]) for x in sums.collect()), np.zeros(len(flat) + 1))  # at most SUMS rows
+        now.destroy()
         if not sums[-1]:  # no text in this step
             continue
         done += 1
@@ -429,10 +459,12 @@ def train_model(texts: DataFrame, counts: DataFrame, ends: int, ranks: bytes, st
         mean, square = MEAN * mean + (1 - MEAN) * g, SQUARE * square + (1 - SQUARE) * g * g
         rate = RATE * (1 - r / steps)
         flat = flat - rate * (mean / (1 - MEAN**done)) / (np.sqrt(square / (1 - SQUARE**done)) + 1e-8)
+    for b in (held, table, fixed):
+        b.destroy()
     return AttentionModel(cls, out, share, groups, members, flat)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = VOCABULARY_FILE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     held_out: crc32 of the id as text modulo 7 is 2; such texts are never
@@ -501,10 +533,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = f"key long, doc_id {kind}, held_out boolean, step int, shift int, n_tokens long, hits long, base double, ids binary, rare array<binary>, times array<long>"
     with small_batches(spark):
         encoded = cut(docs.mapInArrow(encode, schema), "encoded")
-    model = train_model(encoded.where(~F.col("held_out")).select("step", "shift", "ids"), counts, ends, ranks)
+        known.destroy()
+        model = train_model(encoded.where(~F.col("held_out")).select("step", "shift", "ids"), counts, ends, ranks)
     judge = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         model = judge.value
         for batch in batches:
             for part in slices(batch, "ids"):
@@ -513,7 +547,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(lp, pa.float64())], names=["key", "doc_id", "held_out", "n_tokens", "hits", "base", "score"])
 
     scored = encoded.select("key", "doc_id", "held_out", "n_tokens", "hits", "base", "ids")
-    scored = scored.mapInArrow(score, f"key long, doc_id {kind}, held_out boolean, n_tokens long, hits long, base double, score double")
+    with small_batches(spark):
+        scored = cut(scored.mapInArrow(score, f"key long, doc_id {kind}, held_out boolean, n_tokens long, hits long, base double, score double"), "scored")
+    judge.destroy()
     # words below the share are looked up by a join
     pieces = encoded.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("w"), F.col("x.times").alias("t"))
     found = pieces.join(counts, "w").groupBy("key").agg(F.sum("t").alias("more"), F.sum(F.col("t") * F.log10(F.col("c") + 1)).alias("plus"))

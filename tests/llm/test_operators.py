@@ -644,9 +644,10 @@ def test_mixing_fills_past_a_long_document(make, spark):
 
 def test_training_windows_tile_whole_texts():
     lengths = np.array([1, 5, 32, 33, 700, 20_000])
-    begins = np.cumsum(lengths) - lengths
+    ids = np.arange(int(lengths.sum()))
     for shift in (0, 7, 31):
-        at, low, high = lm_scoring.tiles(begins, lengths, np.full(len(lengths), shift))
-        goals = at[:, None] + 1 + np.arange(lm_scoring.SPAN)
-        inside = (goals >= low[:, None]) & (goals < high[:, None])
-        assert inside.any(1).all() and sorted(goals[inside].tolist()) == list(range(int(lengths.sum())))
+        x, y, w = lm_scoring.tiles(ids + 1000, ids, lengths, np.full(len(lengths), shift))
+        assert x.shape[1] == lm_scoring.SPAN and w.any(1).all() and sorted(y[w > 0].tolist()) == ids.tolist()
+        first = set((np.cumsum(lengths) - lengths).tolist())
+        for c, g in zip(x[w > 0].tolist(), y[w > 0].tolist(), strict=True):
+            assert c == (lm_scoring.CLASSES if g in first else g - 1 + 1000)
