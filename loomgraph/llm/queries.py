@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole tables, and their SQL where SQL can express them.
+"""The queries of the thirteen operators, each over its whole tables, and their SQL where SQL can express them.
 
 Nulls, empty and long texts, ties, repeated rows and empty tables are dealt
 with as the operators' docstrings say; columns that a query does not name are
@@ -84,13 +84,35 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_docs(spark, sf_dir)).drop("found")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes at each step of each order, by language."""
+    from loomgraph.llm.filter_audit import audit
+
+    return audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and place in the sample of each document, resampled towards the benchmark."""
+    from loomgraph.llm.resampling import resample
+
+    return resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-copy component of each document."""
+    from loomgraph.llm.simhash import near_components
+
+    return near_components(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from loomgraph.llm import exact_dedup, minhash, sharding, substring_dedup
+    from loomgraph.llm import exact_dedup, filter_audit, minhash, resampling, sharding, substring_dedup
 
     return {
         "op4_exact_dedup": exact_dedup.ORACLE, "op6_minhash_components": minhash.ORACLE, "op8_shard_by_bytes": sharding.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE, "op12_importance_resampling": resampling.ORACLE,
     }

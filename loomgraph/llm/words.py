@@ -46,7 +46,8 @@ class Words:
 
     __slots__ = ("data", "offs", "starts", "ends", "doc", "first", "count", "_hash", "_second")
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, kept: np.ndarray | None = None):
+        """``kept``: which of the 256 bytes belong to words; default: all but blanks."""
         texts = pc.fill_null(texts, "") if texts.null_count else texts
         if pa.types.is_large_string(texts.type):
             texts = texts.cast(pa.string())
@@ -57,7 +58,7 @@ class Words:
         offs = offs - offs[0]
         if lower and len(data):
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        inside = ~((data == 32) | ((data >= 9) & (data <= 13))) if kept is None else kept[data]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
         stop = inside.copy()
