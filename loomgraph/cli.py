@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--seed", type=int)
         q.add_argument("--directed", action="store_true")
     run.add_argument("--fraction", type=float)
-    run.add_argument("--approach", default="frame", help="frame or mode")
+    run.add_argument("--approach", default="frame", help="frame, mode or blocks")
     run.add_argument("--workers", type=int, help="cores of the local session")
     run.add_argument("--output-partition", help="folder and stem of the communities and summary files")
     bench.add_argument("--fractions", default="100")
@@ -53,13 +53,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def emit(result, load_s: float, arcs: int, stem: str | None) -> None:
+def emit(result, load_s: float, arcs: int, stem: str | None, approach: str) -> None:
     """The result as one JSON line and, with ``stem``, as files."""
     print(json.dumps(result.summary() | {"graph_load_time_s": load_s, "edge_count": arcs}))
     if stem:
         from loomgraph.sources.results import write_partition
 
-        write_partition(Path(stem).parent, Path(stem).name, result.labels, {"approach": "frame"} | result.summary())
+        write_partition(Path(stem).parent, Path(stem).name, result.labels, {"approach": approach} | result.summary())
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -76,6 +76,12 @@ def main(argv: list[str] | None = None) -> int:
     if not os.path.exists(a.input):
         print(f"no such input: {a.input}", file=sys.stderr)
         return 1
+    from loomgraph.plans.lpa import APPROACHES
+
+    asked = [a.approach] if a.command == "lpa" else [x.strip() for x in a.approaches.split(",") if x.strip()]
+    if unknown := [x for x in asked if x not in APPROACHES]:
+        print(f"no such approach: {', '.join(unknown)}; there are {', '.join(APPROACHES)}", file=sys.stderr)
+        return 1
     for name in ("max_iter", "seed"):
         if getattr(a, name) is not None:  # 0 is a value
             setattr(cfg, name, getattr(a, name))
@@ -89,10 +95,9 @@ def main(argv: list[str] | None = None) -> int:
         if not a.output_csv and not a.append:
             names.write_stamp(cfg.output_dir, stamp)
         workers = numbers(a.workers, int) or [worker_count(cfg)]
-        approaches = [x.strip() for x in a.approaches.split(",") if x.strip()] or None
         log = names.run_log(cfg.output_dir, stamp)
         run_campaign(
-            _session(worker_count(cfg)), a.input, out, cfg, numbers(a.fractions), workers, cfg.runs if a.runs is None else a.runs, a.append, approaches, log, stamp, a.samples
+            _session(worker_count(cfg)), a.input, out, cfg, numbers(a.fractions), workers, cfg.runs if a.runs is None else a.runs, a.append, asked or None, log, stamp, a.samples
         )
         print(f"Wrote {out}\nWrote {log}\nPartitions: {names.partitions_dir(out.parent, stamp)}\nRun stamp: {stamp}")
         return 0
@@ -103,7 +108,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = _session(worker_count(cfg, a.workers))
     loaded = load_graph(spark, a.input, cfg.fraction_pct if a.fraction is None else a.fraction, cfg.seed, cfg.directed, cfg.restrict_to_lcc)
     print(estimates.report(estimates.estimate(spark, loaded.fraction_pct, loaded.node_count, loaded.edge_count)), file=sys.stderr)
-    emit(label_propagation(loaded.graph, cfg.max_iter, log=lambda x: print(x, file=sys.stderr), approach=a.approach), loaded.load_time_s, loaded.edge_count, a.output_partition)
+    emit(label_propagation(loaded.graph, cfg.max_iter, log=lambda x: print(x, file=sys.stderr), approach=a.approach), loaded.load_time_s, loaded.edge_count, a.output_partition, a.approach)
     return 0
 
 

@@ -82,9 +82,10 @@ def sample_stem(slug: str, fraction_pct: float) -> str:
     return f"{slug}_{fraction_name(fraction_pct)}pct"
 
 
-def sample_path(slug: str, fraction_pct: float, folder: str | None = None) -> str:
-    """Where a cached sample lies; any folder that Spark reads."""
-    return f"{(folder or default_samples_dir()).rstrip('/')}/{sample_stem(slug, fraction_pct)}"
+def sample_path(slug: str, fraction_pct: float, folder: str | None = None, directed: bool = False, restrict: bool = True) -> str:
+    """Where a cached sample lies; any folder that Spark reads. Samples that aren't made by default settings say so."""
+    made = "_directed" * directed + "_whole" * (not restrict)
+    return f"{(folder or default_samples_dir()).rstrip('/')}/{sample_stem(slug, fraction_pct)}{made}"
 
 
 def default_samples_dir() -> str:
@@ -97,6 +98,11 @@ def artifact_paths(base: str) -> tuple[str, str, str]:
     return f"{base}/nodes", f"{base}/arcs", f"{base}/meta"
 
 
+def store_path(base: str) -> str:
+    """The bucketed arcs of an artifact."""
+    return f"{base.rstrip('/')}/store"
+
+
 def partition_stem(approach: str, slug: str, fraction_pct: float, workers: int, run: int) -> str:
     return f"{approach}_{slug}_{fraction_name(fraction_pct)}pct_w{workers}_run{run}"
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:
+    from loomgraph.operators.arcstore import ArcStore
+
 #: Node lists and label maps are spelled out up to this many nodes.
 LISTED_NODES = 50_000
 
@@ -25,11 +29,12 @@ METRICS_SCHEMA = T.StructType([T.StructField(n, _KINDS[k]()) for n, k in (c.spli
 
 @dataclass
 class Graph:
-    """``nodes(id)`` and distinct directed ``arcs(src, dst)`` without self-loops."""
+    """``nodes(id)`` and distinct directed ``arcs(src, dst)`` without self-loops; an artifact's arcs are in a store as well."""
 
     nodes: DataFrame
     arcs: DataFrame
     directed: bool = False
+    store: ArcStore | None = None
 
     @classmethod
     def from_edges(cls, edges: DataFrame, directed: bool = False) -> Graph:

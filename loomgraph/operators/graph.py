@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.ranks import placed, placed_in_groups
+from loomgraph.store import cut
+
 
 def symmetrize(edges: DataFrame) -> DataFrame:
     """All edges and their reverses; repeats stay."""
@@ -33,34 +36,44 @@ def out_degrees(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def adjacency(arcs: DataFrame) -> DataFrame:
-    """(id, neighbors): out-neighbours in ascending order. A node's list is one row; where hubs do not fit one, use the arcs."""
+    """(id, neighbors): out-neighbours in ascending order. A node's list is one row; ``adjacency_blocks`` is for graphs with hubs."""
     return arcs.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
 
 
+#: Neighbours of a block.
+BLOCK = 4096
+
+
+def adjacency_blocks(arcs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(id, block, blocks, neighbors): ascending out-neighbours in blocks of ``size``, the last one shorter.
+
+    blocks is how many the node has. No row holds more than ``size``
+    neighbours and no task all arcs of a hub: places in the lists are prefix
+    sums over ranges of (src, dst).
+    """
+    at, _ = placed_in_groups(arcs.select("src", "dst"), "src", "dst")
+    whole = at.groupBy(F.col("src").alias("id"), F.floor(F.col("pos") / size).cast("int").alias("block"))
+    return whole.agg(F.ceil(F.first("members") / size).cast("int").alias("blocks"), F.sort_array(F.collect_list("dst")).alias("neighbors"))
+
+
 def local_rank(arcs: DataFrame) -> DataFrame:
     """(src, dst, pos): place of each arc in its node's list, from 0."""
-    return arcs.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
+    return placed_in_groups(arcs.select("src", "dst"), "src", "dst")[0].select("src", "dst", F.col("pos").cast("int").alias("pos"))
 
 
 def dense_index(nodes: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(id, idx): rank of each id from 0, without a global window.
-
-    Ids are range-partitioned; a partition's offset is the sum of the counts
-    before it, of which there is one row per partition.
-    """
-    return _running(nodes.select("id", F.lit(1).cast("long").alias("n")), "idx", buckets)
+    """(id, idx): rank of each id from 0, without a global window."""
+    return placed(nodes.select("id"), [F.col("id")], "idx", buckets)[0]
 
 
 def csr_offsets(nodes: DataFrame, arcs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(id, begin, end): running sums of out-degrees in id order."""
     deg = out_degrees(nodes, arcs).select("id", F.col("degree").cast("long").alias("n"))
-    return _running(deg, "begin", buckets, keep=True).select("id", "begin", (F.col("begin") + F.col("n")).alias("end"))
+    return _running(deg, "begin", buckets).select("id", "begin", (F.col("begin") + F.col("n")).alias("end"))
 
 
-def _running(rows: DataFrame, name: str, buckets: int | None, keep: bool = False) -> DataFrame:
+def _running(rows: DataFrame, name: str, buckets: int | None) -> DataFrame:
     """Exclusive prefix sum of n over ascending id."""
-    from loomgraph.store import cut
-
     spark = rows.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(rows.repartitionByRange(n, "id").withColumn("p", F.spark_partition_id()), "ranges")
@@ -69,8 +82,7 @@ def _running(rows: DataFrame, name: str, buckets: int | None, keep: bool = False
     before = F.sum("t").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
     base = total.select("p", F.coalesce(before, F.lit(0)).alias("base"))
     out = placed.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(base), "p")
-    cols = ["id", (F.col("inside") + F.col("base")).alias(name)]
-    return out.select(*cols, *(["n"] if keep else []))
+    return out.select("id", (F.col("inside") + F.col("base")).alias(name), "n")
 
 
 def chunk_size(n: int, parts: int) -> int:

@@ -10,12 +10,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.model import Graph, LpaResult
+from loomgraph.operators.arcstore import ArcStore, arcs_of, co_partitioned
 from loomgraph.plans.memory import worker_peaks
-from loomgraph.store import cut, drop
+from loomgraph.store import bucketed, cut, drop
 
 #: Below this share of changed nodes only the nodes that see a change vote again.
 DELTA_SHARE = 0.2
@@ -45,14 +48,108 @@ def step_subset(arcs: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFra
     return labels.join(mine, "id", "left_semi").join(votes(part, labels), "id", "left").select("id", F.coalesce("best", "label").alias("label"))
 
 
-def step_by_mode(arcs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, label) after one round, each node's votes counted in one aggregate; the least of the most frequent wins."""
-    seen = arcs.join(labels.select(F.col("id").alias("dst"), "label"), "dst")
-    return seen.groupBy(F.col("src").alias("id")).agg(F.mode("label", True).alias("label"))
+# Approaches: (blocks, view) -> (home, src, cut, label, n). For a node whose arcs lie together the winning label;
+# for a cut hub each label that one of its homes has seen and how often, to be added up.
+
+
+def _seen(blocks: DataFrame, view: DataFrame) -> DataFrame:
+    return arcs_of(blocks).join(view, ["home", "dst"])
+
+
+def _split() -> Column:
+    """Null for a node as a whole, the label for a cut hub."""
+    return F.when(F.col("cut"), F.col("label")).alias("split")
+
+
+def frame_votes(blocks: DataFrame, view: DataFrame) -> DataFrame:
+    """Counts per node and label, then the most frequent label, the least of equals."""
+    count = _seen(blocks, view).groupBy("home", "src", "cut", "label").agg(F.count(F.lit(1)).alias("n"))
+    best = count.groupBy("home", "src", "cut", _split()).agg(F.min(F.struct((-F.col("n")).alias("neg"), "label")).alias("b"))
+    return best.select("home", "src", "cut", F.col("b.label").alias("label"), (-F.col("b.neg")).alias("n"))
+
+
+def mode_votes(blocks: DataFrame, view: DataFrame) -> DataFrame:
+    """One aggregate a node."""
+    return _seen(blocks, view).groupBy("home", "src", "cut", _split()).agg(F.mode("label", True).alias("label"), F.count(F.lit(1)).alias("n")).drop("split")
 
 
-#: Ways to run a round: counts per node and label, combined before the shuffle, or one aggregate per node.
-APPROACHES: dict[str, Callable[[DataFrame, DataFrame], DataFrame] | None] = {"frame": None, "mode": step_by_mode}
+def count_home(blocks: pa.Table, view: pa.Table) -> pa.Table:
+    """Votes of one home's blocks by its labels, in arrays."""
+    lists = blocks.column("dsts").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    ids, labels = view.column("dst").to_numpy(), view.column("label").to_numpy()
+    by_id = np.argsort(ids)
+    row = np.repeat(np.arange(len(size)), size)
+    label = labels[by_id][np.searchsorted(ids, lists.flatten().to_numpy(), sorter=by_id)] if len(row) else np.zeros(0, np.int64)
+    order = np.lexsort((label, row))
+    row, label = row[order], label[order]
+    runs = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (label[1:] != label[:-1])])) if len(row) else np.zeros(0, np.int64)
+    n, row, label = np.diff(np.append(runs, len(row))), row[runs], label[runs]
+    keep = blocks.column("cut").to_numpy()[row].astype(bool)
+    if len(row):
+        firsts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        most = np.repeat(np.maximum.reduceat(n, firsts), np.diff(np.append(firsts, len(row))))
+        top = np.flatnonzero(n == most)
+        keep[top[np.unique(row[top], return_index=True)[1]]] = True  # labels ascend, so the first is the least
+    row = pa.array(row[keep])
+    return pa.table({"home": blocks.column("home").take(row), "src": blocks.column("src").take(row), "cut": blocks.column("cut").take(row), "label": pa.array(label[keep]), "n": pa.array(n[keep])})
+
+
+def block_votes(blocks: DataFrame, view: DataFrame) -> DataFrame:
+    """Blocks and labels of a home side by side, counted in arrays; a home has a bounded number of arcs (HOME_ARCS)."""
+    both = blocks.groupBy("home").cogroup(view.groupBy("home"))
+    return both.applyInArrow(count_home, "home long, src long, cut boolean, label long, n long")
+
+
+#: Ways to count the votes of a round.
+APPROACHES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"frame": frame_votes, "mode": mode_votes, "blocks": block_votes}
+
+
+class Rounds:
+    """Rounds over an arc store; ``next`` gives the votes of all nodes that may change.
+
+    A full round delivers every label to the homes that need it. Once few
+    nodes change, the labels delivered so far are kept at their homes as the
+    base; a round then delivers only labels that differ from the base or have
+    just changed, and only nodes with a changed neighbour vote, against the
+    base with those labels put in. No arc is shuffled in either.
+    """
+
+    def __init__(self, store: ArcStore, vote: Callable[[DataFrame, DataFrame], DataFrame]):
+        self.store, self.vote, self.base = store, vote, None
+
+    def _elected(self, blocks: DataFrame, view: DataFrame, hubs: DataFrame) -> list[DataFrame]:
+        """Frames (home, id, new): of nodes at one home and, where there are any, of cut hubs."""
+        whole = self.vote(blocks, view).select("home", F.col("src").alias("id"), F.col("label").alias("new"))
+        if not self.store.hubs:
+            return [whole]
+        total = self.vote(hubs, view).groupBy("src", "label").agg(F.sum("n").alias("n"))
+        best = total.groupBy(F.col("src").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("neg"), "label")).alias("b"))
+        return [whole, best.select(self.store.home("id"), "id", F.col("b.label").alias("new"))]
+
+    def _rebase(self, state: DataFrame) -> None:
+        self.forget()
+        self.base = bucketed(self.store.deliver(state.select("home", "id", "label")), "home", self.store.buckets, ["home", "dst"])
+
+    def forget(self) -> None:
+        if self.base is not None:
+            drop(self.base)
+        self.base = None
+
+    def next(self, state: DataFrame, few: bool, drifted: bool) -> tuple[DataFrame, list[DataFrame]]:
+        """``state`` (home, id, label, prev, base) and the votes. few: few nodes changed; drifted: many differ from the base."""
+        blocks, hubs = self.store.blocks.where("not cut"), self.store.blocks.where("cut")
+        if not few:
+            self.forget()
+            return state, self._elected(blocks, self.store.deliver(state.select("home", "id", "label")), hubs)
+        if self.base is None or drifted:
+            self._rebase(state)
+            state = state.withColumn("base", F.col("label"))
+        news = self.store.deliver(state.where("label <> base or label <> prev").select("home", "id", F.col("label").alias("new"), (F.col("label") != F.col("prev")).alias("moved")))
+        near = arcs_of(blocks).join(news.where("moved").select("home", "dst"), ["home", "dst"], "left_semi").select("home", "src").distinct()
+        view = self.base.join(news.select("home", "dst", "new"), ["home", "dst"], "left").select("home", "dst", F.coalesce("new", "label").alias("label"))
+        return state, self._elected(blocks.join(near, ["home", "src"], "left_semi"), view, hubs)
 
 
 def label_propagation(
@@ -68,65 +165,68 @@ def label_propagation(
     Exact shortcuts: a node votes again only if an out-neighbour has changed,
     once few have; and if a round restores the labels of two rounds before,
     the rest alternates, so it is read off by parity; rounds that did not run
-    have no time. ``run_step`` replaces the round, for other strategies; it
-    returns (id, label) of the nodes that vote. Arcs are kept sorted in
-    partitions by their target, so a round moves labels and not arcs. Each
-    round's labels are written to the shared folder, which survives lost
-    executors, and counted from there; one row comes to the driver.
+    have no time. Arcs lie in an ``ArcStore``, the graph's own or one that is
+    built here, and never move; see ``Rounds``. ``run_step`` replaces the
+    round, for other strategies: from (src, dst) arcs and (id, label) it
+    returns (id, label) of the nodes that vote. Each round's labels are written
+    to the shared folder, which survives lost executors, and counted from
+    there; one row comes to the driver.
     """
     began = time.time()
     spark = graph.nodes.sparkSession
-    run_step = run_step or APPROACHES[approach]
+    vote = APPROACHES[approach]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    arcs = cut(graph.arcs, "arcs").repartition(n, "dst").sortWithinPartitions("dst").persist()
-    try:
-        state = cut(graph.initial_labels().withColumn("prev", F.col("label")), "labels")
-        total = state.count()
-        result = LpaResult(state.select("id", "label"), node_count=total, init_time_s=time.time() - began, workers=n)
-        result.previous = result.labels
-        if not total:
-            return result
-        if log:
-            log(run_start(approach, total, n, max_iter, result.init_time_s))
-        result.converged, changed = False, total
-        for it in range(1, max_iter + 1):
-            t = time.time()
-            labels = state.select("id", "label")
-            if run_step:
-                new = run_step(arcs, labels).withColumnRenamed("label", "new")
-            elif it > 1 and changed < DELTA_SHARE * total:
-                moved = state.where("label <> prev").select(F.col("id").alias("dst"))
-                near = arcs.join(moved, "dst", "left_semi").select("src").distinct()
-                new = votes(arcs.join(near, "src", "left_semi"), labels).withColumnRenamed("best", "new")
-            else:
-                new = votes(arcs, labels).withColumnRenamed("best", "new")
-            nxt = cut(
-                state.join(new, "id", "left").select("id", F.coalesce("new", "label").alias("label"), F.col("label").alias("prev"), (F.lit(it == 1) | (F.coalesce("new", "label") != F.col("prev"))).alias("off")),
-                "labels",
-            )
-            row = nxt.agg(F.count_if(F.col("label") != F.col("prev")).alias("changed"), F.count_if("off").alias("off")).first()
-            drop(state)
-            state, changed = nxt.drop("off"), row["changed"]
-            result.iterations.append((it, changed, total, time.time() - t))
-            if log:
-                log(iteration_line(it, changed, total, n, result.iterations[-1][3], approach))
-            if track_memory:
-                result.add_peaks(worker_peaks(spark))
-            if not changed:
-                result.converged = True
-                break
-            if not row["off"] and not run_step:
-                # labels(it) == labels(it - 2): what follows alternates between the two
-                left = max_iter - it
-                result.iterations += [(it + k, changed, total, None) for k in range(1, left + 1)]
-                if left % 2:
-                    state = state.select("id", F.col("prev").alias("label"), F.col("label").alias("prev"))
-                break
-    finally:
-        arcs.unpersist()
+    with co_partitioned(spark):
+        store = None if run_step else graph.store or ArcStore.build(graph.arcs)
+        arcs = cut(graph.arcs, "arcs") if run_step else None
+        rounds = None if run_step else Rounds(store, vote)
+        home = F.lit(0).cast("long").alias("home") if run_step else store.home("id")
+        try:
+            labels = graph.initial_labels().select(home, "id", "label")
+            state = cut(labels.select("*", F.col("label").alias("prev"), F.col("label").alias("base")), "labels")
+            total = state.count()
+            result = LpaResult(state.select("id", "label"), node_count=total, init_time_s=time.time() - began, workers=n)
+            result.previous = result.labels
+            if total and log:
+                log(run_start(approach, total, n, max_iter, result.init_time_s))
+            result.converged, changed, drift = not total, total, 0
+            for it in range(1, max_iter + 1 if total else 1):
+                t = time.time()
+                if run_step:
+                    based, new = state, [run_step(arcs, state.select("id", "label")).select(home, "id", F.col("label").alias("new"))]
+                else:
+                    based, new = rounds.next(state, it > 1 and changed < DELTA_SHARE * total, drift > DELTA_SHARE * total)
+                for k, votes_ in enumerate(new):
+                    based = based.join(votes_.withColumnRenamed("new", f"new{k}"), ["home", "id"], "left")
+                label = F.coalesce(*(f"new{k}" for k in range(len(new))), "label")
+                off = F.lit(it == 1) | (label != F.col("prev"))
+                nxt = cut(based.select("home", "id", label.alias("label"), F.col("label").alias("prev"), "base", off.alias("off")), "labels")
+                row = nxt.agg(F.count_if(F.expr("label <> prev")).alias("changed"), F.count_if("off").alias("off"), F.count_if(F.expr("label <> base")).alias("drift")).first()
+                drop(state)
+                state, changed, drift = nxt.drop("off"), row["changed"], row["drift"]
+                result.iterations.append((it, changed, total, time.time() - t))
+                if log:
+                    log(iteration_line(it, changed, total, n, result.iterations[-1][3], approach))
+                if track_memory:
+                    result.add_peaks(worker_peaks(spark))
+                if not changed:
+                    result.converged = True
+                    break
+                if not row["off"] and not run_step:
+                    # labels(it) == labels(it - 2): what follows alternates between the two
+                    left = max_iter - it
+                    result.iterations += [(it + k, changed, total, None) for k in range(1, left + 1)]
+                    if left % 2:
+                        state = state.withColumns({"label": F.col("prev"), "prev": F.col("label")})
+                    break
+        finally:
+            if rounds:
+                rounds.forget()
+            if store and store is not graph.store:
+                store.close()
     result.labels = state.select("id", "label")
     result.previous = state.select("id", F.col("prev").alias("label"))
-    result.num_communities = result.labels.agg(F.count_distinct("label")).first()[0]
+    result.num_communities = result.labels.agg(F.count_distinct("label")).first()[0] if total else 0
     return result
 
 

@@ -20,6 +20,7 @@ from loomgraph.operators import communities as com
 from loomgraph.operators import graph as g
 from loomgraph.operators import report as rep
 from loomgraph.operators import traverse as tr
+from loomgraph.operators.arcstore import ArcStore
 from loomgraph.operators.components import connected_components
 from loomgraph.plans import lpa
 from loomgraph.sources import edges as src
@@ -162,6 +163,19 @@ def lpa_by_mode(spark, d):
     return lpa.label_propagation(Graph.from_edges(g_hour(spark, d)), 6, approach="mode").labels
 
 
+@_query(_lpa(_PART, 7) + " SELECT id, label FROM lpa WHERE it = 7")
+def lpa_by_blocks(spark, d):
+    return lpa.label_propagation(_part_graph(spark, d), 7, approach="blocks").labels
+
+
+@_query(_lpa(_NATION, 4) + " SELECT id, label FROM lpa WHERE it = 4")
+def lpa_hubs(spark, d):
+    """Nations have far more neighbours than a block holds: their votes come from many homes."""
+    graph = Graph.from_edges(g_nation(spark, d))
+    graph.store = ArcStore.build(graph.arcs, block=16)
+    return lpa.label_propagation(graph, 4).labels
+
+
 @_query(_lpa(_DAY, 5, True) + " SELECT id, label FROM lpa WHERE it = 5")
 def lpa_directed(spark, d):
     return lpa.label_propagation(Graph.from_edges(g_day(spark, d), directed=True), 5).labels
@@ -217,6 +231,13 @@ def graph_adjacency(spark, d):
     return g.adjacency(_part_graph(spark, d).arcs).select("id", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ",").alias("neighbors"))
 
 
+@_query(f"""WITH {_with(_NATION)}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos, count(*) OVER (PARTITION BY src) AS n FROM a0)
+ SELECT src AS id, (pos // 32)::INT AS block, ceil(n / 32.0)::INT AS blocks, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS neighbors FROM r GROUP BY src, pos // 32, n""")
+def graph_adjacency_blocks(spark, d):
+    got = g.adjacency_blocks(Graph.from_edges(g_nation(spark, d)).arcs, 32)
+    return got.select("id", "block", "blocks", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ",").alias("neighbors"))
+
+
 @_query(f'WITH {_with(_PART)}, deg AS (SELECT src AS id, count(*) AS n FROM a0 GROUP BY src) SELECT id, (sum(n) OVER (ORDER BY id) - n)::BIGINT AS "begin", (sum(n) OVER (ORDER BY id))::BIGINT AS "end" FROM deg')
 def graph_csr_offsets(spark, d):
     graph = _part_graph(spark, d)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import names
 from loomgraph.model import METRICS_SCHEMA, Graph, LoadResult
 from loomgraph.operators import graph as g
+from loomgraph.operators.arcstore import ArcStore
 from loomgraph.operators.traverse import connected_sample, restrict_to_lcc
 from loomgraph.store import cut
 
@@ -75,18 +76,19 @@ def load_for_benchmark(
         return load_graph(spark, path, format="artifact")
     if fraction_pct >= 100:
         return load_graph(spark, path, 100.0, seed, directed, restrict, "text")
-    at = names.sample_path(slug, fraction_pct, samples_dir)
-    ensure_fraction(spark, path, at, slug, fraction_pct, seed, directed)
+    at = names.sample_path(slug, fraction_pct, samples_dir, directed, restrict)
+    ensure_fraction(spark, path, at, slug, fraction_pct, seed, directed, restrict=restrict)
     return load_graph(spark, at, format="artifact")
 
 
 def write_artifact(graph: Graph, path: str, meta: dict | None = None) -> None:
-    """Parquet nodes and arcs, and the metadata as one JSON line."""
+    """Parquet nodes and arcs, the arcs in the buckets that label propagation joins, and the metadata as one JSON line."""
     spark = graph.nodes.sparkSession
     nodes, arcs, at = names.artifact_paths(path)
     graph.nodes.write.mode("overwrite").parquet(nodes)
     graph.arcs.write.mode("overwrite").parquet(arcs)
-    info = {"graph_directed": graph.directed, **(meta or {})}
+    store = ArcStore.build(spark.read.parquet(arcs), path=names.store_path(path))
+    info = {"graph_directed": graph.directed, **(meta or {}), "store": store.sizes()}
     spark.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.mode("overwrite").text(at)
 
 
@@ -96,7 +98,8 @@ def read_artifact(spark: SparkSession, path: str) -> tuple[Graph, dict]:
         raise FileNotFoundError(f"no graph artifact at {path}")
     nodes, arcs, at = names.artifact_paths(path)
     meta = json.loads(spark.read.text(at).first()["value"])
-    return Graph(spark.read.parquet(nodes), spark.read.parquet(arcs), bool(meta.get("graph_directed"))), meta
+    store = ArcStore.open(spark, names.store_path(path), **meta["store"]) if "store" in meta else None
+    return Graph(spark.read.schema("id long").parquet(nodes), spark.read.schema("src long, dst long").parquet(arcs), bool(meta.get("graph_directed")), store), meta
 
 
 def is_artifact(spark: SparkSession, path: str) -> bool:
@@ -104,16 +107,18 @@ def is_artifact(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def ensure_fraction(spark: SparkSession, source: str, path: str, slug: str, fraction_pct: float, seed: int, directed: bool = False, force: bool = False) -> bool:
-    """Builds the sample's artifact unless one with the same slug, fraction, seed and source is there; whether it was built."""
+def ensure_fraction(
+    spark: SparkSession, source: str, path: str, slug: str, fraction_pct: float, seed: int, directed: bool = False, force: bool = False, restrict: bool = True
+) -> bool:
+    """Builds the sample's artifact unless one is there that was made with the same arguments; whether it was built."""
     if fraction_pct >= 100:
         raise ValueError("only parts of a graph are kept as artifacts")
-    want = {"dataset_slug": slug, "fraction_pct": fraction_pct, "seed": seed, "source": source}
+    want = {"dataset_slug": slug, "fraction_pct": fraction_pct, "seed": seed, "source": source, "graph_directed": directed, "restrict_to_lcc": restrict}
     if not force and is_artifact(spark, path):
         meta = read_artifact(spark, path)[1]
         if all(meta.get(k) == v for k, v in want.items()):
             return False
-    got = load_graph(spark, source, fraction_pct, seed, directed)
+    got = load_graph(spark, source, fraction_pct, seed, directed, restrict)
     write_artifact(got.graph, path, want | {"node_count": got.node_count, "edge_count": got.edge_count, "load_time_s_build": got.load_time_s})
     return True
 

@@ -44,6 +44,31 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Catalog names of bucketed tables in the shared folder, by the last part of their paths.
+_TABLES: dict[str, str] = {}
+
+
+def bucketed(df: DataFrame, key: str, n: int, sort: list[str], path: str | None = None) -> DataFrame:
+    """Write ``df`` hashed by ``key`` into ``n`` sorted buckets and read it back: joins by the key then need no shuffle of it.
+
+    The table lies at ``path`` (default: a new one in the shared folder) and
+    is listed in the session's catalog until ``drop``.
+    """
+    spark = df.sparkSession
+    path, name = path or fresh_path(spark, "buckets"), f"loomgraph_{uuid.uuid4().hex}"
+    _TABLES[path.rsplit("/", 1)[-1]] = name
+    df.repartition(n, key).write.mode("overwrite").format("parquet").bucketBy(n, key).sortBy(*sort).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, columns: str, key: str, n: int, sort: list[str]) -> DataFrame:
+    """A table that ``bucketed`` has written in another session, listed in this one."""
+    name = f"loomgraph_{uuid.uuid4().hex}"
+    at = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({', '.join(sort)}) INTO {n} BUCKETS LOCATION '{at}'")
+    return spark.table(name)
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of a frame made by ``cut`` that nothing reads any more."""
     sc = df.sparkSession.sparkContext
@@ -51,3 +76,5 @@ def drop(df: DataFrame) -> None:
         if "/loomgraph-" in folder:
             at = sc._jvm.org.apache.hadoop.fs.Path(folder)
             at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            if name := _TABLES.pop(folder.rsplit("/", 1)[-1], None):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
