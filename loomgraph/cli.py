@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--seed", type=int)
         q.add_argument("--directed", action="store_true")
     run.add_argument("--fraction", type=float)
-    run.add_argument("--approach", default="frame", help="frame, mode or blocks")
+    run.add_argument("--approach", default="blocks", help="frame, mode or blocks")
     run.add_argument("--workers", type=int, help="cores of the local session")
     run.add_argument("--output-partition", help="folder and stem of the communities and summary files")
     bench.add_argument("--fractions", default="100")

@@ -29,12 +29,17 @@ METRICS_SCHEMA = T.StructType([T.StructField(n, _KINDS[k]()) for n, k in (c.spli
 
 @dataclass
 class Graph:
-    """``nodes(id)`` and distinct directed ``arcs(src, dst)`` without self-loops; an artifact's arcs are in a store as well."""
+    """``nodes(id)`` and distinct directed ``arcs(src, dst)`` without self-loops.
+
+    store: the arcs once more, in an artifact's buckets. joined: every node is
+    an end of an arc, so nodes need not be computed apart from the arcs.
+    """
 
     nodes: DataFrame
     arcs: DataFrame
     directed: bool = False
     store: ArcStore | None = None
+    joined: bool = False
 
     @classmethod
     def from_edges(cls, edges: DataFrame, directed: bool = False) -> Graph:
@@ -42,7 +47,7 @@ class Graph:
         from loomgraph.operators.graph import dedupe, endpoints, symmetrize
 
         arcs = dedupe(edges if directed else symmetrize(edges))
-        return cls(endpoints(arcs), arcs, directed)
+        return cls(endpoints(arcs), arcs, directed, joined=True)
 
     @classmethod
     def from_nodes(cls, nodes: DataFrame) -> Graph:

@@ -90,6 +90,11 @@ class ArcStore:
         """What ``open`` needs to know besides the path."""
         return {"homes": self.homes, "buckets": self.buckets, "hubs": self.hubs}
 
+    def ends(self) -> DataFrame:
+        """(home, id) of all nodes that have an arc."""
+        sources = self.blocks.select(home_of("src", self.homes).alias("home"), F.col("src").alias("id"))
+        return sources.unionAll(self.mirrors.select("home", "id")).distinct()
+
     def home(self, column: str) -> Column:
         return home_of(column, self.homes).alias("home")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.graph import dense_index, induced, symmetrize
-from loomgraph.store import cut
+from loomgraph.store import bucketed, cut, drop
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
@@ -32,13 +32,14 @@ def bfs_distances(edges: DataFrame, start: int, nodes: DataFrame | None = None,
     """(id, dist) of the nodes reachable from ``start``, direction ignored.
 
     ``nodes`` restricts the walk; ``at_least`` ends it after the layer with
-    which so many nodes are reached. Layers are written to the shared folder.
+    which so many nodes are reached. Arcs lie in buckets by their source, so a
+    layer moves its own nodes only; layers are written to the shared folder.
     """
     spark = edges.sparkSession
     both = symmetrize(edges).where("src <> dst").distinct()
     if nodes is not None:
         both = induced(both, nodes)
-    both = cut(both, "bfs-arcs")
+    both = bucketed(both, "src", int(spark.conf.get("spark.sql.shuffle.partitions")), ["src"])
     seen = front = cut(spark.createDataFrame([(start, 0)], "id long, dist int"), "bfs")
     # direction is ignored, so a layer's neighbours lie in it or in the layers next to it
     last, total, depth = front, 1, 0
@@ -53,6 +54,7 @@ def bfs_distances(edges: DataFrame, start: int, nodes: DataFrame | None = None,
         seen, total = seen.unionAll(front), total + n
         if depth % LAYERS == 0:  # else the plan grows with the depth
             seen = cut(seen, "bfs")
+    drop(both)
     return seen
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.model import Graph, LpaResult
@@ -157,7 +157,7 @@ def label_propagation(
     max_iter: int = 100,
     log: Callable[[str], None] | None = None,
     run_step: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
-    approach: str = "frame",
+    approach: str = "blocks",
     track_memory: bool = False,
 ) -> LpaResult:
     """Runs up to ``max_iter`` rounds; the last, unchanged round counts as one.
@@ -169,8 +169,8 @@ def label_propagation(
     built here, and never move; see ``Rounds``. ``run_step`` replaces the
     round, for other strategies: from (src, dst) arcs and (id, label) it
     returns (id, label) of the nodes that vote. Each round's labels are written
-    to the shared folder, which survives lost executors, and counted from
-    there; one row comes to the driver.
+    to the shared folder, which survives lost executors, and counted as they
+    are; one row comes to the driver.
     """
     began = time.time()
     spark = graph.nodes.sparkSession
@@ -182,8 +182,8 @@ def label_propagation(
         rounds = None if run_step else Rounds(store, vote)
         home = F.lit(0).cast("long").alias("home") if run_step else store.home("id")
         try:
-            labels = graph.initial_labels().select(home, "id", "label")
-            state = cut(labels.select("*", F.col("label").alias("prev"), F.col("label").alias("base")), "labels")
+            nodes = store.ends() if store and graph.joined else graph.nodes.select(home, "id")
+            state = cut(nodes.select("home", "id", *(F.col("id").alias(c) for c in ("label", "prev", "base"))), "labels")
             total = state.count()
             result = LpaResult(state.select("id", "label"), node_count=total, init_time_s=time.time() - began, workers=n)
             result.previous = result.labels
@@ -200,10 +200,14 @@ def label_propagation(
                     based = based.join(votes_.withColumnRenamed("new", f"new{k}"), ["home", "id"], "left")
                 label = F.coalesce(*(f"new{k}" for k in range(len(new))), "label")
                 off = F.lit(it == 1) | (label != F.col("prev"))
-                nxt = cut(based.select("home", "id", label.alias("label"), F.col("label").alias("prev"), "base", off.alias("off")), "labels")
-                row = nxt.agg(F.count_if(F.expr("label <> prev")).alias("changed"), F.count_if("off").alias("off"), F.count_if(F.expr("label <> base")).alias("drift")).first()
+                nxt = based.select("home", "id", label.alias("label"), F.col("label").alias("prev"), "base", off.alias("off"))
+                # counted by the tasks that write, of which each counts once
+                seen = Observation()
+                counts = [F.count_if(F.expr("label <> prev")).alias("changed"), F.count_if("off").alias("off"), F.count_if(F.expr("label <> base")).alias("drift")]
+                nxt = cut(nxt.observe(seen, *counts), "labels")
                 drop(state)
-                state, changed, drift = nxt.drop("off"), row["changed"], row["drift"]
+                state, row = nxt.drop("off"), seen.get
+                changed, drift = row["changed"], row["drift"]
                 result.iterations.append((it, changed, total, time.time() - t))
                 if log:
                     log(iteration_line(it, changed, total, n, result.iterations[-1][3], approach))
