@@ -113,3 +113,8 @@ def summary_json(folder: str | Path, stem: str) -> Path:
 
 def communities_json(folder: str | Path, stem: str) -> Path:
     return Path(folder, f"{stem}.communities.json")
+
+
+def clusters_dir(communities: Path) -> str:
+    """The folder of a large graph's clusters, beside the document that names it."""
+    return str(communities.resolve().with_suffix(".lines"))

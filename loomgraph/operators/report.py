@@ -86,9 +86,17 @@ def cluster_peak(peaks: DataFrame) -> DataFrame:
 
 
 def grid_plan(spark: SparkSession, fractions: list[float], workers: list[int], approaches: list[str], runs: int, seed: int) -> DataFrame:
-    """One row per run of a campaign, the seed counting up with the run."""
-    grid = spark.createDataFrame([(fractions, workers, approaches)], "f array<double>, w array<int>, a array<string>")
-    grid = grid.select(F.explode("f").alias("fraction_pct"), "w", "a").select("fraction_pct", F.explode("w").alias("workers"), "a").select("fraction_pct", "workers", F.explode("a").alias("approach"))
+    """(fraction_pct, workers, approach, run_index, seed): every run of a campaign."""
+    return _grid(spark.createDataFrame([(fractions, workers, approaches)], "f array<double>, w array<int>, a array<string>"), runs, seed)
+
+
+def grid_again(metrics: DataFrame, runs: int, seed: int) -> DataFrame:
+    """The runs that a campaign needs which covers all settings found in ``metrics``; settings are few."""
+    return _grid(metrics.agg(*(F.collect_set(c).alias(n) for n, c in zip("fwa", ("fraction_pct", "workers_requested", "approach"), strict=True))), runs, seed)
+
+
+def _grid(one: DataFrame, runs: int, seed: int) -> DataFrame:
+    grid = one.select(F.explode("f").alias("fraction_pct"), "w", "a").select("fraction_pct", F.explode("w").alias("workers"), "a").select("fraction_pct", "workers", F.explode("a").alias("approach"))
     return grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run_index")).withColumn("seed", (F.col("run_index") + seed).cast("long"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.graph import dense_index, induced, symmetrize
+from loomgraph.operators.ranks import placed
 from loomgraph.store import bucketed, cut, drop
 
 
@@ -17,6 +18,15 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return cc.join(F.broadcast(top.select((-F.col("t.neg")).alias("component"))), "component", "left_semi").select("id")
 
 
+def earliest_largest_component(edges: DataFrame) -> DataFrame:
+    """(id) of the largest weak component of ``edges`` (src, dst, place); of equal ones that with the earliest edge."""
+    cc = cut(connected_components(edges), "lcc")
+    sizes = cc.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    first = edges.join(cc, edges["src"] == cc["id"]).groupBy("component").agg(F.min("place").alias("place"))
+    top = sizes.join(first, "component").agg(F.max(F.struct("n", (-F.col("place")).alias("late"), "component")).alias("t"))
+    return cc.join(F.broadcast(top.select(F.col("t.component").alias("component"))), "component", "left_semi").select("id")
+
+
 def restrict_to_lcc(edges: DataFrame) -> tuple[DataFrame, int]:
     """Edges inside the largest component, and how many nodes were dropped."""
     ids = cut(largest_component(edges), "lcc")
@@ -58,6 +68,46 @@ def bfs_distances(edges: DataFrame, start: int, nodes: DataFrame | None = None,
     return seen
 
 
+def walk_order(edges: DataFrame, start: int, seed: int, nodes: DataFrame | None = None, at_least: int | None = None) -> DataFrame:
+    """(id, dist, ord): the order in which a breadth-first walk from ``start`` visits nodes, direction ignored.
+
+    A first-in, first-out queue visits the neighbours of an earlier node
+    before those of a later one; neighbours of one node come in the order of
+    md5(seed:id). So a layer is in the order of (least rank of a neighbour in
+    the layer before, key, id), and ranks are passed on from layer to layer:
+    a layer is sorted in ranges and moves its own nodes only. ``nodes`` and
+    ``at_least`` are those of ``bfs_distances``.
+    """
+    spark = edges.sparkSession
+    both = symmetrize(edges).where("src <> dst").distinct()
+    if nodes is not None:
+        both = induced(both, nodes)
+    both = bucketed(both, "src", int(spark.conf.get("spark.sql.shuffle.partitions")), ["src"])
+    kinds = "id long, dist int, ord long"
+    seen = front = cut(spark.createDataFrame([(start, 0, 0)], kinds), "walk")
+    last, total, depth = front, 1, 0
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    while at_least is None or total < at_least:
+        depth += 1
+        reached = both.join(front.select(F.col("id").alias("src"), "ord"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("ord").alias("parent"))
+        fresh = cut(reached.join(front.select("id").unionAll(last.select("id")), "id", "left_anti"), "walk")
+        if fresh.isEmpty():
+            break
+        ranked, n = placed(fresh, [F.col("parent"), key, F.col("id")])
+        last, front = front, cut(ranked.select("id", F.lit(depth).alias("dist"), (F.col("place") + total).alias("ord")), "walk")
+        seen, total = seen.unionAll(front), total + n
+        if depth % LAYERS == 0:
+            seen = cut(seen, "walk")
+    drop(both)
+    return seen
+
+
+def walk_sample(edges: DataFrame, nodes: DataFrame, fraction_pct: float, seed: int, start: int) -> DataFrame:
+    """(id): the first ``fraction_pct`` percent of ``nodes`` that a walk from ``start`` visits; connected, as each node follows a neighbour."""
+    k = sample_size(nodes.count(), fraction_pct)
+    return walk_order(edges, start, seed, nodes, at_least=k).where(F.col("ord") < k).select("id")
+
+
 def sample_size(n: int, fraction_pct: float) -> int:
     return max(1, int(n * fraction_pct / 100))
 

@@ -16,7 +16,7 @@ from loomgraph.functions import estimates, names
 from loomgraph.model import METRICS_SCHEMA, LoadResult, LpaResult
 from loomgraph.plans import lpa
 from loomgraph.plans.memory import host_id, memory_peaks, worker_peaks
-from loomgraph.plans.runlog import RunLog
+from loomgraph.plans.runlog import CampaignLog
 from loomgraph.sources.edges import is_artifact, load_for_benchmark, load_graph
 from loomgraph.sources.results import write_partition
 
@@ -90,14 +90,14 @@ def run_campaign(
     fresh = not (append and output_csv.exists())
     before = spark.conf.get("spark.sql.shuffle.partitions")
     with contextlib.ExitStack() as stack:
-        log = stack.enter_context(RunLog(log_path, append)) if log_path else None
+        log = stack.enter_context(CampaignLog(log_path, append)) if log_path else None
         stack.callback(spark.conf.set, "spark.sql.shuffle.partitions", before)
         f = stack.enter_context(open(output_csv, "w" if fresh else "a", newline=""))
         out = csv.DictWriter(f, COLUMNS)
         if fresh:
             out.writeheader()
-        if log and log.fresh:
-            log.header(stamp, graph=path, graph_directed=cfg.directed, seed=cfg.seed, max_iter=cfg.max_iter, workers=workers, approaches=approaches)
+        if log:
+            log.event("campaign", stamp=stamp, graph=path, directed=cfg.directed, seed=cfg.seed, max_iter=cfg.max_iter, fractions=fractions, workers=workers, approaches=approaches)
         for fraction in fractions:
             if is_artifact(spark, path):
                 loaded = load_graph(spark, path, format="artifact")
@@ -109,20 +109,19 @@ def run_campaign(
                 spark.conf.set("spark.sql.shuffle.partitions", w)
                 for approach in approaches:
                     for run, seed in enumerate(seeds, 1):
-                        label = f"fraction={loaded.fraction_pct}% workers={w} run={run} seed={seed}"
                         row = dict.fromkeys(COLUMNS) | {
                             "approach": approach, "fraction_pct": loaded.fraction_pct, "run_index": run, "node_count": loaded.node_count, "graph_load_time_s": loaded.load_time_s,
                             "max_iter": float(cfg.max_iter), "seed": seed, "workers_requested": w, "workers_actual": min(w, max(loaded.node_count, 1)),
                         }
                         if log:
-                            log.section(approach, label)
+                            log.event("run", of=approach, fraction_pct=loaded.fraction_pct, partitions=w, run=run, seed=seed)
                         try:
-                            with log.capture(approach) if log else contextlib.nullcontext():
+                            with log.running(approach) if log else contextlib.nullcontext():
                                 row |= run_once(spark, loaded, approach, cfg, seed, folder, names.partition_stem(approach, slug, loaded.fraction_pct, w, run), print)
                         except Exception as e:
                             row |= failed_row(e)
                         if log:
-                            log.summary(approach, label, row)
+                            log.event("row", row=row)
                         rows.append(row)
                         out.writerow(row)
                         f.flush()

@@ -56,6 +56,27 @@ def host_id() -> str:
     return socket.gethostname()
 
 
+def executor_peaks(spark: SparkSession) -> DataFrame:
+    """(host, executor, peak_mb) of every executor that ever registered, the driver's as well.
+
+    Read from Spark's own status store: the highest JVM heap and off-heap use,
+    and where ``spark.executor.processTreeMetrics.enabled`` is set, the
+    resident memory of the JVM and its Python workers instead. An executor
+    appears once, lost ones too; one that has not reported yet has 0.
+    """
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    rows = []
+    for k in range(found.size()):
+        x = found.apply(k)
+        peak, mb = x.peakMemoryMetrics(), 0.0
+        if peak.isDefined():
+            value = peak.get().getMetricValue
+            tree = sum(value(m) for m in ("ProcessTreeJVMRSSMemory", "ProcessTreePythonRSSMemory", "ProcessTreeOtherRSSMemory"))
+            mb = (tree or value("JVMHeapMemory") + value("JVMOffHeapMemory")) / 1e6
+        rows.append((x.hostPort().rsplit(":", 1)[0], x.id(), mb))
+    return spark.createDataFrame(rows, "host string, executor string, peak_mb double")
+
+
 def worker_samples(spark: SparkSession, tasks: int | None = None) -> DataFrame:
     """(host, peak_rss_mb) from ``tasks`` tasks, by default two a core: a sample that reaches each host in practice."""
 
@@ -69,5 +90,9 @@ def worker_samples(spark: SparkSession, tasks: int | None = None) -> DataFrame:
 
 
 def worker_peaks(spark: SparkSession) -> dict[str, float]:
-    """Peak MB by host."""
-    return {r["host"]: r["peak_rss_mb"] for r in max_per_host(worker_samples(spark)).collect()}
+    """Peak MB by host: what tasks see of their processes, and of hosts that no task reached what their executors report."""
+    seen = {r["host"]: r["peak_rss_mb"] for r in max_per_host(worker_samples(spark)).collect()}
+    if spark.sparkContext.master.startswith("local"):
+        return seen  # one process, under a name that tasks don't use
+    told = executor_peaks(spark).where("executor <> 'driver'").groupBy("host").agg({"peak_mb": "sum"}).collect()
+    return {r["host"]: r["sum(peak_mb)"] for r in told} | seen

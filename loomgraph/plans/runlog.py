@@ -1,97 +1,92 @@
-"""The text log of a campaign: what it ran, what was printed, what came out."""
+"""A campaign's log: JSON lines with everything that is logged or printed while its runs last.
+
+``logging`` does the work. One file handler is put on the root logger for as
+long as the log is open; a filter stamps each record with the approach that
+is running. Print goes through a logger of its own, which also shows it.
+"""
 
 from __future__ import annotations
 
 import contextlib
+import io
+import json
 import logging
 import os
 import sys
+import time
 from collections.abc import Iterator
-from datetime import datetime, timezone
 from pathlib import Path
-from typing import TextIO
 
-#: Loggers that are copied into the log while a run is captured.
-LOGGERS = ("py4j", "pyspark", "loomgraph")
+EVENTS, PRINTED = logging.getLogger("loomgraph.campaign"), logging.getLogger("loomgraph.printed")
 
 
-def utc_now() -> str:
-    return datetime.now(timezone.utc).isoformat(timespec="seconds")
+class _JsonLines(logging.Formatter):
+    def format(self, record: logging.LogRecord) -> str:
+        at = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(record.created))
+        own = {"at": at, "approach": record.approach, "source": record.name, "level": record.levelname, "text": record.getMessage()}
+        return json.dumps(own | getattr(record, "fields", {}), default=str)
 
 
-class _Tee:
-    """Passes what is written on, and whole lines that are not blank to the log as well."""
+class _Printed(io.TextIOBase):
+    """Turns printed lines into log records."""
 
-    def __init__(self, stream: TextIO, log: RunLog, tag: str):
-        self._stream, self._log, self._tag, self._rest = stream, log, tag, ""
+    def __init__(self) -> None:
+        self.rest = ""
 
     def write(self, text: str) -> int:
-        self._stream.write(text)
-        *lines, self._rest = (self._rest + text).split("\n")
-        for line in filter(str.strip, lines):
-            self._log.line(self._tag, line)
+        *lines, self.rest = (self.rest + text).split("\n")
+        for line in lines:
+            PRINTED.info("%s", line)
         return len(text)
 
-    def flush(self) -> None:
-        self._stream.flush()
-
-    def finish(self) -> None:
-        if self._rest.strip():
-            self._log.line(self._tag, self._rest)
-        self._rest = ""
-
-    def __getattr__(self, name: str):
-        return getattr(self._stream, name)
-
-
-class _Records(logging.Handler):
-    def __init__(self, log: RunLog, tag: str):
-        super().__init__()
-        self._log, self._tag = log, tag
+    def close(self) -> None:
+        if self.rest:
+            PRINTED.info("%s", self.rest)
+        self.rest = ""
 
-    def emit(self, record: logging.LogRecord) -> None:
-        self._log.line(self._tag, f"{record.levelname} [{record.name}] {record.getMessage()}")
 
-
-class RunLog:
-    """A log file; use as a context, which notes the end. ``append`` goes on where there is one."""
+class CampaignLog:
+    """A log file to be used as a context; ``append`` goes on where there is one."""
 
     def __init__(self, path: str | Path, append: bool = False):
-        os.makedirs(Path(path).parent, exist_ok=True)
-        self.fresh = not (append and Path(path).is_file())
-        self._file = open(path, "w" if self.fresh else "a", buffering=1)
-
-    def __enter__(self) -> RunLog:
+        self.path, self.approach = Path(path), None
+        self.goes_on = append and self.path.is_file()
+
+    def __enter__(self) -> CampaignLog:
+        os.makedirs(self.path.parent, exist_ok=True)
+        self._file = logging.FileHandler(self.path, "a" if self.goes_on else "w")
+        self._file.setFormatter(_JsonLines())
+        self._file.addFilter(self._stamp)
+        logging.getLogger().addHandler(self._file)
+        self._levels = [(x, x.level) for x in (EVENTS, PRINTED)]
+        for x, _ in self._levels:
+            x.setLevel(logging.INFO)
         return self
 
     def __exit__(self, *_) -> None:
-        self._file.write(f"\n# finished {utc_now()}\n")
+        self.event("end")
+        logging.getLogger().removeHandler(self._file)
         self._file.close()
+        for x, level in self._levels:
+            x.setLevel(level)
 
-    def line(self, tag: str, text: str) -> None:
-        self._file.write(f"{utc_now()} [{tag}] {text}\n")
-
-    def header(self, stamp: str, **fields: object) -> None:
-        self._file.write(f"# benchmark run log, stamp {stamp}\n# started {utc_now()}\n" + "".join(f"{k}={v}\n" for k, v in fields.items()) + "# ---\n")
-
-    def section(self, approach: str, label: str) -> None:
-        self._file.write(f"\n# === {approach.upper()}: {label} @ {utc_now()} ===\n")
+    def _stamp(self, record: logging.LogRecord) -> bool:
+        record.approach = self.approach
+        return True
 
-    def summary(self, approach: str, label: str, fields: dict) -> None:
-        self._file.write(f"\n# --- {approach.upper()} summary {label} @ {utc_now()} ---\n" + "".join(f"{k}={v}\n" for k, v in fields.items()))
+    def event(self, what: str, **fields: object) -> None:
+        """A line of the campaign itself: what happened, and with which settings or results."""
+        EVENTS.info(what, extra={"fields": fields})
 
     @contextlib.contextmanager
-    def capture(self, approach: str) -> Iterator[None]:
-        """While it lasts, what is printed and what LOGGERS log goes to the log too, with the approach as tag."""
-        tag, handler = approach.lower(), _Records(self, approach.lower())
-        out, err = _Tee(sys.stdout, self, f"{tag}-stdout"), _Tee(sys.stderr, self, f"{tag}-stderr")
-        for name in LOGGERS:
-            logging.getLogger(name).addHandler(handler)
+    def running(self, approach: str) -> Iterator[None]:
+        """While it lasts, records bear the approach, and what is printed is shown and logged."""
+        self.approach, shown, printed = approach, logging.StreamHandler(sys.stdout), _Printed()
+        PRINTED.addHandler(shown)
         try:
-            with contextlib.redirect_stdout(out), contextlib.redirect_stderr(err):
+            with contextlib.redirect_stdout(printed):
                 yield
         finally:
-            out.finish()
-            err.finish()
-            for name in LOGGERS:
-                logging.getLogger(name).removeHandler(handler)
+            printed.close()
+            PRINTED.removeHandler(shown)
+            self.approach = None

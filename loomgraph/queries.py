@@ -24,7 +24,8 @@ from loomgraph.operators.arcstore import ArcStore
 from loomgraph.operators.components import connected_components
 from loomgraph.plans import lpa
 from loomgraph.sources import edges as src
-from loomgraph.store import cut
+from loomgraph.sources.csr import read_csr, write_csr
+from loomgraph.store import cut, fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,6 +216,14 @@ def graph_symmetrize(spark, d):
     return g.symmetrize(g_hour(spark, d))
 
 
+@_query(f"WITH {_with(_NATION)} SELECT src, dst FROM a0")
+def csr_round_trip(spark, d):
+    """Arcs that went through CSR files of at most 1000 nodes or arcs."""
+    path = fresh_path(spark, "csr")
+    write_csr(Graph.from_edges(g_nation(spark, d)), path.removeprefix("file:"), 1000)
+    return read_csr(spark, path.removeprefix("file:")).arcs
+
+
 @_query(f"WITH {_with(_PART)} SELECT id FROM nodes")
 def graph_nodes(spark, d):
     return _part_graph(spark, d).nodes
@@ -346,6 +355,20 @@ def bfs_distances(spark, d):
     return tr.bfs_distances(edges, _start(cut(tr.largest_component(edges))))
 
 
+@_query(
+    _BFS
+    + """, before AS (SELECT dist, (sum(count(*)) OVER (ORDER BY dist) - count(*))::BIGINT AS base FROM dist GROUP BY dist),
+ walk AS (SELECT 0 AS d, id, 0::BIGINT AS ord FROM first UNION ALL
+  SELECT x.d + 1, x.id, base + row_number() OVER (PARTITION BY x.d ORDER BY parent, md5('42:' || x.id), x.id) - 1 FROM
+   (SELECT walk.d, n.id, min(walk.ord) AS parent FROM walk JOIN a0 ON a0.src = walk.id JOIN dist n ON n.id = a0.dst AND n.dist = walk.d + 1 GROUP BY walk.d, n.id) x
+   JOIN before ON before.dist = x.d + 1)
+ SELECT id, d::INT AS dist, ord FROM walk"""
+)
+def walk_order(spark, d):
+    edges = cut(g_bip(spark, d))
+    return tr.walk_order(edges, _start(cut(tr.largest_component(edges))), 42)
+
+
 _SAMPLE = _BFS + ", s AS (SELECT id FROM dist ORDER BY dist, md5('42:' || id), id LIMIT (SELECT greatest(1, floor(count(*) * 10 / 100))::BIGINT FROM lcc))"
 
 
@@ -569,9 +592,10 @@ def throughput(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", lab.throughput(F.col("o_orderkey"), (F.col("o_custkey") % 10).cast("double")).alias("throughput"))
 
 
-@_query("SELECT f AS fraction_pct, w AS workers, a AS approach, r::INT AS run_index, 42 + r AS seed FROM (VALUES (1.0::DOUBLE), (10.0)) t(f), (VALUES (2), (4)) u(w), (VALUES ('frame'), ('subset')) v(a), range(3) x(r)")
+@_query(f"""WITH {_METRICS} SELECT f AS fraction_pct, w AS workers, a AS approach, r::INT AS run_index, 42 + r AS seed
+ FROM (SELECT DISTINCT fraction_pct AS f FROM m), (SELECT DISTINCT workers_requested AS w FROM m), (SELECT DISTINCT approach AS a FROM m), range(3) x(r)""")
 def grid_plan(spark, d):
-    return rep.grid_plan(spark, [1.0, 10.0], [2, 4], ["frame", "subset"], 3, 42)
+    return rep.grid_again(metric_rows(spark, d), 3, 42)
 
 
 @_query("SELECT user_id AS src, event_id AS dst FROM events WHERE event_id % 4 < 2 AND user_id <> event_id")

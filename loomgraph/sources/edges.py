@@ -12,15 +12,17 @@ from loomgraph.functions import names
 from loomgraph.model import METRICS_SCHEMA, Graph, LoadResult
 from loomgraph.operators import graph as g
 from loomgraph.operators.arcstore import ArcStore
-from loomgraph.operators.traverse import connected_sample, restrict_to_lcc
+from loomgraph.operators.ranks import placed
+from loomgraph.operators.traverse import connected_sample, earliest_largest_component, restrict_to_lcc
 from loomgraph.store import cut
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """(src, dst) of text lines (value): two integers and anything after; no comments, no self-loops."""
+def parse_lines(lines: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(src, dst, *carry) of text lines (value): two integers and anything after; no comments, no self-loops."""
+    carry = carry or []
     words = F.split(F.regexp_replace("value", r"^\s+", ""), r"\s+")
-    ids = lines.where(~F.col("value").startswith("#")).select(*(F.try_element_at(words, F.lit(k)).alias(f"w{k}") for k in (1, 2)))
-    return ids.selectExpr("try_cast(w1 as bigint) as src", "try_cast(w2 as bigint) as dst").where("src is not null and dst is not null and src <> dst")
+    ids = lines.where(~F.col("value").startswith("#")).select(*(F.try_element_at(words, F.lit(k)).alias(f"w{k}") for k in (1, 2)), *carry)
+    return ids.selectExpr("try_cast(w1 as bigint) as src", "try_cast(w2 as bigint) as dst", *carry).where("src is not null and dst is not null and src <> dst")
 
 
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
@@ -28,6 +30,18 @@ def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path, lineSep="\n"))
 
 
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst, place): edges with their place in the text, files in the order of their names.
+
+    A line's place follows from its file, the start of the split it was read
+    in, and its row there, so files are read in parallel like any others.
+    """
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    numbered = lines.withColumn("row", F.monotonically_increasing_id())  # rows of a split ascend, whatever task reads it
+    kept = cut(parse_lines(numbered, ["file", "split", "row"]), "lines")
+    return placed(kept, [F.col("file"), F.col("split"), F.col("row")])[0].select("src", "dst", "place")
+
+
 def read_edges(spark: SparkSession, path: str, directed: bool = False, nodes: DataFrame | None = None) -> DataFrame:
     """Edges, restricted to ``nodes`` if given (none of them: no edges) and symmetrised unless directed."""
     edges = read_edge_list(spark, path)
@@ -40,22 +54,27 @@ def collect_node_set(spark: SparkSession, path: str) -> DataFrame:
     return g.endpoints(read_edge_list(spark, path))
 
 
-def load_graph(spark: SparkSession, path: str, fraction_pct: float = 100.0, seed: int = 42, directed: bool = False, restrict: bool = True, format: str = "auto") -> LoadResult:
+def load_graph(spark: SparkSession, path: str, fraction_pct: float = 100.0, seed: int = 42, directed: bool = False, restrict: bool = True, format: str = "auto", ties: str = "id") -> LoadResult:
     """Loads a graph: largest component (if ``restrict``), connected sample below 100 percent, arcs.
 
+    ``ties`` says which of equally large components is taken: that with the
+    smallest id, or (text) that with the earliest line of the text.
     ``format`` is text, artifact, or auto: artifact where the path is one;
     artifacts carry their own fraction. Nodes and arcs are written to the
     shared folder once, so that runs read them and do not build them anew.
     """
-    if format not in ("auto", "text", "artifact"):
-        raise ValueError(f"no such format: {format}")
+    if format not in ("auto", "text", "artifact") or ties not in ("id", "text"):
+        raise ValueError(f"no such format or rule: {format}, {ties}")
     began = time.time()
     if format == "artifact" or format == "auto" and is_artifact(spark, path):
         graph, meta = read_artifact(spark, path)
         fraction_pct = meta.get("fraction_pct", 100.0)
     else:
         edges = read_edge_list(spark, path)
-        if restrict:
+        if restrict and ties == "text":
+            edges = read_numbered(spark, path)
+            edges = g.induced(edges, cut(earliest_largest_component(edges), "lcc"))
+        elif restrict:
             edges = restrict_to_lcc(edges)[0]
         if fraction_pct < 100:
             edges = cut(edges, "edges")

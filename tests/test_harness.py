@@ -17,7 +17,7 @@ from loomgraph.model import METRICS_SCHEMA, LpaResult
 from loomgraph.operators.report import markdown_table, write_report
 from loomgraph.plans import campaign, lpa
 from loomgraph.plans.memory import host_id, memory_peaks, process_peak_mb, worker_peaks, worker_samples
-from loomgraph.plans.runlog import RunLog
+from loomgraph.plans.runlog import CampaignLog
 from loomgraph.sources import edges as src
 from loomgraph.sources.results import write_communities, write_partition
 
@@ -75,22 +75,23 @@ def test_newest_metrics_and_their_report(tmp_path):
     assert names.report_paths(tmp_path, tmp_path / "other.csv", tmp_path / "r.md")[1] == tmp_path / "r.md"
 
 
-def test_run_log(tmp_path):
+def test_campaign_log(tmp_path, capsys):
     at = tmp_path / "a" / "run.log"
-    with RunLog(at) as log:
-        log.header(STAMP, graph="g.txt", seed=42)
-        log.section("frame", "run=1")
-        with log.capture("Frame"):
+    with CampaignLog(at) as log:
+        log.event("campaign", stamp=STAMP, graph="g.txt")
+        with log.running("frame"):
             print("first\n\nsecond", end="")
-            logging.getLogger("loomgraph").warning("careful")
+            logging.getLogger("other").warning("careful")
         print("not in it")
-        log.summary("frame", "run=1", {"status": "success"})
-    text = at.read_text()
-    assert f"stamp {STAMP}" in text and "graph=g.txt" in text and "FRAME: run=1" in text and "status=success" in text and "# finished" in text
-    assert re.search(r"T\S+ \[frame-stdout\] first\n", text) and "[frame-stdout] second" in text and "[frame] WARNING [loomgraph] careful" in text and "not in it" not in text
-    with RunLog(at, append=True) as log:
-        assert not log.fresh
-    assert at.read_text().startswith(text)
+        log.event("row", row={"status": "success"})
+    lines = [json.loads(x) for x in at.read_text().splitlines()]
+    assert [x["text"] for x in lines] == ["campaign", "first", "", "careful", "second", "row", "end"]
+    assert lines[0]["stamp"] == STAMP and lines[5]["row"] == {"status": "success"}
+    assert [x["approach"] for x in lines] == [None] + ["frame"] * 4 + [None, None] and lines[3]["source"] == "other"
+    assert capsys.readouterr().out == "first\n\nsecond\nnot in it\n"
+    with CampaignLog(at, append=True) as log:
+        assert log.goes_on
+    assert len(at.read_text().splitlines()) == 8
 
 
 def test_log_lines(spark):
@@ -175,7 +176,7 @@ def test_command_line_campaign_and_report(spark, toy, capsys, monkeypatch):
     assert cli.main(["report"]) == 0
     assert "## Runs" in names.comparison_md(toy / "results", STAMP).read_text()
     log = names.run_log(toy / "results", STAMP).read_text()
-    assert log.count("# started") == 1 and "[frame][iter=1]" in log and "[mode][done]" in log
+    assert log.count(STAMP) == 2 and "[frame][iter=1]" in log and "[mode][done]" in log
 
 
 def test_campaign_grid_and_report(spark, toy):
