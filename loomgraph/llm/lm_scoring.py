@@ -50,8 +50,8 @@ STEPS, RATE, MEAN, SQUARE = 24, 0.3, 0.8, 0.9
 SUMS = 64
 #: Bound of logits before exp, which then stays finite in float32.
 PEAK = 30.0
-#: Weight of the plain share of an id where the class before it says little.
-SMOOTH = 2.0
+#: Weights that the plain share of an outcome may have against what the class before it says; training counts choose.
+WEIGHTS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0)
 #: Words from this share of the corpus on are looked up in the broadcast table (at most 1 / share of them).
 FREQUENT_SHARE = 1e-6
 LN10 = math.log(10)
@@ -176,6 +176,16 @@ def outcomes_of(nexts: np.ndarray, axes: int = 12, active: int = 4000) -> tuple[
     return cls, (np.log(smooth) - np.log(total[cls])).astype(np.float32)
 
 
+def plain_weight(n: np.ndarray, total: np.ndarray, plain: np.ndarray) -> float:
+    """The one of WEIGHTS that predicts each occurrence best from all others (leaving one out).
+
+    n: occurrences of an outcome after a class; total: of all outcomes after
+    it; plain: the outcome's share whatever comes before.
+    """
+    n, total, plain = (np.asarray(x, np.float64) for x in (n, total, plain))
+    return max(WEIGHTS, key=lambda w: float(n @ (np.log(n - 1 + w * plain) - np.log(total - 1 + w))))
+
+
 def laid_out(lengths: np.ndarray, lead: np.ndarray | int, unit: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of texts' ids where each text begins ``lead`` after a multiple of ``unit``, and the units of each text."""
     units = -(-(lengths + lead) // unit)
@@ -415,14 +425,19 @@ def train_model(texts: DataFrame, counts: DataFrame, ends: int, ranks: bytes, st
     nexts = nexts.reshape(CLASSES + 1, VOCABULARY)
     out, share = outcomes_of(nexts)
     cells = np.stack([np.bincount(out, row, OUTCOMES) for row in nexts])
-    nexts += SMOOTH * np.exp(share)
+    before, id_ = np.nonzero(nexts)
+    smooth = np.float32(plain_weight(nexts[before, id_], cells[before, out[id_]], np.exp(share[id_])))
+    del before, id_
+    nexts += smooth * np.exp(share)
     np.log(nexts, out=nexts)
     for before, row in enumerate(nexts):
-        row -= np.log(cells[before] + SMOOTH)[out].astype(np.float32)
+        row -= np.log(cells[before] + smooth)[out].astype(np.float32)
     share = nexts.astype(np.float16)  # of an id in its outcome, after each class
     del nexts
     start = (cells.sum(0) + 0.5) / (cells.sum() + 0.5 * OUTCOMES)
-    joint = ((cells + 10 * start) / (cells.sum(1, keepdims=True) + 10)).reshape(-1, GROUPS, MEMBERS)
+    before, outcome = np.nonzero(cells)
+    plain = plain_weight(cells[before, outcome], cells.sum(1)[before], start[outcome])
+    joint = ((cells + plain * start) / (cells.sum(1, keepdims=True) + plain)).reshape(-1, GROUPS, MEMBERS)
     whole = joint.sum(2)
     groups, members = np.log(whole), np.log(joint / whole[:, :, None])
     flat = AttentionModel(cls, out, None, groups, members).flat
