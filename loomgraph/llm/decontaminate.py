@@ -32,7 +32,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS, BLOCKS = 23, 8
 #: Items and bytes of item text that are broadcast at a time (an index of under 100 MB); a larger benchmark goes in several passes.
-PASS_ITEMS, PASS_BYTES = 50_000, 8 << 20
+PASS_ITEMS, PASS_BYTES = 50_000, 8 << 20  # about; an item's texts stay together
 #: Words of a document whose fingerprints are added up at a time.
 STRETCH = 1 << 14
 
@@ -204,13 +204,13 @@ def _similarity(a: dict[int, int], b: dict[int, int]) -> float:
 
 
 def _passes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator:
-    """Broadcast indexes of all items."""
+    """Broadcast indexes of all items; all texts of an item are in one pass, so passes change no hit."""
     spark = benchmark.sparkSession
     items = cut(benchmark.select(column(item_col).alias("item_id"), column(item_text_col).alias("text")).where("text is not null").distinct(), "items")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     passes = max(1, -(-size["n"] // PASS_ITEMS), -(-(size["b"] or 0) // PASS_BYTES))
     for k in range(passes):
-        mine = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        mine = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
         yield spark.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in mine.sort("item_id", "text").toLocalIterator()]))
 
 

@@ -78,6 +78,16 @@ def test_decontamination(make, spark):
     assert sorted(str(r["doc_id"]) for r in decontaminate.drop_contaminated(make(ROWS), items).collect()) == ["1", "2", "3", "6"]
 
 
+def test_texts_of_an_item_share_a_pass(make, spark, monkeypatch):
+    text = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(9)]
+    items = spark.createDataFrame([(7, text[0]), (7, text[1]), *[(k, text[k]) for k in range(2, 9)]], "item_id long, text string")
+    docs = make([(1, f"{text[0]} and {text[1]}"), (2, text[5])])
+    once = by_id(decontaminate.contaminated(docs, items), "item_id", "similarity", "first_word", "n_words")
+    assert {x[:2] for x in once} == {(1, 7), (2, 5)}
+    monkeypatch.setattr(decontaminate, "PASS_ITEMS", 3)
+    assert by_id(decontaminate.contaminated(docs, items), "item_id", "similarity", "first_word", "n_words") == once
+
+
 def test_secrets(make):
     rows = [*ROWS, (8, f"{LONG}token=abcdefABCDEF1234"), (9, "secret = 'k'"), (10, "AKIA" + "Q" * 13)]
     got = by_id(secrets.scan_secrets(make(rows)), "n_assign", "n_access", "n_hex", "base_sha256")
