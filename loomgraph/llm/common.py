@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.store import cut
-
 #: Rows of a key list that may be broadcast (at most about 32 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -52,22 +50,3 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
-
-
-def placed(rows: DataFrame, keys: list[Column]) -> tuple[DataFrame, int]:
-    """``rows`` with their place (from 0) in the order of ``keys``, and how many there are.
-
-    Rows are range-partitioned and sorted; a partition's offset is the sum of
-    the counts before it, of which the driver gets one row a partition.
-    """
-    spark = rows.sparkSession
-    names = [f"key{i}_" for i in range(len(keys))]
-    keyed = rows.select("*", *(k.alias(n) for k, n in zip(keys, names, strict=True)))
-    ordered = keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *names).sortWithinPartitions(*names).drop(*names)
-    numbered = cut(ordered.withColumn("n_", F.monotonically_increasing_id()), "placed").withColumn("p_", F.shiftright("n_", 33))
-    base, offsets = 0, []
-    for r in numbered.groupBy("p_").agg(F.count(F.lit(1)).alias("n")).orderBy("p_").collect():
-        offsets.append((r["p_"], base))
-        base += r["n"]
-    at = numbered.join(F.broadcast(spark.createDataFrame(offsets, "p_ long, base_ long")), "p_")
-    return at.withColumn("place", F.col("n_").bitwiseAND((1 << 33) - 1) + F.col("base_")).drop("n_", "p_", "base_"), base

@@ -203,7 +203,8 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     words (or null) has an empty set and is linked with nothing. Rows that
     repeat an id are one document for the links; a null id is never linked and
     its component is null. An empty table gives no rows; other columns are
-    ignored. Ids are whole numbers.
+    ignored. Ids are whole numbers. A very long text is one set, held whole by
+    the task that compares it.
 
     Equal word sequences are one class, so copies never form pairs. Lists are
     compared block by block inside tasks: a pair belongs to the first prefix

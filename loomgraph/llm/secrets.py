@@ -143,7 +143,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Offsets are code points, the end exclusive. Base rules always count; the
     guess-cost method adds ``guess`` spans. Whole texts are scanned. A null or
     empty text has no spans (base_sha256 is that of the empty string); repeated
-    rows and null ids are rows of their own; an empty table gives none.
+    rows and null ids are rows of their own; an empty table gives none; other
+    columns are ignored.
     """
     docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     ranks = corpus_ranks(docs) if ranks is None else ranks

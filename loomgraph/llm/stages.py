@@ -3,8 +3,8 @@
 A stage judges each row of ``docs`` by itself and returns the columns of
 ``docs`` as they are, whatever their names; the last adds its own. Null and
 empty texts are clean, no copies of anything, hold no benchmark passage and
-have no words to mix, so mixing takes none of them. Empty tables give empty
-tables.
+have no words to mix, so mixing takes none of them. Very long texts are judged
+whole, like any other. Empty tables give empty tables.
 """
 
 from __future__ import annotations

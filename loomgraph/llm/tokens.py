@@ -152,7 +152,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have 0 tokens; the end mark is not counted; the
     mark's string in a text is ordinary text. Repeated rows are rows of their
-    own, null ids stay null, an empty table gives none.
+    own, null ids stay null, an empty table gives none. Ids are whole numbers
+    or texts of such; other columns are ignored. A very long text runs over
+    many blocks.
     """
     stream = write_token_stream(docs, id_col, text_col, tokenizer=tokenizer)
     counts = separator_scan(stream.where("kind = 0").select("stream", "block", "ids"))
