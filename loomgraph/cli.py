@@ -10,6 +10,7 @@ from pathlib import Path
 
 from loomgraph.config import load_config, worker_count
 from loomgraph.functions import names
+from loomgraph.sources.shared import exists
 
 
 def _session(workers: int):
@@ -59,7 +60,7 @@ def emit(result, load_s: float, arcs: int, stem: str | None, approach: str) -> N
     if stem:
         from loomgraph.sources.results import write_partition
 
-        write_partition(Path(stem).parent, Path(stem).name, result.labels, {"approach": approach} | result.summary())
+        write_partition(names.above(stem), Path(stem).name, result.labels, {"approach": approach} | result.summary())
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -69,11 +70,13 @@ def main(argv: list[str] | None = None) -> int:
         from loomgraph.operators.report import write_report
         from loomgraph.sources.edges import read_metrics
 
-        source, target = names.report_paths(cfg.output_dir, a.input_csv, a.output_md)
-        write_report(read_metrics(_session(worker_count(cfg)), str(source)), target)
+        spark = _session(worker_count(cfg))
+        source, target = names.report_paths(cfg.output_dir, a.input_csv, a.output_md, spark)
+        write_report(read_metrics(spark, str(source)), target)
         print(f"Wrote {target}")
         return 0
-    if not os.path.exists(a.input):
+    # only a path in a store needs a session to be looked up
+    if not (exists(_session(worker_count(cfg)), a.input) if names.is_remote(a.input) else os.path.exists(a.input)):
         print(f"no such input: {a.input}", file=sys.stderr)
         return 1
     from loomgraph.plans.lpa import APPROACHES
@@ -89,17 +92,18 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "benchmark":
         from loomgraph.plans.campaign import run_campaign
 
-        kept = names.read_stamp(cfg.output_dir) if a.append else None
+        spark = _session(worker_count(cfg))
+        kept = names.read_stamp(cfg.output_dir, spark) if a.append else None
         stamp = a.run_stamp or kept or names.stamp_now()
-        out = Path(a.output_csv) if a.output_csv else names.metrics_csv(cfg.output_dir, stamp)
+        out = a.output_csv or names.metrics_csv(cfg.output_dir, stamp)
         if not a.output_csv and not a.append:
-            names.write_stamp(cfg.output_dir, stamp)
+            names.write_stamp(cfg.output_dir, stamp, spark)
         workers = numbers(a.workers, int) or [worker_count(cfg)]
         log = names.run_log(cfg.output_dir, stamp)
         run_campaign(
-            _session(worker_count(cfg)), a.input, out, cfg, numbers(a.fractions), workers, cfg.runs if a.runs is None else a.runs, a.append, asked or None, log, stamp, a.samples
+            spark, a.input, out, cfg, numbers(a.fractions), workers, cfg.runs if a.runs is None else a.runs, a.append, asked or None, log, stamp, a.samples
         )
-        print(f"Wrote {out}\nWrote {log}\nPartitions: {names.partitions_dir(out.parent, stamp)}\nRun stamp: {stamp}")
+        print(f"Wrote {out}\nWrote {log}\nPartitions: {names.partitions_dir(names.above(out), stamp)}\nRun stamp: {stamp}")
         return 0
     from loomgraph.functions import estimates
     from loomgraph.plans.lpa import label_propagation

@@ -6,6 +6,10 @@ import os
 import re
 import time
 from pathlib import Path
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from pyspark.sql import SparkSession
 
 MARKER = "latest_run.txt"
 
@@ -15,20 +19,34 @@ def stamp_now() -> str:
     return time.strftime("%Y%m%dT%H%M%S")
 
 
-def metrics_csv(folder: str | Path, stamp: str) -> Path:
-    return Path(folder, f"metrics_raw_{stamp}.csv")
+def is_remote(path: str | Path) -> bool:
+    """Whether a path names a store by its scheme."""
+    return "://" in str(path)
+
+
+def below(folder: str | Path, name: str) -> str | Path:
+    """A path in a folder: a text if it has a scheme, else a Path."""
+    return f"{str(folder).rstrip('/')}/{name}" if is_remote(folder) else Path(folder, name)
+
+
+def above(path: str | Path) -> str | Path:
+    return str(path).rpartition("/")[0] if is_remote(path) else Path(path).parent
 
 
-def comparison_md(folder: str | Path, stamp: str) -> Path:
-    return Path(folder, f"comparison_{stamp}.md")
+def metrics_csv(folder: str | Path, stamp: str) -> str | Path:
+    return below(folder, f"metrics_raw_{stamp}.csv")
 
 
-def run_log(folder: str | Path, stamp: str) -> Path:
-    return Path(folder, f"benchmark_run_{stamp}.log")
+def comparison_md(folder: str | Path, stamp: str) -> str | Path:
+    return below(folder, f"comparison_{stamp}.md")
 
 
-def partitions_dir(folder: str | Path, stamp: str) -> Path:
-    return Path(folder, f"partitions_{stamp}")
+def run_log(folder: str | Path, stamp: str) -> str | Path:
+    return below(folder, f"benchmark_run_{stamp}.log")
+
+
+def partitions_dir(folder: str | Path, stamp: str) -> str | Path:
+    return below(folder, f"partitions_{stamp}")
 
 
 def stamp_of(path: str | Path) -> str | None:
@@ -37,32 +55,37 @@ def stamp_of(path: str | Path) -> str | None:
     return found and found[1]
 
 
-def write_stamp(folder: str | Path, stamp: str) -> Path:
-    os.makedirs(folder, exist_ok=True)
-    at = Path(folder, MARKER)
-    at.write_text(stamp + "\n")
-    return at
+def write_stamp(folder: str | Path, stamp: str, spark: SparkSession | None = None) -> str | Path:
+    from loomgraph.sources.shared import put
+
+    return put(spark, below(folder, MARKER), stamp + "\n")
 
 
-def read_stamp(folder: str | Path) -> str | None:
+def read_stamp(folder: str | Path, spark: SparkSession | None = None) -> str | None:
     """The stamp of the latest campaign; None if there is none."""
-    at = Path(folder, MARKER)
-    return (at.read_text().strip() or None) if at.is_file() else None
+    from loomgraph.sources.shared import get
+
+    return (get(spark, below(folder, MARKER)) or "").strip() or None
+
 
+def latest_metrics_csv(folder: str | Path, spark: SparkSession | None = None) -> str | Path:
+    if is_remote(folder):
+        from loomgraph.sources.shared import newest
 
-def latest_metrics_csv(folder: str | Path) -> Path:
+        return newest(spark, str(below(folder, "metrics_raw_*.csv")))
     found = list(Path(folder).glob("metrics_raw_*.csv"))
     if not found:
         raise FileNotFoundError(f"no metrics_raw_*.csv in {folder}")
     return max(found, key=lambda p: p.stat().st_mtime)
 
 
-def report_paths(folder: str | Path, csv: str | Path | None = None, md: str | Path | None = None) -> tuple[Path, Path]:
+def report_paths(folder: str | Path, csv: str | Path | None = None, md: str | Path | None = None, spark: SparkSession | None = None) -> tuple[str | Path, str | Path]:
     """The metrics file (default: the newest) and the report that belongs to it by its stamp."""
-    source = Path(csv) if csv else latest_metrics_csv(folder)
+    own = lambda path: path if is_remote(path) else Path(path)
+    source = own(csv) if csv else latest_metrics_csv(folder, spark)
     if md:
-        return source, Path(md)
-    stamp = stamp_of(source) or read_stamp(folder)
+        return source, own(md)
+    stamp = stamp_of(source) or read_stamp(folder, spark)
     if stamp is None:
         raise ValueError(f"{source} has no run stamp in its name; name the report")
     return source, comparison_md(folder, stamp)
@@ -107,14 +130,14 @@ def partition_stem(approach: str, slug: str, fraction_pct: float, workers: int,
     return f"{approach}_{slug}_{fraction_name(fraction_pct)}pct_w{workers}_run{run}"
 
 
-def summary_json(folder: str | Path, stem: str) -> Path:
-    return Path(folder, f"{stem}.summary.json")
+def summary_json(folder: str | Path, stem: str) -> str | Path:
+    return below(folder, f"{stem}.summary.json")
 
 
-def communities_json(folder: str | Path, stem: str) -> Path:
-    return Path(folder, f"{stem}.communities.json")
+def communities_json(folder: str | Path, stem: str) -> str | Path:
+    return below(folder, f"{stem}.communities.json")
 
 
-def clusters_dir(communities: Path) -> str:
+def clusters_dir(communities: str | Path) -> str:
     """The folder of a large graph's clusters, beside the document that names it."""
-    return str(communities.resolve().with_suffix(".lines"))
+    return str(communities if is_remote(communities) else communities.resolve()).removesuffix(".json") + ".lines"

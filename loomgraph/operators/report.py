@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import put
+
 _MEASURES = {
     "total": "total_time_s", "algo": "algorithm_time_s", "tree": "peak_process_tree_rss_mb", "driver": "peak_driver_rss_mb", "throughput": "throughput_nodes_per_s",
 }
@@ -132,4 +134,4 @@ def write_report(metrics: DataFrame, path: str | Path) -> None:
                 pivot = scalability_pivot(metrics, a, value, scale)
                 parts += _titled(f"{title}: {a}", [r.asDict() for r in pivot.orderBy("fraction_pct").collect()], pivot.columns)
     parts += _titled("Failed runs", [r.asDict() for r in failures(metrics).collect()], ["approach", "fraction_pct", "run_index", "error_message"])
-    Path(path).write_text("\n".join([*parts, "", "Seeds change the order of work, never the labels: runs differ in time and memory alone.", ""]))
+    put(metrics.sparkSession, path, "\n".join([*parts, "", "Seeds change the order of work, never the labels: runs differ in time and memory alone.", ""]))

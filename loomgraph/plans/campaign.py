@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import csv
 import json
 import os
 from collections.abc import Callable
@@ -19,6 +18,7 @@ from loomgraph.plans.memory import host_id, memory_peaks, worker_peaks
 from loomgraph.plans.runlog import CampaignLog
 from loomgraph.sources.edges import is_artifact, load_for_benchmark, load_graph
 from loomgraph.sources.results import write_partition
+from loomgraph.sources.shared import Rows
 
 COLUMNS = [f.name for f in METRICS_SCHEMA]
 
@@ -77,25 +77,20 @@ def run_campaign(
 
     A graph is loaded once per fraction, parts from a cached sample below
     ``samples_dir``; an artifact carries its own fraction. Workers are the
-    shuffle partitions of a run. With ``append`` rows and log go on.
+    shuffle partitions of a run. With ``append`` rows and log go on. Outputs may
+    lie in a store that only Spark reaches (see ``sources.shared``).
     """
     approaches = approaches or list(lpa.APPROACHES)
     if unknown := [a for a in approaches if a not in lpa.APPROACHES]:
         raise ValueError(f"no such approach: {', '.join(unknown)}")
     seeds, rows = run_seeds(cfg, runs), []
-    output_csv = Path(output_csv)
-    os.makedirs(output_csv.resolve().parent, exist_ok=True)
     slug, stamp = os.path.splitext(os.path.basename(path.rstrip("/")))[0], stamp or names.stamp_of(output_csv) or names.stamp_now()
-    folder = names.partitions_dir(output_csv.parent, stamp)
-    fresh = not (append and output_csv.exists())
+    folder = names.partitions_dir(names.above(output_csv), stamp)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     with contextlib.ExitStack() as stack:
-        log = stack.enter_context(CampaignLog(log_path, append)) if log_path else None
+        log = stack.enter_context(CampaignLog(log_path, append, spark)) if log_path else None
         stack.callback(spark.conf.set, "spark.sql.shuffle.partitions", before)
-        f = stack.enter_context(open(output_csv, "w" if fresh else "a", newline=""))
-        out = csv.DictWriter(f, COLUMNS)
-        if fresh:
-            out.writeheader()
+        out = stack.enter_context(Rows(spark, output_csv, append))
         if log:
             log.event("campaign", stamp=stamp, graph=path, directed=cfg.directed, seed=cfg.seed, max_iter=cfg.max_iter, fractions=fractions, workers=workers, approaches=approaches)
         for fraction in fractions:
@@ -123,6 +118,5 @@ def run_campaign(
                         if log:
                             log.event("row", row=row)
                         rows.append(row)
-                        out.writerow(row)
-                        f.flush()
+                        out.add(row)
     return rows

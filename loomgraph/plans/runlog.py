@@ -12,11 +12,18 @@ import io
 import json
 import logging
 import os
+import shutil
 import sys
+import tempfile
 import time
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
+from loomgraph.functions.names import is_remote
+from loomgraph.sources.shared import get, put
+
 EVENTS, PRINTED = logging.getLogger("loomgraph.campaign"), logging.getLogger("loomgraph.printed")
 
 
@@ -46,15 +53,22 @@ class _Printed(io.TextIOBase):
 
 
 class CampaignLog:
-    """A log file to be used as a context; ``append`` goes on where there is one."""
+    """A log file to be used as a context; ``append`` goes on where there is one.
+
+    A log in a store is written by the driver beside it and put there at the end.
+    """
 
-    def __init__(self, path: str | Path, append: bool = False):
-        self.path, self.approach = Path(path), None
-        self.goes_on = append and self.path.is_file()
+    def __init__(self, path: str | Path, append: bool = False, spark: SparkSession | None = None):
+        self.path, self.spark, self.approach = path, spark, None
+        before = get(spark, path) if append else None
+        self.goes_on = before is not None
+        self._local = Path(tempfile.mkdtemp(), "log") if is_remote(path) else Path(path)
+        if is_remote(path) and self.goes_on:
+            self._local.write_text(before)
 
     def __enter__(self) -> CampaignLog:
-        os.makedirs(self.path.parent, exist_ok=True)
-        self._file = logging.FileHandler(self.path, "a" if self.goes_on else "w")
+        os.makedirs(self._local.resolve().parent, exist_ok=True)
+        self._file = logging.FileHandler(self._local, "a" if self.goes_on else "w")
         self._file.setFormatter(_JsonLines())
         self._file.addFilter(self._stamp)
         logging.getLogger().addHandler(self._file)
@@ -69,6 +83,9 @@ class CampaignLog:
         self._file.close()
         for x, level in self._levels:
             x.setLevel(level)
+        if is_remote(self.path):
+            put(self.spark, self.path, self._local.read_text())
+            shutil.rmtree(self._local.parent)
 
     def _stamp(self, record: logging.LogRecord) -> bool:
         record.approach = self.approach

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -12,22 +11,21 @@ from pyspark.sql import functions as F
 from loomgraph import model
 from loomgraph.functions import names
 from loomgraph.operators.communities import communities, payload
+from loomgraph.sources.shared import put
 
 
-def write_communities(folder: str | Path, stem: str, labels: DataFrame, approach: str | None = None) -> Path:
+def write_communities(folder: str | Path, stem: str, labels: DataFrame, approach: str | None = None) -> str | Path:
     """Clusters, largest first; up to LISTED_NODES nodes with their members, in one document.
 
     Larger graphs have clusters of unbounded number: the document is then a
     manifest that names a folder of JSON lines (``write_clusters``).
     """
-    os.makedirs(folder, exist_ok=True)
     at = names.communities_json(folder, stem)
     if labels.limit(model.LISTED_NODES + 1).count() <= model.LISTED_NODES:
         found = payload(labels, approach)
     else:
         found = write_clusters(labels, names.clusters_dir(at), approach)
-    at.write_text(json.dumps(found, indent=2))
-    return at
+    return put(labels.sparkSession, at, json.dumps(found, indent=2))
 
 
 def write_clusters(labels: DataFrame, path: str, approach: str | None = None, include_node_ids: bool = False) -> dict:
@@ -58,10 +56,10 @@ def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.schema(kinds).json(path), manifest
 
 
-def write_partition(folder: str | Path, stem: str, labels: DataFrame, summary: dict) -> tuple[Path, Path]:
+def write_partition(folder: str | Path, stem: str, labels: DataFrame, summary: dict) -> tuple[str | Path, str | Path]:
     """The communities, and ``summary`` with their file, the nodes and the communities as counted from the labels."""
     communities = write_communities(folder, stem, labels, summary.get("approach"))
     n = labels.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("label").alias("communities")).first()
     at = names.summary_json(folder, stem)
-    at.write_text(json.dumps(summary | {"communities_json": communities.name, "node_count": n["nodes"], "num_communities": n["communities"]}, indent=2))
-    return at, communities
+    told = json.dumps(summary | {"communities_json": Path(communities).name, "node_count": n["nodes"], "num_communities": n["communities"]}, indent=2)
+    return put(labels.sparkSession, at, told), communities

@@ -6,6 +6,7 @@ from collections import deque
 from hashlib import md5
 
 import numpy as np
+import pytest
 
 from loomgraph import model
 from loomgraph.functions import names
@@ -133,3 +134,43 @@ def test_ties_go_to_the_earliest_edge(spark, tmp_path):
 def test_every_executor_has_a_peak(spark):
     rows = memory.executor_peaks(spark).collect()
     assert [r["executor"] for r in rows] == ["driver"] and rows[0]["peak_mb"] >= 0
+
+
+def test_a_campaign_in_a_store(spark, tmp_path, monkeypatch):
+    """All outputs by paths with a scheme, which only Hadoop's file systems open."""
+    from loomgraph import cli
+    from loomgraph.sources import shared
+
+    (tmp_path / "toy.txt").write_text("0 1\n1 2\n0 2\n")
+    store = f"file://{tmp_path}/out"
+    monkeypatch.setattr(cli, "_session", lambda workers: spark)
+    monkeypatch.setenv("LOOMGRAPH_OUTPUT_DIR", store)
+    args = ["benchmark", f"file://{tmp_path}/toy.txt", "--workers", "2", "--runs", "1", "--max-iter", "2"]
+    assert cli.main([*args, "--approaches", "frame", "--run-stamp", "20260613T205342"]) == 0
+    assert cli.main([*args, "--approaches", "blocks", "--append"]) == 0
+    assert names.read_stamp(store, spark) == "20260613T205342"
+    at = names.latest_metrics_csv(store, spark)
+    assert at == names.metrics_csv(store, "20260613T205342")
+    rows = edges.read_metrics(spark, at).collect()
+    assert sorted(r["approach"] for r in rows) == ["blocks", "frame"] and {r["status"] for r in rows} == {"success"}
+    found = json.loads(shared.get(spark, rows[0]["communities_json"]))
+    assert found["clusters"][0]["node_ids"] == [0, 1, 2]
+    assert cli.main(["report"]) == 0 and "## Runs" in shared.get(spark, names.comparison_md(store, "20260613T205342"))
+    log = shared.get(spark, names.run_log(store, "20260613T205342"))
+    assert log.count('"campaign"') >= 2 and "[blocks][done]" in log
+    older = f"{store}/metrics_raw_20200101T000000.csv"
+    shared.put(spark, older, "approach\n")
+    (tmp_path / "out" / "metrics_raw_20200101T000000.csv").touch()
+    assert names.latest_metrics_csv(store, spark) == older  # by the time it was written, not by its name
+    assert cli.main(["benchmark", f"{store}/none.txt"]) == 1
+    with pytest.raises(FileNotFoundError):
+        names.latest_metrics_csv(f"{store}/nowhere", spark)
+
+
+def test_unknown_approaches_exit_1(tmp_path, capsys):
+    from loomgraph import cli
+
+    (tmp_path / "toy.txt").write_text("0 1\n")
+    assert cli.main(["benchmark", str(tmp_path / "toy.txt"), "--approaches", "frame,other"]) == 1
+    assert cli.main(["lpa", str(tmp_path / "toy.txt"), "--approach", "other"]) == 1
+    assert "no such approach: other" in capsys.readouterr().err

@@ -176,7 +176,7 @@ def test_command_line_campaign_and_report(spark, toy, capsys, monkeypatch):
     assert cli.main(["report"]) == 0
     assert "## Runs" in names.comparison_md(toy / "results", STAMP).read_text()
     log = names.run_log(toy / "results", STAMP).read_text()
-    assert log.count(STAMP) == 2 and "[frame][iter=1]" in log and "[mode][done]" in log
+    assert log.count('"text": "campaign"') == 2 and "[frame][iter=1]" in log and "[mode][done]" in log
 
 
 def test_campaign_grid_and_report(spark, toy):
