@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import column, small_batches
 from loomgraph.llm.tokens import END, encoder, read_ranks
 from loomgraph.llm.words import Words, slices
-from loomgraph.store import cut
+from loomgraph.store import cut, fresh_path
 
 #: A public vocabulary for texts in many languages; its ids and the end mark.
 VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -547,7 +547,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = f"key long, doc_id {kind}, held_out boolean, step int, shift int, n_tokens long, hits long, base double, ids binary, rare array<binary>, times array<long>"
     with small_batches(spark):
-        encoded = cut(docs.mapInArrow(encode, schema), "encoded")
+        # by step, so that a training step reads its own texts only
+        path = fresh_path(spark, "encoded")
+        docs.mapInArrow(encode, schema).write.partitionBy("step").parquet(path)
+        encoded = spark.read.schema(schema).parquet(path)
         known.destroy()
         model = train_model(encoded.where(~F.col("held_out")).select("step", "shift", "ids"), counts, ends, ranks)
     judge = spark.sparkContext.broadcast(model)
