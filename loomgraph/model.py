@@ -32,7 +32,8 @@ class Graph:
     """``nodes(id)`` and distinct directed ``arcs(src, dst)`` without self-loops.
 
     store: the arcs once more, in an artifact's buckets. joined: every node is
-    an end of an arc, so nodes need not be computed apart from the arcs.
+    an end of an arc, so nodes need not be computed apart from the arcs. rows:
+    the arcs are no more than that (0: not known).
     """
 
     nodes: DataFrame
@@ -40,14 +41,16 @@ class Graph:
     directed: bool = False
     store: ArcStore | None = None
     joined: bool = False
+    rows: int = 0
 
     @classmethod
-    def from_edges(cls, edges: DataFrame, directed: bool = False) -> Graph:
-        """Builds from (src, dst) rows: no self-loops, no repeats, both directions unless directed."""
+    def from_edges(cls, edges: DataFrame, directed: bool = False, rows: int = 0) -> Graph:
+        """Builds from (src, dst) rows, ``rows`` at most (0: not known): no self-loops, no repeats, both directions unless directed."""
         from loomgraph.operators.graph import dedupe, endpoints, symmetrize
 
-        arcs = dedupe(edges if directed else symmetrize(edges))
-        return cls(endpoints(arcs), arcs, directed, joined=True)
+        rows *= 1 if directed else 2
+        arcs = dedupe(edges if directed else symmetrize(edges), rows)
+        return cls(endpoints(arcs), arcs, directed, joined=True, rows=rows)
 
     @classmethod
     def from_nodes(cls, nodes: DataFrame) -> Graph:

@@ -72,9 +72,10 @@ class ArcStore:
             rows, salt = join_keyed(arcs, found, ["src"], "size", total), F.pmod(F.xxhash64("dst"), F.col("salts"))
         rows = rows.select("src", "dst", salt.alias("salt"))
         home = F.when(F.col("salt").isNull(), home_of("src", homes)).otherwise(F.pmod(F.xxhash64("src", "salt"), F.lit(homes)))
-        made = rows.groupBy(home.alias("home"), "src", "salt").agg(F.sort_array(F.collect_list("dst")).alias("dsts"))
+        # one shuffle, by home: the lists are made where the buckets are written
+        made = rows.withColumn("home", home).repartition(n, "home").groupBy("home", "src", "salt").agg(F.sort_array(F.collect_list("dst")).alias("dsts"))
         made = made.select("home", "src", F.col("salt").isNotNull().alias("cut"), "dsts")
-        blocks = bucketed(made, "home", n, ["home", "cut", "src"], path and f"{path}/blocks")
+        blocks = bucketed(made, "home", n, ["home", "cut", "src"], path and f"{path}/blocks", placed=True)
         seen = blocks.select(F.col("home").alias("at"), F.explode("dsts").alias("id")).distinct()
         mirrors = bucketed(seen.select(home_of("id", homes).alias("home"), "id", "at"), "home", n, ["home", "id"], path and f"{path}/mirrors")
         drop(arcs)

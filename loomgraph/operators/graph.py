@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.ranks import placed, placed_in_groups
+from loomgraph.operators.sizes import dealt
 from loomgraph.store import cut
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
-    """All edges and their reverses; repeats stay."""
-    return edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    """All edges and their reverses; repeats stay. What makes the edges runs once."""
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges.select(F.inline(F.array(F.struct("src", "dst"), back)))
 
 
-def dedupe(edges: DataFrame) -> DataFrame:
-    """Distinct arcs without self-loops."""
-    return edges.where("src <> dst").select("src", "dst").distinct()
+def dedupe(edges: DataFrame, rows: int = 0) -> DataFrame:
+    """Distinct arcs without self-loops; ``rows`` is how many edges there are, about, if that is known."""
+    return dealt(edges.where("src <> dst").select("src", "dst"), rows, "src", "dst").distinct()
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -35,9 +37,9 @@ def out_degrees(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     return nodes.join(n, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("double").alias("degree"))
 
 
-def adjacency(arcs: DataFrame) -> DataFrame:
+def adjacency(arcs: DataFrame, rows: int = 0) -> DataFrame:
     """(id, neighbors): out-neighbours in ascending order. A node's list is one row; ``adjacency_blocks`` is for graphs with hubs."""
-    return arcs.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
+    return dealt(arcs, rows, "src").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
 
 
 #: Neighbours of a block.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.sizes import dealt
+
 #: A key with more than this share of all rows is hot; so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1e-3
 
@@ -23,5 +25,5 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, to
     names = hot.select(keys).withColumn("hot_", F.lit(True))
     marked = rows.join(F.broadcast(names), keys, "left")
     there = marked.where("hot_").drop("hot_").join(F.broadcast(hot), keys)
-    rest = marked.where("hot_ is null").drop("hot_").join(cold, keys, "left")
+    rest = dealt(marked.where("hot_ is null").drop("hot_"), total, *keys).join(cold, keys, "left")
     return there.unionByName(rest)

@@ -22,6 +22,7 @@ from loomgraph.operators import report as rep
 from loomgraph.operators import traverse as tr
 from loomgraph.operators.arcstore import ArcStore
 from loomgraph.operators.components import connected_components
+from loomgraph.operators.sizes import dealt
 from loomgraph.plans import lpa
 from loomgraph.sources import edges as src
 from loomgraph.sources.csr import read_csr, write_csr
@@ -48,15 +49,30 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- graphs
 
 
-def g_part(spark: SparkSession, d: str) -> DataFrame:
+def _part_lines(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """The edges of g_part, repeats included, and how many lines there are, which are more."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    return _t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("src <> dst").distinct()
+    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    n = lines.count()
+    after = F.lead("l_partkey").over(w).alias("dst")
+    return dealt(lines, n, "l_orderkey").select(F.col("l_partkey").alias("src"), after).where("src <> dst"), n
 
 
-def g_bip(spark: SparkSession, d: str) -> DataFrame:
+def g_part(spark: SparkSession, d: str) -> DataFrame:
+    return g.dedupe(*_part_lines(spark, d))
+
+
+def _bip_lines(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """The edges of g_bip, repeats included, and how many lines there are; one end is even, the other odd."""
     rows = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    n = rows.count()
     orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return rows.join(orders, "l_orderkey").select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
+    found = dealt(rows, n, "l_orderkey").join(orders, "l_orderkey")
+    return found.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")), n
+
+
+def g_bip(spark: SparkSession, d: str) -> DataFrame:
+    return g.dedupe(*_bip_lines(spark, d))
 
 
 def g_nation(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +129,7 @@ _LCC = """ top AS (SELECT component AS c FROM comp GROUP BY component ORDER BY c
 
 
 def _part_labels(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return lpa.label_propagation(Graph.from_edges(g_part(spark, d)), k).labels
+    return lpa.label_propagation(_part_graph(spark, d), k).labels
 
 
 def _nation_labels(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
@@ -121,7 +137,8 @@ def _nation_labels(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
 
 
 def _part_graph(spark: SparkSession, d: str) -> Graph:
-    return Graph.from_edges(g_part(spark, d))
+    lines, n = _part_lines(spark, d)
+    return Graph.from_edges(lines, rows=n)
 
 
 # ---------------------------------------------------------------- label propagation
@@ -154,7 +171,8 @@ def lpa_iterations(spark, d):
 
 @_query(_lpa(_BIP, 14) + " SELECT it, id, label FROM lpa WHERE it IN (13, 14)")
 def lpa_bipartite_parity(spark, d):
-    result = lpa.label_propagation(Graph.from_edges(g_bip(spark, d)), 14)
+    lines, n = _bip_lines(spark, d)
+    result = lpa.label_propagation(Graph.from_edges(lines, rows=n), 14)
     odd, even = (labels.select(F.lit(k).alias("it"), "id", "label") for k, labels in ((13, result.previous), (14, result.labels)))
     return odd.unionAll(even)
 
@@ -237,7 +255,8 @@ def graph_degrees(spark, d):
 
 @_query(f"WITH {_with(_PART)} SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS neighbors FROM a0 GROUP BY src")
 def graph_adjacency(spark, d):
-    return g.adjacency(_part_graph(spark, d).arcs).select("id", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ",").alias("neighbors"))
+    graph = _part_graph(spark, d)
+    return g.adjacency(graph.arcs, graph.rows).select("id", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ",").alias("neighbors"))
 
 
 @_query(f"""WITH {_with(_NATION)}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos, count(*) OVER (PARTITION BY src) AS n FROM a0)

@@ -48,16 +48,16 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 _TABLES: dict[str, str] = {}
 
 
-def bucketed(df: DataFrame, key: str, n: int, sort: list[str], path: str | None = None) -> DataFrame:
+def bucketed(df: DataFrame, key: str, n: int, sort: list[str], path: str | None = None, placed: bool = False) -> DataFrame:
     """Write ``df`` hashed by ``key`` into ``n`` sorted buckets and read it back: joins by the key then need no shuffle of it.
 
-    The table lies at ``path`` (default: a new one in the shared folder) and
+    placed: ``df`` lies so already and is not shuffled again. The table lies at ``path`` (default: a new one in the shared folder) and
     is listed in the session's catalog until ``drop``.
     """
     spark = df.sparkSession
     path, name = path or fresh_path(spark, "buckets"), f"loomgraph_{uuid.uuid4().hex}"
     _TABLES[path.rsplit("/", 1)[-1]] = name
-    df.repartition(n, key).write.mode("overwrite").format("parquet").bucketBy(n, key).sortBy(*sort).option("path", path).saveAsTable(name)
+    (df if placed else df.repartition(n, key)).write.mode("overwrite").format("parquet").bucketBy(n, key).sortBy(*sort).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

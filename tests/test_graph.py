@@ -190,3 +190,17 @@ def test_query_against_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries.ORACLES) <= set(entry.oracle_sql()) and set(queries.QUERIES) <= set(entry.queries())
+
+
+def test_tasks_of_large_graphs_hold_few_rows(spark, monkeypatch):
+    """Spark joins a shuffle's small partitions up to one a core; arcs and lists are dealt by their number instead."""
+    from loomgraph.operators import sizes
+
+    monkeypatch.setattr(sizes, "TASK_ROWS", 500)
+    edges = spark.range(4000).selectExpr("id as src", "(id * 7 + 1) % 4000 as dst")
+    graph = Graph.from_edges(edges, rows=4000)
+    for frame in (graph.arcs, g.adjacency(graph.arcs, graph.rows)):
+        rows = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(rows) >= 12 and max(rows) <= 1000
+    want = {(a, b) for r in edges.collect() for a, b in ((r[0], r[1]), (r[1], r[0])) if a != b}
+    assert {tuple(r) for r in graph.arcs.collect()} == want and graph.arcs.count() == len(want)
