@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from loomgraph.operators.sizes import dealt
 from loomgraph.operators.skew import join_keyed
 from loomgraph.store import cut, drop
 
 
+def _marks() -> list[Column]:
+    """What tells a round's pairs from those of the round before: how many there are, and the sum of their hashes."""
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
+
+
 def _fingerprint(df: DataFrame) -> tuple:
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-    ).first()
+    row = df.agg(*_marks()).first()
     return row["n"], row["h"]
 
 
@@ -50,12 +53,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        star = cut(_large_star(e, seen[0]).distinct(), "cc")
-        nxt = cut(_small_star(star, seen[0]).distinct(), "cc")
+        star = cut(dealt(_large_star(e, seen[0]), seen[0], "u", "v").distinct(), "cc")
+        # counted by the tasks that write
+        counted = Observation()
+        nxt = cut(dealt(_small_star(star, seen[0]), seen[0], "u", "v").distinct().observe(counted, *_marks()), "cc")
         drop(star)
         drop(e)
         e, before = nxt, seen
-        seen = _fingerprint(e)
+        seen = counted.get["n"], counted.get["h"]
         if seen == before:
             break
     else:

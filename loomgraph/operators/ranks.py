@@ -41,4 +41,4 @@ def placed_in_groups(rows: DataFrame, group: str, order: str) -> tuple[DataFrame
 
     at, total = placed(rows, [F.col(group), F.col(order)])
     first = cut(at.groupBy(group).agg(F.min("place").alias("first_"), F.count(F.lit(1)).alias("members")).withColumn("size_", F.col("members")), "groups")
-    return join_keyed(at, first, [group], "size_", total).withColumn("pos", F.col("place") - F.col("first_")).drop("place", "first_"), total
+    return join_keyed(at, first, [group], "size_", total, deal=True).withColumn("pos", F.col("place") - F.col("first_")).drop("place", "first_"), total

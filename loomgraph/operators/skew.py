@@ -11,13 +11,14 @@ from loomgraph.operators.sizes import dealt
 HOT_SHARE = 1e-3
 
 
-def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int, deal: bool = False) -> DataFrame:
     """``rows`` left-joined to ``keyed``, which has one row for each value of ``keys``.
 
     ``size`` is the column of ``keyed`` with the number of rows of the key, of
     ``total`` in all; it is dropped. Rows of hot keys meet theirs by a
     broadcast of at most 1 / HOT_SHARE rows, all others by a shuffle in which
-    no key has more than HOT_SHARE of the rows. Rows with a null key find
+    no key has more than HOT_SHARE of the rows; ``deal`` has its partitions
+    follow from the rows, see ``dealt``. Rows with a null key find
     nothing and stay.
     """
     hot = keyed.where(F.col(size) > HOT_SHARE * total).drop(size)
@@ -25,5 +26,6 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, to
     names = hot.select(keys).withColumn("hot_", F.lit(True))
     marked = rows.join(F.broadcast(names), keys, "left")
     there = marked.where("hot_").drop("hot_").join(F.broadcast(hot), keys)
-    rest = dealt(marked.where("hot_ is null").drop("hot_"), total, *keys).join(cold, keys, "left")
+    rest = marked.where("hot_ is null").drop("hot_")
+    rest = (dealt(rest, total, *keys) if deal else rest).join(cold, keys, "left")
     return there.unionByName(rest)

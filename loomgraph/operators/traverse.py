@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.graph import dense_index, induced, symmetrize
 from loomgraph.operators.ranks import placed
+from loomgraph.operators.sizes import partitions
 from loomgraph.store import bucketed, cut, drop
 
 
@@ -34,6 +35,18 @@ def restrict_to_lcc(edges: DataFrame) -> tuple[DataFrame, int]:
     return induced(edges, ids), every.join(ids, "id", "left_anti").count()
 
 
+def _arcs_to_walk(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """Both directions of the edges inside ``nodes``, in as many buckets by their source as the arcs need; repeats do no harm to a search.
+
+    Edges are restricted before they are turned round, so that those outside are moved once at most.
+    """
+    inside = edges.where("src <> dst")
+    inside = cut(induced(inside, nodes) if nodes is not None else inside.select("src", "dst"), "inside")
+    both = bucketed(symmetrize(inside), "src", partitions(edges.sparkSession, 2 * inside.count()), ["src"])
+    drop(inside)
+    return both
+
+
 #: Layers of a search that are one frame each before they are written together.
 LAYERS = 16
 
@@ -46,10 +59,7 @@ def bfs_distances(edges: DataFrame, start: int, nodes: DataFrame | None = None,
     layer moves its own nodes only; layers are written to the shared folder.
     """
     spark = edges.sparkSession
-    both = symmetrize(edges).where("src <> dst").distinct()
-    if nodes is not None:
-        both = induced(both, nodes)
-    both = bucketed(both, "src", int(spark.conf.get("spark.sql.shuffle.partitions")), ["src"])
+    both = _arcs_to_walk(edges, nodes)
     seen = front = cut(spark.createDataFrame([(start, 0)], "id long, dist int"), "bfs")
     # direction is ignored, so a layer's neighbours lie in it or in the layers next to it
     last, total, depth = front, 1, 0
@@ -79,10 +89,7 @@ def walk_order(edges: DataFrame, start: int, seed: int, nodes: DataFrame | None
     ``at_least`` are those of ``bfs_distances``.
     """
     spark = edges.sparkSession
-    both = symmetrize(edges).where("src <> dst").distinct()
-    if nodes is not None:
-        both = induced(both, nodes)
-    both = bucketed(both, "src", int(spark.conf.get("spark.sql.shuffle.partitions")), ["src"])
+    both = _arcs_to_walk(edges, nodes)
     kinds = "id long, dist int, ord long"
     seen = front = cut(spark.createDataFrame([(start, 0, 0)], kinds), "walk")
     last, total, depth = front, 1, 0

@@ -371,7 +371,8 @@ def _start(nodes: DataFrame) -> int:
 @_query(_BFS + " SELECT id, dist FROM dist")
 def bfs_distances(spark, d):
     edges = cut(g_bip(spark, d))
-    return tr.bfs_distances(edges, _start(cut(tr.largest_component(edges))))
+    nodes = cut(tr.largest_component(edges))
+    return tr.bfs_distances(edges, _start(nodes), nodes)
 
 
 @_query(
@@ -385,7 +386,8 @@ def bfs_distances(spark, d):
 )
 def walk_order(spark, d):
     edges = cut(g_bip(spark, d))
-    return tr.walk_order(edges, _start(cut(tr.largest_component(edges))), 42)
+    nodes = cut(tr.largest_component(edges))
+    return tr.walk_order(edges, _start(nodes), 42, nodes)
 
 
 _SAMPLE = _BFS + ", s AS (SELECT id FROM dist ORDER BY dist, md5('42:' || id), id LIMIT (SELECT greatest(1, floor(count(*) * 10 / 100))::BIGINT FROM lcc))"

@@ -204,3 +204,17 @@ def test_tasks_of_large_graphs_hold_few_rows(spark, monkeypatch):
         assert len(rows) >= 12 and max(rows) <= 1000
     want = {(a, b) for r in edges.collect() for a, b in ((r[0], r[1]), (r[1], r[0])) if a != b}
     assert {tuple(r) for r in graph.arcs.collect()} == want and graph.arcs.count() == len(want)
+
+
+def test_a_search_moves_no_edges_outside_its_nodes(spark, monkeypatch):
+    """Edges are restricted before both directions are dealt into buckets, of which there are as many as these arcs need."""
+    seen = []
+    real = tr.bucketed
+    monkeypatch.setattr(tr, "bucketed", lambda df, key, n, sort: seen.append((df.count(), n)) or real(df, key, n, sort))
+    inner = [(i, i + 1) for i in range(10)]
+    edges = spark.createDataFrame(inner + inner[:3] + [(i, i + 1) for i in range(100, 900)], "src long, dst long")
+    nodes = spark.range(11)
+    got = {r["id"]: r["dist"] for r in tr.bfs_distances(edges, 4, nodes).collect()}
+    walk = {r["id"]: r["dist"] for r in tr.walk_order(edges, 4, 42, nodes).collect()}
+    assert got == walk == {i: abs(i - 4) for i in range(11)}
+    assert seen == [(26, spark.sparkContext.defaultParallelism)] * 2
