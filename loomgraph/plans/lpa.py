@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.model import Graph, LpaResult
-from loomgraph.operators.arcstore import ArcStore, arcs_of, co_partitioned
+from loomgraph.operators.arcstore import ArcStore, arcs_of, co_partitioned, flat
 from loomgraph.plans.memory import worker_peaks
 from loomgraph.store import bucketed, cut, drop
 
@@ -75,17 +75,30 @@ def mode_votes(blocks: DataFrame, view: DataFrame) -> DataFrame:
 
 def count_home(blocks: pa.Table, view: pa.Table) -> pa.Table:
     """Votes of one home's blocks by its labels, in arrays."""
-    lists = blocks.column("dsts").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    size = lists.value_lengths().to_numpy(zero_copy_only=False)
-    ids, labels = view.column("dst").to_numpy(), view.column("label").to_numpy()
+    dsts, size = flat(blocks.column("dsts"))
+    return _elect(blocks, size, _labels(view.column("dst").to_numpy(), view.column("label").to_numpy(), dsts))
+
+
+def _labels(ids: np.ndarray, labels: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     by_id = np.argsort(ids)
+    return labels[by_id][np.searchsorted(ids, wanted, sorter=by_id)] if len(wanted) else np.zeros(0, np.int64)
+
+
+def _elect(blocks: pa.Table, size: np.ndarray, label: np.ndarray) -> pa.Table:
+    """Votes of one home's blocks, whose neighbours' labels lie end to end, ``size`` of them a block."""
     row = np.repeat(np.arange(len(size)), size)
-    label = labels[by_id][np.searchsorted(ids, lists.flatten().to_numpy(), sorter=by_id)] if len(row) else np.zeros(0, np.int64)
-    order = np.lexsort((label, row))
-    row, label = row[order], label[order]
-    runs = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (label[1:] != label[:-1])])) if len(row) else np.zeros(0, np.int64)
-    n, row, label = np.diff(np.append(runs, len(row))), row[runs], label[runs]
+    least = int(label.min()) if len(row) else 0
+    span = int(label.max()) - least + 1 if len(row) else 1
+    if span <= (1 << 62) // max(len(size), 1):
+        both = np.sort(row * span + (label - least))  # one key sorts faster than two
+        runs = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(row) else np.zeros(0, np.int64)
+        n = np.diff(np.append(runs, len(row)))
+        row, label = both[runs] // span, both[runs] % span + least
+    else:
+        order = np.lexsort((label, row))
+        row, label = row[order], label[order]
+        runs = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (label[1:] != label[:-1])]))
+        n, row, label = np.diff(np.append(runs, len(row))), row[runs], label[runs]
     keep = blocks.column("cut").to_numpy()[row].astype(bool)
     if len(row):
         firsts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
@@ -96,20 +109,51 @@ def count_home(blocks: pa.Table, view: pa.Table) -> pa.Table:
     return pa.table({"home": blocks.column("home").take(row), "src": blocks.column("src").take(row), "cut": blocks.column("cut").take(row), "label": pa.array(label[keep]), "n": pa.array(n[keep])})
 
 
-def block_votes(blocks: DataFrame, view: DataFrame) -> DataFrame:
-    """Blocks and labels of a home side by side, counted in arrays; a home has a bounded number of arcs (HOME_ARCS)."""
-    both = blocks.groupBy("home").cogroup(view.groupBy("home"))
-    return both.applyInArrow(count_home, "home long, src long, cut boolean, label long, n long")
+def pack_labels(lists: pa.Table, labels: pa.Table) -> pa.Table:
+    """One home's labels for each of its lists, in the order of the ids: offsets from the least label, in as few bytes as they all need."""
+    ids, size = flat(lists.column("ids"))
+    label = _labels(labels.column("id").to_numpy(), labels.column("label").to_numpy(), ids)
+    least = int(label.min()) if len(label) else 0
+    span = int(label.max()) - least if len(label) else 0
+    width = next((w for w in (1, 2, 4) if span < 1 << (8 * w - 1)), 8)
+    least = least if width < 8 else 0  # their difference may not fit
+    data = pa.py_buffer((label - least).astype(f"<i{width}").tobytes())
+    ends = pa.py_buffer((np.append(0, np.cumsum(size)) * width).astype(np.int32).tobytes())
+    packed = pa.Array.from_buffers(pa.binary(), len(size), [None, ends, data])
+    same = [pa.array(np.full(len(size), x)) for x in (least, width)]
+    return pa.Table.from_arrays([lists.column("at"), lists.column("home"), *same, packed], ["home", "sender", "least", "width", "labels"])
+
+
+def count_packed(blocks: pa.Table, sent: pa.Table) -> pa.Table:
+    """Votes of one home's blocks by the packed labels sent to it."""
+    at, size = flat(blocks.column("dsts_at"))
+    rows = sorted(zip(*(sent.column(c).to_pylist() for c in ("sender", "least", "width", "labels")), strict=True))
+    view = [np.frombuffer(data, f"<i{width}") + np.int64(least) for _, least, width, data in rows]
+    return _elect(blocks, size, np.concatenate(view)[at] if len(at) else np.zeros(0, np.int64))
+
+
+def packed_votes(blocks: DataFrame, sent: DataFrame) -> DataFrame:
+    """Blocks and packed labels of a home side by side, counted in arrays; a bucket has a bounded number of arcs (BUCKET_ARCS)."""
+    both = blocks.select("home", "src", "cut", "dsts_at").groupBy("home").cogroup(sent.groupBy("home"))
+    return both.applyInArrow(count_packed, "home long, src long, cut boolean, label long, n long")
+
+
+def send_packed(store: ArcStore, labels: DataFrame) -> DataFrame:
+    """(home, sender, least, width, labels): the labels (home, id, label) of all nodes at every home that needs them, a row for each pair of homes."""
+    both = store.lists.groupBy("home").cogroup(labels.groupBy("home"))
+    return both.applyInArrow(pack_labels, "home long, sender long, least long, width long, labels binary")
 
 
-#: Ways to count the votes of a round.
-APPROACHES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"frame": frame_votes, "mode": mode_votes, "blocks": block_votes}
+#: Ways to count the votes of a round. ``blocks`` takes what ``send_packed`` has sent, the others rows (home, dst, label).
+APPROACHES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"frame": frame_votes, "mode": mode_votes, "blocks": packed_votes}
 
 
 class Rounds:
     """Rounds over an arc store; ``next`` gives the votes of all nodes that may change.
 
-    A full round delivers every label to the homes that need it. Once few
+    A full round delivers every label to the homes that need it. The approach
+    ``blocks`` has full rounds only: whole lists without ids are fewer bytes
+    and less work than rows of changes. By the others, once few
     nodes change, the labels delivered so far are kept at their homes as the
     base; a round then delivers only labels that differ from the base or have
     just changed, and only nodes with a changed neighbour vote, against the
@@ -140,9 +184,12 @@ class Rounds:
     def next(self, state: DataFrame, few: bool, drifted: bool) -> tuple[DataFrame, list[DataFrame]]:
         """``state`` (home, id, label, prev, base) and the votes. few: few nodes changed; drifted: many differ from the base."""
         blocks, hubs = self.store.blocks.where("not cut"), self.store.blocks.where("cut")
+        labels = state.select("home", "id", "label")
+        if self.vote is packed_votes:
+            return state, self._elected(blocks, send_packed(self.store, labels), hubs)
         if not few:
             self.forget()
-            return state, self._elected(blocks, self.store.deliver(state.select("home", "id", "label")), hubs)
+            return state, self._elected(blocks, self.store.deliver(labels), hubs)
         if self.base is None or drifted:
             self._rebase(state)
             state = state.withColumn("base", F.col("label"))
@@ -182,7 +229,7 @@ def label_propagation(
         rounds = None if run_step else Rounds(store, vote)
         home = F.lit(0).cast("long").alias("home") if run_step else store.home("id")
         try:
-            nodes = store.ends() if store and graph.joined else graph.nodes.select(home, "id")
+            nodes = store.ends(graph.directed) if store and graph.joined else graph.nodes.select(home, "id")
             state = cut(nodes.select("home", "id", *(F.col("id").alias(c) for c in ("label", "prev", "base"))), "labels")
             total = state.count()
             result = LpaResult(state.select("id", "label"), node_count=total, init_time_s=time.time() - began, workers=n)
@@ -195,7 +242,8 @@ def label_propagation(
                 if run_step:
                     based, new = state, [run_step(arcs, state.select("id", "label")).select(home, "id", F.col("label").alias("new"))]
                 else:
-                    based, new = rounds.next(state, it > 1 and changed < DELTA_SHARE * total, drift > DELTA_SHARE * total)
+                    placed = state.repartition(store.buckets, "home")  # as many tasks as the arcs need, not as the session has
+                    based, new = rounds.next(placed, it > 1 and changed < DELTA_SHARE * total, drift > DELTA_SHARE * total)
                 for k, votes_ in enumerate(new):
                     based = based.join(votes_.withColumnRenamed("new", f"new{k}"), ["home", "id"], "left")
                 label = F.coalesce(*(f"new{k}" for k in range(len(new))), "label")

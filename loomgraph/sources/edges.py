@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import names
 from loomgraph.model import METRICS_SCHEMA, Graph, LoadResult
 from loomgraph.operators import graph as g
-from loomgraph.operators.arcstore import ArcStore
+from loomgraph.operators.arcstore import LAYOUT, ArcStore
 from loomgraph.operators.ranks import placed
 from loomgraph.operators.traverse import connected_sample, earliest_largest_component, restrict_to_lcc
 from loomgraph.store import cut
@@ -117,7 +117,8 @@ def read_artifact(spark: SparkSession, path: str) -> tuple[Graph, dict]:
         raise FileNotFoundError(f"no graph artifact at {path}")
     nodes, arcs, at = names.artifact_paths(path)
     meta = json.loads(spark.read.text(at).first()["value"])
-    store = ArcStore.open(spark, names.store_path(path), **meta["store"]) if "store" in meta else None
+    kept = meta.get("store", {})
+    store = ArcStore.open(spark, names.store_path(path), **kept) if kept.get("layout") == LAYOUT else None  # an older one is built anew by each run
     return Graph(spark.read.schema("id long").parquet(nodes), spark.read.schema("src long, dst long").parquet(arcs), bool(meta.get("graph_directed")), store), meta
 
 

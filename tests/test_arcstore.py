@@ -3,9 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
+from loomgraph.operators import arcstore
 from loomgraph.operators import graph as g
 from loomgraph.operators.arcstore import ArcStore, arcs_of, co_partitioned
 from loomgraph.plans import lpa
@@ -150,3 +152,46 @@ def test_samples_of_other_settings_are_their_own(spark, tmp_path):
     path = str(tmp_path / "s" / "e_50pct")
     assert not src.ensure_fraction(spark, str(tmp_path / "e.txt"), path, "e", 50.0, 1)
     assert src.ensure_fraction(spark, str(tmp_path / "e.txt"), path, "e", 50.0, 1, restrict=False)
+
+
+@pytest.mark.parametrize("approach", ["frame", "blocks"])
+def test_buckets_follow_from_the_arcs(spark, hubs, monkeypatch, approach):
+    """Twice the arcs are twice the buckets, so that no task's memory grows with the graph."""
+    monkeypatch.setattr(arcstore, "BUCKET_ARCS", 60)
+    graph = graph_of(spark, hubs)
+    graph.store = ArcStore.build(graph.arcs, block=8)
+    assert graph.store.buckets == -(-graph.arcs.count() // 60) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert lpa.label_propagation(graph, 3, approach=approach).labels_dict() == simulate(hubs, False, 3)
+
+
+def test_labels_are_sent_as_lists(spark, hubs):
+    """A round's labels are a row for each pair of homes, without ids."""
+    graph = graph_of(spark, hubs)
+    store = ArcStore.build(graph.arcs, block=8)
+    sent = lpa.send_packed(store, store.ends(False).withColumn("label", arcstore.F.col("id") - 70))
+    rows = sent.collect()
+    assert sent.columns == ["home", "sender", "least", "width", "labels"] and len({(r["home"], r["sender"]) for r in rows}) == len(rows) == store.lists.count()
+    want = {(r["at"], r["home"]): r["ids"] for r in store.lists.collect()}
+    assert all([int(x) + r["least"] for x in np.frombuffer(r["labels"], f"<i{r['width']}")] == [k - 70 for k in want[r["home"], r["sender"]]] for r in rows)
+    assert sorted(r["id"] for r in store.ends(False).collect()) == sorted(r["id"] for r in store.ends(True).collect()) == sorted(r["id"] for r in graph.nodes.collect())
+    store.close()
+
+
+@pytest.mark.parametrize("labels", [[-3, 5, 9], [0, 300, 7], [10**9, 5, 0], [-(2**63), 2**63 - 1, 0], [2**40, 1, -(2**40)]])
+def test_packed_labels_of_any_size(labels):
+    lists = pa.table({"home": [4, 4], "at": [1, 2], "ids": pa.array([[10, 12], [11, 12]], pa.list_(pa.int64()))})
+    got = lpa.pack_labels(lists, pa.table({"id": [12, 10, 11], "label": pa.array(labels, pa.int64())}))
+    whole = [(np.frombuffer(r["labels"], f"<i{r['width']}") + np.int64(r["least"])).tolist() for r in got.to_pylist()]
+    assert whole == [[labels[1], labels[0]], [labels[2], labels[0]]]
+    # both kinds of sort agree: one key where it fits, two where it doesn't
+    blocks = pa.table({"home": [4, 4], "src": [7, 8], "cut": [False, True]})
+    won = lpa._elect(blocks, np.array([3, 2]), np.array([labels[0], labels[1], labels[0], labels[2], labels[1]]))
+    assert sorted(zip(*(won.column(c).to_pylist() for c in ("src", "label", "n")), strict=True)) == sorted([(7, labels[0], 2), (8, labels[1], 1), (8, labels[2], 1)])
+
+
+def test_few_changes_spread_by_rows(spark, monkeypatch):
+    """The other approaches deliver changes alone once these are few."""
+    rng = random.Random(12)
+    edges = [(k, k + 1) for k in range(30)] + [(rng.randrange(30), rng.randrange(60)) for _ in range(20)]
+    monkeypatch.setattr(lpa, "DELTA_SHARE", 2.0)
+    assert lpa.label_propagation(graph_of(spark, edges), 5, approach="frame").labels_dict() == simulate(edges, False, 5)
