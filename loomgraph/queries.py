@@ -81,9 +81,21 @@ def g_nation(spark: SparkSession, d: str) -> DataFrame:
     return customers.unionAll(suppliers)
 
 
+def _day_lines(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """The edges of g_day, repeats and loops included, and how many orders there are, which are more."""
+    orders = _t(spark, d, "orders").select(F.date_trunc("day", "o_orderdate").alias("day"), "o_orderkey", "o_custkey")
+    n = orders.count()
+    after = F.lead("o_custkey").over(Window.partitionBy("day").orderBy("o_orderkey")).alias("dst")
+    return dealt(orders, n, "day").select(F.col("o_custkey").alias("src"), after).where("dst is not null"), n
+
+
 def g_day(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy(F.date_trunc("day", "o_orderdate")).orderBy("o_orderkey")
-    return _t(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.lead("o_custkey").over(w).alias("dst")).where("dst is not null")
+    return _day_lines(spark, d)[0]
+
+
+def _day_graph(spark: SparkSession, d: str, directed: bool = False) -> Graph:
+    lines, n = _day_lines(spark, d)
+    return Graph.from_edges(lines, directed, rows=n)
 
 
 def g_hour(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +168,7 @@ def lpa_labels(spark, d):
 
 @_query(_lpa(_DAY, 10) + " SELECT id, label FROM lpa WHERE it = 10")
 def lpa_labels_day(spark, d):
-    return lpa.label_propagation(Graph.from_edges(g_day(spark, d)), 10).labels
+    return lpa.label_propagation(_day_graph(spark, d), 10).labels
 
 
 @_query(
@@ -197,7 +209,7 @@ def lpa_hubs(spark, d):
 
 @_query(_lpa(_DAY, 5, True) + " SELECT id, label FROM lpa WHERE it = 5")
 def lpa_directed(spark, d):
-    return lpa.label_propagation(Graph.from_edges(g_day(spark, d), directed=True), 5).labels
+    return lpa.label_propagation(_day_graph(spark, d, directed=True), 5).labels
 
 
 #: Users whose events are worth more than the average event.

@@ -218,3 +218,14 @@ def test_a_search_moves_no_edges_outside_its_nodes(spark, monkeypatch):
     walk = {r["id"]: r["dist"] for r in tr.walk_order(edges, 4, 42, nodes).collect()}
     assert got == walk == {i: abs(i - 4) for i in range(11)}
     assert seen == [(26, spark.sparkContext.defaultParallelism)] * 2
+
+
+def test_tasks_of_the_day_graph_hold_few_rows(spark, monkeypatch):
+    from loomgraph.operators import sizes
+
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    monkeypatch.setattr(sizes, "TASK_ROWS", n // 8)
+    graph = queries._day_graph(spark, SF)
+    assert graph.rows == 2 * n
+    rows = [r["count"] for r in graph.arcs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) >= 12 and max(rows) <= n // 4
