@@ -26,7 +26,7 @@ from loomgraph.operators.skew import join_keyed
 from loomgraph.store import bucketed, cut, drop, open_bucketed
 
 #: Arcs of a bucket, about.
-BUCKET_ARCS = 1 << 21
+BUCKET_ARCS = 1 << 20
 #: Homes of a bucket, so that buckets come out even.
 HOMES = 4
 #: Fixed value: stores of other layouts are not opened.
