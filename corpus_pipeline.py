@@ -1,4 +1,4 @@
-"""The corpus pipeline: STAGES over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and reread by the next (the first writes itself)."""
 
 from __future__ import annotations
 
@@ -30,6 +30,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
+        if 0 < k < len(STAGES) - 1:
             docs = cut(docs, "pipeline")
     return docs

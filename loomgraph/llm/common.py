@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.store import cut
+
 #: Rows of a key list that may be broadcast (at most about 32 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -42,11 +44,23 @@ def filtered(docs: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterato
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of fewer rows for the plans that run inside: whole texts and sets are wide rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    """Batches of fewer rows, of Arrow and of the Parquet reader, for the plans that run inside: whole texts and sets are wide rows.
+
+    Plans are made when they run, so a frame that is returned and run outside
+    has the session's batches; ``written`` runs it.
+    """
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, n in before.items():
+        spark.conf.set(k, min(rows, int(n)) if int(n) > 0 else rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, n in before.items():
+            spark.conf.set(k, n)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` made in small batches and read back."""
+    with small_batches(df.sparkSession):
+        return cut(df, label)

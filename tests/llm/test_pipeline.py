@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomgraph.llm import queries, toxicity
+from loomgraph.llm.common import small_batches
 from test_operators import brute_components, cut_by_hand, every_window, prose, targets_by_hand
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +31,19 @@ def test_stages(spark):
     assert {"shard", "slot", "doc_id"} <= set(docs.columns)
 
 
+def test_toxicity_runs_in_small_batches(spark, small):
+    """What the stage leaves has been made in its own batches, not by its caller in the session's; the reader's batches are small too."""
+    at, _, _ = small
+    docs = STAGES[0](spark, spark.read.parquet(f"{at}/documents.parquet"), at)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "MapInArrow" not in plan
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    with small_batches(spark, 100):
+        assert spark.conf.get(key) == "100"
+    assert spark.conf.get(key) == before
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
