@@ -43,11 +43,13 @@ VOCABULARY = 50257
 CLASSES, GROUPS, MEMBERS, WIDTH, SPAN, HALF = 256, 16, 16, 16, 32, 16
 OUTCOMES = GROUPS * MEMBERS
 #: Windows that go through the layer together.
-BATCH = 128
+BATCH = 256
 #: Training steps, the first step size, and how long means of gradients and of their squares last.
 STEPS, RATE, MEAN, SQUARE = 24, 0.3, 0.8, 0.9
 #: Groups in which the tasks' gradients are added before the driver adds those.
 SUMS = 64
+#: Partitions of small files, one for each step and task, that one task sums up.
+FILES = 8
 #: Bound of logits before exp, which then stays finite in float32.
 PEAK = 30.0
 #: Weights that the plain share of an outcome may have against what the class before it says; training counts choose.
@@ -217,8 +219,8 @@ def tiles(classes: np.ndarray, goals: np.ndarray, lengths: np.ndarray, shift: np
 class AttentionModel:
     """One causal self-attention layer over class embeddings, added to class bigram logits of groups and of their members.
 
-    Tables of the parameters are made once: attention weights before
-    normalising are ``meet[query, key]`` times ``near[gap]``. Class CLASSES
+    Tables of the parameters are made once. An attention weight before
+    normalising is exp(query . key) times ``near[gap]``. Class CLASSES
     pads before a text: no class but the pad's meets the pad.
     """
 
@@ -245,92 +247,97 @@ class AttentionModel:
         def table(x: np.ndarray) -> np.ndarray:
             return np.ascontiguousarray(x, np.float32)
 
-        meet = np.exp(np.clip(p["q"] @ p["k"].T, -PEAK, PEAK))
-        meet[:CLASSES, CLASSES] = meet[CLASSES, :CLASSES] = 0
-        meet[CLASSES, CLASSES] = 1
-        self.meet = table(meet.ravel())
         self.near = table(np.exp(np.clip(p["d"], -PEAK, PEAK))[self.gap] * (gap >= 0))
         self.q, self.k = table(p["q"]), table(p["k"])
+        self.q[CLASSES] = self.k[CLASSES] = 0
         self.values = table(np.hstack([p["v"], np.ones((CLASSES + 1, 1))]))
-        self.to_group = table(np.vstack([p["o"], np.zeros((1, GROUPS))]))
-        self.to_member = table(np.concatenate([p["s"], np.zeros((GROUPS, 1, MEMBERS))], 1))
-        self.group_bias = table(groups + p["b"])
-        self.member_bias = table((members + p["t"]).reshape(-1, MEMBERS))
-        self.group_odds, self.member_odds = np.exp(self.group_bias), np.exp(self.member_bias)
-        self.ones = np.ones(MEMBERS, np.float32)
+        # of a group: logits of all groups, then of its members
+        both = np.concatenate([np.broadcast_to(p["o"], (GROUPS, WIDTH - 1, GROUPS)), p["s"]], 2)
+        self.to_both = table(np.concatenate([both, np.zeros((GROUPS, 1, GROUPS + MEMBERS))], 1))
+        odds = np.exp(groups + p["b"])[:, None, :], np.exp(members + p["t"])
+        self.odds = table(np.concatenate([np.broadcast_to(odds[0], (len(groups), GROUPS, GROUPS)), odds[1]], 2).reshape(-1, GROUPS + MEMBERS))
         self.cells = np.arange(CLASSES + 1)[:, None] * WIDTH + np.arange(WIDTH)
+        self.levels = np.repeat(np.eye(2, dtype=np.float32), (GROUPS, MEMBERS), 0)
 
     def _attend(self, x: np.ndarray, rows: slice) -> tuple:
-        """Of windows ``x`` (windows x SPAN): contexts at the positions ``rows``, weights, values, means, and what normalises them."""
+        """Of windows ``x`` (windows x SPAN): queries at the positions ``rows``, keys, weights, values, means, and what normalises them."""
+        # all numbers are in range; the mode clip does not look first
         last = x[:, rows]
-        a = self.meet.take((last * (CLASSES + 1))[:, :, None] + x[:, None, :])
+        q, k = self.q.take(last, 0, mode="clip"), self.k.take(x, 0, mode="clip")
+        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        np.clip(a, -PEAK, PEAK, out=a)
+        np.exp(a, out=a)
         a *= self.near[rows]
-        v = self.values.take(x, 0)
+        pads = x == CLASSES
+        some = np.flatnonzero(pads.any(1))
+        if len(some):
+            a[some] *= pads[some][:, rows, None] == pads[some][:, None, :]
+        v = self.values.take(x, 0, mode="clip")
         z = (a @ v).reshape(-1, WIDTH)
         scale = 1 / z[:, -1]
         z *= scale[:, None]
-        return last.ravel(), a, v, z, scale
+        return q, k, a, v, z, scale
 
     def _levels(self, context: np.ndarray, z: np.ndarray, y: np.ndarray) -> tuple:
-        """Odds of groups and of the members of the right group, with rows sorted by group, and the log probability of ``y``."""
+        """Odds of groups and of the members of the right group, with rows sorted by group, their sums, where ``y`` lies in them, and its log probability."""
         order = np.argsort((y // MEMBERS).astype(np.uint8), kind="stable")
-        y, context, z = y.take(order), context.take(order), z.take(order, 0)
-        g, j = np.divmod(y, MEMBERS)
+        y, context, z = y.take(order), context.take(order), z.take(order, 0, mode="clip")
+        g = y // MEMBERS
         ends = np.searchsorted(g, np.arange(GROUPS + 1))
-        one, two = z @ self.to_group, np.empty((len(z), MEMBERS), np.float32)
+        both = np.empty((len(z), GROUPS + MEMBERS), np.float32)
         for i in range(GROUPS):
-            np.matmul(z[ends[i] : ends[i + 1]], self.to_member[i], out=two[ends[i] : ends[i + 1]])
-        np.clip(one, -PEAK, PEAK, out=one)
-        np.clip(two, -PEAK, PEAK, out=two)
-        m, cell = np.arange(len(y)), context * GROUPS + g
-        right = one[m, g] + two[m, j] + self.group_bias[context, g] + self.member_bias[cell, j]
-        np.exp(one, out=one)
-        one *= self.group_odds.take(context, 0)
-        np.exp(two, out=two)
-        two *= self.member_odds.take(cell, 0)
-        sum_one, sum_two = one @ self.ones, two @ self.ones
-        return order, g, j, z, ends, one, two, sum_one, sum_two, right - np.log(sum_one) - np.log(sum_two)
+            np.matmul(z[ends[i] : ends[i + 1]], self.to_both[i], out=both[ends[i] : ends[i + 1]])
+        np.clip(both, -PEAK, PEAK, out=both)
+        np.exp(both, out=both)
+        both *= self.odds.take(context * GROUPS + g, 0, mode="clip")
+        sums = both @ self.levels
+        row = np.arange(0, both.size, GROUPS + MEMBERS)
+        at = row + g, row + (y - g * MEMBERS + GROUPS)
+        lp = sum(np.log(both.ravel().take(x) / sums[:, i]) for i, x in enumerate(at))
+        return order, at, z, ends, both, sums, lp
 
     def score(self, x: np.ndarray, y: np.ndarray, rows: slice) -> np.ndarray:
         """Log probability of the outcomes ``y`` (windows x scored positions) at the positions ``rows`` of the context classes ``x``."""
-        context, _, _, z, _ = self._attend(x, rows)
-        order, *_, lp = self._levels(context, z, y.ravel())
+        z = self._attend(x, rows)[4]
+        order, *_, lp = self._levels(x[:, rows].ravel(), z, y.ravel())
         out = np.empty(len(lp), np.float32)
         out[order] = lp
         return out.reshape(y.shape)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
         """Loss and its gradient by all parameters, summed over positions of weight ``w``."""
-        context, a, v, z, scale = self._attend(x, slice(0, SPAN))
-        order, g, j, zs, ends, one, two, sum_one, sum_two, lp = self._levels(context, z, y.ravel())
+        q, k, a, v, z, scale = self._attend(x, slice(0, SPAN))
+        order, at, zs, ends, both, sums, lp = self._levels(x.ravel(), z, y.ravel())
         w = w.ravel().take(order)
-        m = np.arange(len(g))
-        one *= (w / sum_one)[:, None]
-        one[m, g] -= w
-        two *= (w / sum_two)[:, None]
-        two[m, j] -= w
-        back = one @ self.to_group.T
-        s, t = np.empty(self.to_member.shape, np.float32), np.empty((GROUPS, MEMBERS), np.float32)
+        both.reshape(-1, 2, GROUPS)[:] *= (w[:, None] / sums)[:, :, None]
+        for i in at:
+            both.ravel()[i] -= w
+        back, s = np.empty_like(z), np.empty(self.to_both.shape, np.float32)
         for i in range(GROUPS):
             part = slice(ends[i], ends[i + 1])
-            s[i], t[i] = zs[part].T @ two[part], two[part].sum(0)
-            back[part] += two[part] @ self.to_member[i].T
-        gz = np.empty_like(back)
-        gz[order] = back
-        # the last place takes off the mean, as weights are normalised
-        gz[:, -1] = -np.einsum("ij,ij->i", gz[:, :-1], z[:, :-1])
+            np.matmul(zs[part].T, both[part], out=s[i])
+            np.matmul(both[part], self.to_both[i].T, out=back[part])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        gz = back.take(place, 0, mode="clip")
+        # the last place, so far 0, takes off the mean, as weights are normalised
+        gz[:, -1] = -np.einsum("ij,ij->i", gz, z)
         gz *= scale[:, None]
         gz = gz.reshape(len(x), SPAN, WIDTH)
         gv = a.transpose(0, 2, 1) @ gz
-        gs = gz @ v.transpose(0, 2, 1)
+        gs = gz @ np.ascontiguousarray(v.transpose(0, 2, 1))
         gs *= a
-        gq, gk = gs @ self.k.take(x, 0), gs.transpose(0, 2, 1) @ self.q.take(x, 0)
-        cells = self.cells.take(x, 0).ravel()
-        q, k, v = (np.bincount(cells, y.ravel(), (CLASSES + 1) * WIDTH).reshape(-1, WIDTH) for y in (gq, gk, gv))
+        gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
+        cells, sums = self.cells.take(x, 0, mode="clip").ravel(), np.zeros((3, (CLASSES + 1) * WIDTH), np.float32)
+        for total, g in zip(sums, (gq, gk, gv), strict=True):
+            np.add.at(total, cells, g.ravel())
+        q, k, v = sums.reshape(3, -1, WIDTH)
         d = np.bincount(self.gap.ravel(), gs.sum(0).ravel(), SPAN)
         q[CLASSES] = k[CLASSES] = 0  # the pad meets itself alone
-        parts = q, k, v[:, :-1], d, (zs.T @ one)[:-1], one.sum(0), s[:, :-1], t
-        return -float(lp @ w), np.concatenate([np.asarray(x, np.float64).ravel() for x in parts])
+        # the last place of zs is 1, so what it adds up are biases
+        one, two = s[:, :, :GROUPS].sum(0), s[:, :, GROUPS:]
+        parts = q, k, v[:, :-1], d, one[:-1], one[-1], two[:, :-1], two[:, -1]
+        return -float(lp @ w), np.concatenate([x.ravel() for x in parts], dtype=np.float64)
 
     def log_prob(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural-log probability of each text; ``ids`` are the texts' ids one after the other.
@@ -372,6 +379,11 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"g": table.column("g").slice(0, 1).combine_chunks(), "w": pa.array([total.tobytes()], pa.binary())})
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in tasks of FILES partitions each, but one a core: for passes whose tasks give sums, which are then fewer."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.rdd.getNumPartitions() // FILES)))
+
+
 def train_model(texts: DataFrame, counts: DataFrame, ends: int, ranks: bytes, steps: int = STEPS) -> AttentionModel | None:
     """Learns the model from all rows of ``texts`` (step, shift, ids) and their word counts (w, c); None without any.
 
@@ -418,7 +430,7 @@ def train_model(texts: DataFrame, counts: DataFrame, ends: int, ranks: bytes, st
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["cell", "n"])
 
     # at most (CLASSES + 1) * VOCABULARY cells, as columns of numbers
-    sums = texts.select("ids").mapInArrow(gather, "cell long, n long").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
+    sums = few_tasks(texts.select("ids")).mapInArrow(gather, "cell long, n long").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
     nexts = np.zeros((CLASSES + 1) * VOCABULARY, np.float32)
     nexts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
     del sums

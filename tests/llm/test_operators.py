@@ -322,6 +322,27 @@ def test_attention_is_causal_and_normalised():
         assert (loss(up)[0] - loss(down)[0]) / 2e-2 == pytest.approx(grad[i], rel=0.05), name
 
 
+def test_class_bigrams_are_summed_in_few_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, 1, 8 * lm_scoring.FILES * cores)
+    few = lm_scoring.few_tasks(many)
+    assert few.rdd.getNumPartitions() == 8 * cores and few.count() == 1000
+    assert lm_scoring.few_tasks(spark.range(0, 10, 1, cores)).rdd.getNumPartitions() == cores
+
+
+def test_weights_of_plain_loops_in_batches_of_any_size(monkeypatch):
+    m, rng = random_model(5), np.random.default_rng(6)
+    lengths = np.array([3, 40, 1, 700])
+    ids = rng.integers(0, lm_scoring.VOCABULARY, lengths.sum())
+    windows = lm_scoring.tiles(m.cls.take(ids), m.out.take(ids), lengths, np.array([0, 5, 31, 17]))
+    whole, texts = m.gradient(*windows), m.log_prob(ids, lengths)
+    parts = [m.gradient(*(v[k : k + 3] for v in windows)) for k in range(0, len(windows[0]), 3)]
+    assert sum(p[0] for p in parts) == pytest.approx(whole[0], rel=1e-5)
+    assert np.allclose(sum(p[1] for p in parts), whole[1], rtol=1e-3, atol=1e-3)
+    monkeypatch.setattr(lm_scoring, "BATCH", 5)
+    assert np.allclose(m.log_prob(ids, lengths), texts, rtol=1e-6)
+
+
 def test_scores_learn_and_do_not_depend_on_partitions(make):
     rng = random.Random(1)
     docs = [(i, " ".join(rng.choice(["the cat sat on", "a dog ran to", "the mat and", "then home"]) for _ in range(40))) for i in range(60)]
