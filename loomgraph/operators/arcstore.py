@@ -73,14 +73,14 @@ class ArcStore:
         total, hubs = degree.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > block)).first()
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_ARCS))
         homes = HOMES * n
-        rows, salt = arcs.select("src", "dst", home_of("src", homes).alias("home")), F.lit(-1)
+        rows, home, salt = arcs.select("src", "dst"), home_of("src", homes), F.lit(-1)
         if hubs:
             found = cut(degree.where(F.col("n") > block).withColumns({"size": F.col("n"), "salts": F.ceil(F.col("n") / block)}).drop("n"), "hubs")
             rows, salt = join_keyed(arcs, found, ["src"], "size", total), F.coalesce(F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"), salt)
             home = F.when(F.col("salt") < 0, home_of("src", homes)).otherwise(F.pmod(F.xxhash64("src", "salt"), F.lit(homes)))
-            rows, salt = rows.withColumn("salt", salt).select("src", "dst", home.alias("home"), "salt"), F.col("salt")
-        # one shuffle of arcs, by home: the blocks are made where the buckets are written
-        rows = rows.repartition(n, "home").select("home", "src", "dst", salt.alias("salt"), home_of("dst", homes).cast("int").alias("sender"))
+            rows, salt = rows.withColumn("salt", salt).select("src", "dst", "salt"), F.col("salt")
+        # one shuffle of arcs, by home: the blocks are made where the buckets are written; homes follow from the ids, so they are not shuffled
+        rows = rows.repartition(n, home).select(home.alias("home"), "src", "dst", salt.alias("salt"), home_of("dst", homes).cast("int").alias("sender"))
         made = rows.groupBy("home").applyInArrow(_blocks_of, _BLOCKS)
         blocks = bucketed(made, "home", n, ["home", "cut", "src"], path and f"{path}/blocks", placed=True)
         senders = F.transform("dsts", lambda x: F.pmod(F.xxhash64(x), F.lit(homes)))

@@ -138,6 +138,17 @@ def packed_votes(blocks: DataFrame, sent: DataFrame) -> DataFrame:
     return both.applyInArrow(count_packed, "home long, src long, cut boolean, label long, n long")
 
 
+def count_own(blocks: pa.Table) -> pa.Table:
+    """Votes of one home's blocks where each neighbour's label is its own id."""
+    dsts, size = flat(blocks.column("dsts"))
+    return _elect(blocks, size, dsts)
+
+
+def own_votes(blocks: DataFrame) -> DataFrame:
+    """Votes of the first round, whose labels are the ids that the blocks hold: nothing is sent."""
+    return blocks.select("home", "src", "cut", "dsts").groupBy("home").applyInArrow(count_own, "home long, src long, cut boolean, label long, n long")
+
+
 def send_packed(store: ArcStore, labels: DataFrame) -> DataFrame:
     """(home, sender, least, width, labels): the labels (home, id, label) of all nodes at every home that needs them, a row for each pair of homes."""
     both = store.lists.groupBy("home").cogroup(labels.groupBy("home"))
@@ -162,13 +173,17 @@ class Rounds:
 
     def __init__(self, store: ArcStore, vote: Callable[[DataFrame, DataFrame], DataFrame]):
         self.store, self.vote, self.base = store, vote, None
+        self.own = False  # whether the labels are the ids, as they are before the first round
+
+    def _votes(self, blocks: DataFrame, view: DataFrame | None) -> DataFrame:
+        return own_votes(blocks) if view is None else self.vote(blocks, view)
 
-    def _elected(self, blocks: DataFrame, view: DataFrame, hubs: DataFrame) -> list[DataFrame]:
-        """Frames (home, id, new): of nodes at one home and, where there are any, of cut hubs."""
-        whole = self.vote(blocks, view).select("home", F.col("src").alias("id"), F.col("label").alias("new"))
+    def _elected(self, blocks: DataFrame, view: DataFrame | None, hubs: DataFrame) -> list[DataFrame]:
+        """Frames (home, id, new): of nodes at one home and, where there are any, of cut hubs. No view: labels are the ids."""
+        whole = self._votes(blocks, view).select("home", F.col("src").alias("id"), F.col("label").alias("new"))
         if not self.store.hubs:
             return [whole]
-        total = self.vote(hubs, view).groupBy("src", "label").agg(F.sum("n").alias("n"))
+        total = self._votes(hubs, view).groupBy("src", "label").agg(F.sum("n").alias("n"))
         best = total.groupBy(F.col("src").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("neg"), "label")).alias("b"))
         return [whole, best.select(self.store.home("id"), "id", F.col("b.label").alias("new"))]
 
@@ -186,7 +201,7 @@ class Rounds:
         blocks, hubs = self.store.blocks.where("not cut"), self.store.blocks.where("cut")
         labels = state.select("home", "id", "label")
         if self.vote is packed_votes:
-            return state, self._elected(blocks, send_packed(self.store, labels), hubs)
+            return state, self._elected(blocks, None if self.own else send_packed(self.store, labels), hubs)
         if not few:
             self.forget()
             return state, self._elected(blocks, self.store.deliver(labels), hubs)

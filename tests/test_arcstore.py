@@ -195,3 +195,31 @@ def test_few_changes_spread_by_rows(spark, monkeypatch):
     edges = [(k, k + 1) for k in range(30)] + [(rng.randrange(30), rng.randrange(60)) for _ in range(20)]
     monkeypatch.setattr(lpa, "DELTA_SHARE", 2.0)
     assert lpa.label_propagation(graph_of(spark, edges), 5, approach="frame").labels_dict() == simulate(edges, False, 5)
+
+
+def test_first_round_sends_no_labels(spark, hubs):
+    graph = graph_of(spark, hubs)
+    with co_partitioned(spark):
+        store = ArcStore.build(graph.arcs, block=8)
+        rounds = lpa.Rounds(store, lpa.packed_votes)
+        ids = store.ends(False)
+        state = cut(ids.select("home", "id", *(ids["id"].alias(c) for c in ("label", "prev", "base"))))
+        sent = rounds.next(state, False, False)[1]
+        rounds.own = True
+        first = rounds.next(state, False, False)[1]
+        assert len(first) == len(sent) == 2
+        assert "FlatMapCoGroups" in plan_of(sent[0]) and "FlatMapCoGroups" not in plan_of(first[0])
+        assert "Exchange" not in plan_of(first[0])
+        for a, b in zip(first, sent, strict=True):
+            assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+        store.close()
+
+
+def test_homes_of_arcs_are_not_shuffled(spark, hubs, monkeypatch):
+    plans = []
+    write = arcstore.bucketed
+    monkeypatch.setattr(arcstore, "bucketed", lambda df, *a, **k: (plans.append(plan_of(df)), write(df, *a, **k))[1])
+    for block in (8, 1000):
+        ArcStore.build(graph_of(spark, hubs).arcs, block=block).close()
+        placed = [x for x in plans[-2].splitlines() if "Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" in x]
+        assert len(placed) == 1 and "xxhash64" in placed[0]
